@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from srcloom.llm import bpe, jpeg, langid, token_files
+from srcloom.llm import bpe, jaccard_join, jpeg, langid, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op10_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_features(jpeg.store_media(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op5_token_files, op10_jpeg_media)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op5_token_files, op9_jaccard_join, op10_jpeg_media)}
 ORACLES: dict[str, str] = {}
