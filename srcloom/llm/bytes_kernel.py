@@ -220,3 +220,35 @@ def encode_column(col, cache: PieceCache, specials: tuple[bytes, ...], size: int
         upto = np.concatenate([[0], np.cumsum(lens)])
         edges = np.searchsorted(cuts[:-1], poff)
         yield docs, np.diff(upto[edges]), ids
+
+
+def words(col, kinds: tuple[int, ...]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Words, runs of characters of the given classes, slice by slice: distinct words, which of them each
+    word is, offsets of the pieces' words, document of each piece."""
+    data, off = utf8_column(col)
+    member = np.isin(np.arange(4), kinds)
+    for part, poff, docs in slices(data, off):
+        text = member[byte_classes(part)]
+        edge = np.zeros(len(part) + 1, bool)
+        edge[poff] = True
+        start = np.flatnonzero(text & (edge[:-1] | np.append(True, ~text[:-1])[: len(text)]))
+        kept = np.cumsum(text)
+        cuts = np.append(kept[start] - 1, kept[-1] if len(kept) else 0)
+        found, codes = distinct_pieces(part[text], cuts)
+        yield found, codes, np.searchsorted(start, poff), docs
+
+
+def words_by_row(col, kinds: tuple[int, ...], value) -> Iterator[np.ndarray]:
+    """For each row, in order, ``value(distinct words)`` of its words as one array."""
+    own: list[np.ndarray] = []
+    last = -1
+    for found, codes, at, docs in words(col, kinds):
+        values = value(found)[codes] if found else value([])
+        for k, d in enumerate(docs.tolist()):
+            if d != last and last >= 0:
+                yield np.concatenate(own)
+                own = []
+            last = d
+            own.append(values[at[k] : at[k + 1]])
+    if last >= 0:
+        yield np.concatenate(own)
