@@ -37,9 +37,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.llm.bytes_kernel import LETTER, NUMBER, words_by_row
+from srcloom.llm.bytes_kernel import LETTER, NUMBER, ragged, words_by_row
 
-K1, B, SHARE, OVERLAP, BLOCK, SHARD_CHARS = 1.2, 0.75, 0.5, 0.8, 8, 8_000_000
+K1, B, SHARE, OVERLAP, BLOCK, SHARD_CHARS = 1.2, 0.75, 0.5, 0.8, 8, 250_000
 #: Words that are scored at once.
 BATCH_WORDS = 1 << 18
 MATCHES = "doc_id long, item_id long, start long, score double, question_overlap double, answer_overlap double"
@@ -74,7 +74,7 @@ class ItemIndex:
         self.blocks, self.block = -(-n // block), block
         self.most = np.zeros(len(self.term), np.float32)
         self.block_most = np.zeros((len(self.term), self.blocks), np.float32)
-        self.postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(self.blocks)]
+        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
         for k, w in enumerate(self.words):
             weight = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for t, f in Counter(w.tolist()).items()}
             own = sum(weight.values())
@@ -82,7 +82,15 @@ class ItemIndex:
                 x /= own
                 self.most[t] = max(self.most[t], x)
                 self.block_most[t, k // block] = max(self.block_most[t, k // block], x)
-                self.postings[k // block].setdefault(t, []).append((k, x))
+                postings.setdefault((t, k // block), []).append((k, x))
+        # postings of a term in a block: slot -> start and length in the lists of items and impacts
+        self.slot = np.full((len(self.term), self.blocks), -1, np.int32)
+        for at, (t, b) in enumerate(postings):
+            self.slot[t, b] = at
+        self.length = np.array([len(x) for x in postings.values()], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.item = np.array([k for x in postings.values() for k, _ in x], np.int64)
+        self.impact = np.array([w for x in postings.values() for _, w in x], np.float64)
 
     def lookup(self, found: list[bytes]) -> np.ndarray:
         get = self.term.get
@@ -109,15 +117,19 @@ class ItemIndex:
             stop = start[a + 1024] if a + 1024 < len(start) else len(who)
             bound = np.add.reduceat(self.block_most[flat[at[0] : stop]], at - at[0], axis=0)
             ends = np.append(at[1:], stop)
-            for p, b in zip(*np.nonzero(bound >= least), strict=True):
-                score: dict[int, float] = {}
-                postings = self.postings[b]
-                for t in flat[at[p] : ends[p]].tolist():
-                    for k, x in postings.get(t, ()):
-                        score[k] = score.get(k, 0.0) + x
-                for k, x in score.items():
-                    if x >= least:
-                        yield int(who[at[p]]), k, x
+            passage, block = np.nonzero(bound >= least)
+            for z in range(0, len(passage), 8192):  # open blocks at once
+                p, b = passage[z : z + 8192], block[z : z + 8192]
+                terms = ends[p] - at[p]
+                pair = np.repeat(np.arange(len(p)), terms)
+                slot = self.slot[flat[ragged(at[p], terms)], b[pair]]
+                pair, slot = pair[slot >= 0], slot[slot >= 0]
+                post = ragged(self.start[slot], self.length[slot])
+                pair = np.repeat(pair, self.length[slot])
+                score = np.bincount(pair * self.block + self.item[post] % self.block, self.impact[post], len(p) * self.block)
+                for cell in np.flatnonzero(score >= least).tolist():
+                    k = cell // self.block
+                    yield int(who[at[p[k]]]), int(b[k]) * self.block + cell % self.block, float(score[cell])
 
     def verify(self, passage: np.ndarray, k: int) -> tuple[float, float]:
         """Overlaps of question and answer in the stretch where the lesser of them is largest."""
