@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from srcloom.llm import bpe, decontaminate, jaccard_join, jpeg, langid, token_files
+from srcloom.llm import bpe, decontaminate, jaccard_join, jpeg, langid, secrets, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(_read(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -36,5 +40,5 @@ def op10_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_features(jpeg.store_media(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op5_token_files, op7_decontamination, op9_jaccard_join, op10_jpeg_media)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op5_token_files, op6_secrets, op7_decontamination, op9_jaccard_join, op10_jpeg_media)}
 ORACLES: dict[str, str] = {}
