@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from srcloom.llm import bpe, decontaminate, jaccard_join, jpeg, langid, secrets, token_files
+from srcloom.llm import bpe, chat, decontaminate, jaccard_join, jpeg, langid, secrets, site_style, token_files, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages"))
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -32,6 +40,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.canonical_chats(_read(spark, sf_dir, "conversations"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -40,5 +52,5 @@ def op10_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_features(jpeg.store_media(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op5_token_files, op6_secrets, op7_decontamination, op9_jaccard_join, op10_jpeg_media)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_url_filter, op4_main_text, op5_token_files, op6_secrets, op7_decontamination, op8_chat, op9_jaccard_join, op10_jpeg_media)}
+ORACLES: dict[str, str] = {"op3_url_filter": url_filter.SQL}
