@@ -36,6 +36,8 @@ from srcloom.llm.storage import new_path
 BLOCK, PERCENTILE, MAGIC = 256, 0.9, 0x31464F50
 #: Ids and documents after which a segment is closed.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 19, 8192
+#: Pieces whose ids a task remembers (about 200 bytes each).
+PIECES = 700_000
 SEGMENT = "shard int, segment int, n_docs long, n_ids long, before long, payload binary"
 
 
@@ -138,9 +140,13 @@ def library_encoder(path: str):
     t.no_padding()
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.uint32, int(lens.sum())), lens
+        # a list of pieces is one input of the library, so that it makes one result for many pieces
+        lists = [[w.decode() for w in words[k : k + 200]] for k in range(0, len(words), 200)]
+        ids, lens = [], []
+        for own, e in zip(lists, t.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False), strict=True):
+            ids.append(np.array(e.ids, np.uint32))
+            lens.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(own)))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *lens])
 
     return encode, tuple(x.content.encode() for x in t.get_added_tokens_decoder().values())
 
@@ -164,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 2, shards:
 
     def encode(batches) -> Iterator[pa.RecordBatch]:
         encode_words, specials = library_encoder(path)
-        cache, edge = PieceCache(encode_words), np.array(bounds, np.int64)
+        cache, edge = PieceCache(encode_words, PIECES), np.array(bounds, np.int64)
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
                 batch = whole.slice(k, 1024)
