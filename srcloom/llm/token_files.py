@@ -139,16 +139,24 @@ def library_encoder(path: str):
     t.no_truncation()
     t.no_padding()
 
+    special = {x.content.encode(): i for i, x in t.get_added_tokens_decoder().items()}
+
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        every = words
         # a list of pieces is one input of the library, so that it makes one result for many pieces
+        words, where = [w for w in words if w not in special], [k for k, w in enumerate(words) if w in special]
+        odd = [special[w] for w in every if w in special]
         lists = [[w.decode() for w in words[k : k + 200]] for k in range(0, len(words), 200)]
         ids, lens = [], []
         for own, e in zip(lists, t.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False), strict=True):
             ids.append(np.array(e.ids, np.uint32))
             lens.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(own)))
-        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *lens])
+        flat, count = np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *lens])
+        for k, i in zip(where, odd, strict=True):  # a special string is one id
+            flat, count = np.insert(flat, int(count[:k].sum()), i), np.insert(count, k, 1)
+        return flat, count
 
-    return encode, tuple(x.content.encode() for x in t.get_added_tokens_decoder().values())
+    return encode, tuple(special)
 
 
 def doc_bounds(docs: DataFrame, shards: int) -> list[int]:
