@@ -139,22 +139,24 @@ def library_encoder(path: str):
     t.no_truncation()
     t.no_padding()
 
-    special = {x.content.encode(): i for i, x in t.get_added_tokens_decoder().items()}
+    special = {x.content.encode(): i for i, x in t.get_added_tokens_decoder().items() if x.special}
+    sep = next(iter(special), None)
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        every = words
-        # a list of pieces is one input of the library, so that it makes one result for many pieces
-        words, where = [w for w in words if w not in special], [k for k, w in enumerate(words) if w in special]
-        odd = [special[w] for w in every if w in special]
-        lists = [[w.decode() for w in words[k : k + 200]] for k in range(0, len(words), 200)]
-        ids, lens = [], []
-        for own, e in zip(lists, t.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False), strict=True):
-            ids.append(np.array(e.ids, np.uint32))
-            lens.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(own)))
-        flat, count = np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *lens])
-        for k, i in zip(where, odd, strict=True):  # a special string is one id
-            flat, count = np.insert(flat, int(count[:k].sum()), i), np.insert(count, k, 1)
-        return flat, count
+        """A special string between pieces keeps them apart, so that the library makes one result for many."""
+        if sep is None:
+            got = [e.ids for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            lens = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter((i for x in got for i in x), np.uint32, int(lens.sum())), lens
+        plain = [w for w in words if w not in special]
+        joined = [sep.join(plain[k : k + 50]).decode() + sep.decode() for k in range(0, len(plain), 50)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in t.encode_batch_fast(joined, add_special_tokens=False))])
+        ends = np.flatnonzero(ids == special[sep])
+        flat, lens = ids[ids != special[sep]], np.diff(np.append(-1, ends)) - 1
+        for k, w in enumerate(words):
+            if w in special:
+                flat, lens = np.insert(flat, int(lens[:k].sum()), special[w]), np.insert(lens, k, 1)
+        return flat, lens
 
     return encode, tuple(special)
 
