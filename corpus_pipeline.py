@@ -15,11 +15,13 @@ from srcloom.llm.storage import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts, and texts without letters."""
-    names = docs.columns
+    """Drops documents without a language: null texts, and texts without letters.  Without any labelled
+    text there is nothing to tell by, and nothing goes."""
     prototypes = langid.fit(docs.where(~langid.held_out()))
-    found = langid.predict(docs, prototypes)
-    return found.where(F.col("lang_pred") != "und").select(*names)
+    if not prototypes:
+        return docs
+    found = langid.predict(docs.select(F.struct("*").alias("row"), "text"), prototypes)
+    return found.where(F.col("lang_pred") != "und").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from srcloom.llm.bytes_kernel import PieceCache, distinct_pieces, encode_column, pieces, ragged
 
@@ -263,7 +264,7 @@ def _documents(batches: Iterable[pa.RecordBatch], path: str, column: str) -> Ite
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds ``out``, the token ids (array of int) of ``text``; null and empty texts have an empty array."""
     rest = [c for c in docs.columns if c != out]
-    schema = docs.select(*rest).schema.add(out, "array<int>")
+    schema = docs.select(*rest).schema.add(out, T.ArrayType(T.IntegerType()))
 
     def run(batches):
         for batch, rows in _documents(batches, path, text):

@@ -6,7 +6,8 @@ lengths of what ``split`` leaves between the matches, so a scan is linear in the
 
 The method.  Two first-order Markov models of characters, one of random strings and one of ordinary
 identifiers, are trained from labelled samples: random are the values that base patterns find and
-base64 and hexadecimal digests; ordinary are the other words of sampled documents.  The sample is
+base64 and hexadecimal digests; ordinary are the other words of sampled documents
+that look like identifiers, and runs of one character.  The sample is
 bounded (``sample_docs``, by a share that follows from the exact number of rows; ``digests``).  A run of
 at least ``LEAST`` token characters is a secret if its mean log-likelihood ratio per step is above
 ``RATIO``; what overlaps a base span adds nothing.  A model is a table of 66 x 66 numbers, whatever the
@@ -34,6 +35,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST, RATIO, SAMPLE_DOCS, DIGESTS = 20, 0.6, 2000, 2000
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 WORD = r"[A-Za-z0-9+/_=-]{6,}"
+#: What a word must look like to be labelled ordinary: words of letters, with a short number at the end.
+ORDINARY = r"^[A-Za-z]+(?:[-_=+/][A-Za-z]+)*\d{0,4}$"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -76,7 +79,10 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, digests: i
     share = min(1.0, sample_docs / max(n, 1))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.coalesce("text", F.lit("")).alias("text"))
     values = some.where(F.col("text").rlike(ASSIGN)).select(F.explode(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1))).alias("token")).where(F.length("token") >= LEAST)
-    words = some.where(~F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("token"))
+    words = some.where(~F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("token")).where(F.col("token").rlike(ORDINARY))
+    # rules and fillers of one character are ordinary too
+    runs = docs.sparkSession.range(1).select(F.explode(F.filter(F.split(F.lit(ALPHABET), ""), lambda c: c != "")).alias("c")).select(F.repeat("c", F.lit(50)).alias("token"))
+    words = words.unionByName(runs)
     ids = docs.sparkSession.range(digests).select(F.sha2(F.col("id").cast("string"), 256).alias("hex"))
     made = ids.select(F.explode(F.array(F.substring("hex", 1, 40), F.base64(F.unhex("hex")))).alias("token"))
     return values.unionByName(made).withColumn("random", F.lit(True)).unionByName(words.withColumn("random", F.lit(False))).select("random", "token")
@@ -141,7 +147,8 @@ def secret_report(docs: DataFrame, table: list[float] | None = None) -> DataFram
 def masked(docs: DataFrame, mask: str = "[SECRET]", table: list[float] | None = None) -> DataFrame:
     """docs with every span replaced by ``mask`` and n_chars counted anew where the text has changed."""
     names = docs.columns
-    found = scan(docs, table).withColumn("_spans", F.array_sort(F.concat("base", "added")))
+    table = table or train(labelled_samples(docs.select("doc_id", "text")))
+    found = scan(docs.select(F.struct("*").alias("_row"), "text"), table).withColumn("_spans", F.array_sort(F.concat("base", "added")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -154,6 +161,6 @@ def masked(docs: DataFrame, mask: str = "[SECRET]", table: list[float] | None =
     out = found.withColumn("_text", F.when(some, clean).otherwise(F.col("text")))
     cols = {"text": F.col("_text").alias("text")}
     if "n_chars" in names:
-        cols["n_chars"] = F.when(some, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
-    return out.select(*(cols.get(c, F.col(c)) for c in names))
+        cols["n_chars"] = F.when(some, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars")).alias("n_chars")
+    return out.select(*(cols.get(c, F.col("_row")[c].alias(c)) for c in names))
 

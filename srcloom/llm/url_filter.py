@@ -100,13 +100,16 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     if isinstance(rules, DataFrame):
         small = rules.limit(MOST_RULES + 1).count() <= MOST_RULES
         rules = [(r["host"], r["path"], r["verdict"]) for r in rules.select("host", "path", "verdict").collect()] if small else rules
-    ruled = _by_join(rows, rules) if isinstance(rules, DataFrame) else _by_literal(rows, rules)
-    ruled = ruled.select("page_id", "host", "path", "alias", F.col("decision.rule").alias("rule"), F.col("decision.verdict").alias("ruled"))
+    decide = lambda urls: _by_join(urls, rules) if isinstance(rules, DataFrame) else _by_literal(urls, rules)
+    ruled = decide(rows).select("page_id", "host", "path", "alias", F.col("decision.rule").alias("rule"), F.col("decision.verdict").alias("ruled"))
     found = materialize(pages.where(url.isNotNull() & F.col("html").rlike("(?i)canonical|refresh")).select("url", link_of(F.col("html")).alias("link")).where("link IS NOT NULL"), "found")
     targets = materialize(found.select("url", absolute(url, F.col("link")).alias("target")), "targets")
     links = targets.select(canonical_of(url).alias("u"), canonical_of(F.col("target")).alias("v"))
     edges = materialize(links.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), "links")
-    flags = ruled.where("rule IS NOT NULL AND alias IS NOT NULL").groupBy("alias").agg(F.max(F.col("ruled") == "allow").alias("allow"))
+    # what links lead to has a say too, be it a page of the table or not
+    there = F.col("target")
+    led = decide(targets.select(host_of(there).alias("host"), path_of(there).alias("path"), canonical_of(there).alias("alias"))).select("alias", F.col("decision.rule").alias("rule"), F.col("decision.verdict").alias("ruled"))
+    flags = ruled.select("alias", "rule", "ruled").unionByName(led).where("rule IS NOT NULL AND alias IS NOT NULL").groupBy("alias").agg(F.max(F.col("ruled") == "allow").alias("allow"))
     if not edges.isEmpty():
         roots = connected_components(edges, "aliases").select(F.col("node").alias("alias"), "root")
         flags = flags.join(roots, "alias", "full").withColumn("root", F.coalesce("root", "alias"))
