@@ -8,9 +8,11 @@ Chosen paths.  At a path a node goes on with each of its tokens whose hash with
 threshold, 1 / threshold of them on average, so that nodes at the wanted similarity share one child of
 a shared path on average.  The first step takes ``runs`` places at once, as many as the target recall
 needs; each is a run of its own.  Buckets are the nodes at a path of depth 3.  Small buckets give all
-their pairs; larger ones are split again, three steps deeper each time, and give each member's pairs
-with the bucket's least and largest node.  Pairs whose minhashes agree too little are put aside (an
-estimate at 3 standard errors below the threshold), the others are links between candidates.
+their pairs.  Larger ones are not split further, as each further step would lose pairs that the runs
+don't make up for: all their pairs are compared by minhashes in pairs of blocks of about 1024 nodes, and
+each pair of blocks gives one link per node that keeps what agrees connected.  Pairs whose minhashes
+agree too little are put aside (an estimate at 4 standard errors below the threshold), the others are
+links between candidates.
 
 Exact step.  Candidates that are connected are cut into blocks of about 256 nodes.  Each pair of
 blocks computes all its exact similarities from the whole sets, counts each node's links, and returns
@@ -41,7 +43,7 @@ from srcloom.llm.components import connected_components, salted_join
 from srcloom.llm.storage import materialize
 
 WORDS, THRESHOLD, RECALL, PLACES, DEPTH, SEED = 5, 0.8, 0.999, 128, 3, 11
-SMALL, BLOCK, SPLITS = 16, 256, 2
+SMALL, BLOCK, SKETCH_BLOCK, ERRORS = 16, 256, 1024, 4
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 FEATURES = "doc_id long, node binary, size long, sketch binary"
 
@@ -147,53 +149,99 @@ def first_paths(nodes: DataFrame, runs: int, threshold: float = THRESHOLD) -> Da
     return nodes.select("node", "sketch").mapInArrow(run, "path long, node binary")
 
 
-def deeper_paths(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, node) DEPTH steps behind the paths in rows (path, node, sketch)."""
+def least_agreement(threshold: float = THRESHOLD) -> float:
+    """The share of minhashes in which a pair must agree to be compared exactly."""
+    return threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / PLACES)
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2048):
-                batch = whole.slice(k, 2048)
-                tokens = _tokens(batch.column("sketch"))
-                owner, path = np.arange(batch.num_rows), batch.column("path").to_numpy().view(np.uint64)
-                for _ in range(DEPTH):
-                    owner, path = _children(owner, path, tokens, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("node").take(pa.array(owner))], ["path", "node"])
 
-    return rows.select("path", "node", "sketch").mapInArrow(run, "path long, node binary")
+def _forest(near, order: list[int]) -> np.ndarray:
+    """Each item's root: breadth first in ``order``; near(todo, unseen) says which unseen ones have a link to todo."""
+    root = np.arange(len(order))
+    seen = np.zeros(len(order), bool)
+    for k in order:
+        if seen[k]:
+            continue
+        seen[k], todo = True, np.array([k])
+        while len(todo):
+            unseen = np.flatnonzero(~seen)
+            todo = unseen[near(todo, unseen)]
+            seen[todo], root[todo] = True, k
+    return root
+
+
+def _dealt(members: DataFrame, owner: str) -> DataFrame:
+    """Rows of pairs of blocks (owner, low, high), each pair in one task and in one piece."""
+    return members.repartition(owner, "low", "high").sortWithinPartitions(owner, "low", "high", "node")
+
+
+def _by_group(batches, links) -> Iterator[pa.RecordBatch]:
+    """links of each run of rows that agree in their first three columns."""
+    group, key = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != key:
+                if len(group) > 1:
+                    yield links(group)
+                group, key = [], row[:3]
+            group.append(row)
+    if len(group) > 1:
+        yield links(group)
+
 
+def sketch_blocks(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(u, v), links that connect what agrees, from rows (path, low, high, node, sketch) of pairs of blocks."""
+    least = least_agreement(threshold) * PLACES
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        tokens = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(-1, PLACES)
+
+        def near(todo: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+            hit = np.zeros(len(unseen), bool)
+            for k in todo:
+                left = np.flatnonzero(~hit)
+                if not len(left):
+                    break
+                hit[left] = (tokens[unseen[left]] == tokens[k]).sum(axis=1) >= least
+            return hit
+
+        root = _forest(near, list(range(len(rows))))
+        far = np.flatnonzero(root != np.arange(len(rows)))
+        return pa.RecordBatch.from_arrays([pa.array([rows[root[k]][3] for k in far], pa.binary()), pa.array([rows[k][3] for k in far], pa.binary())], ["u", "v"])
+
+    return _dealt(members.select("path", "low", "high", "node", "sketch"), "path").mapInArrow(lambda batches: _by_group(batches, links), "u binary, v binary")
 
-def _bucket_pairs(paths: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u, v) of buckets, and the rows of buckets to be split further.
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """rows (node, blocks) once for each pair (low, high) of blocks that the node's own block is in."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+
+def _bucket_pairs(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of small buckets, and the rows (path, node, n) of large ones.
 
     Most paths are one node's alone: counts of paths go first, and only rows of shared ones go on.
     """
     shared = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-    rows = materialize(salted_join(paths, shared, "path", F.col("node"), salts=4), name)
+    rows = materialize(salted_join(paths, shared, "path", F.col("node"), salts=4), "buckets")
     small = rows.where(F.col("n") <= SMALL).select("path", "node")
     pairs = small.select("path", F.col("node").alias("u")).join(small.select("path", F.col("node").alias("v")), "path").where("u < v").select("u", "v")
-    large = rows.where(F.col("n") > SMALL)
-    ends = salted_join(large.select("path", "node"), large.groupBy("path").agg(F.min("node").alias("low"), F.max("node").alias("high")), "path", F.col("node"))
-    ends = ends.select(F.col("low").alias("u"), F.col("node").alias("v")).unionByName(ends.select(F.col("node").alias("u"), F.col("high").alias("v")))
-    return pairs.unionByName(ends.where("u < v")), large.select("path", "node")
+    return pairs, rows.where(F.col("n") > SMALL)
 
 
 def candidate_links(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(u, v) of nodes (node, sketch) that share a bucket and whose sketches agree enough."""
+    """(u, v) of nodes (node, sketch) that share a bucket and whose sketches agree enough; of large buckets
+    links that connect the same nodes."""
     paths = materialize(first_paths(nodes, runs_needed(threshold, recall), threshold), "paths")
-    found, large = _bucket_pairs(paths, "buckets")
-    for k in range(SPLITS):
-        if large.isEmpty():
-            break
-        deeper = materialize(deeper_paths(large.join(nodes.select("node", "sketch"), "node"), threshold), f"deeper-{k}")
-        more, large = _bucket_pairs(deeper, f"buckets-{k}")
-        found = found.unionByName(more)
+    found, large = _bucket_pairs(paths)
+    large = _paired(large.withColumn("blocks", F.ceil(F.col("n") / SKETCH_BLOCK).cast("int")).drop("n"))
+    hot = sketch_blocks(large.join(nodes.select("node", "sketch"), "node"), threshold)
     pairs = materialize(found.distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     known = materialize(nodes.select("node", "sketch").join(ends, "node", "left_semi"), "sketches")
     with_u = salted_join(pairs, known.select(F.col("node").alias("u"), F.col("sketch").alias("su")), "u", F.col("v"), salts=2)
     with_both = salted_join(with_u, known.select(F.col("node").alias("v"), F.col("sketch").alias("sv")), "v", F.col("u"), salts=2)
-    least = threshold - 3 * math.sqrt(threshold * (1 - threshold) / PLACES)
+    least = least_agreement(threshold)
 
     def agree(batches) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -202,7 +250,7 @@ def candidate_links(nodes: DataFrame, threshold: float = THRESHOLD, recall: floa
                 keep = (_tokens(batch.column("su")) == _tokens(batch.column("sv"))).mean(axis=1) >= least
                 yield batch.select(["u", "v"]).filter(pa.array(keep))
 
-    return with_both.select("u", "v", "su", "sv").mapInArrow(agree, "u binary, v binary")
+    return with_both.select("u", "v", "su", "sv").mapInArrow(agree, "u binary, v binary").unionByName(hot)
 
 
 def _exact_links(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.ndarray:
@@ -240,33 +288,11 @@ def exact_blocks(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         side = np.ones((len(rows), len(rows)), bool) if low == high else block[:, None] != block[None]
         link = _exact_links([np.frombuffer(r[6], np.uint64) for r in rows], side, threshold)
         copies = np.array([r[5] for r in rows], np.int64)
-        root = np.arange(len(rows))
-        order = sorted(range(len(rows)), key=lambda k: rows[k][4])
-        seen = np.zeros(len(rows), bool)
-        for k in order:  # breadth first from the least node
-            if seen[k]:
-                continue
-            seen[k], todo = True, [k]
-            while todo:
-                near = np.flatnonzero(link[todo].any(axis=0) & ~seen)
-                seen[near], root[near] = True, k
-                todo = near.tolist()
+        root = _forest(lambda todo, unseen: link[np.ix_(todo, unseen)].any(axis=0), sorted(range(len(rows)), key=lambda k: rows[k][4]))
         return pa.RecordBatch.from_arrays([pa.array([r[4] for r in rows], pa.binary()), pa.array(link.astype(np.int64) @ copies), pa.array([rows[k][4] for k in root], pa.binary())], ["node", "links", "other"])
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        group, key = [], None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
-                    if len(group) > 1:
-                        yield links(group)
-                    group, key = [], row[:3]
-                group.append(row)
-        if len(group) > 1:
-            yield links(group)
-
-    dealt = members.select("root", "low", "high", "block", "node", "copies", "shingles").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "node")
-    return dealt.mapInArrow(run, "node binary, links long, other binary")
+    dealt = _dealt(members.select("root", "low", "high", "block", "node", "copies", "shingles"), "root")
+    return dealt.mapInArrow(lambda batches: _by_group(batches, links), "node binary, links long, other binary")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -291,11 +317,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     near = materialize(connected_components(candidate_links(nodes, threshold, recall), "candidates"), "candidate-roots")
     sizes = near.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = salted_join(near, sizes, "root", F.col("node")).join(nodes.select("node", "copies", "first_doc"), "node")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = docs.join(placed.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = shingle_sets(texts).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    blocks = placed.join(sets, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    exact = materialize(exact_blocks(blocks.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}), threshold), "exact")
+    exact = materialize(exact_blocks(_paired(placed.join(sets, "node")), threshold), "exact")
     links = exact.groupBy("node").agg(F.sum("links").alias("links")).where("links > 0")
     roots = connected_components(exact.where("node <> other").select(F.col("node").alias("u"), F.col("other").alias("v")), "classes")
     special = nodes.select("node", "copies", "first_doc").join(roots, "node", "left").join(links, "node", "left").where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))

@@ -75,6 +75,39 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert jj.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["star", "template"])
+def test_large_groups_of_different_copies_match_brute_force(spark, monkeypatch, kind):
+    monkeypatch.setattr(jj, "SKETCH_BLOCK", 128)  # several blocks in a bucket
+    random.seed(12)
+    fresh = (f"w{k}" for k in range(10**6))
+    new = lambda n: [next(fresh) for _ in range(n)]
+    if kind == "star":  # leaves are near the centre (0.82), and at 0.68 to each other
+        centre = new(104)
+        texts = [centre] + [[*centre[:52], *new(5), *centre[52:]] if k % 2 else [*centre[:-10], *new(10)] for k in range(300)]
+    else:  # pairs of near copies in one template, at 0.6 or less to the others
+        shared = new(94)
+        texts = []
+        for _ in range(300):
+            own = new(32)
+            texts += [shared + own, shared + own[:-6] + new(6)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_links(rows)
+
+
+def test_star_in_large_buckets_is_connected(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 2**32, jj.PLACES, dtype=np.uint32)
+    rows = [(b"m", centre.tobytes())]
+    for k in range(300):  # leaves agree with the centre at the threshold, and too little with each other
+        own = centre.copy()
+        own[rng.permutation(jj.PLACES)[:26]] = rng.integers(0, 2**32, 26, dtype=np.uint32)
+        rows.append((f"{'az'[k % 2]}{k}".encode(), own.tobytes()))
+    nodes = spark.createDataFrame(rows, "node binary, sketch binary")
+    roots = components.connected_components(jj.candidate_links(nodes)).collect()
+    assert len(roots) == 301 and len({bytes(r.root) for r in roots}) == 1
+
+
 def test_runs_reach_the_recall():
     assert 10 <= jj.runs_needed() <= 20 < jj.runs_needed(recall=1 - 1e-9)
 
