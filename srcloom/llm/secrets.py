@@ -9,9 +9,10 @@ identifiers, are trained from labelled samples: random are the values that base
 base64 and hexadecimal digests; ordinary are the other words of sampled documents
 that look like identifiers, and runs of one character.  The sample is
 bounded (``sample_docs``, by a share that follows from the exact number of rows; ``digests``).  A run of
-at least ``LEAST`` token characters is a secret if its mean log-likelihood ratio per step is above
-``RATIO``; what overlaps a base span adds nothing.  A model is a table of 66 x 66 numbers, whatever the
-input.
+at least ``LEAST`` token characters is cut at base spans, and what is left of it in one piece is a secret
+if it has so many characters and its mean log-likelihood ratio per step is above ``RATIO``; of a piece that
+isn't, the parts between ``=``, and of those that aren't the parts between all separators, are judged by
+themselves.  A model is a table of 66 x 66 numbers, whatever the input.
 
 Defined results: null and empty texts have no spans and keep their rows; repeated rows have equal
 spans; of spans that start together kinds stand in the order assign, access, hex, markov; an empty
@@ -37,6 +38,8 @@ CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 WORD = r"[A-Za-z0-9+/_=-]{6,}"
 #: What a word must look like to be labelled ordinary: words of letters, with a short number at the end.
 ORDINARY = r"^[A-Za-z]+(?:[-_=+/][A-Za-z]+)*\d{0,4}$"
+SEPARATORS = ("=", "[/+=_-]")
+PART = "array<struct<start:int,end:int,token:string>>"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -102,8 +105,36 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
+def _with_part(parts: F.Column, whole: F.Column, a: F.Column, b: F.Column) -> F.Column:
+    """parts and whole's part from place a to b, if that is long enough."""
+    own = F.struct(a.alias("start"), b.alias("end"), whole["token"].substr(a - whole["start"] + 1, b - a).alias("token"))
+    return F.when(b - a >= LEAST, F.concat(parts, F.array(own))).otherwise(parts).cast(PART)
+
+
+def _outside(c: F.Column) -> F.Column:
+    """Parts of a candidate that no base span holds."""
+    start = F.struct(c["start"].alias("at"), F.array().cast(PART).alias("parts"))
+
+    def step(acc, b):
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), _with_part(acc["parts"], c, acc["at"], b["start"]).alias("parts"))
+
+    over = F.filter("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+    return F.aggregate(over, start, step, lambda acc: _with_part(acc["parts"], c, acc["at"], c["end"]))
+
+
+def _between(c: F.Column, separator: str) -> F.Column:
+    """Parts of a candidate between separators of one character; none where it has no separator."""
+    start = F.struct(c["start"].alias("at"), F.array().cast(PART).alias("parts"))
+
+    def step(acc, x):
+        end = acc["at"] + F.length(x)
+        return F.struct((end + 1).alias("at"), _with_part(acc["parts"], c, acc["at"], end).alias("parts"))
+
+    return F.when(c["token"].rlike(separator), F.aggregate(F.split(c["token"], separator, -1), start, step, lambda acc: acc["parts"])).otherwise(F.array().cast(PART))
+
+
 def markov_spans(docs: DataFrame, table: list[float], text: str = "text") -> DataFrame:
-    """Adds ``added``, spans of candidates that the models call random and that overlap none in ``base``."""
+    """Adds ``added``, spans that the models call random, of what candidates have outside ``base``."""
     t = F.coalesce(F.col(text), F.lit(""))
     ratios = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")
     matches = F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))
@@ -117,12 +148,16 @@ def markov_spans(docs: DataFrame, table: list[float], text: str = "text") -> Dat
         return F.struct((a + x["len"]).alias("at"), F.concat(acc["found"], F.array(own)).cast("array<struct<start:int,end:int,token:string>>").alias("found"))
 
     placed = F.when(t.rlike(CANDIDATE), F.aggregate(steps, start, step, lambda acc: acc["found"])).otherwise(F.array().cast("array<struct<start:int,end:int,token:string>>"))
-    free = F.filter("_placed", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+    free = F.flatten(F.transform("_placed", _outside))
 
     def ratio(token):
         return F.aggregate(F.transform(_steps(token), lambda s: F.element_at(ratios, s + 1)), F.lit(0.0), lambda acc, v: acc + v) / F.greatest(F.length(token) - 1, F.lit(1))
 
-    hits = F.filter(free, lambda c: ratio(c["token"]) > RATIO)
+    random = lambda c: ratio(c["token"]) > RATIO
+    by_name = lambda c: F.when(random(c), F.array(c)).otherwise(F.filter(_between(c, SEPARATORS[1]), random))
+    # without "=" the part is the piece itself
+    pieces = lambda c: F.when(c["token"].contains(SEPARATORS[0]), F.flatten(F.transform(_between(c, SEPARATORS[0]), by_name))).otherwise(F.filter(_between(c, SEPARATORS[1]), random))
+    hits = F.flatten(F.transform(free, lambda c: F.when(random(c), F.array(c)).otherwise(pieces(c))))
     spans = F.transform(hits, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end"), F.lit("markov").alias("kind")))
     return docs.withColumn("_placed", placed).withColumn("added", F.when(F.size("_placed") > 0, spans).otherwise(F.array()).cast(SPAN)).drop("_placed")
 
