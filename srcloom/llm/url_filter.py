@@ -33,6 +33,7 @@ CANONICAL = (
     r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*?\bhref\s*=\s*["']?([^"'>\s]+)""",
     r"""(?i)<link\b[^>]*\bhref\s*=\s*["']?([^"'>\s]+)["']?[^>]*\brel\s*=\s*["']?canonical\b""",
     r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*?\burl\s*=\s*["']?([^"'>\s]+)""",
+    r"""(?i)<meta\b[^>]*\burl\s*=\s*["']?([^"'>\s]+)["']?[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""",
 )
 
 
@@ -59,9 +60,10 @@ def canonical_of(url: F.Column) -> F.Column:
     return F.when(_rest(url).isNotNull(), F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))))
 
 
-def link_of(html: F.Column) -> F.Column:
-    """Where a page's canonical link or refresh leads, as written; null where it has none."""
-    return F.coalesce(*(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in CANONICAL))
+def links_of(html: F.Column) -> F.Column:
+    """Where all of a page's canonical links and refreshes lead, as an array; ampersands are decoded."""
+    found = F.array_distinct(F.concat(*(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in CANONICAL)))
+    return F.transform(found, lambda x: F.regexp_replace(x, "(?i)&(?:amp|#0*38|#x0*26);", "&"))
 
 
 def absolute(url: F.Column, found: F.Column) -> F.Column:
@@ -102,7 +104,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         rules = [(r["host"], r["path"], r["verdict"]) for r in rules.select("host", "path", "verdict").collect()] if small else rules
     decide = lambda urls: _by_join(urls, rules) if isinstance(rules, DataFrame) else _by_literal(urls, rules)
     ruled = decide(rows).select("page_id", "host", "path", "alias", F.col("decision.rule").alias("rule"), F.col("decision.verdict").alias("ruled"))
-    found = materialize(pages.where(url.isNotNull() & F.col("html").rlike("(?i)canonical|refresh")).select("url", link_of(F.col("html")).alias("link")).where("link IS NOT NULL"), "found")
+    found = materialize(pages.where(url.isNotNull() & F.col("html").rlike("(?i)canonical|refresh")).select("url", F.explode(links_of(F.col("html"))).alias("link")), "found")
     targets = materialize(found.select("url", absolute(url, F.col("link")).alias("target")), "targets")
     links = targets.select(canonical_of(url).alias("u"), canonical_of(F.col("target")).alias("v"))
     edges = materialize(links.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), "links")

@@ -260,6 +260,20 @@ def test_url_filter(spark):
     assert joined[1] == ("example.net/en/", "allow") and joined[2] == ("net/", "block") and joined[7] == (None, "allow")
 
 
+def test_url_filter_follows_every_link_of_a_page(spark):
+    own, refresh = "<link rel='canonical' href='{}'>", '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [
+        (1, "https://a.com/1", own.format("https://a.com/1") + refresh.format("https://x.net/1")),
+        (2, "https://a.com/2", own.format("https://a.com/2") + own.format("https://x.net/2")),
+        (3, "https://a.com/3", refresh.format("/3") + refresh.format("https://x.net/3")),
+        (4, "https://a.com/4", '<meta content="0; url=https://x.net/4" http-equiv="refresh">'),
+        (5, "https://a.com/5", own.format("https://b.com/5?x=1&amp;y=2")), (6, "https://b.com/5?x=1&y=2", own.format("https://x.net/6")),
+        (7, "https://a.com/7", own.format("https://a.com/7")), (8, "https://a.com/8", "no canonical link"),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "block" if k < 7 else "allow" for k in range(1, 9)}
+
+
 def test_chats(spark):
     calls = spark.createDataFrame(
         [("c", "1", 0, "ask", '{"turn": 1, "text": "a\\"b"}', None), ("c", "2", 1, "ask", '{"text": 5}', "1"), ("c", "3", 2, "ask", "{bad", "2"), ("c", "4", 3, "other", "{}", "9"), ("c", "5", 4, "ask", '{"text":"é","turn":2,"x":{"b":1,"a":[2]}}', "6"), ("c", "6", 5, "ask", None, "5"), ("c", "1", 9, "ask", "{}", None), (None, "7", 1, "ask", "{}", None)],
