@@ -98,14 +98,18 @@ def test_large_groups_of_different_copies_match_brute_force(spark, monkeypatch,
 def test_star_in_large_buckets_is_connected(spark):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 2**32, jj.PLACES, dtype=np.uint32)
-    rows = [(b"m", centre.tobytes())]
-    for k in range(300):  # leaves agree with the centre at the threshold, and too little with each other
+    sets = [centre]
+    for _ in range(300):  # leaves agree with the centre at the threshold, and too little with each other
         own = centre.copy()
         own[rng.permutation(jj.PLACES)[:26]] = rng.integers(0, 2**32, 26, dtype=np.uint32)
-        rows.append((f"{'az'[k % 2]}{k}".encode(), own.tobytes()))
-    nodes = spark.createDataFrame(rows, "node binary, sketch binary")
+        sets.append(own)
+    tokens = np.array(sets)
+    paths = jj.paths_of(tokens, jj.runs_needed())
+    order = rng.permutation(301).tolist()  # the centre has any number
+    rows = [(order[k], d, p.tolist()) for k, (d, p) in enumerate(zip(jj.digests(tokens), paths, strict=True))]
+    nodes = spark.createDataFrame(rows, "num long, sketch binary, paths array<long>")
     roots = components.connected_components(jj.candidate_links(nodes)).collect()
-    assert len(roots) == 301 and len({bytes(r.root) for r in roots}) == 1
+    assert len(roots) == 301 and len({r.root for r in roots}) == 1
 
 
 def test_runs_reach_the_recall():
