@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from srcloom.llm.bytes_kernel import PieceCache, distinct_pieces, encode_column, pieces, ragged
+from srcloom.llm.tasks import tidy
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NONE = np.int64(1 << 40)
@@ -273,7 +274,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids")
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*rest, out])
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).mapInArrow(tidy(run), schema)
 
 
 def bpe_decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -291,7 +292,7 @@ def bpe_decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "text")
                 texts.append("".join([*(machine.feed(own[k : k + 65536]) for k in range(0, len(own), 65536)), machine.close()]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*rest, out])
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).mapInArrow(tidy(run), schema)
 
 
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
@@ -317,4 +318,4 @@ def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
                 n.append(count), sha.append(ids_hash.hexdigest()), back.append(text_hash.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), ENCODED)

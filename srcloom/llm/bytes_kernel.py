@@ -70,11 +70,12 @@ def _classes() -> np.ndarray:
     import regex
 
     table = np.full(0x110000, OTHER, np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    every = "".join(map(chr, points))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, every):
-            table[[points[k] for k in range(m.start(), m.end())]] = kind
+    for a in range(0, 0x110000, 0x800):
+        if a != 0xD800:  # surrogates
+            every = "".join(map(chr, range(a, a + 0x800)))
+            for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+                for m in regex.finditer(pattern, every):
+                    table[a + m.start() : a + m.end()] = kind
     return table
 
 

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcloom.llm.bytes_kernel import LETTER, NUMBER, ragged, words_by_row
+from srcloom.llm.tasks import tidy
 
 K1, B, SHARE, OVERLAP, BLOCK, SHARD_CHARS = 1.2, 0.75, 0.5, 0.8, 8, 250_000
 #: Words that are scored at once.
@@ -218,7 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, ov
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in MATCHES.split(", ")])
 
-        return rows.mapInArrow(run, MATCHES)
+        return rows.mapInArrow(tidy(run), MATCHES)
 
     parts = [scan(index) for index in item_indexes(benchmark, shard_chars)]
     out = parts[0]
@@ -238,5 +239,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE,
                 clean = [not items for items in find_items(sent.value, batch.column("text"), share, overlap)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcloom.llm.bytes_kernel import ragged, utf8_column
+from srcloom.llm.tasks import tidy
 
 ROW, MOST_ROWS, DC_QUANT = 64, 8191, 8
 #: Bytes of payload that are coded at once.
@@ -331,7 +332,7 @@ def store_media(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(n)), pa.array(n), pa.array(payload_jpegs(payloads), pa.binary())], ["doc_id", "n_bytes", "media"])
                 at += len(n)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string"
@@ -367,4 +368,4 @@ def media_features(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in rest), *cols], [*rest, *names])
                 k = j
 
-    return media.select(*rest, "media").mapInArrow(run, schema)
+    return media.select(*rest, "media").mapInArrow(tidy(run), schema)

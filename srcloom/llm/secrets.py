@@ -26,6 +26,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcloom.llm.langid import SHARES, share_of
+
 # The base patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -78,9 +80,8 @@ def _steps(token: F.Column) -> F.Column:
 
 def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, digests: int = DIGESTS) -> DataFrame:
     """(random boolean, token) from a bounded sample of documents and from digests."""
-    n = docs.count()
-    share = min(1.0, sample_docs / max(n, 1))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.coalesce("text", F.lit("")).alias("text"))
+    share = share_of(sample_docs, docs.count())
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) < share).select(F.coalesce("text", F.lit("")).alias("text"))
     values = some.where(F.col("text").rlike(ASSIGN)).select(F.explode(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1))).alias("token")).where(F.length("token") >= LEAST)
     words = some.where(~F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("token")).where(F.col("token").rlike(ORDINARY))
     # rules and fillers of one character are ordinary too

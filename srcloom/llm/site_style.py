@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from srcloom.llm.components import salted_join
 from srcloom.llm.storage import materialize
 from srcloom.llm.url_filter import host_of
+from srcloom.llm.tasks import tidy
 
 LEAST, PAGES, DEPTH, BROADCAST_CHARS = 0.15, 8, 12, 4_000_000
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -194,7 +195,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 cols = [pa.array([r[i] for r in rows], pa.string() if i < 2 else pa.int64()) for i in range(4)]
                 yield pa.RecordBatch.from_arrays(cols, ["host", "path", "presentation", "content"])
 
-    nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, presentation long, content long")
+    nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(tidy(run), "host string, path string, presentation long, content long")
     sides = nodes.select("host", "path", F.explode(F.create_map(F.lit("presentation"), F.col("presentation"), F.lit("content"), F.col("content"))).alias("side", "value"))
     counts = sides.groupBy("host", "path", "side", "value").agg(F.count("*").alias("n"))
     sums = counts.groupBy("host", "path", "side").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("nlogn"))
@@ -235,4 +236,4 @@ def main_text(pages: DataFrame, least: float = LEAST, min_pages: int = PAGES) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "noise").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "noise").mapInArrow(tidy(run), f"page_id {kind}, url string, text string, n_chars long")

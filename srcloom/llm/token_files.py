@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from srcloom.llm.bytes_kernel import PieceCache, encode_column, ragged
 from srcloom.llm.storage import new_path
+from srcloom.llm.tasks import tidy
 
 BLOCK, PERCENTILE, MAGIC = 256, 0.9, 0x31464F50
 #: Ids and documents after which a segment is closed.
@@ -221,9 +222,9 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 2, shards:
         if docs_:
             yield close()
 
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "shard int, doc_id long, ids binary")
+    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(encode), "shard int, doc_id long, ids binary")
     dealt = encoded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    dealt.mapInArrow(segments, SEGMENT).write.parquet(out)
+    dealt.mapInArrow(tidy(segments), SEGMENT).write.parquet(out)
 
 
 SEGMENT_ARROW = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("before", pa.int64()), ("payload", pa.binary())])
@@ -263,7 +264,7 @@ def document_digest(segments: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at[:-1] + start), pa.array(lens), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.select("start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.select("start", "payload").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
