@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -235,11 +237,84 @@ def test_main_text(spark):
     assert site_style.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_style_tree_entropy(spark):
-    rows = [(k, "http://h/", f"<body><div>{'same' if k % 2 else k}</div></body>") for k in range(4)]
-    tree = {r.path: r for r in site_style.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    div = tree[">body>div"]
-    assert div.pages == 4 and div.presentation == 0 and abs(div.content - 1.5 / 2) < 1e-12
+def brute_tree(rows):
+    """Importances by html tag paths, from pages of nested divs without attributes but class."""
+    pages, seen = [], {}
+    for _, url, html in rows:
+        stack, own = [], {}
+        for tag, text in re.findall(r"<([^>]*)>([^<]*)", html):
+            if tag.startswith("/"):
+                stack.pop()
+            else:
+                sign = re.sub(r"(\w+) class='?(\w+)'?", lambda m: f"{m[1]}.{re.sub('[0-9]+', '0', m[2])}", tag)
+                if stack:
+                    own[tuple(stack)][0].append(sign)
+                stack.append(sign)
+                own.setdefault(tuple(stack), ([], []))[0].append("|")
+            if text.strip():
+                own[tuple(stack)][1].append(" ".join(text.split()))
+        pages.append((url.split("/")[2], max((" ".join(t) for _, t in own.values()), key=len, default=""), own))
+    for host, body, own in pages:
+        for path, (kids, text) in own.items():
+            runs = [k for k, before in zip(kids, [None, *kids]) if k == "|" or k != before]
+            seen.setdefault((host, path), set()).add((body, " ".join(runs), " ".join(text)))
+    out = {}
+    for (host, path), found in seen.items():
+        n = len(found)
+        share = [math.exp(-sum(c / n * math.log(c / n) for c in Counter(x[side] for x in found).values())) / n for side in (1, 2)]
+        key = 0
+        for sign in path:
+            key = site_style.path_key(key, sign)
+        out[host, key] = (n, *share)
+    return out
+
+
+def random_pages(n):
+    random.seed(9)
+    rows = []
+    for k in range(n):
+        menu = "".join(f"<div class='item{j}'>item {j}</div>" for j in range(random.randrange(3)))
+        rows.append((k, f"http://{'ab'[k % 3 == 0]}.example/{k}", f"<body><div class='menu{k}'>{menu}</div><div>{'same' if k % 2 else k}</div><section><p>text {random.randrange(n)} of a page</p></section><div class='ad'>buy {k % 3}</div></body>"))
+    return rows
+
+
+def test_style_tree_matches_brute_force(spark):
+    rows = random_pages(40)
+    rows += [(99, "http://a.example/copy", rows[1][2]), (98, "http://a.example/q", "<body><div>q</div></body>")]
+    got = {(r.host, r.path): (r.pages, r.presentation, r.content) for r in site_style.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = brute_tree(rows)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_the_tree_decides(spark):
+    """Without the tree each of these would be wrong: the box and the advert would stay, the lead and the
+    section that are named like adverts would go."""
+    page = lambda k, body: f"<body><div class='x'>Rotated box {k % 3}</div><div class='promo'>advert {k % 9}</div><div class='banner'>lead of story {k}</div><div>{body}</div></body>"
+    rows = [(k, f"https://big.example/{k}", page(k, f"story {k} has words of its own")) for k in range(120)]
+    rows += [(200 + k, f"https://copies.example/{k}", page(k, "one story that is mirrored on every page of its host")) for k in range(120)]
+    rows += [(400 + k, f"https://few.example/{k}", page(k, f"story {k}")) for k in range(5)]
+    got = {r.page_id: r for r in site_style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for k in range(120):
+        assert got[k].text == f"lead of story {k}\nstory {k} has words of its own" and got[k].by_tree == 2
+        assert got[200 + k].text.endswith("one story that is mirrored on every page of its host")
+    for k in range(5):
+        assert got[400 + k].text == f"Rotated box {k % 3}\nstory {k}" and got[400 + k].by_tree == 0
+    alone = site_style.page_text(rows[0][2])[0]
+    assert alone != got[0].text
+
+
+def test_pages_of_any_shape(spark):
+    text = site_style.page_text
+    assert text("<article><p>a</p><span class='ad'>Buy <span>now</span> cheap</span> rest</article>")[0] == "a\nrest"
+    assert text("<article><header><h1>T</h1></header><section class='related-work'>x</section><div class='related-posts'>no</div><div class='social-history'>y</div></article>")[0] == "T\nx\ny"
+    assert text("<header>site</header><nav>n</nav><article class='comment'>c</article><div><p>main</p></div>")[0] == "main"
+    assert text("<p>a<b>b<p>c</b><ul><li>d<li>e</ul><table><tr><td>f<td>g</table>")[0] == "ab\nc\nd\ne\nf\ng"
+    deep = "<div>" * 20000
+    assert text(deep + "x" + "<li>y" * 20000)[0].startswith("x\ny") and len(text("<p>" + "word " * 400_000)[0]) == 2_000_000 - 1
+    odd = [(1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (2, "http://h/", ""), (3, "http://h/", "</div></p><b>x")]
+    got = site_style.main_text(spark.createDataFrame([(*r, "z") for r in odd], "page_id long, url string, html string, paths string")).collect()
+    assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(1, "a", 1), (1, "a", 1), (2, "", 0), (3, "x", 1)]
 
 
 def test_url_filter(spark):
