@@ -7,11 +7,13 @@ and the other doesn't; then b starts where the symbol of the previous such merge
 is that merge's left operand or grew from it by merges to its right, and the rank is higher.  So the
 distance is at most the largest sum of left operands' lengths along such chains of rising rank, which
 one pass over the merge list finds.  Tokens that end that many bytes before the end of what has been
-seen can be emitted: no continuation changes them.  ``Transducer`` keeps one window of at most
-lookahead + longest token + one chunk of bytes, whatever the length of its input.
+seen can be emitted: no continuation changes them.
 
-Pieces of a batch that fit in one window are merged in step by ``merge_flat``: in each round every
-piece makes its lowest merge.
+Each text is a stream through its ``Transducer``, chunk by chunk: pieces (what merges never cross) are
+emitted once nothing that follows can change where they end, and a piece longer than the lookahead and the
+longest token is streamed itself, by ``LongPiece``.  A transducer holds one chunk and one such window,
+whatever the length of its text.  Texts of one chunk are fed and closed side by side.  Behind the machine,
+``merge_flat`` merges many pieces in step, and a cache of bounded size remembers the ids of short pieces.
 
 Decoding is a state machine from ids to text that holds at most the bytes of one unfinished character.
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from srcloom.llm.bytes_kernel import PieceCache, distinct_pieces, encode_column, pieces, ragged
+from srcloom.llm.bytes_kernel import OTHER, SLICE, SPACE, PieceCache, byte_classes, distinct_pieces, pieces, ragged, utf8_column
 from srcloom.llm.tasks import tidy
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NONE = np.int64(1 << 40)
+#: Bytes that a transducer takes at once.
+CHUNK = 1 << 16
 
 
 def byte_letters() -> dict[str, int]:
@@ -86,6 +90,8 @@ class Vocabulary:
             self.token[i] = t
         self.lookahead = sufficient_lookahead([(raw(a), raw(b)) for a, b in merges])
         self.longest = max(map(len, self.token))
+        #: Bytes of a piece that are held before tokens are emitted from it.
+        self.window = self.lookahead + self.longest
         self.of_byte = np.zeros(256, np.int64)
         for c, b in back.items():
             self.of_byte[b] = vocab[c]
@@ -163,25 +169,18 @@ class Vocabulary:
         return np.where(self.keys[place] == pair, self.rank[place], NONE), self.made[place]
 
     def encode_pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after the other, and how many each has."""
-        window = self.lookahead + self.longest
+        """Ids of all words (whole pieces) one after the other, and how many each has."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
-        out_n = np.zeros(len(words), np.int64)
-        odd: dict[int, list[int]] = {}
-        for k in np.flatnonzero(lens > window):
-            odd[int(k)] = list(Transducer(self).run(words[k]))
+        odd = {int(k): np.concatenate(list(LongPiece(self).whole(words[k]))) for k in np.flatnonzero(lens > self.window)}
         for s, i in self.specials.items():
-            for k in np.flatnonzero(lens == len(s)):
-                if words[k] == s:
-                    odd[int(k)] = [i]
+            odd |= {int(k): np.array([i], np.int64) for k in np.flatnonzero(lens == len(s)) if words[k] == s}
         usual = np.ones(len(words), bool)
         usual[list(odd)] = False
         pick = np.flatnonzero(usual)
         data = np.frombuffer(b"".join([words[k] for k in pick]), np.uint8)
         ids, word = self.merge_flat(self.of_byte[data], np.repeat(np.arange(len(pick)), lens[pick]))
+        out_n = np.zeros(len(words), np.int64)
         out_n[pick] = np.bincount(word, minlength=len(pick))
-        if not odd:
-            return ids.astype(np.uint32), out_n
         for k, v in odd.items():
             out_n[k] = len(v)
         at = np.cumsum(out_n) - out_n
@@ -192,35 +191,145 @@ class Vocabulary:
         return out, out_n
 
 
-class Transducer:
-    """Streams bytes of one piece to token ids with one bounded window."""
+class LongPiece:
+    """Streams the bytes of one piece of any length to token ids; it holds the bytes that aren't settled."""
 
-    def __init__(self, vocab: Vocabulary, chunk: int = 4096):
-        self.vocab, self.chunk, self.window = vocab, chunk, b""
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.held = vocab, b""
 
-    def feed(self, more: bytes) -> Iterator[int]:
+    def feed(self, more: bytes, spare: int = 0) -> np.ndarray:
+        """Ids that no continuation changes, even if the last ``spare`` bytes don't belong to the piece."""
         v = self.vocab
-        for k in range(0, len(more), self.chunk):
-            self.window += more[k : k + self.chunk]
-            if len(self.window) <= v.lookahead:
-                continue
-            ids, _ = v.merge_flat(v.of_byte[np.frombuffer(self.window, np.uint8)], np.zeros(len(self.window), np.int64))
-            ends = np.cumsum(v.token_len[ids])
-            stable = int(np.searchsorted(ends, len(self.window) - v.lookahead, side="right"))
-            if stable:
-                yield from ids[:stable].tolist()
-                self.window = self.window[int(ends[stable - 1]) :]
-
-    def close(self) -> Iterator[int]:
-        if self.window:
-            v = self.vocab
-            ids, _ = v.merge_flat(v.of_byte[np.frombuffer(self.window, np.uint8)], np.zeros(len(self.window), np.int64))
-            yield from ids.tolist()
-        self.window = b""
-
-    def run(self, piece: bytes) -> Iterator[int]:
-        yield from self.feed(piece)
-        yield from self.close()
+        self.held += more
+        if len(self.held) <= v.window + spare:
+            return np.zeros(0, np.int64)
+        ids, _ = v.merge_flat(v.of_byte[np.frombuffer(self.held, np.uint8)], np.zeros(len(self.held), np.int64))
+        ends = np.cumsum(v.token_len[ids])
+        stable = int(np.searchsorted(ends, len(self.held) - v.lookahead - spare, side="right"))
+        if stable:
+            self.held = self.held[int(ends[stable - 1]) :]
+        return ids[:stable]
+
+    def close(self) -> np.ndarray:
+        v = self.vocab
+        ids, _ = v.merge_flat(v.of_byte[np.frombuffer(self.held, np.uint8)], np.zeros(len(self.held), np.int64))
+        self.held = b""
+        return ids
+
+    def whole(self, piece: bytes, chunk: int = 4096) -> Iterator[np.ndarray]:
+        for k in range(0, len(piece), chunk):
+            yield self.feed(piece[k : k + chunk])
+        yield self.close()
+
+
+class Transducer:
+    """Streams the bytes of one text to token ids: ``feed`` takes whole characters and returns the ids that
+    are settled, ``close`` the rest.  A piece is settled when what follows can't change its end; a piece that
+    is longer than the window is streamed itself.  It holds a window and one chunk, whatever the text's length."""
+
+    def __init__(self, vocab: Vocabulary, cache: PieceCache | None = None, chunk: int = CHUNK):
+        self.vocab, self.cache, self.chunk = vocab, cache or PieceCache(vocab.encode_pieces, 4096), chunk
+        self.specials = tuple(vocab.specials)
+        self.spare = max([4, *(len(s) for s in self.specials)])
+        self.text, self.piece, self.kind = b"", None, OTHER
+
+    @property
+    def window(self) -> bytes:
+        """What it holds."""
+        return self.text if self.piece is None else self.piece.held + self.text
+
+    def feed(self, more: bytes) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
+        a = 0
+        while a < len(more):
+            b = min(len(more), a + self.chunk)
+            while b < len(more) and more[b] & 0xC0 == 0x80:
+                b += 1
+            self.text += more[a:b]
+            a = b
+            while self.text:
+                before = len(self.text), self.piece
+                out += self._in_text() if self.piece is None else self._in_piece()
+                if (len(self.text), self.piece) == before:
+                    break
+        return np.concatenate(out)
+
+    def close(self) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
+        if self.piece is not None:
+            out.append(self.piece.close())
+            self.piece = None
+        if self.text:
+            out.append(self._ids(self.text, np.array([0, len(self.text)])))
+            self.text = b""
+        return np.concatenate(out)
+
+    def _ids(self, text: bytes, off: np.ndarray, upto: int | None = None) -> np.ndarray:
+        data = np.frombuffer(text, np.uint8)
+        cuts = pieces(data, off, self.specials)
+        return self._of(data, cuts if upto is None else cuts[: upto + 1])
+
+    def _of(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        words, codes = distinct_pieces(data[: cuts[-1]], cuts)
+        if not len(codes):
+            return np.zeros(0, np.int64)
+        slots = self.cache.lookup(words)[codes]
+        return self.cache.ids[ragged(self.cache.starts[slots], self.cache.lens[slots])].astype(np.int64)
+
+    def _begun(self, text: bytes) -> int:
+        """Bytes at the end that may be the start of a special string."""
+        return max((k for s in self.specials for k in range(1, len(s)) if text.endswith(s[:k])), default=0)
+
+    def _in_text(self) -> list[np.ndarray]:
+        """Ids of the settled pieces of ``text``; a last piece that is too long becomes ``piece``."""
+        data = np.frombuffer(self.text, np.uint8)
+        cuts = pieces(data, np.array([0, len(data)]), self.specials)
+        begun = self._begun(self.text)
+        last = min(len(cuts) - 2, int(np.searchsorted(cuts[1:], len(data) - begun, side="right")))
+        long = last == len(cuts) - 2 and cuts[-1] - cuts[-2] > self.vocab.window + self.spare
+        if cuts[last + 1] - cuts[last] < 8:  # a contraction may begin one piece earlier
+            last = max(0, last - 1)
+        for _ in range(3):  # white space before a special string is one piece
+            last -= bool(begun and last and byte_classes(data[: cuts[last]])[-1] == SPACE)
+        out = [self._of(data, cuts[: last + 1])] if last else []
+        self.text = self.text[int(cuts[last]) :]
+        if long:
+            self.piece, self.kind = LongPiece(self.vocab), int(byte_classes(data[-4:] if (data[-1] & 0x80) == 0 else data[_last_char(data) :])[-1])
+            out.append(self.piece.feed(self.text, self.spare))
+            self.text = b""
+        return out
+
+    def _in_piece(self) -> list[np.ndarray]:
+        """Ids of the long piece, which goes on to the first character of another class or a special string."""
+        text, held = self.text, self.piece.held
+        other = np.flatnonzero(byte_classes(np.frombuffer(text, np.uint8)) != self.kind)
+        stop = int(other[0]) if len(other) else len(text)
+        tail = held[len(held) - self.spare :]
+        found = [at - len(tail) for s in self.specials if (at := (tail + text).find(s)) >= 0]
+        ended = stop < len(text)
+        if found and min(found) <= stop:
+            stop, ended = min(found), True
+        if not ended:
+            self.text = b""
+            return [self.piece.feed(text, self.spare)]
+        if not found and 0 < (begun := self._begun(tail + text)) and len(text) - begun <= stop:
+            return []  # a special string may begin in the piece
+        whole = held + text
+        end = len(held) + stop
+        if self.kind == SPACE and not (found and stop == min(found)):  # the last blank goes with what follows
+            end = _last_char(np.frombuffer(whole[:end], np.uint8))
+        self.piece.held, self.text = whole[:end], whole[end:]
+        out = [self.piece.close()]
+        self.piece = None
+        return out
+
+
+def _last_char(data: np.ndarray) -> int:
+    """Where the last character begins."""
+    at = len(data) - 1
+    while at and data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
 
 
 class Decoder:
@@ -242,24 +351,49 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_text(text: str, vocab: Vocabulary) -> list[int]:
-    """Ids of one text."""
-    return [int(x) for _, _, ids in encode_column(pa.array([text], pa.string()), PieceCache(vocab.encode_pieces), tuple(vocab.specials)) for x in ids]
+def encode_rows(col, vocab: Vocabulary, cache: PieceCache, size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Token ids of a text column in order of rows: rows, their numbers of ids here, the ids.
+
+    A text of more than CHUNK bytes is fed to its transducer chunk by chunk, and comes in parts.  Shorter
+    ones are fed and closed in one step, side by side with their neighbours: a text's end settles it.
+    """
+    data, off = utf8_column(col)
+    lens = np.diff(off)
+    k = 0
+    while k < len(lens):
+        if lens[k] > CHUNK:
+            machine, text = Transducer(vocab, cache), data[off[k] : off[k + 1]]
+            a = 0
+            while a < len(text):
+                b = min(len(text), a + CHUNK)
+                while b < len(text) and text[b] & 0xC0 == 0x80:
+                    b += 1
+                ids = machine.feed(text[a:b].tobytes())
+                yield np.array([k]), np.array([len(ids)]), ids
+                a = b
+            ids = machine.close()
+            yield np.array([k]), np.array([len(ids)]), ids
+            k += 1
+            continue
+        j = k
+        while j < len(lens) and lens[j] <= CHUNK and (j == k or off[j + 1] - off[k] <= size):
+            j += 1
+        part, at = data[off[k] : off[j]], off[k : j + 1] - off[k]
+        cuts = pieces(part, at, tuple(vocab.specials))
+        words, codes = distinct_pieces(part, cuts)
+        n, ids = np.zeros(j - k, np.int64), np.zeros(0, np.int64)
+        if len(codes):
+            slots = cache.lookup(words)[codes]
+            each = cache.lens[slots]
+            ids = cache.ids[ragged(cache.starts[slots], each)].astype(np.int64)
+            n = np.diff(np.concatenate([[0], np.cumsum(each)])[np.searchsorted(cuts[:-1], at)])
+        yield np.arange(k, j), n, ids
+        k = j
 
 
-def _documents(batches: Iterable[pa.RecordBatch], path: str, column: str) -> Iterator[tuple[pa.RecordBatch, list[list[np.ndarray]]]]:
-    """Each batch, cut to about 4 MB of text, with each row's ids in parts."""
-    vocab = vocabulary(path)
-    cache = PieceCache(vocab.encode_pieces)
-    for whole in batches:
-        for k in range(0, whole.num_rows, 1024):
-            batch = whole.slice(k, 1024)
-            rows: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
-            for docs, n, ids in encode_column(batch.column(column), cache, tuple(vocab.specials)):
-                at = np.concatenate([[0], np.cumsum(n)])
-                for d, a, b in zip(docs.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    rows[d].append(ids[a:b])
-            yield batch, rows
+def encode_text(text: str, vocab: Vocabulary) -> list[int]:
+    """Ids of one text."""
+    return [int(x) for _, _, ids in encode_rows(pa.array([text], pa.string()), vocab, PieceCache(vocab.encode_pieces)) for x in ids]
 
 
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -268,11 +402,18 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids")
     schema = docs.select(*rest).schema.add(out, T.ArrayType(T.IntegerType()))
 
     def run(batches):
-        for batch, rows in _documents(batches, path, text):
-            lens = [sum(map(len, r)) for r in rows]
-            flat = np.concatenate([np.zeros(0, np.uint32), *(x for r in rows for x in r)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*rest, out])
+        vocab = vocabulary(path)
+        cache = PieceCache(vocab.encode_pieces)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                lens, parts = np.zeros(batch.num_rows, np.int64), [np.zeros(0, np.int64)]
+                for rows, n, ids in encode_rows(batch.column(text), vocab, cache):
+                    np.add.at(lens, rows, n)
+                    parts.append(ids)
+                flat = np.concatenate(parts).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*rest, out])
 
     return docs.select(*rest).mapInArrow(tidy(run), schema)
 
@@ -299,23 +440,32 @@ def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
     """Encodes and decodes every whole text and returns doc_id, the number of ids and digests of the ids
     and of the decoded text; ids and texts never leave the task, so nothing is shuffled."""
 
+    def digest(col, vocab: Vocabulary, cache: PieceCache) -> Iterator[tuple[int, str, str]]:
+        name, at = vocab.text_of, -1
+        for rows, n, ids in encode_rows(col, vocab, cache):
+            ends = np.cumsum(n).tolist()
+            for row, a, b in zip(rows.tolist(), [0, *ends], ends, strict=False):
+                if row != at:
+                    if at >= 0:
+                        text_hash.update(machine.close().encode())
+                        yield count, ids_hash.hexdigest(), text_hash.hexdigest()
+                    at, ids_hash, text_hash, machine, count = row, hashlib.sha256(), hashlib.sha256(), Decoder(vocab), 0
+                if b > a:
+                    own = ids[a:b]
+                    ids_hash.update((("," if count else "") + ",".join([name[i] for i in own.tolist()])).encode())
+                    text_hash.update(machine.feed(own).encode())
+                    count += b - a
+        if at >= 0:
+            text_hash.update(machine.close().encode())
+            yield count, ids_hash.hexdigest(), text_hash.hexdigest()
+
     def run(batches):
         vocab = vocabulary(path)
-        name = vocab.text_of
-        for batch, rows in _documents(batches, path, "text"):
-            n, sha, back = [], [], []
-            for parts in rows:
-                ids_hash, text_hash, machine, count = hashlib.sha256(), hashlib.sha256(), Decoder(vocab), 0
-                for ids in parts:
-                    for k in range(0, len(ids), 65536):
-                        own = ids[k : k + 65536]
-                        if not len(own):
-                            continue
-                        ids_hash.update((("," if count else "") + ",".join([name[i] for i in own.tolist()])).encode())
-                        count += len(own)
-                        text_hash.update(machine.feed(own).encode())
-                text_hash.update(machine.close().encode())
-                n.append(count), sha.append(ids_hash.hexdigest()), back.append(text_hash.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        cache = PieceCache(vocab.encode_pieces)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                n, sha, back = zip(*digest(batch.column(1), vocab, cache), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), ENCODED)

@@ -169,7 +169,10 @@ def distinct_pieces(data: np.ndarray, cuts: np.ndarray) -> tuple[list[bytes], np
 
 
 class PieceCache:
-    """Token ids of pieces seen before; it starts anew when it holds ``most`` pieces, so memory is bounded."""
+    """Token ids of pieces seen before; it starts anew when it holds ``most`` pieces or KEY_BYTES of them, so
+    memory is bounded."""
+
+    KEY_BYTES = 1 << 24
 
     def __init__(self, encode, most: int = 300_000):
         self.encode, self.most = encode, most
@@ -177,6 +180,7 @@ class PieceCache:
 
     def _clear(self) -> None:
         self.slot: dict[bytes, int] = {}
+        self.size = 0
         self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
@@ -186,7 +190,7 @@ class PieceCache:
 
     def lookup(self, words: list[bytes]) -> np.ndarray:
         """Slots of words."""
-        if len(self.slot) + len(words) > self.most:
+        if len(self.slot) + len(words) > self.most or self.size > self.KEY_BYTES:
             self._clear()
         get = self.slot.get
         slots = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
@@ -195,6 +199,7 @@ class PieceCache:
             new = [words[k] for k in miss]
             ids, lens = self.encode(new)
             first = len(self.slot)
+            self.size += sum(map(len, new))
             self.slot.update(zip(new, range(first, first + len(new)), strict=True))
             self.starts, self.lens = self._room(self.starts, first + len(new)), self._room(self.lens, first + len(new))
             self.ids = self._room(self.ids, self.used + len(ids))

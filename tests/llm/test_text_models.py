@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -40,7 +41,8 @@ def test_pieces_and_ids_match_the_library(library, kind):
     texts = ["".join(random.choice(ODD) for _ in range(random.randrange(25))) for _ in range(1500)]
     texts += ["a" * 3000, " " * 2000 + "x", "".join(random.choice(["a", "the", "ation", "s"]) for _ in range(1500))]
     for text in texts:
-        ids = [int(i) for _, _, part in encode_column(pa.array([text]), cache, specials, size=64) for i in part]
+        parts = bpe.encode_rows(pa.array([text]), vocab, cache, size=64) if kind == "transducer" else encode_column(pa.array([text]), cache, specials, size=64)
+        ids = [int(i) for _, _, part in parts for i in part]
         want = library.encode(text, add_special_tokens=False).ids
         assert ids == want, text
         machine = bpe.Decoder(vocab)
@@ -54,12 +56,51 @@ def test_transducer_needs_a_bounded_window(library):
     text = "".join(random.choice(["a", "the", "ation", "s", "re", "in"]) for _ in range(8000))
     machine, ids, most = bpe.Transducer(vocab, chunk=100), [], 0
     for k in range(0, len(text), 100):
-        ids += machine.feed(text[k : k + 100].encode())
+        ids += machine.feed(text[k : k + 100].encode()).tolist()
         most = max(most, len(machine.window))
     assert ids + list(machine.close()) == library.encode(text, add_special_tokens=False).ids
     assert most <= vocab.lookahead + vocab.longest + 100
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 300, 1000])
+def test_streams_match_the_library(library, chunk):
+    """Any text, fed in chunks of any size: long runs of each class, special strings across chunks."""
+    vocab = bpe.vocabulary(PATH)
+    random.seed(chunk)
+    cache = PieceCache(vocab.encode_pieces, 500)
+    runs = ["a", "\u4e2d", "é", "7", "!", "<", "'", " ", "\n", "\u3000", "the", "\u4e2d\u6587", "<|"]
+    texts = ["".join(random.choice(runs) * random.choice([1, 2, 5, 700]) + random.choice(["", "", "<|endoftext|>", "'s", "'re x", " "]) for _ in range(random.randrange(1, 8))) for _ in range(60 if chunk > 1 else 6)]
+    texts += ["".join(random.choice(ODD) for _ in range(200)) for _ in range(60 if chunk > 1 else 6)] + ["<|endoftext" + "|" * 900 + ">", "<" * 900 + "|endoftext|>x", " " * 900 + "<|endoftext|>"]
+    for text in texts:
+        raw, machine, ids, a, most = text.encode(), bpe.Transducer(vocab, cache, chunk), [], 0, 0
+        while a < len(raw):
+            b = a + chunk
+            while b < len(raw) and raw[b] & 0xC0 == 0x80:
+                b += 1
+            ids += machine.feed(raw[a:b]).tolist()
+            most = max(most, len(machine.window))
+            a = b
+        ids += machine.close().tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids, text
+        assert most <= vocab.window + 2 * chunk + 64
+
+
+def test_memory_of_a_stream_is_constant():
+    vocab = bpe.vocabulary(PATH)
+    cache = PieceCache(vocab.encode_pieces)
+    tracemalloc.start()
+    peaks = []
+    for megabytes in (1, 8):
+        machine, n = bpe.Transducer(vocab, cache), 0
+        tracemalloc.reset_peak()
+        for k in range(16 * megabytes):
+            n += len(machine.feed((b"ab" if k % 2 else b"a b") * (20_000 if k % 2 else 16_384)))
+        n += len(machine.close())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert n > 10**6 and peaks[1] < 1.5 * peaks[0]
+
+
 def test_decoder_state_machine_on_broken_bytes():
     vocab = bpe.vocabulary(PATH)
     byte = {vocab.token[i]: i for i in range(vocab.size)}
