@@ -2,20 +2,22 @@
 
 Base kinds and their patterns are fixed values.  Their matches are found left to right without
 overlap; a match that is too short is dropped after it has taken its place.  Places follow from the
-lengths of what ``split`` leaves between the matches, so a scan is linear in the text.
+lengths of what ``split`` leaves between the matches.  Matches are gone through in blocks of ``BLOCK``, as an
+array can only be grown by copying it: a text of n matches costs n x BLOCK + (n / BLOCK)^2 steps, and one
+that is masked is read once for each block, not for each span.
 
 The method.  Two first-order Markov models of characters, one of random strings and one of ordinary
 identifiers, are trained from labelled samples: random are the values that base patterns find and
 base64 and hexadecimal digests; ordinary are the other words of sampled documents
 that look like identifiers, and runs of one character.  The sample is
-bounded (``sample_docs``, by a share that follows from the exact number of rows; ``digests``).  A run of
+bounded (``sample_docs``, by a share that follows from the exact number of rows and isn't 0; ``digests``).  A run of
 at least ``LEAST`` token characters is cut at base spans, and what is left of it in one piece is a secret
 if it has so many characters and its mean log-likelihood ratio per step is above ``RATIO``; of a piece that
 isn't, the parts between ``=``, and of those that aren't the parts between all separators, are judged by
 themselves.  A model is a table of 66 x 66 numbers, whatever the input.
 
-Defined results: null and empty texts have no spans and keep their rows; repeated rows have equal
-spans; of spans that start together kinds stand in the order assign, access, hex, markov; an empty
+Defined results: null and empty texts have no spans and keep their rows; texts of any length are scanned
+whole; repeated rows have equal spans; of spans that start together kinds stand in the order assign, access, hex, markov; an empty
 table gives no rows; in ``masked`` all other columns pass through.
 """
 
@@ -36,6 +38,7 @@ LEAST_VALUE = 6
 # The method's.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST, RATIO, SAMPLE_DOCS, DIGESTS = 20, 0.6, 2000, 2000
+BLOCK = 256
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 WORD = r"[A-Za-z0-9+/_=-]{6,}"
 #: What a word must look like to be labelled ordinary: words of letters, with a short number at the end.
@@ -45,19 +48,40 @@ PART = "array<struct<start:int,end:int,token:string>>"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
+def _running(items: F.Column, first: F.Column, kind: str, step) -> F.Column:
+    """Goes through an array from a place ``first``: step(place, item) gives the next place and an array of
+    results; all results in order, as an array of type ``kind``."""
+    none = F.array().cast(kind)
+
+    def in_block(acc, x):
+        at, own = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.when(F.size(own) > 0, F.concat(acc["own"], own)).otherwise(acc["own"]).cast(kind).alias("own"))
+
+    def block(acc, k):
+        inner = F.aggregate(F.slice(items, k * BLOCK + 1, BLOCK), F.struct(acc["at"].alias("at"), none.alias("own")), in_block)
+        # by way of an array, so that the block is gone through once
+        return F.transform(F.array(inner), lambda i: F.struct(i["at"].alias("at"), F.concat(acc["own"], F.array(i["own"])).cast(f"array<{kind}>").alias("own")))[0]
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    whole = F.aggregate(blocks, F.struct(first.alias("at"), F.array().cast(f"array<{kind}>").alias("own")), block, lambda acc: F.flatten(acc["own"]))
+    return F.when(F.size(items) > 0, whole).otherwise(none)
+
+
+def _matches(text: F.Column, pattern: str) -> F.Column:
+    """A pattern's matches with the lengths of what stands before each."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.zip_with(found, F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"), m.alias("token")))
+
+
 def _found(text: F.Column, pattern: str, rank: int, kind: str, group: bool = False) -> F.Column:
     """Spans of a pattern's matches; with group, of those whose group is long enough."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"), (F.length(F.regexp_extract(m, pattern, 1)) if group else F.lit(LEAST_VALUE)).alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(acc, x):
-        a = acc["at"] + x["gap"]
-        own = F.struct(a.alias("start"), F.lit(rank).alias("rank"), (a + x["len"]).alias("end"), F.lit(kind).alias("kind"))
-        return F.struct((a + x["len"]).alias("at"), F.when(x["value"] >= LEAST_VALUE, F.concat(acc["spans"], F.array(own))).otherwise(acc["spans"]).cast(SPAN).alias("spans"))
+    def step(at, x):
+        a, z = at + x["gap"], at + x["gap"] + x["len"]
+        own = F.array(F.struct(a.alias("start"), F.lit(rank).alias("rank"), z.alias("end"), F.lit(kind).alias("kind")))
+        return z, F.when(F.length(F.regexp_extract(x["token"], pattern, 1)) >= LEAST_VALUE, own).otherwise(F.array().cast(SPAN)) if group else own
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), _running(_matches(text, pattern), F.lit(0), SPAN, step)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -106,50 +130,49 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
-def _with_part(parts: F.Column, whole: F.Column, a: F.Column, b: F.Column) -> F.Column:
-    """parts and whole's part from place a to b, if that is long enough."""
-    own = F.struct(a.alias("start"), b.alias("end"), whole["token"].substr(a - whole["start"] + 1, b - a).alias("token"))
-    return F.when(b - a >= LEAST, F.concat(parts, F.array(own))).otherwise(parts).cast(PART)
+def _part(start: F.Column, end: F.Column, token: F.Column) -> F.Column:
+    """A part as an array of one, if it is long enough."""
+    own = F.array(F.struct(start.alias("start"), end.alias("end"), token.alias("token"))).cast(PART)
+    return F.when(end - start >= LEAST, own).otherwise(F.array().cast(PART))
 
 
-def _outside(c: F.Column) -> F.Column:
+def _outside(c: F.Column, base: F.Column) -> F.Column:
     """Parts of a candidate that no base span holds."""
-    start = F.struct(c["start"].alias("at"), F.array().cast(PART).alias("parts"))
-
-    def step(acc, b):
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), _with_part(acc["parts"], c, acc["at"], b["start"]).alias("parts"))
-
-    over = F.filter("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
-    return F.aggregate(over, start, step, lambda acc: _with_part(acc["parts"], c, acc["at"], c["end"]))
+    part = lambda a, z: _part(a, z, c["token"].substr(a - c["start"] + 1, z - a))
+    over = F.filter(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+    last = F.struct(c["end"].alias("start"), c["end"].alias("end"))
+    ends = F.concat(F.transform(over, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))), F.array(last))
+    return F.when(F.size(over) > 0, _running(ends, c["start"], PART, lambda at, b: (F.greatest(at, b["end"]), part(at, b["start"])))).otherwise(F.array(c).cast(PART))
 
 
 def _between(c: F.Column, separator: str) -> F.Column:
     """Parts of a candidate between separators of one character; none where it has no separator."""
-    start = F.struct(c["start"].alias("at"), F.array().cast(PART).alias("parts"))
+    parts = _running(F.split(c["token"], separator, -1), c["start"], PART, lambda at, x: (at + F.length(x) + 1, _part(at, at + F.length(x), x)))
+    return F.when(c["token"].rlike(separator), parts).otherwise(F.array().cast(PART))
 
-    def step(acc, x):
-        end = acc["at"] + F.length(x)
-        return F.struct((end + 1).alias("at"), _with_part(acc["parts"], c, acc["at"], end).alias("parts"))
 
-    return F.when(c["token"].rlike(separator), F.aggregate(F.split(c["token"], separator, -1), start, step, lambda acc: acc["parts"])).otherwise(F.array().cast(PART))
+def _by_block(items: F.Column, each) -> F.Column:
+    """each(block) of an array's blocks, flattened."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
+    return F.flatten(F.transform(blocks, each))
 
 
 def markov_spans(docs: DataFrame, table: list[float], text: str = "text") -> DataFrame:
     """Adds ``added``, spans that the models call random, of what candidates have outside ``base``."""
     t = F.coalesce(F.col(text), F.lit(""))
     ratios = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")
-    matches = F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))
-    between = F.split(t, CANDIDATE, -1)
-    steps = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"), m.alias("token")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,token:string>>").alias("found"))
 
-    def step(acc, x):
-        a = acc["at"] + x["gap"]
-        own = F.struct(a.alias("start"), (a + x["len"]).alias("end"), x["token"].alias("token"))
-        return F.struct((a + x["len"]).alias("at"), F.concat(acc["found"], F.array(own)).cast("array<struct<start:int,end:int,token:string>>").alias("found"))
+    def place(at, x):
+        z = at + x["gap"] + x["len"]
+        return z, F.array(F.struct((at + x["gap"]).alias("start"), z.alias("end"), x["token"].alias("token"))).cast(PART)
+
+    placed = F.when(t.rlike(CANDIDATE), _running(_matches(t, CANDIDATE), F.lit(0), PART, place)).otherwise(F.array().cast(PART))
 
-    placed = F.when(t.rlike(CANDIDATE), F.aggregate(steps, start, step, lambda acc: acc["found"])).otherwise(F.array().cast("array<struct<start:int,end:int,token:string>>"))
-    free = F.flatten(F.transform("_placed", _outside))
+    def free(block):
+        first, last = block[0]["start"], F.element_at(block, -1)["end"]
+        near = F.filter("base", lambda b: (b["start"] < last) & (b["end"] > first))
+        # by way of an array, so that the filter runs once for the block
+        return F.flatten(F.transform(F.array(near), lambda base: F.flatten(F.transform(block, lambda c: _outside(c, base)))))
 
     def ratio(token):
         return F.aggregate(F.transform(_steps(token), lambda s: F.element_at(ratios, s + 1)), F.lit(0.0), lambda acc, v: acc + v) / F.greatest(F.length(token) - 1, F.lit(1))
@@ -158,7 +181,7 @@ def markov_spans(docs: DataFrame, table: list[float], text: str = "text") -> Dat
     by_name = lambda c: F.when(random(c), F.array(c)).otherwise(F.filter(_between(c, SEPARATORS[1]), random))
     # without "=" the part is the piece itself
     pieces = lambda c: F.when(c["token"].contains(SEPARATORS[0]), F.flatten(F.transform(_between(c, SEPARATORS[0]), by_name))).otherwise(F.filter(_between(c, SEPARATORS[1]), random))
-    hits = F.flatten(F.transform(free, lambda c: F.when(random(c), F.array(c)).otherwise(pieces(c))))
+    hits = F.flatten(F.transform(_by_block(F.col("_placed"), free), lambda c: F.when(random(c), F.array(c)).otherwise(pieces(c))))
     spans = F.transform(hits, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end"), F.lit("markov").alias("kind")))
     return docs.withColumn("_placed", placed).withColumn("added", F.when(F.size("_placed") > 0, spans).otherwise(F.array()).cast(SPAN)).drop("_placed")
 
@@ -185,14 +208,17 @@ def masked(docs: DataFrame, mask: str = "[SECRET]", table: list[float] | None =
     names = docs.columns
     table = table or train(labelled_samples(docs.select("doc_id", "text")))
     found = scan(docs.select(F.struct("*").alias("_row"), "text"), table).withColumn("_spans", F.array_sort(F.concat("base", "added")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # spans without what an earlier one holds, with the end of the one before
+    fresh = _running(F.col("_spans"), F.lit(0), "array<struct<from:int,to:int,end:int>>", lambda at, x: (F.greatest(at, x["end"]), F.when(x["start"] >= at, F.array(F.struct(at.alias("from"), x["start"].alias("to"), x["end"].alias("end")))).otherwise(F.array()).cast("array<struct<from:int,to:int,end:int>>")))
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def cut(block):
+        a = block[0]["from"]
+        own = F.col("text").substr(a + 1, F.element_at(block, -1)["to"] - a)  # the text is gone through once for a block
+        return F.flatten(F.transform(F.array(own), lambda part: F.transform(block, lambda x: F.concat(part.substr(x["from"] - a + 1, x["to"] - x["from"]), F.lit(mask)))))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
+    last = F.aggregate("_spans", F.lit(0), lambda acc, x: F.greatest(acc, x["end"]))
+    clean = F.concat(F.array_join(_by_block(F.col("_fresh"), cut), ""), F.col("text").substr(last + 1, F.length("text")))
+    found = found.withColumn("_fresh", fresh)
     some = F.size("_spans") > 0
     out = found.withColumn("_text", F.when(some, clean).otherwise(F.col("text")))
     cols = {"text": F.col("_text").alias("text")}

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -226,3 +227,74 @@ def test_secrets_beside_base_spans_and_in_long_runs(spark):
     assert [s.split(":")[0] for s in spans[5].split(",")] == ["markov", "hex", "markov"] and token not in clean[5]
     assert clean[6] == f"{path}[SECRET]" and key not in clean[7] and clean[7].endswith("=[SECRET]")
     assert clean[8] == path and spans[8] == ""
+
+
+def python_spans(text, table):
+    """What the scan does, by plain loops over one text."""
+    k = len(secrets.ALPHABET)
+    base = sorted((int(a), int(z)) for _, a, z in (x.split(":") for x in base_spans(text).split(",") if x))
+    random_ = lambda t: sum(round(table[secrets.ALPHABET.index(a) * k + secrets.ALPHABET.index(b)], 4) for a, b in zip(t, t[1:])) / max(1, len(t) - 1) > secrets.RATIO
+
+    def between(a, z, separator):
+        out, at = [], a
+        for x in re.split(separator, text[a:z]):
+            out += [(at, at + len(x))] if len(x) >= secrets.LEAST else []
+            at += len(x) + 1
+        return out if re.search(separator, text[a:z]) else []
+
+    hits = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        free, at = [], m.start()
+        for a, z in [b for b in base if b[0] < m.end() and b[1] > m.start()] + [(m.end(), m.end())]:
+            free += [(at, a)] if a - at >= secrets.LEAST else []
+            at = max(at, z)
+        for a, z in free:
+            if random_(text[a:z]):
+                hits.append((a, z))
+                continue
+            parts = between(a, z, "=") if "=" in text[a:z] else [(a, z)]
+            for b, y in parts:
+                hits += [(b, y)] if "=" in text[a:z] and random_(text[b:y]) else [p for p in between(b, y, "[/+=_-]") if random_(text[slice(*p)])]
+    return hits
+
+
+def test_markov_spans_match_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 3)  # several blocks in a text
+    random.seed(13)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    table = secrets.train(secrets.labelled_samples(docs))
+    token = lambda n: "".join(random.choice(secrets.ALPHABET[:62]) for _ in range(n))
+    parts = [lambda: token(random.randrange(5, 50)), lambda: "documentation", lambda: random.choice("/=+-_ "), lambda: " \U0001f600 ", lambda: f"token={token(12)}", lambda: "0a1b2c3d4e5f" * 3, lambda: f"AKIA{'ABCDEFGH' * 2}", lambda: "a" * 30]
+    texts = [*SECRETS, *("".join(random.choice(parts)() for _ in range(random.randrange(1, 60))) for _ in range(80))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.secret_report(rows, table).collect()}
+    clean = {r.doc_id: r.text for r in secrets.masked(rows, table=table).collect()}
+    for k, text in enumerate(texts):
+        text = text or ""
+        want = python_spans(text, table)
+        found = [x.split(":") for x in spans[k].split(",") if x]
+        assert [(int(a), int(z)) for kind, a, z in found if kind == "markov"] == want
+        assert ",".join(":".join(x) for x in found if x[0] != "markov") == base_spans(text)
+        out, at = "", 0
+        for a, z in [(int(a), int(z)) for _, a, z in found]:
+            out += text[at:a] + "[SECRET]" if a >= at else ""
+            at = max(at, z)
+        assert (clean[k] or "") == out + text[at:]
+
+
+def test_secrets_of_a_text_of_many_matches(spark):
+    line = "password: hunter22 then 0123456789abcdef0123456789abcdef and Zx9Qk2Lm8Rt4Vw7Yp3Ns6Bd1\n"
+    docs = spark.createDataFrame([(1, line * 4000)], "doc_id long, text string")
+    table = secrets.train(secrets.labelled_samples(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")))
+    began = time.time()
+    (row,) = secrets.secret_report(docs, table).collect()
+    assert (row.n_assign, row.n_hex, row.spans.count("markov")) == (4000, 4000, 4000)
+    (clean,) = secrets.masked(docs, table=table).collect()
+    assert clean.text == "[SECRET] then [SECRET] and [SECRET]\n" * 4000
+    assert time.time() - began < 120
+
+
+def test_samples_of_any_number_of_rows():
+    """Shares that would round to nothing still choose rows."""
+    assert langid.share_of(2000, 10**10) > 0 and langid.share_of(2000, 10**18) > 0
+    assert langid.share_of(2000, 1999) == langid.SHARES and abs(langid.share_of(2000, 10**10) / langid.SHARES - 2e-7) < 1e-12
