@@ -7,12 +7,15 @@ parameters and a last slash don't count), and pages that name each other by cano
 refresh redirects in their html, over any number of hops: connected components of those edges.  In a
 class an allowed member outweighs blocked ones; without either the verdict is allow.
 
-Edges that join a form to itself need no component; only edges between different forms are iterated.
+That urls of one form are aliases without any edge is this module's own choice: ``canonical_of`` is the
+place to change it.  Edges that join a form to itself need no component; only edges between different forms are iterated.
 Everything is DataFrame functions and joins; a url that holds a large share of all rows is dealt out
 by page_id.  The rules are a literal of checked size (``MOST_RULES``); larger sets are joined by host.
 
 Defined results: of a null url or one without ``://`` host and path are empty, no rule fits, and the
-verdict is allow; repeated rows are judged alike; an empty table gives no rows; other columns aren't read.
+verdict is allow; of a null html or a link that leads nowhere there is no edge; urls and pages of any length
+are read whole; all links of a page count, and ``.`` and ``..`` in them are resolved; repeated rows are judged
+alike; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -71,7 +74,20 @@ def absolute(url: F.Column, found: F.Column) -> F.Column:
     scheme = F.regexp_extract(url, r"^([^:/?#]*)://", 1)
     root = F.concat(scheme, F.lit("://"), F.regexp_extract(_rest(url), r"^[^/?#]*", 0))
     folder = F.concat(root, F.regexp_extract(path_of(url), r"^(.*/)?", 0))
-    return F.when(found.contains("://"), found).when(found.startswith("//"), F.concat(scheme, F.lit(":"), found)).when(found.startswith("/"), F.concat(root, found)).otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), found))
+    whole = F.when(found.contains("://"), found).when(found.startswith("//"), F.concat(scheme, F.lit(":"), found)).when(found.startswith("/"), F.concat(root, found)).otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), found))
+    return F.when(whole.rlike(r"/\.\.?(/|$|\?|#)"), _without_dots(whole)).otherwise(whole)
+
+
+def _without_dots(url: F.Column) -> F.Column:
+    """A url whose path has no ``.`` and ``..`` segments any more."""
+    none = F.array().cast("array<string>")
+    segments = F.split(F.regexp_replace(path_of(url), "^/", ""), "/")
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(segments, none, lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    # a path that ends in a dot segment ends in a slash
+    tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    front = F.regexp_extract(url, r"^[^:/?#]*://[^/?#]*", 0)
+    return F.concat(front, F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, tail).otherwise(F.lit("")), F.regexp_extract(_rest(url), r"^[^?#]*(.*)$", 1))
 
 
 def _by_literal(pages: DataFrame, rules) -> DataFrame:
@@ -92,7 +108,8 @@ def _by_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
     hit = urls.join(near, "suffix").where(F.col("path").startswith(F.col("rule_path")))
     rule = F.concat("suffix", "rule_path")
     best = hit.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("size"), (F.col("rule_verdict") == "allow").cast("int").alias("allow"), rule.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("decision"))
-    return pages.join(best, ["host", "path"], "left")
+    place = F.struct("host", "path").alias("place")
+    return salted_join(pages.withColumn("place", place), best.select(place, "decision"), "place", F.rand(1) if "page_id" not in pages.columns else F.col("page_id"), "left").drop("place")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -122,20 +139,36 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "spread", F.lit("allow")).alias("verdict"), "alias")
 
 
-#: The same for tables whose html has no canonical links or redirects between different forms.
+#: The same in SQL, but for ``.`` and ``..`` in the paths of links.
 SQL = r"""
-WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-p AS (SELECT page_id, rest, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+WITH RECURSIVE found AS (
+  SELECT url, regexp_replace(link, '&(amp|#0*38|#x0*26);', '&', 'gi') AS link FROM (SELECT DISTINCT url, unnest(list_concat(
+    regexp_extract_all(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical["'']?[^>]*?\bhref\s*=\s*["'']?([^"''>\s]+)', 1, 'i'),
+    regexp_extract_all(html, '<link\b[^>]*\bhref\s*=\s*["'']?([^"''>\s]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1, 'i'),
+    regexp_extract_all(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh["'']?[^>]*?\burl\s*=\s*["'']?([^"''>\s]+)', 1, 'i'),
+    regexp_extract_all(html, '<meta\b[^>]*\burl\s*=\s*["'']?([^"''>\s]+)["'']?[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b', 1, 'i'))) AS link
+    FROM pages WHERE url IS NOT NULL AND html IS NOT NULL)),
+parts AS (SELECT url, link, regexp_extract(url, '^([^:/?#]*)://', 1) AS scheme, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM found),
+rooted AS (SELECT url, link, scheme, scheme || '://' || regexp_extract(rest, '^[^/?#]*') AS root, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+led AS (SELECT url, CASE WHEN strpos(link, '://') > 0 THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN root || link
+  ELSE root || CASE WHEN strpos(path, '/') > 0 THEN regexp_extract(path, '^(.*/)', 1) ELSE '/' END || link END AS target FROM rooted),
+every AS (SELECT page_id, url, CAST(NULL AS VARCHAR) AS came FROM pages UNION ALL SELECT NULL, target, url FROM led),
+r AS (SELECT page_id, url, came, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM every),
+p AS (SELECT *, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '') AS query FROM r),
 q AS (SELECT *, array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_full_match(x, '(utm_[^=&]*|ref|fbclid|gclid)(=[^&]*)?')), '&') AS kept FROM p),
-d AS (SELECT page_id, host, path,
+d AS (SELECT page_id, url, came, host, path,
   CASE WHEN rest IS NOT NULL THEN regexp_replace(host, '^(www\.|m\.)+([^.]+\.)', '\2') || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS alias,
   CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
        WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM q),
 v AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled FROM d),
-f AS (SELECT alias, bool_or(ruled = 'allow') AS allow FROM v WHERE ruled IS NOT NULL GROUP BY alias)
+edges AS (SELECT DISTINCT a.alias AS u, b.alias AS w FROM v b JOIN v a ON b.came = a.url WHERE b.came IS NOT NULL AND a.alias IS NOT NULL AND b.alias IS NOT NULL AND a.alias <> b.alias),
+both_ways AS (SELECT u, w FROM edges UNION SELECT w, u FROM edges),
+reached AS (SELECT u AS node, u AS root FROM both_ways UNION SELECT b.w, x.root FROM reached x JOIN both_ways b ON b.u = x.node),
+roots AS (SELECT node, min(root) AS root FROM reached GROUP BY node),
+f AS (SELECT coalesce(roots.root, v.alias) AS root, bool_or(v.ruled = 'allow') AS allow FROM v LEFT JOIN roots ON roots.node = v.alias WHERE v.ruled IS NOT NULL AND v.alias IS NOT NULL GROUP BY 1)
 SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.ruled, CASE WHEN NOT f.allow THEN 'block' END, 'allow') AS verdict, v.alias
-FROM v LEFT JOIN f ON v.alias = f.alias
+FROM v LEFT JOIN roots ON roots.node = v.alias LEFT JOIN f ON f.root = coalesce(roots.root, v.alias) WHERE v.came IS NULL
 """

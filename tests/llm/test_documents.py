@@ -353,13 +353,40 @@ def test_url_filter_follows_every_link_of_a_page(spark):
     assert got == {k: "block" if k < 7 else "allow" for k in range(1, 9)}
 
 
+def test_url_filter_matches_its_sql_on_pages_with_links(spark):
+    import duckdb
+
+    random.seed(14)
+    urls = [f"http{random.choice(['', 's'])}://{random.choice(['', 'www.', 'm.'])}{h}.{t}/{p}{q}" for h in ("a", "b", "example") for t in ("com", "net", "org") for p in ("", "fr/1", "de/2", "en/3") for q in ("", "?ref=1", "?x=1&y=2", "/")]
+    rows = []
+    for k, url in enumerate(urls):
+        target = random.choice(urls).replace("&", random.choice(["&", "&amp;"]))
+        html = random.choice([None, "no link"]) if k % 3 else random.choice(["<link rel='canonical' href='{}'>", '<LINK href="{}" rel=canonical>', '<meta http-equiv="refresh" content="0; URL={}">', '<meta content="0;url={}" http-equiv=refresh>']).format(random.choice([target, target, "/fr/9", "next", "//c.net/"]))
+        rows.append((k, url, html))
+    rows += [(1000, None, None), (1001, "nothing", "<link rel=canonical href=/x>"), (3, *rows[3][1:])]
+    got = Counter(tuple(r) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "host", "path", "rule", "verdict", "alias").collect())
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = Counter(db.execute(url_filter.SQL).fetchall())
+    assert got == want and len({r[4] for r in want if r[3] is None}) == 2
+
+
+def test_url_filter_resolves_dots(spark):
+    rows = [(1, "https://a.com/x/y/z", "<link rel=canonical href='../../b'>"), (2, "https://a.com/b", "<link rel=canonical href='./../../c?q=1'>"), (3, "https://a.com/c?q=1", "<link rel=canonical href='https://x.net/1/../2'>"), (4, "https://a.com/d", None)]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 def test_chats(spark):
     calls = spark.createDataFrame(
         [("c", "1", 0, "ask", '{"turn": 1, "text": "a\\"b"}', None), ("c", "2", 1, "ask", '{"text": 5}', "1"), ("c", "3", 2, "ask", "{bad", "2"), ("c", "4", 3, "other", "{}", "9"), ("c", "5", 4, "ask", '{"text":"é","turn":2,"x":{"b":1,"a":[2]}}', "6"), ("c", "6", 5, "ask", None, "5"), ("c", "1", 9, "ask", "{}", None), (None, "7", 1, "ask", "{}", None)],
         "conv_id string, call_id string, turn long, name string, arguments string, after string",
     )
     results = spark.createDataFrame([("c", "1", 1, "r1"), ("c", "1", 7, "late"), ("c", "2", 1, None), ("d", "3", 1, "x")], "conv_id string, call_id string, turn long, content string")
-    got = {r.call_id: r for r in chat.link_calls(calls, results).collect()}
+    found = chat.link_calls(calls, results).collect()
+    assert sorted((r.conv_id, r.call_id, r.errors, r.json) for r in found if r.level is None) == [("c", "1", "repeated_result", '{"call_id":"1","result":"late"}'), ("d", "3", "no_call", '{"call_id":"3","result":"x"}')]
+    got = {r.call_id: r for r in found if r.level is not None}
     assert len(got) == 6
     assert got["1"].json == '{"arguments":{"text":"a\\"b","turn":1},"call_id":"1","level":0,"name":"ask","result":"r1"}' and got["1"].errors == ""
     assert got["2"].errors == "type:text,missing:turn,result_before_call" and got["2"].level == 1 and json.loads(got["2"].json)["result"] is None
@@ -379,6 +406,40 @@ def test_chat_tables(spark):
     assert chat.canonical_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def brute_chats(rows):
+    """(call_id, level, turn, name, linked, errors, result) of rows of plain turns."""
+    rows = sorted({(str(c), t, r, x) for c, t, r, x in rows if c is not None and t is not None}, key=lambda x: (x[0], x[1], x[2] or "", x[3] is not None, x[3] or ""))
+    calls, results, out = {}, {}, []
+    for c, t, r, x in rows:
+        before = [u for d, u, role, _ in rows if d == c and u < t and role in ("user", "system")]
+        last = f"{c}:{max(before)}" if before else None
+        if r in ("user", "system"):
+            calls[f"{c}:{t}" if f"{c}:{t}" not in calls else f"{c}:{t}:{len(calls)}"] = (t, r, x, last)
+        else:
+            own = results.setdefault(last if r == "assistant" and last else f"{c}:{t}:result", [])
+            own += [(t, x)] if (t, x) not in own else []  # results that agree in turn and text are one
+    for k, (t, r, x, last) in calls.items():
+        level, up = 0, last
+        while up:
+            level, up = level + 1, calls[up][3]
+        first = min(results.get(k, []), key=lambda z: (z[0], z[1] is not None, z[1] or ""), default=None)
+        errors = [*(["type:text"] if x is None else []), *([] if first else ["no_result"])]
+        out.append((":".join(k.split(":")[:2]), level, t, "ask" if r == "user" else "configure", first is not None, ",".join(errors), first[1] if first else None))
+    for k, found in results.items():
+        found.sort(key=lambda z: (z[0], z[1] is not None, z[1] or ""))
+        out += [(":".join(k.split(":")[:2]), None, t, None, False, "repeated_result" if k in calls else "no_call", x) for t, x in (found[1:] if k in calls else found)]
+    return Counter(out)
+
+
+def test_chats_match_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(chat, "STRETCH", 4)  # several stretches in a chat
+    random.seed(15)
+    rows = [(random.randrange(6), random.choice([None, *range(25)]), random.choice(["user", "assistant", "system", "user", "assistant", "critic", None]), random.choice([None, "a", "b", 'say "c"'])) for _ in range(260)]
+    found = chat.canonical_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = Counter((":".join(r.call_id.split(":")[:2]), r.level, r.turn, r.name, r.linked, r.errors, json.loads(r.json)["result"]) for r in found)
+    assert got == brute_chats(rows)
+
+
 def test_long_chains_and_hot_conversations(spark):
     calls = spark.range(600).selectExpr("'c' AS conv_id", "cast(id AS string) AS call_id", "id AS turn", "'ask' AS name", "'{}' AS arguments", "cast(id - 1 AS string) AS after")
     assert {r.call_id: r.level for r in chat.levels(calls).collect()} == {str(k): k for k in range(600)}
