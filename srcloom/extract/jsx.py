@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from srcloom.functions.identity import entity_id, relationship_id, tokens
 
-_VALUE = r"""(?:"[^"]*"|'[^']*'|\{(?:[^{}]|\{[^{}]*\})*\})"""
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\})"""
 TAG = rf"(?<![\w.)])</?[A-Za-z][\w.]*(?:\s+(?:[\w:-]+(?:\s*=\s*{_VALUE})?|\{{\.\.\.[^}}]*\}}))*\s*/?>"
 ATTRIBUTE = rf"(?:^|\s)([\w:-]+)(?:\s*=\s*({_VALUE}))?(?=\s|/|>|$)"
 

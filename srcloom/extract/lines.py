@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcloom.extract.lexer import LINES, lines
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -27,35 +29,27 @@ class Rule:
     where: str = "true"
 
 
-def code_lines(files: DataFrame, comment: str = "//", group: str = r"^\s*(import|type|const|var)\s*\(") -> DataFrame:
-    """(path, line, text, clean, before, after, low, group) of files (path, content).
+def code_lines(files: DataFrame, group: str = r"^\s*(import|type|const|var)\s*\(") -> DataFrame:
+    """(path, line, text, clean, params, before, after, low, group) of files (path, content).
 
-    before and after: open braces at either end of the line; low: the least depth in it; group: the word
-    of the parenthesis that the line stands in.
+    text and clean: the logical line, with and without strings and comments; params: what stands in its first
+    parenthesis; before and after: open braces at either end of the line; low: the least depth in it; group:
+    the word of the parenthesis that the line stands in.
     """
     by_file = Window.partitionBy("path").orderBy("line")
     upto, earlier = by_file.rowsBetween(Window.unboundedPreceding, 0), by_file.rowsBetween(Window.unboundedPreceding, -1)
-    rows = files.select("path", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("line", "text")).withColumn("line", F.col("line") + 1)
-    plain = F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"', '""')
-    plain = F.regexp_replace(plain, r"'(?:[^'\\]|\\.)*'", "''")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"/\*.*?\*/", " "), rf"{comment}.*$", "")
-    rows = rows.withColumn("plain", plain)
-    starts, ends = F.instr("plain", "/*") > 0, F.instr("text", "*/") > 0
-    mark = F.when(starts, F.lit("in")).when(ends, F.lit("out"))
-    rows = rows.withColumn("inside", F.coalesce(F.last(mark, True).over(earlier) == "in", F.lit(False)))
-    clean = F.when(F.col("inside"), F.when(ends, F.regexp_extract("plain", r"\*/(.*)$", 1)).otherwise("")).otherwise(F.regexp_replace("plain", r"/\*.*$", ""))
-    rows = rows.withColumn("clean", clean)
+    rows = files.select("path", "content").mapInArrow(lines, LINES)
     count = lambda c, x: F.length(c) - F.length(F.translate(c, x, ""))
     net = count(F.col("clean"), "{") - count(F.col("clean"), "}")
     leading = count(F.regexp_extract("clean", r"^[^{]*", 0), "}")
     rows = rows.withColumn("after", F.sum(net).over(upto)).withColumn("before", F.col("after") - net).withColumn("low", F.least("after", F.col("before") - leading))
     word = F.when(F.regexp_extract("clean", group, 1) != "", F.regexp_extract("clean", group, 1)).when(F.col("clean").rlike(r"^\s*\)"), "-")
     rows = rows.withColumn("group", F.last(word, True).over(earlier))
-    return rows.select("path", "line", "text", "clean", F.col("before").cast("int").alias("before"), F.col("after").cast("int").alias("after"), F.col("low").cast("int").alias("low"), F.when(F.col("group") != "-", F.col("group")).alias("group"))
+    return rows.select("path", "line", "text", "clean", "params", F.col("before").cast("int").alias("before"), F.col("after").cast("int").alias("after"), F.col("low").cast("int").alias("low"), F.when(F.col("group") != "-", F.col("group")).alias("group"))
 
 
-def declarations(lines: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(path, line, endLine, kind, name, extra, depth, ownerKind, ownerName, ownerLine, text).
+def declarations(rows_of_lines: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(path, line, endLine, kind, name, extra, header, params, depth, ownerKind, ownerName, ownerLine).
 
     Of several rules the first decides.  The owner is the innermost block that a declaration opened and
     the line stands in; null at the top and in blocks that nothing declared.
@@ -63,10 +57,10 @@ def declarations(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     decl = None
     for r in rules:
         on = "text" if r.raw else "clean"
-        found = F.struct(F.lit(r.kind).alias("kind"), F.regexp_extract(on, r.pattern, r.name).alias("name"), (F.regexp_extract(on, r.pattern, r.extra) if r.extra else F.lit(None).cast("string")).alias("extra"), F.lit(r.opens).alias("opens"), F.lit(r.body).alias("body"))
+        found = F.struct(F.lit(r.kind).alias("kind"), F.regexp_extract(on, r.pattern, r.name).alias("name"), (F.regexp_extract(on, r.pattern, r.extra) if r.extra else F.lit(None).cast("string")).alias("extra"), F.lit(r.opens).alias("opens"), F.lit(r.body).alias("body"), F.col("clean").alias("header"), F.col("params").alias("params"))
         fits = F.col(on).rlike(r.pattern) & F.expr(r.where) & (F.col("clean") != "")
         decl = F.when(fits, found) if decl is None else decl.when(fits, found)
-    rows = lines.withColumn("decl", decl)
+    rows = rows_of_lines.withColumn("decl", decl)
     # a line of one brace opens what the line before declared
     opening = F.col("decl.opens") | F.col("decl.body") | (F.col("clean").contains("{") & ~F.col("clean").rlike(r"^\s*\{\s*$"))
     scope = F.struct(F.col("decl.kind").alias("kind"), F.col("decl.name").alias("name"), F.col("line").alias("line"))
@@ -79,4 +73,17 @@ def declarations(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     every = own.unionByName(opens).unionByName(closes).unionByName(same)
     every = every.withColumn("owner", F.last("scope", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("end", F.first("closed", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
     end = F.when(F.col("text").isNotNull() & (F.col("decl.opens") | F.col("decl.body")), F.coalesce("end", "line")).otherwise(F.col("line"))
-    return every.where("role = 0").select("path", "line", end.cast("int").alias("endLine"), "decl.kind", "decl.name", "decl.extra", "depth", F.when(F.col("depth") > 0, F.col("owner.kind")).alias("ownerKind"), F.when(F.col("depth") > 0, F.col("owner.name")).alias("ownerName"), F.when(F.col("depth") > 0, F.col("owner.line")).alias("ownerLine"))
+    return every.where("role = 0").select("path", "line", end.cast("int").alias("endLine"), "decl.kind", "decl.name", "decl.extra", "decl.header", "decl.params", "depth", F.when(F.col("depth") > 0, F.col("owner.kind")).alias("ownerKind"), F.when(F.col("depth") > 0, F.col("owner.name")).alias("ownerName"), F.when(F.col("depth") > 0, F.col("owner.line")).alias("ownerLine"))
+
+
+def declarators(rows: DataFrame, kinds: list[str], typed: bool = False) -> DataFrame:
+    """A row for each name that a declaration of one of ``kinds`` declares (``int a, b = f(1, 2);``).
+    typed: names have types behind a colon."""
+    flat = F.col("header")
+    for _ in range(6):  # nested brackets, from the inside
+        flat = F.regexp_replace(flat, r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>", "")
+    flat = F.regexp_replace(F.regexp_replace(flat, r";.*$", ""), r"=[^,]*", "")
+    flat = F.regexp_replace(flat, r":[^,]*", "") if typed else flat
+    more = F.transform(F.slice(F.split(flat, ","), 2, 1_000_000), lambda x: F.regexp_extract(x, r"^\s*[*&]*([\w$]+)", 1))
+    names = F.concat(F.array("name"), F.filter(more, lambda x: x != ""))
+    return rows.withColumn("name", F.explode(F.when(F.col("kind").isin(*kinds), names).otherwise(F.array("name"))))

@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.extract import rules
-from srcloom.extract.lines import code_lines, declarations
+from srcloom.extract.lines import code_lines, declarations, declarators
 from srcloom.functions.identity import basename, entity_id, relationship_id
 from srcloom.sources.files import language_of, parser_of
 
 NODE = ("entityId", "kind", "name", "filePath", "startLine", "endLine", "loc", "language", "parentId", "extra")
+#: What some kinds have besides; null elsewhere.
+MORE = {
+    "type": "string", "returnType": "string", "visibility": "string", "isExported": "boolean", "isDefaultExport": "boolean", "isAbstract": "boolean", "isAsync": "boolean", "isStatic": "boolean",
+    "isOptional": "boolean", "isRestParameter": "boolean", "isConstant": "boolean", "isEnum": "boolean", "modifierFlags": "array<string>", "createdAt": "string",
+}
 REL = ("entityId", "type", "sourceId", "targetId", "weight")
 
 
@@ -77,7 +82,7 @@ def go(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def java(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Packages, imports, types, methods, constructors, fields; members belong to the type they stand in."""
     rows = _first_in_file(declarations(code_lines(files), rules.JAVA), "PackageDeclaration", "package")
-    rows = rows.where("kind <> 'JavaConstructor' OR name = ownerName").where("kind NOT IN ('JavaMethod', 'JavaField', 'JavaConstructor') OR ownerKind IN ('JavaClass', 'JavaInterface', 'JavaEnum')")
+    rows = declarators(rows, ["JavaField"]).where("kind <> 'JavaConstructor' OR name = ownerName").where("kind NOT IN ('JavaMethod', 'JavaField', 'JavaConstructor') OR ownerKind IN ('JavaClass', 'JavaInterface', 'JavaEnum')")
     rows = rows.withColumns({"kind": F.regexp_replace("kind", "JavaConstructor", "JavaMethod")})
     owner = entity_id(F.col("ownerKind"), F.concat_ws(".", "package", "ownerName"))
     full, member = F.concat_ws(".", "package", "name"), F.concat_ws(".", owner, F.col("name"))
@@ -102,6 +107,7 @@ def csharp(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     full, member = F.concat_ws(".", "namespace", "name"), F.concat_ws(".", owner, F.col("name"))
     ids = {"NamespaceDeclaration": _in_file("namespacedeclaration"), "UsingDirective": _at_line("usingdirective"), "CSharpMethod": entity_id("csharpmethod", member), "Property": entity_id("property", member), "Field": entity_id("field", member)} | {k: entity_id(k, full) for k in types}
     above = F.when(F.col("namespace").isNotNull(), space).otherwise(file_id(F.col("path")))
+    rows = declarators(rows, ["Field"])
     return _finish(
         rows, files, ids,
         {"NamespaceDeclaration": "DECLARES_NAMESPACE", "UsingDirective": "CSHARP_USING", "CSharpClass": "DEFINES_CLASS", "CSharpInterface": "DEFINES_INTERFACE", "CSharpStruct": "DEFINES_STRUCT", "CSharpMethod": "HAS_METHOD", "Property": "HAS_PROPERTY", "Field": "HAS_FIELD"},
@@ -124,19 +130,61 @@ def c_cpp(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def typescript(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Imports, functions, classes, methods, interfaces, types, variables."""
+    """Imports, functions, classes, methods, interfaces, types, variables, parameters.
+
+    Kinds have the columns of MORE beside those of NODE, as far as the header says them.
+    """
     rows = declarations(code_lines(files), rules.TYPESCRIPT)
     rows = rows.where("kind <> 'Method' OR ownerKind = 'Class'").where("kind <> 'Signature' OR ownerKind = 'Interface'").withColumn("kind", F.regexp_replace("kind", "Signature", "Method"))
+    rows = declarators(rows, ["Variable"], typed=True)
     owner = entity_id(F.col("ownerKind"), F.concat_ws(":", "path", "ownerName"))
     ids = {"Import": _at_line("import"), "Function": _at_line("function"), "Variable": _at_line("variable"), "Class": _in_file("class"), "Interface": _in_file("interface"), "TypeAlias": _in_file("typealias"), "Method": entity_id("method", F.concat(F.col("path"), F.lit(":"), F.col("ownerName"), F.lit("."), F.col("name")))}
-    return _finish(rows, files, ids, {"Import": "IMPORTS", "Method": "HAS_METHOD"}, {"Import": 1, "Method": 10}, {"Import": file_id(F.col("path")), "Method": owner}, F.when(F.col("kind") == "Method", owner))
+    nodes, rels = _finish(rows, files, ids, {"Import": "IMPORTS", "Method": "HAS_METHOD"}, {"Import": 1, "Method": 10}, {"Import": file_id(F.col("path")), "Method": owner}, F.when(F.col("kind") == "Method", owner))
+    head = rows.withColumn("entityId", _choose(F.col("kind"), ids))
+    word = lambda x: F.col("header").rlike(rf"^[^=(\{{]*\b{x}\b")
+    code, member = F.col("kind").isin("Function", "Method"), F.col("kind") == "Method"
+    words = F.regexp_extract_all(F.regexp_extract("header", r"^\s*((?:(?:export|default|declare|abstract|public|private|protected|static|async|readonly|override|const|let|var)\s+)*)", 1), F.lit(r"\w+"), F.lit(0))
+    flags = head.select(
+        "entityId", F.when(code, F.nullif(F.trim(F.regexp_extract("header", r"\)\s*:\s*([^{;=]+?)\s*(?:\{|;|=>|$)", 1)), F.lit(""))).alias("returnType"),
+        F.when(member, F.coalesce(F.nullif(F.regexp_extract("header", r"^\s*(?:\w+\s+)*?(public|private|protected)\b", 1), F.lit("")), F.lit("public"))).alias("visibility"),
+        F.when(F.col("kind").isin("Function", "Class", "Interface", "TypeAlias", "Variable"), F.col("header").rlike(r"^\s*export\b")).alias("isExported"), F.when(F.col("kind").isin("Function", "Class", "Interface"), F.col("header").rlike(r"^\s*export\s+default\b")).alias("isDefaultExport"),
+        F.when(F.col("kind") == "Class", word("abstract")).alias("isAbstract"), F.when(code, F.col("header").rlike(r"(?:^[^=({]*|=\s*)\basync\b")).alias("isAsync"), F.when(member, word("static")).alias("isStatic"),
+        F.when(F.col("kind") == "Variable", F.col("extra") == "const").alias("isConstant"), F.when(F.col("kind") == "TypeAlias", F.col("extra") == "enum").alias("isEnum"), F.when(F.col("kind") != "Import", words).alias("modifierFlags"),
+    )
+    nodes = nodes.join(flags.dropDuplicates(["entityId"]), "entityId", "left")
+    own = head.where(code).select("path", "line", "name", F.col("entityId").alias("parent"), F.posexplode("params").alias("place", "p")).withColumn("p", F.regexp_replace("p", r"^(?:(?:public|private|protected|readonly|override)\s+|@\w+(?:\([^)]*\))?\s*)+", ""))
+    named = F.regexp_extract("p", r"^(?:\.\.\.)?\s*(\{[^}]*\}|\[[^\]]*\]|[\w$]+)", 1)
+    params = own.select(
+        entity_id("parameter", F.concat_ws(":", "parent", named)).alias("entityId"), F.lit("Parameter").alias("kind"), named.alias("name"), F.col("path").alias("filePath"), F.col("line").alias("startLine"), F.col("line").alias("endLine"), F.lit(1).alias("loc"), language_of(F.col("path")).alias("language"),
+        F.col("parent").alias("parentId"), F.nullif(F.trim(F.regexp_extract("p", r"^(?:\.\.\.)?\s*(?:\{[^}]*\}|\[[^\]]*\]|[\w$]+)\??\s*:\s*((?:[^=]|=>)+)", 1)), F.lit("")).alias("type"),
+        (F.col("p").rlike(r"^(?:\{[^}]*\}|\[[^\]]*\]|[\w$]+)\?") | F.col("p").rlike(r"[^=]=(?![>=])")).alias("isOptional"), F.col("p").startswith("...").alias("isRestParameter"), "place",
+    ).where("name <> ''")
+    first = params.groupBy("entityId").agg(F.min_by(F.struct(*(c for c in params.columns if c not in ("entityId", "place"))), "place").alias("x")).select("entityId", "x.*")
+    rels = rels.unionByName(_rels(first.select(F.lit("HAS_PARAMETER").alias("relType"), F.col("parentId").alias("relSource"), "entityId", F.lit(8).alias("weight"))))
+    return nodes.unionByName(first, allowMissingColumns=True), rels
+
+
+def exports(nodes: DataFrame) -> DataFrame:
+    """EXPORTS from a file to each top-level declaration that it exports, the default export among them."""
+    rows = nodes.where("isExported AND kind IN ('Function', 'Class', 'Interface', 'TypeAlias', 'Variable')")
+    return rows.select(F.lit("EXPORTS").alias("relType"), file_id(F.col("filePath")).alias("relSource"), "entityId", F.lit(8).alias("weight")).transform(_rels)
+
+
+def typescript_with_jsx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``typescript`` finds, exports, and the elements of .tsx and .jsx files."""
+    from srcloom.extract.jsx import jsx
+
+    nodes, rels = typescript(files)
+    more, links = jsx(files.where(F.lower("path").rlike(r"\.[tj]sx$")))
+    return nodes.unionByName(more, allowMissingColumns=True), rels.unionByName(exports(nodes)).unionByName(links)
 
 
-EXTRACTORS = {"go": go, "java": java, "csharp": csharp, "c_cpp": c_cpp, "typescript": typescript}
+EXTRACTORS = {"go": go, "java": java, "csharp": csharp, "c_cpp": c_cpp, "typescript": typescript_with_jsx}
 
 
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and relationships of files (path, content) of all languages, each id once."""
+    """Nodes and relationships of files (path, content) of all languages, each id once; createdAt is the time of
+    the run."""
     from srcloom.extract.python_source import python
     from srcloom.extract.sql_source import sql
     from srcloom.operators.dedup import last_wins
@@ -145,6 +193,9 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = rels = None
     for name, f in (EXTRACTORS | {"python": python, "sql": sql}).items():
         n, r = f(files.where(F.col("parser") == name).select("path", "content"))
-        n, r = n.select(*NODE), r.select(*REL)
+        have = dict(n.dtypes)
+        n = n.select(*(F.col(c) if c in have else F.lit(None).cast("int" if c in ("endLine", "loc") else "string").alias(c) for c in NODE), *(F.col(c) if c in have else F.lit(None).cast(kind).alias(c) for c, kind in MORE.items()))
+        r = r.select(*REL)
         nodes, rels = (n, r) if nodes is None else (nodes.unionByName(n), rels.unionByName(r))
+    nodes = nodes.withColumn("createdAt", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     return last_wins(nodes, ["entityId"], ["filePath", "startLine", "kind"]), last_wins(rels, ["entityId"], ["type", "sourceId", "targetId"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcloom.extract.lexer import STATEMENTS, statements
 from srcloom.extract.sources import file_id, file_nodes
 from srcloom.functions.identity import entity_id, relationship_id, schema_and_name
 
@@ -18,13 +19,10 @@ VERBS = {"select": "SQLSelectStatement", "with": "SQLSelectStatement", "insert":
 def sql(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Statements end with a semicolon; one in a string or a comment doesn't count, comments are dropped."""
     path = F.col("path")
-    # what hides a semicolon becomes as many other characters, so that places stay
-    hidden = F.regexp_replace("content", r"--[^\n]*", "")
-    parts = files.select("path", F.posexplode(F.split(hidden, r";(?=(?:[^']*'[^']*')*[^']*$)")).alias("n", "text"), hidden.alias("all"))
-    before = F.array_join(F.slice(F.split("all", r";(?=(?:[^']*'[^']*')*[^']*$)"), F.lit(1), F.col("n")), ";")
+    parts = files.select("path", "content").mapInArrow(statements, STATEMENTS)
     lead = F.regexp_extract("text", r"^\s*", 0)
     lines = lambda c: F.length(c) - F.length(F.translate(c, "\n", ""))
-    rows = parts.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").withColumns({"line": (lines(before) + lines(lead) + 1).cast("int"), "body": F.trim(F.regexp_replace("text", r"\s+", " "))})
+    rows = parts.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").withColumns({"line": (F.col("above") + lines(lead) + 1).cast("int"), "body": F.trim(F.regexp_replace("text", r"\s+", " "))})
     rows = rows.withColumn("endLine", (F.col("line") + lines(F.regexp_replace("text", r"^\s+|\s+$", ""))).cast("int"))
     verb = F.lower(F.regexp_extract("body", r"^(\w+)", 1))
     statement = None

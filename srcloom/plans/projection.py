@@ -39,10 +39,16 @@ def _rels(rows: DataFrame, kind: str, source: Column, target: Column, weight: in
 
 
 def rels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relationships of four types: regions' nations, nations' customers and suppliers, customers' orders."""
+    """Relationships of six types: regions' nations, nations' customers and suppliers, customers' orders, the
+    parts of orders and of suppliers; one for each pair."""
     region, nation, customer, supplier, orders = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier", "orders"))
     a = _rels(nation.join(region, nation.n_regionkey == region.r_regionkey), "CONTAINS", entity_id("Region", F.col("r_name")), entity_id("Nation", F.col("n_name")), 1)
     b = _rels(customer.join(nation, customer.c_nationkey == nation.n_nationkey), "HAS_CUSTOMER", entity_id("Nation", F.col("n_name")), entity_id("Customer", F.col("c_name")), 5)
     c = _rels(supplier.join(nation, supplier.s_nationkey == nation.n_nationkey), "HAS_SUPPLIER", entity_id("Nation", F.col("n_name")), entity_id("Supplier", F.col("s_name")), 5)
     d = _rels(orders.join(customer, orders.o_custkey == customer.c_custkey), "PLACED", entity_id("Customer", F.col("c_name")), entity_id("Order", F.col("o_orderkey").cast("string")), 9)
-    return a.unionByName(b).unionByName(c).unionByName(d)
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    lines = line.select("l_orderkey", "l_partkey", "l_suppkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    e = _rels(lines.select("l_orderkey", "p_name").distinct(), "INCLUDES_PART", entity_id("Order", F.col("l_orderkey").cast("string")), entity_id("Part", F.col("p_name")), 7).distinct()
+    s = lines.select("l_suppkey", "p_name").distinct().join(supplier, F.col("l_suppkey") == supplier.s_suppkey)
+    f = _rels(s, "SUPPLIES", entity_id("Supplier", F.col("s_name")), entity_id("Part", F.col("p_name")), 6).distinct()
+    return a.unionByName(b).unionByName(c).unionByName(d).unionByName(e).unionByName(f)

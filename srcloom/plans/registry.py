@@ -46,6 +46,8 @@ _PAIRS = (
     ("HAS_CUSTOMER", eid("Nation", "n_name"), eid("Customer", "c_name"), 5, "customer JOIN nation ON c_nationkey = n_nationkey"),
     ("HAS_SUPPLIER", eid("Nation", "n_name"), eid("Supplier", "s_name"), 5, "supplier JOIN nation ON s_nationkey = n_nationkey"),
     ("PLACED", eid("Customer", "c_name"), eid("Order", "CAST(o_orderkey AS VARCHAR)"), 9, "orders JOIN customer ON o_custkey = c_custkey"),
+    ("INCLUDES_PART", eid("Order", "CAST(l_orderkey AS VARCHAR)"), eid("Part", "p_name"), 7, "(SELECT DISTINCT l_orderkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey)"),
+    ("SUPPLIES", eid("Supplier", "s_name"), eid("Part", "p_name"), 6, "(SELECT DISTINCT s_name, p_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"),
 )
 RELS = "rels AS (" + " UNION ALL ".join(f"SELECT {rid(k, f'({a})', f'({b})')} AS entityId, '{k}' AS type, {a} AS sourceId, {b} AS targetId, {w} AS weight FROM {t}" for k, a, b, w, t in _PAIRS) + ")"
 
@@ -343,9 +345,9 @@ def degree_topk(spark, sf):
     return graph.top_degrees(P.rels(spark, sf), P.nodes(spark, sf), 5)
 
 
-@query("WITH e AS (SELECT DISTINCT 'n' || a AS s, 'n' || b AS t FROM (SELECT user_id % 40 AS a, CAST(floor(value) AS BIGINT) % 40 AS b FROM events) WHERE a <> b) SELECT x.s AS n0, y.s AS n1, z.s AS n2 FROM e x JOIN e y ON x.t = y.s JOIN e z ON y.t = z.s AND z.t = x.s WHERE x.s < y.s AND x.s < z.s AND y.s <> z.s")
+@query("WITH e AS (SELECT DISTINCT 'n' || a AS s, 'n' || b AS t FROM (SELECT user_id AS a, CAST(floor(value) AS BIGINT) AS b FROM events) WHERE a <> b) SELECT x.s AS n0, y.s AS n1, z.s AS n2 FROM e x JOIN e y ON x.t = y.s JOIN e z ON y.t = z.s AND z.t = x.s WHERE x.s < y.s AND x.s < z.s AND y.s <> z.s")
 def import_cycles(spark, sf):
-    n = lambda c: F.concat(F.lit("n"), (c % 40).cast("string"))
+    n = lambda c: F.concat(F.lit("n"), c.cast("string"))
     e = table(spark, sf, "events").select(n(F.col("user_id")).alias("sourceId"), n(F.floor("value")).alias("targetId"))
     return graph.cycles(e, 3)
 

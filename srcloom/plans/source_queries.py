@@ -1,5 +1,6 @@
-"""Queries on source code.  The driver's tables hold none, so these read small snippets; the SQL lists the
-rows that the rules give, derived by hand."""
+"""Queries on source code.  The driver's tables hold none, so some read small snippets, whose SQL lists the
+rows that the rules give, derived by hand; others read a source file made of each row of a table, and the SQL
+derives what is in it from the same row."""
 
 from __future__ import annotations
 
@@ -193,6 +194,10 @@ IMPORTS|file:/s/a.ts|import:/s/a.ts:lib:3|1|
 HAS_METHOD|class:/s/a.ts:k|method:/s/a.ts:k.load|10|
 HAS_METHOD|class:/s/a.ts:k|method:/s/a.ts:k.step|10|
 HAS_METHOD|interface:/s/a.ts:i|method:/s/a.ts:i.size|10|
+Parameter|parameter:function:/s/a.ts:run:6:n|n|6|6
+Parameter|parameter:method:/s/a.ts:k.load:a|a|13|13
+HAS_PARAMETER|function:/s/a.ts:run:6|parameter:function:/s/a.ts:run:6:n|8|
+HAS_PARAMETER|method:/s/a.ts:k.load|parameter:method:/s/a.ts:k.load:a|8|
 """)
 def ts_extract(spark, sf):
     return _graph(sources.typescript(_files(spark, ("/s/a.ts", TS_A))))
@@ -250,3 +255,98 @@ def jsx_extract(spark, sf):
     nodes, rels = jsx_.jsx(_files(spark, ("/s/a.tsx", JSX)))
     a = nodes.select(F.col("kind").alias("what"), F.col("entityId").alias("a"), F.col("name").alias("b"), F.col("startLine").cast("string").alias("c"))
     return a.unionByName(rels.select(F.col("type").alias("what"), F.col("sourceId").alias("a"), F.col("targetId").alias("b"), F.col("weight").cast("string").alias("c")))
+
+
+#: A source file for each row: what the braces, quotes and comments in it hide must not count.
+_JAVA_OF_PART = """package shop.s{size};
+/* class Fake {{ */
+public class P{key} {{
+  private int a, b{size} = f(1, 2);
+  String label = "{{ " + "http://{name}";
+  public void m{key}(
+      int x,
+      String y) {{
+    if (x > 0) {{ return; }}
+  }}
+}}
+"""
+_TS_OF_CUSTOMER = """import {{
+  helper as h{key}
+}} from './lib';
+export default class C{key} {{
+  public async load(
+    id: number,
+    name?: string
+  ): Promise<void> {{
+    const url = `http://x/{key} {{ `;
+  }}
+}}
+export const A{key} = 1, B{key} = "a, b";
+"""
+
+
+def _sources_of(rows: DataFrame, template: str, path, **values) -> DataFrame:
+    """(path, content) of a template with a row's values in it."""
+    parts = [F.lit("")]
+    for k, piece in enumerate(template.replace("{{", "\x01").replace("}}", "\x02").split("{")):
+        name, rest = piece.split("}") if k else ("", piece)
+        parts += [values[name].cast("string")] if k else []
+        parts += [F.lit(rest.replace("\x01", "{").replace("\x02", "}"))]
+    return rows.select(path.alias("path"), F.concat(*parts).alias("content"))
+
+
+def _of_rows(table: str, key: str, *rows: tuple[str, str, str, str, str]) -> str:
+    """SQL of rows (what, a, b, c, d), expressions over each row of a table."""
+    return " UNION ALL ".join(f"SELECT DISTINCT '{what}' AS what, {a} AS a, {b} AS b, '{c}' AS c, '{d}' AS d FROM (SELECT {key} FROM {table})" for what, a, b, c, d in rows)
+
+
+def java_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    files = _sources_of(part, _JAVA_OF_PART, F.concat(F.lit("/p/P"), "p_partkey", F.lit(".java")), key=F.col("p_partkey"), size=F.col("p_size"), name=F.col("p_name"))
+    return _graph(sources.java(files)).where("what <> 'File'")
+
+
+def ts_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    files = _sources_of(customer, _TS_OF_CUSTOMER, F.concat(F.lit("/c/C"), "c_custkey", F.lit(".ts")), key=F.col("c_custkey"))
+    nodes, rels = sources.typescript_with_jsx(files)
+    return _graph((nodes, rels)).where("what <> 'File'")
+
+
+def ts_columns_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What headers say beside names and places."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    files = _sources_of(customer, _TS_OF_CUSTOMER, F.concat(F.lit("/c/C"), "c_custkey", F.lit(".ts")), key=F.col("c_custkey"))
+    nodes, _ = sources.typescript(files)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    says = {"Class": ("isExported", "isDefaultExport", "isAbstract"), "Method": ("visibility", "isAsync", "returnType"), "Parameter": ("type", "isOptional", "isRestParameter"), "Variable": ("isConstant", "isExported", "kind")}
+    out = None
+    for kind, names in says.items():
+        own = nodes.where(F.col("kind") == kind).select("entityId", *(text(c).alias(x) for c, x in zip(names, "abc", strict=True)))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+_P = "p_partkey, p_size, 'javaclass:shop.s' || p_size || '.p' || p_partkey AS o, '/p/p' || p_partkey || '.java' AS f"
+_C = "c_custkey AS k, '/c/c' || c_custkey || '.ts' AS f, 'method:/c/c' || c_custkey || '.ts:c' || c_custkey || '.load' AS m"
+QUERIES |= {"java_of_parts": java_of_parts, "ts_of_customers": ts_of_customers, "ts_columns_of_customers": ts_columns_of_customers}
+ORACLES |= {
+    "java_of_parts": _of_rows(
+        "part", _P, ("PackageDeclaration", "'packagedeclaration:' || f || ':shop.s' || p_size", "'shop.s' || p_size", "1", "1"), ("JavaClass", "o", "'P' || p_partkey", "3", "11"),
+        ("JavaField", "'javafield:' || o || '.a'", "'a'", "4", "4"), ("JavaField", "'javafield:' || o || '.b' || p_size", "'b' || p_size", "4", "4"), ("JavaField", "'javafield:' || o || '.label'", "'label'", "5", "5"),
+        ("JavaMethod", "'javamethod:' || o || '.m' || p_partkey", "'m' || p_partkey", "6", "10"), ("DECLARES_PACKAGE", "'file:' || f", "'packagedeclaration:' || f || ':shop.s' || p_size", "9", ""), ("DEFINES_CLASS", "'file:' || f", "o", "9", ""),
+        ("HAS_FIELD", "o", "'javafield:' || o || '.a'", "7", ""), ("HAS_FIELD", "o", "'javafield:' || o || '.b' || p_size", "7", ""), ("HAS_FIELD", "o", "'javafield:' || o || '.label'", "7", ""), ("HAS_METHOD", "o", "'javamethod:' || o || '.m' || p_partkey", "8", ""),
+    ),
+    "ts_of_customers": _of_rows(
+        "customer", _C, ("Import", "'import:' || f || ':./lib:1'", "'./lib'", "1", "1"), ("Class", "'class:' || f || ':c' || k", "'C' || k", "4", "11"), ("Method", "m", "'load'", "5", "10"),
+        ("Parameter", "'parameter:' || m || ':id'", "'id'", "5", "5"), ("Parameter", "'parameter:' || m || ':name'", "'name'", "5", "5"), ("Variable", "'variable:' || f || ':a' || k || ':12'", "'A' || k", "12", "12"), ("Variable", "'variable:' || f || ':b' || k || ':12'", "'B' || k", "12", "12"),
+        ("IMPORTS", "'file:' || f", "'import:' || f || ':./lib:1'", "1", ""), ("HAS_METHOD", "'class:' || f || ':c' || k", "m", "10", ""), ("HAS_PARAMETER", "m", "'parameter:' || m || ':id'", "8", ""), ("HAS_PARAMETER", "m", "'parameter:' || m || ':name'", "8", ""),
+        ("EXPORTS", "'file:' || f", "'class:' || f || ':c' || k", "8", ""), ("EXPORTS", "'file:' || f", "'variable:' || f || ':a' || k || ':12'", "8", ""), ("EXPORTS", "'file:' || f", "'variable:' || f || ':b' || k || ':12'", "8", ""),
+    ),
+    "ts_columns_of_customers": " UNION ALL ".join(
+        f"SELECT {e} AS entityId, '{a}' AS a, '{b}' AS b, '{c}' AS c FROM (SELECT {_C} FROM customer)" for e, a, b, c in (
+            ("'class:' || f || ':c' || k", "true", "true", "false"), ("m", "public", "true", "Promise<void>"), ("'parameter:' || m || ':id'", "number", "false", "false"), ("'parameter:' || m || ':name'", "string", "true", "false"),
+            ("'variable:' || f || ':a' || k || ':12'", "true", "true", "Variable"), ("'variable:' || f || ':b' || k || ':12'", "true", "true", "Variable"),
+        )
+    ),
+}

@@ -1,8 +1,10 @@
 """Sources that are empty, broken or odd; the whole extraction; the stream."""
 
 import json
+from collections import Counter
 
-from srcloom.extract import python_source, sources
+from srcloom.extract import lexer, python_source, sources
+from srcloom.operators import resolve_ts
 from srcloom.streaming.ingest import current, ingest, landing
 
 
@@ -42,3 +44,28 @@ def test_stream_keeps_the_last_version(spark, tmp_path):
         ingest(landing(spark, str(land)), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
     found = {r.name: r.startLine for r in current(spark, str(tmp_path / "store"), "nodes").collect() if r.kind == "GoFunction"}
     assert found == {"f": 3, "g": 5}
+
+
+def test_lexer_blanks_strings_and_joins_headers():
+    text = "import {\n  a\n} from './x'; // {\nclass K {\n  m(\n    p = `{ ${`n`} // no`,\n  ) {\n    const r = /[/\"{]+/g, q = 4 / 2 / 1; /* {\n } */ f(() => {\n    });\n  }\n}"
+    clean = [c for _, c in lexer.logical_lines(text)]
+    assert [" ".join(c.split()) for c in clean] == ["import { a } from '';", "", "", "class K {", "m( p = ``, ) {", "", "", 'const r = "", q = 4 / 2 / 1;', "f(() => {", "});", "}", "}"]
+    assert lexer.parameters("m(a: (x: number) => void, {b, c}: P, d = [1, 2])") == ["a: (x: number) => void", "{b, c}: P", "d = [1, 2]"]
+    assert lexer.sql_statements("a ';' -- ;\nb; /* ; */ c") == [("a ';' \nb", 0), ("  c", 1)]
+
+
+def test_very_long_literals_and_lines(spark):
+    long = "x" * 3_000_000
+    files = of(spark, ("/a.java", f'class A {{\n  String s = "{long}";\n  int b, c;\n}}\n'), ("/b.sql", f"INSERT INTO t VALUES ('{long}');\n" + "INSERT INTO t VALUES ('a;b');\n" * 3000), ("/c.tsx", f"const A = () => (\n  <div title=\"{long}\">\n  </div>\n);\n"))
+    nodes, _ = sources.extract(files)
+    found = Counter(r.kind for r in nodes.select("kind").collect())
+    assert found["JavaField"] == 3 and found["SQLInsertStatement"] == 3001 and found["JSXElement"] == 1
+
+
+def test_includes_and_default_imports(spark):
+    nodes, _ = sources.c_cpp(of(spark, ("/s/a.c", '#include "lib/b.h"\n#include "../no.h"\n#include <stdio.h>\n'), ("/s/lib/b.h", "int b;\n")))
+    got = {(r.targetId, r.isPlaceholder) for r in resolve_ts.includes(nodes).collect()}
+    assert got == {("file:/s/lib/b.h", False), ("file:/no.h", True)}
+    nodes, _ = sources.typescript(of(spark, ("/s/a.ts", "import Thing from './b';\n"), ("/s/b.ts", "export default class K {\n}\n")))
+    rows = resolve_ts.resolved_imports(nodes, resolve_ts.import_targets(nodes)).collect()
+    assert [(r.sourceId, r.targetId) for r in rows] == [("file:/s/a.ts", "class:/s/b.ts:k")]
