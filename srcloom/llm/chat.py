@@ -34,7 +34,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcloom.llm.components import salted_join
 from srcloom.llm.storage import materialize
 
 SCHEMAS = {"ask": {"text": ("string", True), "turn": ("integer", True)}, "configure": {"text": ("string", True), "turn": ("integer", True)}}
@@ -53,16 +52,16 @@ def calls_from_turns(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = said.where(F.col("role").isin("user", "system")).select("conv_id", "turn", "role", "text").distinct()
     first = plain.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("first"))
     key = lambda turn: F.concat("conv_id", F.lit(":"), turn.cast("string"))
-    place = F.struct("conv_id", "turn").alias("place")
-    named = salted_join(plain.withColumn("place", place), first.select(place, "first"), "place", F.xxhash64("text"))
-    named = named.withColumn("call_id", F.when(F.struct("role", "text").eqNullSafe(F.col("first")), key(F.col("turn"))).otherwise(F.concat(key(F.col("turn")), F.lit(":"), F.hex(F.xxhash64("role", "text")))))
     other = said.where("tools IS NULL AND reply_to IS NULL AND coalesce(role, '') NOT IN ('user', 'system')")
     before = _turns_before(first.select("conv_id", "turn"), other.where("role = 'assistant'").select("conv_id", "turn"))
-    asked = salted_join(named.drop("first").withColumn("place", place), before.select(place, "last"), "place", F.col("call_id"), "left")
+    # the rows' side of these joins may have hot keys, which Spark splits; the other has one row for each key
+    asked = plain.join(before.join(first, ["conv_id", "turn"]), ["conv_id", "turn"])
+    named = F.when(F.struct("role", "text").eqNullSafe(F.col("first")), key(F.col("turn"))).otherwise(F.concat(key(F.col("turn")), F.lit(":"), F.hex(F.xxhash64("role", "text"))))
+    asked = asked.withColumn("call_id", named)
     asked = asked.select("conv_id", "call_id", "turn", F.when(F.col("role") == "user", "ask").otherwise("configure").alias("name"), F.to_json(F.struct("text", "turn"), {"ignoreNullFields": "false"}).alias("arguments"), key(F.col("last")).alias("after"))
     told = said.where("tools IS NOT NULL").select("conv_id", "turn", F.explode("tools").alias("t")).select("conv_id", F.col("t.id").alias("call_id"), "turn", F.col("t.name").alias("name"), F.col("t.arguments").alias("arguments"), F.col("t.after").alias("after"))
     replies = said.where("reply_to IS NOT NULL").select("conv_id", F.col("reply_to").alias("call_id"), "turn", F.get_json_object("text", "$.content").alias("content"))
-    answers = salted_join(other.withColumn("place", place), before.select(place, "last"), "place", F.xxhash64("text"), "left")
+    answers = other.join(before, ["conv_id", "turn"], "left")
     # a result of no call names a turn that is none
     answers = answers.select("conv_id", F.coalesce(F.when(F.col("role") == "assistant", key(F.col("last"))), F.concat(key(F.col("turn")), F.lit(":result"))).alias("call_id"), "turn", F.col("text").alias("content"))
     return asked.unionByName(told), answers.unionByName(replies)
@@ -88,10 +87,9 @@ def levels(calls: DataFrame, most_rounds: int = 40) -> DataFrame:
         count = now.agg(F.count("up"), F.count("*")).first()
         if not count[0] or 2**k > count[1]:  # no call has a parent left, or the rest are on cycles
             break
-        far = now.select(F.struct("conv_id", F.col("call_id").alias("up")).alias("place"), F.col("up").alias("next"), F.col("level").alias("more"))
-        # many calls may stand behind one
-        met = salted_join(now.withColumn("place", F.struct("conv_id", "up")), far, "place", F.col("call_id"), "left")
-        now = materialize(met.select("conv_id", "call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), f"levels-{k + 1}")
+        far = now.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        # many calls may stand behind one: the left side is what Spark splits
+        now = materialize(now.join(far, ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), f"levels-{k + 1}")
     return now.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("level")).otherwise(-1).alias("level"))
 
 
@@ -124,9 +122,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
     results = materialize(results.where("conv_id IS NOT NULL AND call_id IS NOT NULL").select("conv_id", "call_id", "turn", "content").distinct(), "results")
     best = results.groupBy("conv_id", "call_id").agg(F.min(F.struct(F.col("turn").alias("result_turn"), "content")).alias("r"))
     rows = calls.join(best.select("conv_id", "call_id", "r.*", F.lit(True).alias("linked")), ["conv_id", "call_id"], "left").join(levels(calls), ["conv_id", "call_id"])
-    place = F.struct("conv_id", "call_id").alias("place")
-    known = best.join(calls.select("conv_id", "call_id", F.lit(True).alias("called")), ["conv_id", "call_id"], "left").select(place, "r", F.coalesce("called", F.lit(False)).alias("called"))
-    odd = salted_join(results.withColumn("place", place), known, "place", F.xxhash64("content")).where(~F.col("called") | ~F.struct(F.col("turn").alias("result_turn"), "content").eqNullSafe(F.col("r")))
+    known = best.join(calls.select("conv_id", "call_id", F.lit(True).alias("called")), ["conv_id", "call_id"], "left").withColumn("called", F.coalesce("called", F.lit(False)))
+    odd = results.join(known, ["conv_id", "call_id"]).where(~F.col("called") | ~F.struct(F.col("turn").alias("result_turn"), "content").eqNullSafe(F.col("r")))
     rows = rows.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("parsed", F.try_parse_json("arguments"))
     late = F.array_compact(F.array(F.when(~F.col("linked"), "no_result"), F.when(F.col("result_turn") <= F.col("turn"), "result_before_call"), F.when(F.col("level") < 0, "cycle")))
     rows = rows.withColumn("errors", F.concat(_errors(schemas), late))
