@@ -5,18 +5,18 @@ as many words as the longest item has, each window half a window after the last,
 words as long as an item lies in one window whole.  A term's impact on an item is its BM25 weight over
 the item's score with itself, so one threshold, a share of that score, serves all items.
 
-Items stand in blocks in the index; each term has its largest impact in each block and overall.  A
-passage whose terms' largest impacts add up to less than the threshold is done; of the others only the
-blocks are opened whose terms' block maxima reach it; in these each item is scored from the postings.
-Nothing at or above the threshold is lost by that.
+Items stand in blocks in the index; each term has its largest impact in each block and overall.  Passages
+go through it by block-max WAND (``ItemIndex.search``): from pivot to pivot, opening only blocks whose terms'
+block maxima reach the threshold; in these each item is scored from the postings.  Nothing at or above the
+threshold is lost by that.
 
 An item that is retrieved is verified: of its question (all sentences but the last; of one sentence,
 the first three quarters) and of its answer (the rest), at least ``overlap`` of the words, counted with
 repetition, must stand in one stretch of the passage no longer than 1.25 times the item.
 
 The index is sent to the executors.  Its size is checked: the benchmark is dealt into shards of at
-most ``shard_chars`` characters on average, each an index of its own, and the documents are read once
-for each shard; a usual benchmark is one shard.
+most ``shard_chars`` characters on average, each an index of its own with the statistics of the whole, and
+the documents are read once for each shard; a usual benchmark is one shard.
 
 Defined results: null and empty texts and items match nothing; words are lower-cased runs of letters
 and digits; of windows that match one item the best is returned (higher overlap, then earlier); equal
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from srcloom.llm.bytes_kernel import LETTER, NUMBER, ragged, words_by_row
 from srcloom.llm.tasks import tidy
 
-K1, B, SHARE, OVERLAP, BLOCK, SHARD_CHARS = 1.2, 0.75, 0.5, 0.8, 8, 250_000
+K1, B, SHARE, OVERLAP, BLOCK, SHARD_CHARS = 1.2, 0.75, 0.5, 0.8, 16, 4_000_000
 #: Words that are scored at once.
 BATCH_WORDS = 1 << 18
 MATCHES = "doc_id long, item_id long, start long, score double, question_overlap double, answer_overlap double"
@@ -59,78 +59,101 @@ def item_words(text: str | None) -> tuple[list[bytes], int]:
 
 
 class ItemIndex:
-    """Postings of items by term and block, with block maxima."""
+    """Postings of items, cut in cells of one term and one block of items, with the largest impact of each cell.
 
-    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK):
+    statistics: items, mean length, longest length and each word's number of items in the whole benchmark; without
+    it, of these items.  All of it is as large as the items' text, whatever the number of terms and blocks.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK, statistics: tuple[int, float, int, dict[bytes, int]] | None = None):
         rows = [(i, *item_words(t)) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))]
         rows = [r for r in rows if r[1]]
         self.ids = [r[0] for r in rows]
+        if statistics is None:
+            statistics = len(rows), sum(len(r[1]) for r in rows) / max(len(rows), 1), max((len(r[1]) for r in rows), default=0), Counter(w for r in rows for w in set(r[1]))
+        n, mean, self.longest, df = statistics
         self.term: dict[bytes, int] = {}
         self.words = [np.array([self.term.setdefault(w, len(self.term)) for w in r[1]], np.int64) for r in rows]
         self.question = [r[2] for r in rows]
-        self.longest = max(map(len, self.words), default=0)
-        n = len(rows)
-        df = Counter(t for w in self.words for t in set(w.tolist()))
-        mean = sum(map(len, self.words)) / max(n, 1)
-        self.blocks, self.block = -(-n // block), block
-        self.most = np.zeros(len(self.term), np.float32)
-        self.block_most = np.zeros((len(self.term), self.blocks), np.float32)
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        rare = np.array([math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in self.term], np.float64)
+        terms, places, impacts = [], [], []
         for k, w in enumerate(self.words):
-            weight = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for t, f in Counter(w.tolist()).items()}
-            own = sum(weight.values())
-            for t, x in weight.items():
-                x /= own
-                self.most[t] = max(self.most[t], x)
-                self.block_most[t, k // block] = max(self.block_most[t, k // block], x)
-                postings.setdefault((t, k // block), []).append((k, x))
-        # postings of a term in a block: slot -> start and length in the lists of items and impacts
-        self.slot = np.full((len(self.term), self.blocks), -1, np.int32)
-        for at, (t, b) in enumerate(postings):
-            self.slot[t, b] = at
-        self.length = np.array([len(x) for x in postings.values()], np.int64)
-        self.start = np.cumsum(self.length) - self.length
-        self.item = np.array([k for x in postings.values() for k, _ in x], np.int64)
-        self.impact = np.array([w for x in postings.values() for _, w in x], np.float64)
+            t, f = np.unique(w, return_counts=True)
+            weight = rare[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))
+            terms.append(t), places.append(np.full(len(t), k)), impacts.append(weight / weight.sum())
+        term, item, impact = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((terms, np.int64), (places, np.int64), (impacts, np.float64)))
+        order = np.lexsort((item, term))
+        self.block, self.blocks = block, -(-len(rows) // block)
+        self.item, self.impact = item[order], impact[order]
+        key = term[order] * max(self.blocks, 1) + self.item // block
+        self.start = np.flatnonzero(np.diff(key, prepend=-1))  # of each cell in item and impact
+        self.length = np.diff(np.append(self.start, len(key)))
+        self.cell = key[self.start]
+        self.cell_most = np.maximum.reduceat(self.impact, self.start) if len(key) else np.zeros(0)
+        self.list_start = np.searchsorted(self.cell, np.arange(len(self.term) + 1) * max(self.blocks, 1))
+        self.most = np.maximum.reduceat(self.cell_most, self.list_start[:-1]) if len(key) else np.zeros(0)
 
     def lookup(self, found: list[bytes]) -> np.ndarray:
         get = self.term.get
         return np.fromiter((get(w, -1) for w in found), np.int64, len(found))
 
     def search(self, passages: list[np.ndarray], share: float = SHARE) -> Iterator[tuple[int, int, float]]:
-        """(passage, item, score) of all items at or above the threshold."""
+        """(passage, item, score) of all items at or above the threshold.
+
+        Block-max WAND for many passages at a time.  In each step a passage's lists stand in the order of their
+        next blocks; its pivot is the first block at which the largest impacts of the lists up to there reach the
+        threshold, so that no item before it can.  Where the cells' maxima in the pivot block reach it too, the
+        block's items are scored.  The lists then move behind the pivot; a passage without a pivot is done.
+        """
         if not passages or not self.ids:
             return
         who = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
         flat = np.concatenate(passages)
         known = flat >= 0
         pairs = np.unique(who[known] * len(self.term) + flat[known])
-        who, flat = pairs // len(self.term), pairs % len(self.term)
-        least = share - 1e-6
-        open_ = np.bincount(who, self.most[flat], len(passages)) >= least
-        keep = open_[who]
-        who, flat = who[keep], flat[keep]
-        if not len(who):
-            return
-        start = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
-        for a in range(0, len(start), 1024):  # passages at once
-            at = start[a : a + 1024]
-            stop = start[a + 1024] if a + 1024 < len(start) else len(who)
-            bound = np.add.reduceat(self.block_most[flat[at[0] : stop]], at - at[0], axis=0)
-            ends = np.append(at[1:], stop)
-            passage, block = np.nonzero(bound >= least)
-            for z in range(0, len(passage), 8192):  # open blocks at once
-                p, b = passage[z : z + 8192], block[z : z + 8192]
-                terms = ends[p] - at[p]
-                pair = np.repeat(np.arange(len(p)), terms)
-                slot = self.slot[flat[ragged(at[p], terms)], b[pair]]
-                pair, slot = pair[slot >= 0], slot[slot >= 0]
-                post = ragged(self.start[slot], self.length[slot])
-                pair = np.repeat(pair, self.length[slot])
-                score = np.bincount(pair * self.block + self.item[post] % self.block, self.impact[post], len(p) * self.block)
-                for cell in np.flatnonzero(score >= least).tolist():
-                    k = cell // self.block
-                    yield int(who[at[p[k]]]), int(b[k]) * self.block + cell % self.block, float(score[cell])
+        every, least = pairs // len(self.term), share - 1e-6
+        begin = np.flatnonzero(np.diff(every, prepend=-1))
+        bounds = np.append(begin[:: self.PASSAGES], len(every))
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield from self._walk(every[a:z], pairs[a:z] % len(self.term), least)
+
+    #: Passages that go through the index together.
+    PASSAGES = 1024
+
+    def _walk(self, who: np.ndarray, term: np.ndarray, least: float) -> Iterator[tuple[int, int, float]]:
+        most, at, blocks = self.most[term], self.list_start[term], self.blocks
+        end, base = self.list_start[term + 1], term * blocks
+        next_ = self.cell[at] - base
+        while len(who):
+            order = np.argsort(who * blocks + next_, kind="stable")
+            who, most, at, end, base, next_ = (x[order] for x in (who, most, at, end, base, next_))
+            first = np.flatnonzero(np.diff(who, prepend=-1))
+            size = np.diff(np.append(first, len(who)))
+            run = np.cumsum(most)
+            short = np.add.reduceat(run - np.repeat(run[first] - most[first], size) < least, first, dtype=np.int64)
+            live = short < size
+            pivot = np.where(live, next_[first + np.minimum(short, size - 1)], -1)
+            seg = np.repeat(np.arange(len(first)), size)
+            near = np.flatnonzero(next_ <= pivot[seg])
+            own = seg[near]
+            cell = np.searchsorted(self.cell, base[near] + pivot[own])
+            hit = cell < end[near]
+            hit[hit] = self.cell[cell[hit]] == (base[near] + pivot[own])[hit]
+            open_ = np.bincount(own[hit], self.cell_most[cell[hit]], len(first)) >= least
+            take = hit & open_[own]
+            if take.any():
+                rank = np.cumsum(open_) - 1
+                c, q = cell[take], rank[own[take]]
+                post = ragged(self.start[c], self.length[c])
+                score = np.bincount(np.repeat(q, self.length[c]) * self.block + self.item[post] % self.block, self.impact[post], int(open_.sum()) * self.block)
+                which = np.flatnonzero(open_)
+                for x in np.flatnonzero(score >= least).tolist():
+                    k = which[x // self.block]
+                    yield int(who[first[k]]), int(pivot[k]) * self.block + x % self.block, float(score[x])
+            at[near] = cell + hit
+            stay = live[seg] & (at < end)
+            who, most, at, end, base = (x[stay] for x in (who, most, at, end, base))
+            next_ = self.cell[at] - base
 
     def verify(self, passage: np.ndarray, k: int) -> tuple[float, float]:
         """Overlaps of question and answer in the stretch where the lesser of them is largest."""
@@ -195,14 +218,31 @@ def find_items(index: ItemIndex, texts, share: float, overlap: float) -> Iterato
     yield from found()
 
 
+def benchmark_statistics(items: DataFrame) -> tuple[tuple[int, float, int], DataFrame]:
+    """(items with words, their mean and longest length) and a table (shard, word, df) of each shard's words, where
+    df counts items of the whole benchmark."""
+
+    def words(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [item_words(t)[0] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array([len(r) for r in rows], pa.int64()), pa.array([sorted(set(r)) for r in rows], pa.list_(pa.binary()))], ["shard", "n", "words"])
+
+    found = items.select("shard", "text").mapInArrow(tidy(words), "shard long, n long, words array<binary>").where("n > 0")
+    n, mean, longest = found.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    by_shard = found.select("shard", F.explode("words").alias("word")).groupBy("shard", "word").count()
+    return (n, mean, longest), by_shard.join(by_shard.groupBy("word").agg(F.sum("count").alias("df")), "word").select("shard", "word", "df")
+
+
 def item_indexes(benchmark: DataFrame, shard_chars: int = SHARD_CHARS) -> Iterator[ItemIndex]:
-    """An index for each shard of (item_id, text)."""
+    """An index for each shard of (item_id, text); all have the statistics of the whole benchmark, so an item's
+    scores don't depend on the shards."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_chars))
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).alias("shard"))
+    sizes, df = benchmark_statistics(rows)
     for s in range(shards):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s)
-        yield ItemIndex([(r["item_id"], r["text"]) for r in own.collect()])
+        own = {bytes(r["word"]): r["df"] for r in df.where(F.col("shard") == s).collect()}
+        yield ItemIndex([(r["item_id"], r["text"]) for r in rows.where(F.col("shard") == s).collect()], statistics=(*sizes, own))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap: float = OVERLAP, shard_chars: int = SHARD_CHARS) -> DataFrame:

@@ -126,11 +126,10 @@ def test_index_finds_all_above_the_threshold():
     passages = [index.lookup(random.choices([*words, b"other"], k=60)) for _ in range(200)]
     got = {(p, k): s for p, k, s in index.search(passages, 0.5)}
     impact = np.zeros((len(index.term), len(index.ids)))
-    for t in range(len(index.term)):
-        for b in range(index.blocks):
-            if (s := index.slot[t, b]) >= 0:
-                a = index.start[s]
-                impact[t, index.item[a : a + index.length[s]]] = index.impact[a : a + index.length[s]]
+    for c, a in enumerate(index.start.tolist()):
+        own = slice(a, a + int(index.length[c]))
+        impact[index.cell[c] // index.blocks, index.item[own]] = index.impact[own]
+        assert set(index.item[own] // index.block) == {index.cell[c] % index.blocks} and index.cell_most[c] == index.impact[own].max()
     assert np.allclose(impact.sum(axis=0), 1)
     want = {}
     for p, x in enumerate(passages):
@@ -139,6 +138,23 @@ def test_index_finds_all_above_the_threshold():
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_pivots_skip_blocks():
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(12)) + " the of") for k in range(800)]
+    index = decontaminate.ItemIndex(items)
+    seen = []
+    whole, index.cell_most = index.cell_most, type("Counted", (), {"__getitem__": lambda self, at: seen.append(len(at)) or whole[at]})()
+    words = [w.encode() for w in items[700][1].split()]
+    assert [k for _, k, _ in index.search([index.lookup(words)], 0.5)] == [700]
+    assert sum(seen) == 14  # the pivot's block alone, of the 50 in which "the" and "of" are
+
+
+def test_scores_do_not_depend_on_shards(spark):
+    bench = spark.createDataFrame([(k, f"question {k} of word{k % 3} and more text{k}. The answer a{k} b{k}") for k in range(30)] + [(None, "x y z"), (5, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"so: question {k} of word{k % 3} and more text{k}. The answer a{k} b{k} it is") for k in range(30)], "doc_id long, text string")
+    found = [sorted((r.doc_id, r.item_id, r.start, round(r.score, 9)) for r in decontaminate.contaminated(docs, bench, shard_chars=c).collect()) for c in (10**6, 300)]
+    assert len(found[0]) == 30 and found[0] == found[1]
+
+
 def test_windows_hold_each_run_whole():
     for n in range(1, 40):
         parts = list(decontaminate.windows(np.arange(n), 4))
@@ -223,6 +239,9 @@ def test_media_query(spark):
         whole = raw + bytes(-len(raw) % 64 if raw else 64)
         want[d, len(raw)] = (len(whole), hashlib.sha256(whole).hexdigest())
     assert {(r.doc_id, r.n_bytes): (r.payload_bytes, r.payload_sha256) for r in got} == want
+    table = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, media int")
+    assert sorted(map(repr, jpeg.media_features(jpeg.stored_media(table)).collect())) == sorted(map(repr, got))
+    assert jpeg.media_features(jpeg.stored_media(table.limit(0))).count() == 0
     same = [r for r in got if r.n_bytes == 300]
     assert same[0].feature == same[1].feature and same[0].media_sha256 == same[1].media_sha256
 
