@@ -12,11 +12,13 @@ Layout of a segment, little-endian: magic, documents, ids, blocks, exceptions (5
 width (uint8), start in 8-byte words (uint32), number of exceptions (uint16); packed words (uint64);
 exception positions (uint8), exception high bits (uint32).
 
-Shards are ranges of doc_id whose bounds come from quantiles of the doc_id column alone; a shard is
-sorted and written by one task, and the number of shards is spark.sql.shuffle.partitions.
+Shards are ranges of doc_id whose bounds come from quantiles of the doc_id column alone, and a doc_id
+with more rows than a shard holds is dealt over several by its texts; a shard is sorted and written by one
+task.  There is one for each SHARD_BYTES of text, at least as many as the session has shuffle partitions.
 
 Defined results: null and empty texts hold the end id only; null doc_ids come first; rows with equal
-doc_id are ordered by their ids; an empty table gives no segments; extra columns aren't read.
+doc_id are ordered by their ids within a shard, equal rows follow one another; an empty table gives no
+segments; extra columns aren't read; a very long text is one document of one segment.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from srcloom.llm.storage import new_path
 from srcloom.llm.tasks import tidy
 
 BLOCK, PERCENTILE, MAGIC = 256, 0.9, 0x31464F50
+SHARD_BYTES = 1 << 30
 #: Ids and documents after which a segment is closed.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 19, 8192
 #: Pieces whose ids a task remembers (about 200 bytes each).
@@ -162,21 +165,35 @@ def library_encoder(path: str):
     return encode, tuple(special)
 
 
+def shards_of(docs: DataFrame) -> int:
+    """Shards of about SHARD_BYTES of text each, at least as many as the session has shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+
+
 def doc_bounds(docs: DataFrame, shards: int) -> list[int]:
-    """Bounds of about equal ranges of doc_id: at most ``shards`` numbers."""
+    """Ascending bounds of ``shards`` about equal ranges of doc_id.  A doc_id that has more rows than a shard
+    holds is several bounds."""
     if shards < 2:
         return []
-    found = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / shards for k in range(1, shards)], 10 * shards)).first()[0]
-    return sorted(set(found or []))
+    return docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / shards for k in range(1, shards)], 10 * shards)).first()[0] or []
+
+
+def deal(doc: np.ndarray, text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Shards of rows by doc_id; rows of a doc_id that is several bounds are dealt by a hash of their texts over
+    the shards between these bounds."""
+    low, high = (np.searchsorted(bounds, doc, side=side) for side in ("left", "right"))
+    several = np.maximum(high - low, 1)
+    return (high - several + 1 + text % several).astype(np.int32)
 
 
 def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 2, shards: int | None = None) -> None:
     """Encodes ``text`` of every row, appends ``end_id``, and writes segments to the folder ``out``.
 
-    One shuffle: of ids, not of texts, by shard.
+    One shuffle: of ids, not of texts, by shard.  Segments stand in ascending doc_id order; rows of one doc_id by
+    shard, then by ids.
     """
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shards_of(docs)
     bounds = doc_bounds(docs, shards)
 
     def encode(batches) -> Iterator[pa.RecordBatch]:
@@ -192,8 +209,8 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 2, shards:
                         rows[d].append(raw[a:b].tobytes())
                 end = np.array([end_id], "<u4").tobytes()
                 doc = batch.column("doc_id")
-                shard = np.searchsorted(edge, doc.fill_null(-(1 << 63)).to_numpy(), side="right").astype(np.int32)
                 blobs = [_narrow(b"".join(r) + end) for r in rows]
+                shard = deal(doc.fill_null(-(1 << 63)).to_numpy(), np.fromiter(map(zlib.crc32, blobs), np.int64, len(blobs)), edge)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), doc, pa.array(blobs, pa.binary())], ["shard", "doc_id", "ids"])
 
     def segments(batches) -> Iterator[pa.RecordBatch]:
