@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcloom.llm.bytes_kernel import ragged, utf8_column
+from srcloom.llm.storage import new_path
 from srcloom.llm.tasks import tidy
 
 ROW, MOST_ROWS, DC_QUANT = 64, 8191, 8
@@ -335,6 +336,13 @@ def store_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
+def stored_media(docs: DataFrame) -> DataFrame:
+    """The table of ``store_media`` as written to the shared folder, to be read from there."""
+    path = new_path(docs.sparkSession, "media")
+    store_media(docs).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema("doc_id long, n_bytes long, media binary").parquet(path)
+
+
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string"
 
 

@@ -49,7 +49,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.media_features(jpeg.store_media(_read(spark, sf_dir, "documents")))
+    return jpeg.media_features(jpeg.stored_media(_read(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_url_filter, op4_main_text, op5_token_files, op6_secrets, op7_decontamination, op8_chat, op9_jaccard_join, op10_jpeg_media)}
