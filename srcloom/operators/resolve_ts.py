@@ -122,6 +122,17 @@ def error_handlers(files: DataFrame, nodes: DataFrame) -> DataFrame:
     return _rel(rows.withColumn("targetId", target).select("sourceId", "targetId").distinct(), "HANDLES_ERROR", 5)
 
 
+def mutations(files: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """MUTATES_STATE from outer functions and methods to variables of the file, or imported ones, that they assign
+    by ``=``; names that the function declares itself, other assignment operators and properties have no row."""
+    within = code_lines(files).select("path", "line", "clean").join(_bodies(nodes), "path").where("line >= a AND line <= z")
+    within = within.select("path", "sourceId", F.when(F.col("line") == F.col("a"), F.regexp_extract("clean", r"^[^{]*\{(.*)$", 1)).otherwise(F.col("clean")).alias("clean"))
+    names = lambda pattern: within.select("path", "sourceId", F.explode(F.regexp_extract_all("clean", F.lit(pattern), F.lit(1))).alias("name")).distinct()
+    local = names(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)").unionByName(nodes.where("kind = 'Parameter'").select(F.col("filePath").alias("path"), F.col("parentId").alias("sourceId"), "name"))
+    assigned = names(r"(?<![\w.$])([A-Za-z_$][\w$]*)\s*=(?![=>])").join(local, ["path", "sourceId", "name"], "left_anti")
+    return _rel(assigned.join(scope(nodes, targets), ["path", "name"]).where(F.col("targetId").startswith("variable:")).select("sourceId", "targetId").distinct(), "MUTATES_STATE", 8)
+
+
 def complexities(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """(entityId, complexity) of functions and methods: 1 + the decision points in their lines."""
     points = None

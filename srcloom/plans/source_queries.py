@@ -327,10 +327,31 @@ def ts_columns_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_MUTATING_TS = """export let total{key} = 0;
+let other{key} = 1;
+export function add{key}(n: number) {{
+  total{key} = total{key} + n;
+  if (other{key} == n) {{
+    let local = 1;
+    local = 2;
+  }}
+  other{key} += 1;
+}}
+"""
+
+
+def ts_mutations_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    files = _sources_of(customer, _MUTATING_TS, F.concat(F.lit("/m/C"), "c_custkey", F.lit(".ts")), key=F.col("c_custkey"))
+    nodes, _ = sources.typescript(files)
+    return resolve_ts.mutations(files, nodes, resolve_ts.import_targets(nodes))
+
+
 _P = "p_partkey, p_size, 'javaclass:shop.s' || p_size || '.p' || p_partkey AS o, '/p/p' || p_partkey || '.java' AS f"
 _C = "c_custkey AS k, '/c/c' || c_custkey || '.ts' AS f, 'method:/c/c' || c_custkey || '.ts:c' || c_custkey || '.load' AS m"
-QUERIES |= {"java_of_parts": java_of_parts, "ts_of_customers": ts_of_customers, "ts_columns_of_customers": ts_columns_of_customers}
+QUERIES |= {"java_of_parts": java_of_parts, "ts_of_customers": ts_of_customers, "ts_columns_of_customers": ts_columns_of_customers, "ts_mutations_of_customers": ts_mutations_of_customers}
 ORACLES |= {
+    "ts_mutations_of_customers": "SELECT 'mutates_state:' || a || ':' || b AS entityId, 'MUTATES_STATE' AS type, a AS sourceId, b AS targetId, 8 AS weight FROM (SELECT 'function:/m/c' || c_custkey || '.ts:add' || c_custkey || ':3' AS a, 'variable:/m/c' || c_custkey || '.ts:total' || c_custkey || ':1' AS b FROM customer)",
     "java_of_parts": _of_rows(
         "part", _P, ("PackageDeclaration", "'packagedeclaration:' || f || ':shop.s' || p_size", "'shop.s' || p_size", "1", "1"), ("JavaClass", "o", "'P' || p_partkey", "3", "11"),
         ("JavaField", "'javafield:' || o || '.a'", "'a'", "4", "4"), ("JavaField", "'javafield:' || o || '.b' || p_size", "'b' || p_size", "4", "4"), ("JavaField", "'javafield:' || o || '.label'", "'label'", "5", "5"),

@@ -8,7 +8,8 @@ from srcloom.operators.upsert import merge_rels, replace_nodes
 
 
 def write_nodes(nodes: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").partitionBy("kind").parquet(path)
+    """Partitioned by kind; sorted in files, so that readers skip row groups by filePath and name."""
+    nodes.sortWithinPartitions("kind", "filePath", "name").write.mode("overwrite").partitionBy("kind").parquet(path)
 
 
 def write_rels(rels: DataFrame, path: str) -> None:
@@ -22,3 +23,16 @@ def upsert_nodes(spark: SparkSession, path: str, new: DataFrame, out: str) -> No
 
 def upsert_rels(spark: SparkSession, path: str, new: DataFrame, out: str) -> None:
     write_rels(merge_rels(spark.read.schema(new.schema).parquet(path), new), out)
+
+
+def wipe(spark: SparkSession, path: str) -> None:
+    """Leaves an empty table of the columns that the one at ``path`` has."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables whole; one that isn't there is no error."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -69,3 +69,24 @@ def test_includes_and_default_imports(spark):
     nodes, _ = sources.typescript(of(spark, ("/s/a.ts", "import Thing from './b';\n"), ("/s/b.ts", "export default class K {\n}\n")))
     rows = resolve_ts.resolved_imports(nodes, resolve_ts.import_targets(nodes)).collect()
     assert [(r.sourceId, r.targetId) for r in rows] == [("file:/s/a.ts", "class:/s/b.ts:k")]
+
+
+def test_mutations_of_locals_and_imports(spark):
+    a = "import { shared } from './b';\nlet own = 0;\nfunction f(own, x = 1) {\n  own = 2;\n  shared = 3;\n}\nclass K {\n  m() { own = 1; this.own = 2; own => 3; }\n}\n"
+    files = of(spark, ("/s/a.ts", a), ("/s/b.ts", "export let shared = 0;\n"))
+    nodes, _ = sources.typescript(files)
+    got = {(r.sourceId, r.targetId) for r in resolve_ts.mutations(files, nodes, resolve_ts.import_targets(nodes)).collect()}
+    assert got == {("function:/s/a.ts:f:3", "variable:/s/b.ts:shared:1"), ("method:/s/a.ts:k.m", "variable:/s/a.ts:own:2")}
+
+
+def test_store_is_wiped_and_dropped(spark, tmp_path):
+    from srcloom.sources import graph_store
+
+    nodes, _ = sources.go(of(spark, ("/a.go", "package p\nfunc f() {\n}\n")))
+    path = str(tmp_path / "nodes")
+    graph_store.write_nodes(nodes, path)
+    columns = set(spark.read.parquet(path).columns)
+    graph_store.wipe(spark, path)
+    assert spark.read.parquet(path).count() == 0 and set(spark.read.parquet(path).columns) == columns
+    graph_store.drop(spark, path, path)
+    assert not (tmp_path / "nodes").exists()
