@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 
-LINES = "path string, line int, text string, clean string, params array<string>"
+LINES = "path string, line int, text string, clean string, params array<string>, inside int, last int"
 TOKENS = re.compile(
     r'''(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))'''
     r'''|(?P<string>@"(?:[^"]|"")*+"?|"""[\s\S]*?(?:"""|\Z)|"(?:[^"\\\n]|\\[\s\S])*+"?|'(?:[^'\\\n]|\\[\s\S])*+'?|`(?:[^`\\$]|\\[\s\S]|\$\{(?:[^{}`]|`[^`]*`|\{[^{}`]*\})*+\}|\$)*+`?)'''
@@ -26,15 +26,15 @@ BEFORE_REGEX = frozenset("(,=:[!&|?{};+-*%~^<>")
 GROUPS = re.compile(r"^\s*(?:import|type|const|var)\s*$")
 
 
-def logical_lines(content: str) -> list[tuple[str, str]]:
-    """(text, clean) of each line."""
-    out: list[tuple[str, str]] = [("", "")]
+def logical_lines(content: str) -> list[tuple[str, str, int]]:
+    """(text, clean, its last line) of each line."""
+    out: list[tuple[str, str, int]] = [("", "", 1)]
     text, clean = [], []  # of the logical line that began last
     first, depth, importing, last, at = 0, 0, False, "", 0
     held: list[int] = []  # open parentheses around braces that may close on the same line
 
-    def close() -> None:
-        out[first] = ("".join(text), "".join(clean))
+    def close(last_line: int) -> None:
+        out[first] = ("".join(text), "".join(clean), last_line)
 
     while at < len(content):
         m = TOKENS.match(content, at)
@@ -50,22 +50,22 @@ def logical_lines(content: str) -> list[tuple[str, str]]:
                 last = '"'
             for line in lines[1:]:  # what follows on its last line belongs to that line
                 joined = depth > 0 or kind == "string"
-                out.append(("", ""))
+                out.append(("", "", len(out) + 1))
                 if joined:
                     text.append(" " + line)
                 else:
-                    close()
+                    close(len(out) - 1)
                     first, text, clean = len(out) - 1, [line], []
             if kind == "comment":
                 clean.append(" ")
         elif kind == "newline":
-            out.append(("", ""))
+            out.append(("", "", len(out) + 1))
             held.clear()
             if depth > 0:
                 text.append(" ")
                 clean.append(" ")
             else:
-                close()
+                close(len(out) - 1)
                 first, text, clean, importing = len(out) - 1, [], [], False
         else:
             text.append(s)
@@ -86,7 +86,7 @@ def logical_lines(content: str) -> list[tuple[str, str]]:
             clean.append(s)
             if s.strip():
                 last = s.rstrip()[-1]
-    close()
+    close(len(out))
     return out
 
 
@@ -111,15 +111,40 @@ def parameters(clean: str) -> list[str]:
     return [p.strip() for p in out if p.strip()]
 
 
+BRANCH = re.compile(r"\b(?:if|else|while|switch|do)\b[^{};]*$|\bfor\b[^{}]*$")
+UNBRACED = re.compile(r"(?:^|[\s}])(?:(?:else\s+)?if|for|while)\s*\(.*\)\s*$|\b(?:else|do)\s*$")
+
+
+def branches(clean: list[str]) -> list[int]:
+    """How many blocks of branches and loops are open where each line begins; a line below a branch without a
+    brace counts as in one more."""
+    out, blocks, pending, unbraced, count = [], [], "", False, 0
+    for line in clean:
+        out.append(count + (unbraced and bool(line.strip())))
+        at = 0
+        for m in re.finditer(r"[{}]", line):
+            if m[0] == "{":
+                blocks.append(bool(BRANCH.search(pending + line[at : m.start()])))
+                count += blocks[-1]
+            elif blocks:
+                count -= blocks.pop()
+            pending, at = "", m.end()
+        if line.strip():
+            unbraced = bool(UNBRACED.search(line))
+            pending = line[at:] + " " if unbraced else ""
+    return out
+
+
 def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Logical lines of files (path, content)."""
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = logical_lines(content or "")
+            inside = branches([c for _, c, _ in found])
             for a in range(0, len(found), 65536):
                 part = found[a : a + 65536]
-                cols = [pa.array([path] * len(part)), pa.array(range(a + 1, a + 1 + len(part)), pa.int32()), pa.array([t for t, _ in part]), pa.array([c for _, c in part]), pa.array([parameters(c) for _, c in part], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, ["path", "line", "text", "clean", "params"])
+                cols = [pa.array([path] * len(part)), pa.array(range(a + 1, a + 1 + len(part)), pa.int32()), pa.array([t for t, _, _ in part]), pa.array([c for _, c, _ in part]), pa.array([parameters(c) for _, c, _ in part], pa.list_(pa.string())), pa.array(inside[a : a + 65536], pa.int32()), pa.array([k for _, _, k in part], pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["path", "line", "text", "clean", "params", "inside", "last"])
 
 
 SQL_TOKENS = re.compile(r"(?P<comment>--[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>'(?:[^']|'')*+'?|\"[^\"]*+\"?)|(?P<end>;)|(?P<rest>[^'\";/-]++|.)", re.S)

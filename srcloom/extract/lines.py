@@ -30,10 +30,10 @@ class Rule:
 
 
 def code_lines(files: DataFrame, group: str = r"^\s*(import|type|const|var)\s*\(") -> DataFrame:
-    """(path, line, text, clean, params, before, after, low, group) of files (path, content).
+    """(path, line, text, clean, params, inside, last, before, after, low, group) of files (path, content).
 
     text and clean: the logical line, with and without strings and comments; params: what stands in its first
-    parenthesis; before and after: open braces at either end of the line; low: the least depth in it; group:
+    parenthesis; inside: open blocks of branches and loops where it begins; last: the last line of it; before and after: open braces at either end of the line; low: the least depth in it; group:
     the word of the parenthesis that the line stands in.
     """
     by_file = Window.partitionBy("path").orderBy("line")
@@ -45,7 +45,7 @@ def code_lines(files: DataFrame, group: str = r"^\s*(import|type|const|var)\s*\(
     rows = rows.withColumn("after", F.sum(net).over(upto)).withColumn("before", F.col("after") - net).withColumn("low", F.least("after", F.col("before") - leading))
     word = F.when(F.regexp_extract("clean", group, 1) != "", F.regexp_extract("clean", group, 1)).when(F.col("clean").rlike(r"^\s*\)"), "-")
     rows = rows.withColumn("group", F.last(word, True).over(earlier))
-    return rows.select("path", "line", "text", "clean", "params", F.col("before").cast("int").alias("before"), F.col("after").cast("int").alias("after"), F.col("low").cast("int").alias("low"), F.when(F.col("group") != "-", F.col("group")).alias("group"))
+    return rows.select("path", "line", "text", "clean", "params", "inside", "last", F.col("before").cast("int").alias("before"), F.col("after").cast("int").alias("after"), F.col("low").cast("int").alias("low"), F.when(F.col("group") != "-", F.col("group")).alias("group"))
 
 
 def declarations(rows_of_lines: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -57,7 +57,7 @@ def declarations(rows_of_lines: DataFrame, rules: list[Rule]) -> DataFrame:
     decl = None
     for r in rules:
         on = "text" if r.raw else "clean"
-        found = F.struct(F.lit(r.kind).alias("kind"), F.regexp_extract(on, r.pattern, r.name).alias("name"), (F.regexp_extract(on, r.pattern, r.extra) if r.extra else F.lit(None).cast("string")).alias("extra"), F.lit(r.opens).alias("opens"), F.lit(r.body).alias("body"), F.col("clean").alias("header"), F.col("params").alias("params"))
+        found = F.struct(F.lit(r.kind).alias("kind"), F.regexp_extract(on, r.pattern, r.name).alias("name"), (F.regexp_extract(on, r.pattern, r.extra) if r.extra else F.lit(None).cast("string")).alias("extra"), F.lit(r.opens).alias("opens"), F.lit(r.body).alias("body"), F.col("clean").alias("header"), F.col("params").alias("params"), F.col("last").alias("last"))
         fits = F.col(on).rlike(r.pattern) & F.expr(r.where) & (F.col("clean") != "")
         decl = F.when(fits, found) if decl is None else decl.when(fits, found)
     rows = rows_of_lines.withColumn("decl", decl)
@@ -72,7 +72,7 @@ def declarations(rows_of_lines: DataFrame, rules: list[Rule]) -> DataFrame:
     w = Window.partitionBy("path", "depth").orderBy("line", "role")
     every = own.unionByName(opens).unionByName(closes).unionByName(same)
     every = every.withColumn("owner", F.last("scope", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("end", F.first("closed", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    end = F.when(F.col("text").isNotNull() & (F.col("decl.opens") | F.col("decl.body")), F.coalesce("end", "line")).otherwise(F.col("line"))
+    end = F.when(F.col("text").isNotNull() & (F.col("decl.opens") | F.col("decl.body")), F.greatest(F.coalesce("end", "line"), "decl.last")).otherwise(F.when(F.col("decl.body"), F.col("decl.last")).otherwise(F.col("line")))
     return every.where("role = 0").select("path", "line", end.cast("int").alias("endLine"), "decl.kind", "decl.name", "decl.extra", "decl.header", "decl.params", "depth", F.when(F.col("depth") > 0, F.col("owner.kind")).alias("ownerKind"), F.when(F.col("depth") > 0, F.col("owner.name")).alias("ownerName"), F.when(F.col("depth") > 0, F.col("owner.line")).alias("ownerLine"))
 
 

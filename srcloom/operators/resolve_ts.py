@@ -6,14 +6,17 @@ lookups are equi-joins on (path, name).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcloom.extract.jsx import elements
 from srcloom.extract.lines import code_lines
 from srcloom.extract.sources import file_id
 from srcloom.functions.identity import entity_id, relationship_id
 from srcloom.operators.aggregate import DECISIONS
+from srcloom.operators.lineage import cut
 from srcloom.operators.resolve import import_candidates
+from srcloom.operators.spans import holding, innermost, outermost
 
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx")
 NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "super", "constructor", "async", "await", "new", "import")
@@ -91,33 +94,77 @@ def inheritance(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return _rel(found.withColumns({"isPlaceholder": F.col("targetId").isNull(), "targetId": F.coalesce("targetId", other)}), F.col("type"), 9, "isPlaceholder")
 
 
+def gate(files: DataFrame, tsx: bool = True) -> DataFrame:
+    """The files whose relationships are resolved: TypeScript and JavaScript, with ``tsx`` those with JSX too."""
+    return files.where(F.lower("path").rlike(r"\.[cm]?[tj]s$" + (r"|\.[tj]sx$" if tsx else "")))
+
+
 def _bodies(nodes: DataFrame) -> DataFrame:
-    """Outer functions and methods: those that stand in no other."""
-    rows = nodes.where("kind IN ('Function', 'Method')").select(F.col("filePath").alias("path"), F.col("entityId").alias("sourceId"), F.col("startLine").alias("a"), F.col("endLine").alias("z"))
-    out = rows.select("path", F.col("a").alias("oa"), F.col("z").alias("oz"), F.col("sourceId").alias("o"))
-    inner = rows.join(out, "path").where("oa <= a AND oz >= z AND o <> sourceId AND (oa < a OR oz > z)").select("sourceId").distinct()
-    return rows.join(inner, "sourceId", "left_anti")
+    """Outer functions and methods (path, sourceId, a, z): those that stand in no other."""
+    return outermost(nodes.where("kind IN ('Function', 'Method')").select(F.col("filePath").alias("path"), F.col("entityId").alias("sourceId"), F.col("startLine").alias("a"), F.col("endLine").alias("z")))
+
+
+def _receivers(within: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path, sourceId, receiver, type) of parameters and variables whose class or interface the text names."""
+    typed = nodes.where("kind = 'Parameter'").select(F.col("filePath").alias("path"), F.col("parentId").alias("sourceId"), F.col("name").alias("receiver"), F.regexp_extract("type", r"^([A-Za-z_$][\w$]*)(?:<.*>)?$", 1).alias("type"))
+    names = lambda pattern: within.select("path", "sourceId", F.explode(F.regexp_extract_all("clean", F.lit(pattern), F.lit(0))).alias("x")).select("path", "sourceId", F.regexp_extract("x", pattern, 1).alias("receiver"), F.regexp_extract("x", pattern, 2).alias("type"))
+    own = names(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*new\s+([A-Za-z_$][\w$]*)").unionByName(names(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*:\s*([A-Za-z_$][\w$]*)"))
+    return typed.unionByName(own).where("type <> ''").groupBy("path", "sourceId", "receiver").agg(F.min("type").alias("type"))
 
 
 def calls(files: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """CALLS from outer functions and methods to functions, by name or ``this.name`` in the same class;
-    weight 6 across files, 7 within; calls of unknown names have no row.  conditional: whether any call
-    stands in a branch or loop."""
-    lines = code_lines(files).select("path", "line", "before", F.explode(F.regexp_extract_all("clean", F.lit(r"(?<![\w.$])((?:this\.)?[A-Za-z_$][\w$]*)\s*\("), F.lit(1))).alias("callee"), F.col("clean").rlike(r"\b(?:if|for|while|switch|case)\b|\?").alias("branch"))
-    lines = lines.where(~F.col("callee").isin(*NOT_CALLS))
-    within = lines.join(_bodies(nodes), "path").where("line >= a AND line <= z")
-    plain = within.where(~F.col("callee").startswith("this.")).select("path", "sourceId", F.col("callee").alias("name"), "branch", "before").join(scope(nodes, targets), ["path", "name"])
+    """CALLS from outer functions and methods: by name, to methods of the same class by ``this.name``, of a class
+    or interface by its name or by a parameter or variable of that type, to what a module imported as a whole
+    declares; weight 6 across files, 7 within.  Calls of unknown names have no row.  nodes are read many times: hand
+    in a written table or a cut plan.  isConditional: whether any call stands in a branch or loop of the body, on its line or around it."""
+    within = innermost(code_lines(files).select("path", "line", "clean", "inside"), _bodies(nodes))
+    start = F.first("inside").over(Window.partitionBy("path", "sourceId").orderBy("line"))
+    within = cut(within.withColumn("branch", (F.col("inside") > start) | F.col("clean").rlike(r"\b(?:if|for|while|switch|case)\b|\?[^.?]")))
+    found = within.select("path", "line", "sourceId", "branch", F.explode(F.regexp_extract_all("clean", F.lit(r"(?<![\w.$])((?:[A-Za-z_$][\w$]*\??\.)?[A-Za-z_$][\w$]*)\s*\("), F.lit(1))).alias("callee")).where(~F.col("callee").isin(*NOT_CALLS))
+    found = found.withColumns({"receiver": F.regexp_extract("callee", r"^([\w$]+)\??\.", 1), "name": F.regexp_extract("callee", r"([\w$]+)$", 1)})
+    names = cut(scope(nodes, targets))
     methods = nodes.where("kind = 'Method'").select(F.col("entityId").alias("targetId"), "parentId", "name", F.col("filePath").alias("targetPath"))
-    mine = within.where(F.col("callee").startswith("this.")).select("path", "sourceId", F.substring("callee", 6, 500).alias("name"), "branch", "before").join(nodes.where("kind = 'Method'").select(F.col("entityId").alias("sourceId"), "parentId"), "sourceId").join(methods, ["parentId", "name"])
+    plain = found.where("receiver = ''").join(names, ["path", "name"])
+    mine = found.where("receiver = 'this'").join(nodes.where("kind = 'Method'").select(F.col("entityId").alias("sourceId"), "parentId"), "sourceId").join(methods, ["parentId", "name"])
+    known = found.where("receiver NOT IN ('', 'this')").join(_receivers(within, nodes), ["path", "sourceId", "receiver"], "left").withColumn("type", F.coalesce("type", "receiver"))
+    owners = names.select("path", F.col("name").alias("type"), F.col("targetId").alias("parentId"))
+    member = known.join(owners, ["path", "type"]).join(methods, ["parentId", "name"])
+    spaces = imported_names(targets).where("original = '*'").select("path", F.col("alias").alias("receiver"), F.col("resolved").alias("targetPath"))
+    through = found.join(spaces, ["path", "receiver"]).join(declared(nodes).withColumnRenamed("path", "targetPath"), ["targetPath", "name"])
     cols = ("path", "sourceId", "targetId", "targetPath", "branch")
-    rows = plain.select(*cols).unionByName(mine.select(*cols)).where("sourceId <> targetId").groupBy("sourceId", "targetId").agg(F.bool_or(F.col("path") != F.col("targetPath")).alias("isCrossFile"), F.bool_or("branch").alias("isConditional"))
+    every = plain.select(*cols).unionByName(mine.select(*cols)).unionByName(member.select(*cols)).unionByName(through.select(*cols))
+    rows = every.where("sourceId <> targetId").groupBy("sourceId", "targetId").agg(F.bool_or(F.col("path") != F.col("targetPath")).alias("isCrossFile"), F.bool_or("branch").alias("isConditional"))
     return _rel(rows, "CALLS", F.when(F.col("isCrossFile"), 6).otherwise(7), "isCrossFile", "isConditional")
 
 
+def components(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Component nodes (NODE's columns and declarationId): functions, function variables and classes with a
+    capital that hold JSX, or whose header names an element's type or React.FC; of equal names in a file the first."""
+    rows = nodes.where("kind IN ('Function', 'Class') AND name RLIKE '^[A-Z]'").withColumns({"path": F.col("filePath"), "a": F.col("startLine"), "z": F.col("endLine")})
+    says = code_lines(files).where(F.col("clean").rlike(r"\)\s*:[^{=]*(?:JSX\.Element|ReactElement)|\b(?:const|let|var)\s+\w+\s*:[^=]*(?:JSX\.Element|React\.FC|ReactElement)")).select("path", "line")
+    headers = rows.where("kind = 'Function'").join(says.withColumnRenamed("line", "startLine"), ["path", "startLine"], "left_semi").select(rows.columns)
+    render = nodes.where("kind = 'Method' AND name = 'render' AND returnType RLIKE 'JSX\\\\.Element|ReactElement'").select(F.col("parentId").alias("entityId"))
+    every = holding(rows, elements(files).select("path", "line")).unionByName(headers).unionByName(rows.join(render, "entityId", "left_semi").select(rows.columns))
+    own = every.withColumn("declarationId", F.col("entityId")).withColumns({"entityId": entity_id("component", F.concat_ws(":", "path", "name")), "kind": F.lit("Component"), "parentId": F.lit(None).cast("string"), "extra": F.lit(None).cast("string")})
+    first = own.groupBy("entityId").agg(F.min_by(F.struct(*(c for c in own.columns if c not in ("entityId", "path", "a", "z"))), F.struct("startLine", "declarationId")).alias("x"))
+    return first.select("entityId", "x.*")
+
+
+def component_uses(files: DataFrame, nodes: DataFrame, targets: DataFrame, found: DataFrame) -> DataFrame:
+    """USES_COMPONENT from the innermost component around a tag with a capital to the component that the tag
+    names in its file's scope; tags outside components and of unknown names have no row."""
+    tags = elements(files).where(F.col("tag").rlike("^[A-Z]")).select("path", "line", F.col("tag").alias("name"))
+    spans = found.select(F.col("filePath").alias("path"), F.col("entityId").alias("sourceId"), F.col("startLine").alias("a"), F.col("endLine").alias("z"))
+    there = found.select(F.col("declarationId").alias("declared"), F.col("entityId").alias("targetId"))
+    uses = innermost(tags, spans).select("path", "sourceId", "name").distinct().join(scope(nodes, targets).withColumnRenamed("targetId", "declared"), ["path", "name"]).join(there, "declared")
+    rows = uses.groupBy("sourceId", "targetId").agg(F.bool_or(F.col("path") != F.col("targetPath")).alias("isCrossFile"))
+    return _rel(rows, "USES_COMPONENT", 7, "isCrossFile")
+
+
 def error_handlers(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """HANDLES_ERROR from outer functions and methods to a name for each catch."""
     lines = code_lines(files).where(F.col("clean").rlike(r"\bcatch\b")).select("path", "line", F.regexp_extract("clean", r"\bcatch\s*\(\s*(\w+)", 1).alias("name"))
-    rows = lines.join(_bodies(nodes), "path").where("line >= a AND line <= z")
+    rows = innermost(lines, _bodies(nodes))
     target = F.when(F.col("name") != "", entity_id("parameter", F.concat_ws(":", "sourceId", "name"))).otherwise(entity_id("error_handler", F.concat_ws(":", "sourceId", F.col("line").cast("string"))))
     return _rel(rows.withColumn("targetId", target).select("sourceId", "targetId").distinct(), "HANDLES_ERROR", 5)
 
@@ -125,7 +172,7 @@ def error_handlers(files: DataFrame, nodes: DataFrame) -> DataFrame:
 def mutations(files: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """MUTATES_STATE from outer functions and methods to variables of the file, or imported ones, that they assign
     by ``=``; names that the function declares itself, other assignment operators and properties have no row."""
-    within = code_lines(files).select("path", "line", "clean").join(_bodies(nodes), "path").where("line >= a AND line <= z")
+    within = innermost(code_lines(files).select("path", "line", "clean"), _bodies(nodes))
     within = within.select("path", "sourceId", F.when(F.col("line") == F.col("a"), F.regexp_extract("clean", r"^[^{]*\{(.*)$", 1)).otherwise(F.col("clean")).alias("clean"))
     names = lambda pattern: within.select("path", "sourceId", F.explode(F.regexp_extract_all("clean", F.lit(pattern), F.lit(1))).alias("name")).distinct()
     local = names(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)").unionByName(nodes.where("kind = 'Parameter'").select(F.col("filePath").alias("path"), F.col("parentId").alias("sourceId"), "name"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from srcloom.extract import jsx as jsx_
 from srcloom.extract import python_source, sources, sql_source
 from srcloom.operators import resolve_ts
+from srcloom.operators.lineage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,7 +219,7 @@ HANDLES_ERROR|method:/s/a.ts:k.load|parameter:method:/s/a.ts:k.load:e|5|
 """)
 def ts_resolve(spark, sf):
     files = _files(spark, ("/s/a.ts", TS_A), ("/s/b.ts", TS_B))
-    nodes, _ = sources.typescript(files)
+    nodes = cut(sources.typescript(files)[0])
     targets = resolve_ts.import_targets(nodes)
     flag = lambda rows, c: rows.select(F.col("type").alias("what"), F.col("sourceId").alias("a"), F.col("targetId").alias("b"), F.col("weight").cast("string").alias("c"), (F.col(c).cast("string") if c else F.lit("")).alias("d"))
     parts = [flag(resolve_ts.file_imports(targets), "isPlaceholder"), flag(resolve_ts.resolved_imports(nodes, targets), ""), flag(resolve_ts.inheritance(nodes, targets), "isPlaceholder"), flag(resolve_ts.calls(files, nodes, targets), "isCrossFile"), flag(resolve_ts.error_handlers(files, nodes), "")]
@@ -347,10 +348,89 @@ def ts_mutations_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_ts.mutations(files, nodes, resolve_ts.import_targets(nodes))
 
 
+_CALLING_TS = """import * as all from './L{key}';
+import {{ Tool }} from './L{key}';
+export class Own{key} {{
+  static make() {{
+    return 1;
+  }}
+}}
+export function go{key}(t: Tool, n: number) {{
+  all.help{key}(n);
+  if (n > 1) {{
+    const s = "Own{key}.other()";
+    t.use();
+  }}
+  for (const x of [1])
+    Own{key}.make();
+  n.toFixed();
+}}
+"""
+_CALLED_TS = """export class Tool {{
+  use() {{
+  }}
+}}
+export function help{key}(n: number) {{
+}}
+"""
+_USING_TSX = """import {{ Badge{key} }} from './B{key}';
+export const Card{key} = () => (
+  <div>
+    <Badge{key} size="1" />
+    <Row{key}><b>x</b></Row{key}>
+    <Unknown />
+  </div>
+);
+export function Row{key}(): JSX.Element {{
+  return null;
+}}
+export const helper = () => <Badge{key} />;
+"""
+_USED_TSX = """export class Badge{key} {{
+  render() {{
+    return <i />;
+  }}
+}}
+export class Plain {{
+}}
+"""
+
+
+def _pairs_of_customers(spark: SparkSession, sf_dir: str, one: tuple[str, str], other: tuple[str, str], end: str) -> DataFrame:
+    """Two files of each customer: (folder and letter, template) each."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    a, b = (_sources_of(customer, text, F.concat(F.lit(head), "c_custkey", F.lit(end)), key=F.col("c_custkey")) for head, text in (one, other))
+    return a.unionByName(b)
+
+
+def ts_calls_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of members of a module, a class and a typed parameter, some in branches."""
+    files = _pairs_of_customers(spark, sf_dir, ("/k/C", _CALLING_TS), ("/k/L", _CALLED_TS), ".ts")
+    nodes = cut(sources.typescript(files)[0])
+    return resolve_ts.calls(files, nodes, resolve_ts.import_targets(nodes)).drop("entityId")
+
+
+def tsx_components_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components and which uses which."""
+    files = _pairs_of_customers(spark, sf_dir, ("/x/C", _USING_TSX), ("/x/B", _USED_TSX), ".tsx")
+    nodes = cut(sources.typescript(files)[0])
+    found = cut(resolve_ts.components(files, nodes))
+    return _graph((found, resolve_ts.component_uses(files, nodes, resolve_ts.import_targets(nodes), found)))
+
+
 _P = "p_partkey, p_size, 'javaclass:shop.s' || p_size || '.p' || p_partkey AS o, '/p/p' || p_partkey || '.java' AS f"
 _C = "c_custkey AS k, '/c/c' || c_custkey || '.ts' AS f, 'method:/c/c' || c_custkey || '.ts:c' || c_custkey || '.load' AS m"
-QUERIES |= {"java_of_parts": java_of_parts, "ts_of_customers": ts_of_customers, "ts_columns_of_customers": ts_columns_of_customers, "ts_mutations_of_customers": ts_mutations_of_customers}
+QUERIES |= {"java_of_parts": java_of_parts, "ts_of_customers": ts_of_customers, "ts_columns_of_customers": ts_columns_of_customers, "ts_mutations_of_customers": ts_mutations_of_customers, "ts_calls_of_customers": ts_calls_of_customers, "tsx_components_of_customers": tsx_components_of_customers}
 ORACLES |= {
+    "ts_calls_of_customers": " UNION ALL ".join(
+        f"SELECT 'CALLS' AS type, 'function:/k/c' || k || '.ts:go' || k || ':8' AS sourceId, {target} AS targetId, {weight} AS weight, {far} AS isCrossFile, {often} AS isConditional FROM (SELECT c_custkey AS k FROM customer)" for target, weight, far, often in (
+            ("'function:/k/l' || k || '.ts:help' || k || ':5'", 6, "true", "false"), ("'method:/k/l' || k || '.ts:tool.use'", 6, "true", "true"), ("'method:/k/c' || k || '.ts:own' || k || '.make'", 7, "false", "true"),
+        )
+    ),
+    "tsx_components_of_customers": _of_rows(
+        "customer", "c_custkey AS k, 'component:/x/c' || c_custkey || '.tsx:card' || c_custkey AS card, 'component:/x/c' || c_custkey || '.tsx:row' || c_custkey AS r, 'component:/x/b' || c_custkey || '.tsx:badge' || c_custkey AS badge",
+        ("Component", "card", "'Card' || k", "2", "8"), ("Component", "r", "'Row' || k", "9", "11"), ("Component", "badge", "'Badge' || k", "1", "5"), ("USES_COMPONENT", "card", "badge", "7", ""), ("USES_COMPONENT", "card", "r", "7", ""),
+    ),
     "ts_mutations_of_customers": "SELECT 'mutates_state:' || a || ':' || b AS entityId, 'MUTATES_STATE' AS type, a AS sourceId, b AS targetId, 8 AS weight FROM (SELECT 'function:/m/c' || c_custkey || '.ts:add' || c_custkey || ':3' AS a, 'variable:/m/c' || c_custkey || '.ts:total' || c_custkey || ':1' AS b FROM customer)",
     "java_of_parts": _of_rows(
         "part", _P, ("PackageDeclaration", "'packagedeclaration:' || f || ':shop.s' || p_size", "'shop.s' || p_size", "1", "1"), ("JavaClass", "o", "'P' || p_partkey", "3", "11"),

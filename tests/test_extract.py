@@ -48,7 +48,8 @@ def test_stream_keeps_the_last_version(spark, tmp_path):
 
 def test_lexer_blanks_strings_and_joins_headers():
     text = "import {\n  a\n} from './x'; // {\nclass K {\n  m(\n    p = `{ ${`n`} // no`,\n  ) {\n    const r = /[/\"{]+/g, q = 4 / 2 / 1; /* {\n } */ f(() => {\n    });\n  }\n}"
-    clean = [c for _, c in lexer.logical_lines(text)]
+    clean = [c for _, c, _ in lexer.logical_lines(text)]
+    assert [k for _, _, k in lexer.logical_lines(text)] == [3, 2, 3, 4, 7, 6, 7, 8, 9, 10, 11, 12][: len(clean)]
     assert [" ".join(c.split()) for c in clean] == ["import { a } from '';", "", "", "class K {", "m( p = ``, ) {", "", "", 'const r = "", q = 4 / 2 / 1;', "f(() => {", "});", "}", "}"]
     assert lexer.parameters("m(a: (x: number) => void, {b, c}: P, d = [1, 2])") == ["a: (x: number) => void", "{b, c}: P", "d = [1, 2]"]
     assert lexer.sql_statements("a ';' -- ;\nb; /* ; */ c") == [("a ';' \nb", 0), ("  c", 1)]
