@@ -28,6 +28,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcloom.llm.arrays import BLOCK, running
 from srcloom.llm.langid import SHARES, share_of
 
 # The base patterns.
@@ -38,35 +39,16 @@ LEAST_VALUE = 6
 # The method's.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST, RATIO, SAMPLE_DOCS, DIGESTS = 20, 0.6, 2000, 2000
-BLOCK = 256
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 WORD = r"[A-Za-z0-9+/_=-]{6,}"
 #: What a word must look like to be labelled ordinary: words of letters, with a short number at the end.
-ORDINARY = r"^[A-Za-z]+(?:[-_=+/][A-Za-z]+)*\d{0,4}$"
+#: Possessive, as a repeated group that may give back takes a stack frame of the JVM for each turn.
+ORDINARY = r"^[A-Za-z]++(?:[-_=+/][A-Za-z]++)*+\d{0,4}$"
 SEPARATORS = ("=", "[/+=_-]")
 PART = "array<struct<start:int,end:int,token:string>>"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
-def _running(items: F.Column, first: F.Column, kind: str, step) -> F.Column:
-    """Goes through an array from a place ``first``: step(place, item) gives the next place and an array of
-    results; all results in order, as an array of type ``kind``."""
-    none = F.array().cast(kind)
-
-    def in_block(acc, x):
-        at, own = step(acc["at"], x)
-        return F.struct(at.alias("at"), F.when(F.size(own) > 0, F.concat(acc["own"], own)).otherwise(acc["own"]).cast(kind).alias("own"))
-
-    def block(acc, k):
-        inner = F.aggregate(F.slice(items, k * BLOCK + 1, BLOCK), F.struct(acc["at"].alias("at"), none.alias("own")), in_block)
-        # by way of an array, so that the block is gone through once
-        return F.transform(F.array(inner), lambda i: F.struct(i["at"].alias("at"), F.concat(acc["own"], F.array(i["own"])).cast(f"array<{kind}>").alias("own")))[0]
-
-    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
-    whole = F.aggregate(blocks, F.struct(first.alias("at"), F.array().cast(f"array<{kind}>").alias("own")), block, lambda acc: F.flatten(acc["own"]))
-    return F.when(F.size(items) > 0, whole).otherwise(none)
-
-
 def _matches(text: F.Column, pattern: str) -> F.Column:
     """A pattern's matches with the lengths of what stands before each."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -81,7 +63,7 @@ def _found(text: F.Column, pattern: str, rank: int, kind: str, group: bool = Fal
         own = F.array(F.struct(a.alias("start"), F.lit(rank).alias("rank"), z.alias("end"), F.lit(kind).alias("kind")))
         return z, F.when(F.length(F.regexp_extract(x["token"], pattern, 1)) >= LEAST_VALUE, own).otherwise(F.array().cast(SPAN)) if group else own
 
-    return F.when(text.rlike(pattern), _running(_matches(text, pattern), F.lit(0), SPAN, step)).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), running(_matches(text, pattern), F.lit(0), SPAN, step)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -142,12 +124,12 @@ def _outside(c: F.Column, base: F.Column) -> F.Column:
     over = F.filter(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
     last = F.struct(c["end"].alias("start"), c["end"].alias("end"))
     ends = F.concat(F.transform(over, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))), F.array(last))
-    return F.when(F.size(over) > 0, _running(ends, c["start"], PART, lambda at, b: (F.greatest(at, b["end"]), part(at, b["start"])))).otherwise(F.array(c).cast(PART))
+    return F.when(F.size(over) > 0, running(ends, c["start"], PART, lambda at, b: (F.greatest(at, b["end"]), part(at, b["start"])))).otherwise(F.array(c).cast(PART))
 
 
 def _between(c: F.Column, separator: str) -> F.Column:
     """Parts of a candidate between separators of one character; none where it has no separator."""
-    parts = _running(F.split(c["token"], separator, -1), c["start"], PART, lambda at, x: (at + F.length(x) + 1, _part(at, at + F.length(x), x)))
+    parts = running(F.split(c["token"], separator, -1), c["start"], PART, lambda at, x: (at + F.length(x) + 1, _part(at, at + F.length(x), x)))
     return F.when(c["token"].rlike(separator), parts).otherwise(F.array().cast(PART))
 
 
@@ -166,7 +148,7 @@ def markov_spans(docs: DataFrame, table: list[float], text: str = "text") -> Dat
         z = at + x["gap"] + x["len"]
         return z, F.array(F.struct((at + x["gap"]).alias("start"), z.alias("end"), x["token"].alias("token"))).cast(PART)
 
-    placed = F.when(t.rlike(CANDIDATE), _running(_matches(t, CANDIDATE), F.lit(0), PART, place)).otherwise(F.array().cast(PART))
+    placed = F.when(t.rlike(CANDIDATE), running(_matches(t, CANDIDATE), F.lit(0), PART, place)).otherwise(F.array().cast(PART))
 
     def free(block):
         first, last = block[0]["start"], F.element_at(block, -1)["end"]
@@ -209,7 +191,7 @@ def masked(docs: DataFrame, mask: str = "[SECRET]", table: list[float] | None =
     table = table or train(labelled_samples(docs.select("doc_id", "text")))
     found = scan(docs.select(F.struct("*").alias("_row"), "text"), table).withColumn("_spans", F.array_sort(F.concat("base", "added")))
     # spans without what an earlier one holds, with the end of the one before
-    fresh = _running(F.col("_spans"), F.lit(0), "array<struct<from:int,to:int,end:int>>", lambda at, x: (F.greatest(at, x["end"]), F.when(x["start"] >= at, F.array(F.struct(at.alias("from"), x["start"].alias("to"), x["end"].alias("end")))).otherwise(F.array()).cast("array<struct<from:int,to:int,end:int>>")))
+    fresh = running(F.col("_spans"), F.lit(0), "array<struct<from:int,to:int,end:int>>", lambda at, x: (F.greatest(at, x["end"]), F.when(x["start"] >= at, F.array(F.struct(at.alias("from"), x["start"].alias("to"), x["end"].alias("end")))).otherwise(F.array()).cast("array<struct<from:int,to:int,end:int>>")))
 
     def cut(block):
         a = block[0]["from"]

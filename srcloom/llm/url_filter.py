@@ -25,6 +25,7 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcloom.llm.arrays import running
 from srcloom.llm.components import connected_components, salted_join
 from srcloom.llm.storage import materialize
 
@@ -32,12 +33,11 @@ from srcloom.llm.storage import materialize
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 MOST_RULES = 500
 TRACKING = r"(?:utm_[^=&]*|ref|fbclid|gclid)(?:=[^&]*)?"
-CANONICAL = (
-    r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*?\bhref\s*=\s*["']?([^"'>\s]+)""",
-    r"""(?i)<link\b[^>]*\bhref\s*=\s*["']?([^"'>\s]+)["']?[^>]*\brel\s*=\s*["']?canonical\b""",
-    r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*?\burl\s*=\s*["']?([^"'>\s]+)""",
-    r"""(?i)<meta\b[^>]*\burl\s*=\s*["']?([^"'>\s]+)["']?[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""",
-)
+#: What no link stands in.  Patterns here give back nothing that they have taken, so each reads a page once.
+NO_MARKUP = r"(?i)<!--(?:-?>|[\s\S]*?(?:-->|--!>|\z))|" + "|".join(rf"<{x}[\s/>][\s\S]*?(?:</{x}[\s/>]|\z)" for x in ("script", "style", "template", "textarea", "title"))
+#: A tag up to its end; one that doesn't end has no ``>``.
+TAG = r"""(?i)<(?:link|meta)[\s/](?:[^>"']++|"[^"]*+"|'[^']*+')*+>?"""
+ATTRIBUTE = r"""[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?"""
 
 
 def _rest(url: F.Column) -> F.Column:
@@ -58,14 +58,24 @@ def canonical_of(url: F.Column) -> F.Column:
     """The canonical form, and key of the alias class; of a url without ``://`` null."""
     query = F.regexp_extract(_rest(url), r"^[^?#]*\?([^#]*)", 1)
     kept = F.regexp_replace(F.regexp_replace(F.regexp_replace(query, rf"(?<=^|&){TRACKING}(?=&|$)", ""), "&+", "&"), "^&|&$", "")
-    host = F.regexp_replace(host_of(url), r"^(?:www\.|m\.)+(?=[^.]+\.)", "")
+    host = F.regexp_replace(host_of(url), r"^(?:(?:www|m)\.(?=[^.]++\.))++", "")
     path = F.regexp_replace(path_of(url), r"/+$", "")
     return F.when(_rest(url).isNotNull(), F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))))
 
 
 def links_of(html: F.Column) -> F.Column:
-    """Where all of a page's canonical links and refreshes lead, as an array; ampersands are decoded."""
-    found = F.array_distinct(F.concat(*(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in CANONICAL)))
+    """Where all of a page's canonical links and refreshes lead, as an array; ampersands are decoded.
+    Comments, scripts and other text that isn't markup hold none; of an attribute's repeats the first counts."""
+    tags = F.filter(F.regexp_extract_all(F.regexp_replace(html, NO_MARKUP, " "), F.lit(TAG), F.lit(0)), lambda t: t.endswith(">"))
+
+    def target(tag):
+        own = F.regexp_extract_all(F.regexp_replace(tag, r"^<\w+", ""), F.lit(ATTRIBUTE), F.lit(0))
+        value = lambda name: F.regexp_replace(F.regexp_replace(F.element_at(F.concat(F.filter(own, lambda x: x.rlike(rf"(?i)^{name}(?:\s*=|$)")), F.array(F.lit("="))), 1), r"^[^=]*+=?\s*+", ""), """^["']|["']$""", "")
+        link = F.when(F.concat(F.lit(" "), F.lower(value("rel")), F.lit(" ")).rlike(r"\scanonical\s"), value("href"))
+        refresh = F.when(F.lower(F.trim(value("http-equiv"))) == "refresh", F.regexp_extract(value("content"), r"""(?i)(?:^|[\s;,])url\s*+=\s*+["']?([^"'\s]+)""", 1))
+        return F.trim(F.when(F.lower(F.substring(tag, 2, 4)) == "link", link).otherwise(refresh))
+
+    found = F.array_distinct(F.filter(F.transform(tags, target), lambda x: x.isNotNull() & (x != "")))
     return F.transform(found, lambda x: F.regexp_replace(x, "(?i)&(?:amp|#0*38|#x0*26);", "&"))
 
 
@@ -80,10 +90,12 @@ def absolute(url: F.Column, found: F.Column) -> F.Column:
 
 def _without_dots(url: F.Column) -> F.Column:
     """A url whose path has no ``.`` and ``..`` segments any more."""
-    none = F.array().cast("array<string>")
     segments = F.split(F.regexp_replace(path_of(url), "^/", ""), "/")
-    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-    kept = F.aggregate(segments, none, lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    # from the last to the first: how many segments a ".." behind has yet to take
+    nothing = F.array().cast("array<string>")
+    step = lambda skip, x: (F.when(x == "..", skip + 1).when((x == ".") | (skip == 0), skip).otherwise(skip - 1), F.when((skip == 0) & ~x.isin(".", ".."), F.array(x)).otherwise(nothing))
+    # by way of an array, so that the path is split once
+    kept = F.reverse(F.transform(F.array(F.reverse(segments)), lambda x: running(x, F.lit(0), "array<string>", step))[0])
     # a path that ends in a dot segment ends in a slash
     tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
     front = F.regexp_extract(url, r"^[^:/?#]*://[^/?#]*", 0)
@@ -141,13 +153,14 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 #: The same in SQL, but for ``.`` and ``..`` in the paths of links.
 SQL = r"""
-WITH RECURSIVE found AS (
-  SELECT url, regexp_replace(link, '&(amp|#0*38|#x0*26);', '&', 'gi') AS link FROM (SELECT DISTINCT url, unnest(list_concat(
-    regexp_extract_all(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical["'']?[^>]*?\bhref\s*=\s*["'']?([^"''>\s]+)', 1, 'i'),
-    regexp_extract_all(html, '<link\b[^>]*\bhref\s*=\s*["'']?([^"''>\s]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1, 'i'),
-    regexp_extract_all(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh["'']?[^>]*?\burl\s*=\s*["'']?([^"''>\s]+)', 1, 'i'),
-    regexp_extract_all(html, '<meta\b[^>]*\burl\s*=\s*["'']?([^"''>\s]+)["'']?[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b', 1, 'i'))) AS link
-    FROM pages WHERE url IS NOT NULL AND html IS NOT NULL)),
+WITH RECURSIVE tags AS (
+  SELECT DISTINCT url, unnest(regexp_extract_all(regexp_replace(html, '<!--(?:-?>|[\s\S]*?(?:-->|--!>|\z))|<script[\s>/][\s\S]*?(?:</script[\s>/]|\z)|<style[\s>/][\s\S]*?(?:</style[\s>/]|\z)|<template[\s>/][\s\S]*?(?:</template[\s>/]|\z)|<textarea[\s>/][\s\S]*?(?:</textarea[\s>/]|\z)|<title[\s>/][\s\S]*?(?:</title[\s>/]|\z)', ' ', 'gi'),
+    '<(?:link|meta)[\s/](?:[^>"'']|"[^"]*"|''[^'']*'')*>?', 0, 'i')) AS tag FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+attrs AS (SELECT url, lower(substr(tag, 2, 4)) AS kind, regexp_extract_all(regexp_replace(tag, '^<\w+', ''), '[^\s"''>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))?', 0) AS own FROM tags WHERE ends_with(tag, '>')),
+named AS (SELECT url, kind, list_transform(['rel', 'href', 'http-equiv', 'content'], lambda n: regexp_replace(regexp_replace(coalesce(list_filter(own, lambda x: regexp_matches(x, '^' || n || '(?:\s*=|$)', 'i'))[1], '='), '^[^=]*=?\s*', ''), '^["'']|["'']$', '', 'g')) AS v FROM attrs),
+found AS (SELECT DISTINCT url, regexp_replace(link, '&(amp|#0*38|#x0*26);', '&', 'gi') AS link FROM (SELECT url, trim(CASE
+    WHEN kind = 'link' THEN CASE WHEN regexp_matches(' ' || lower(v[1]) || ' ', '\scanonical\s') THEN v[2] END
+    WHEN lower(trim(v[3])) = 'refresh' THEN regexp_extract(v[4], '(?:^|[\s;,])url\s*=\s*["'']?([^"''\s]+)', 1, 'i') END) AS link FROM named) WHERE link <> ''),
 parts AS (SELECT url, link, regexp_extract(url, '^([^:/?#]*)://', 1) AS scheme, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM found),
 rooted AS (SELECT url, link, scheme, scheme || '://' || regexp_extract(rest, '^[^/?#]*') AS root, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
 led AS (SELECT url, CASE WHEN strpos(link, '://') > 0 THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN root || link

@@ -397,6 +397,35 @@ def test_url_filter_resolves_dots(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
 
 
+def test_url_filter_of_very_long_urls_and_pages(spark):
+    n = 1_000_000
+    link = "<link rel=canonical href='https://x.net/'>"
+    rows = [
+        (1, f"https://{'m.' * (n // 2)}x.com/", None), (2, f"https://{'a' * n}.com/", None), (3, "https://a.com/3", "<link rel=canonical " * (n // 20)), (4, "https://a.com/4", "<!-- canonical " * (n // 15) + link),
+        (5, "https://a.com/5", "<link rel=canonical href=" + "x" * n), (6, "https://a.com/6", f"<link rel=canonical href='{'./../' * (n // 5)}q'>"), (7, "https://x.net/q", None), (8, "https://a.com/8", f"<link rel=canonical href='https://x.net/{'a/../' * (n // 5)}q'>"),
+        (9, "https://a.com/9", "<link '" * (n // 7) + "canonical"), (10, "https://a.com/10", "canonical" + "<script>" * (n // 8)),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "block" if k in (7, 8) else "allow" for k in range(1, 11)}
+
+
+def test_links_stand_in_markup_only(spark):
+    link = "<link rel='canonical' href='https://x.net/{}'>"
+    rows = [
+        (1, "https://a.com/1", f"<!-- {link.format(1)} -->"), (2, "https://a.com/2", f"<script>'{link.format(2)}'</script>"), (3, "https://a.com/3", f"<!--> {link.format(3)} -->"), (4, "https://a.com/4", "<link title='a > b' rel='nofollow CANONICAL' href = \"https://x.net/4\" />"),
+        (5, "https://a.com/5", "<link title=\"rel=canonical href='https://x.net/5'\">"), (6, "https://a.com/6", "<link rel='canonical' data-href='https://x.net/6'>"), (7, "https://a.com/7", "<link rel=canonical href=https://b.com/7 href=https://x.net/7>"), (8, "https://a.com/8", f"<textarea>{link.format(8)}</textarea><style>{link.format(8)}</style>"),
+        (9, "https://a.com/9", f"<script>/* <!-- */</script>{link.format(9)}"), (10, "https://a.com/10", f"<!-- <script> -->{link.format(10)}"), (11, "https://a.com/11", "<meta http-equiv=Refresh content='5; URL = https://x.net/11'>"), (12, "https://a.com/12", "<link rel=canonical><link href=https://x.net/12>"),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {3, 4, 9, 10, 11}
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert {r[0]: r[4] for r in db.execute(url_filter.SQL).fetchall()} == got
+
+
 def test_chats(spark):
     calls = spark.createDataFrame(
         [("c", "1", 0, "ask", '{"turn": 1, "text": "a\\"b"}', None), ("c", "2", 1, "ask", '{"text": 5}', "1"), ("c", "3", 2, "ask", "{bad", "2"), ("c", "4", 3, "other", "{}", "9"), ("c", "5", 4, "ask", '{"text":"é","turn":2,"x":{"b":1,"a":[2]}}', "6"), ("c", "6", 5, "ask", None, "5"), ("c", "1", 9, "ask", "{}", None), (None, "7", 1, "ask", "{}", None)],

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from srcloom.llm import bpe, langid, secrets, token_files
+from srcloom.llm import arrays, bpe, langid, secrets, token_files
 from srcloom.llm.bytes_kernel import PieceCache, encode_column, pieces, slices, utf8_column
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -273,7 +273,8 @@ def python_spans(text, table):
 
 
 def test_markov_spans_match_plain_loops(spark, monkeypatch):
-    monkeypatch.setattr(secrets, "BLOCK", 3)  # several blocks in a text
+    for module in (arrays, secrets):
+        monkeypatch.setattr(module, "BLOCK", 3)  # several blocks in a text
     random.seed(13)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     table = secrets.train(secrets.labelled_samples(docs))
@@ -312,3 +313,12 @@ def test_samples_of_any_number_of_rows():
     """Shares that would round to nothing still choose rows."""
     assert langid.share_of(2000, 10**10) > 0 and langid.share_of(2000, 10**18) > 0
     assert langid.share_of(2000, 1999) == langid.SHARES and abs(langid.share_of(2000, 10**10) / langid.SHARES - 2e-7) < 1e-12
+
+
+def test_secrets_of_words_of_any_length(spark):
+    """A hyphenated word of a million characters is read without a frame of the stack for each of its parts."""
+    word = "-".join("a" * 500_000)
+    docs = spark.createDataFrame([(1, f"x {word} y"), (2, "plain words")], "doc_id long, text string")
+    assert secrets.labelled_samples(docs).where(F.length("token") > 1000).count() == 1
+    assert {r.doc_id: r.spans for r in secrets.secret_report(docs).collect()} == {1: "", 2: ""}
+    assert [r.text for r in secrets.masked(docs).orderBy("doc_id").collect()] == [f"x {word} y", "plain words"]
