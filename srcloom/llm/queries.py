@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from srcloom.llm import bpe, chat, decontaminate, hard_negatives, jaccard_join, jpeg, langid, runs, secrets, site_style, token_files, url_filter
+from srcloom.llm import bpe, chat, decontaminate, hard_negatives, jaccard_join, jpeg, langid, licenses, runs, secrets, site_style, token_files, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_read(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_url_filter, op4_main_text, op5_token_files, op6_secrets, op7_decontamination, op8_chat, op9_jaccard_join, op10_jpeg_media, op11_hard_negatives, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_url_filter, op4_main_text, op5_token_files, op6_secrets, op7_decontamination, op8_chat, op9_jaccard_join, op10_jpeg_media, op11_hard_negatives, op12_license_scan, op13_periodic_runs)}
 ORACLES: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op11_hard_negatives": hard_negatives.SQL}
