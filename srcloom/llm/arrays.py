@@ -10,6 +10,11 @@ BLOCK = 256
 def running(items: F.Column, first: F.Column, kind: str, step) -> F.Column:
     """Goes through an array from a place ``first``: step(place, item) gives the next place and an array of
     results; all results in order, as an array of type ``kind``."""
+    # by way of an array, so that what the items come from is worked out once
+    return F.transform(F.array(items), lambda own: _running(own, first, kind, step))[0]
+
+
+def _running(items: F.Column, first: F.Column, kind: str, step) -> F.Column:
     none = F.array().cast(kind)
 
     def in_block(acc, x):

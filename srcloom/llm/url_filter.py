@@ -94,8 +94,7 @@ def _without_dots(url: F.Column) -> F.Column:
     # from the last to the first: how many segments a ".." behind has yet to take
     nothing = F.array().cast("array<string>")
     step = lambda skip, x: (F.when(x == "..", skip + 1).when((x == ".") | (skip == 0), skip).otherwise(skip - 1), F.when((skip == 0) & ~x.isin(".", ".."), F.array(x)).otherwise(nothing))
-    # by way of an array, so that the path is split once
-    kept = F.reverse(F.transform(F.array(F.reverse(segments)), lambda x: running(x, F.lit(0), "array<string>", step))[0])
+    kept = F.reverse(running(F.reverse(segments), F.lit(0), "array<string>", step))
     # a path that ends in a dot segment ends in a slash
     tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
     front = F.regexp_extract(url, r"^[^:/?#]*://[^/?#]*", 0)
