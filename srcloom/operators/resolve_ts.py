@@ -13,6 +13,7 @@ from srcloom.extract.jsx import elements
 from srcloom.extract.lines import code_lines
 from srcloom.extract.sources import file_id
 from srcloom.functions.identity import entity_id, relationship_id
+from srcloom.operators import exports
 from srcloom.operators.aggregate import DECISIONS
 from srcloom.operators.lineage import cut
 from srcloom.operators.resolve import import_candidates
@@ -67,29 +68,47 @@ def declared(nodes: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("filePath").alias("path"), "name").agg(F.min_by("entityId", F.struct(order, "startLine")).alias("targetId"))
 
 
-def resolved_imports(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """RESOLVES_IMPORT from a file to what it imports by name, or to the file for a namespace."""
+def export_names(files: DataFrame, nodes: DataFrame, targets: DataFrame, extensions=EXTENSIONS) -> tuple[DataFrame, DataFrame]:
+    """The located export clauses of files, and what all names that they export come to, over any number of files
+    (``exports.follow``).  nodes are read many times: hand in a written table or a cut plan."""
+    clauses = cut(exports.located(exports.export_clauses(files), nodes, extensions))
+    return clauses, exports.exported_names(exports.own_edges(declared(nodes), declared(nodes.where("isExported")), clauses, imported_names(targets)), clauses)
+
+
+def _there(nodes: DataFrame, names: DataFrame | None) -> DataFrame:
+    """(resolved, original, targetId, targetPath) of what can be imported from files: what they declare, and with
+    ``names`` (of ``export_names``) what they export comes first."""
+    own = declared(nodes).select(F.col("path").alias("resolved"), F.col("name").alias("original"), "targetId", F.col("path").alias("targetPath"))
+    if names is None:
+        return own
+    via = names.where("status = 'resolved'").select(F.col("path").alias("resolved"), F.col("name").alias("original"), "targetId", "targetPath")
+    return via.unionByName(own.join(names.select(F.col("path").alias("resolved"), F.col("name").alias("original")), ["resolved", "original"], "left_anti"))
+
+
+def resolved_imports(nodes: DataFrame, targets: DataFrame, exported: DataFrame | None = None) -> DataFrame:
+    """RESOLVES_IMPORT from a file to what it imports by name, or to the file for a namespace; with ``exported`` (of
+    ``export_names``) through the files that hand names on."""
     names = imported_names(targets)
-    known = names.join(declared(nodes).withColumnsRenamed({"path": "resolved", "name": "original"}), ["resolved", "original"])
+    known = names.join(_there(nodes, exported), ["resolved", "original"])
     spaces = names.where("original = '*'").select("path", file_id(F.col("resolved")).alias("targetId"))
     rows = known.select("path", "targetId").unionByName(spaces).select(file_id(F.col("path")).alias("sourceId"), "targetId").distinct()
     return _rel(rows, "RESOLVES_IMPORT", 8)
 
 
-def scope(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(path, name, targetId, targetPath): names as a file sees them; its own come before imported ones."""
+def scope(nodes: DataFrame, targets: DataFrame, exported: DataFrame | None = None) -> DataFrame:
+    """(path, name, targetId, targetPath): names as a file sees them; its own come before imported ones, which are
+    followed through ``exported`` where that is given."""
     own = declared(nodes).withColumns({"targetPath": F.col("path"), "rank": F.lit(0)})
-    there = declared(nodes).withColumnsRenamed({"path": "resolved", "name": "original"})
-    via = imported_names(targets).join(there, ["resolved", "original"]).select("path", F.col("alias").alias("name"), "targetId", F.col("resolved").alias("targetPath"), F.lit(1).alias("rank"))
+    via = imported_names(targets).join(_there(nodes, exported), ["resolved", "original"]).select("path", F.col("alias").alias("name"), "targetId", "targetPath", F.lit(1).alias("rank"))
     return own.unionByName(via).groupBy("path", "name").agg(F.min_by(F.struct("targetId", "targetPath"), "rank").alias("t")).select("path", "name", "t.*")
 
 
-def inheritance(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+def inheritance(nodes: DataFrame, targets: DataFrame, exported: DataFrame | None = None) -> DataFrame:
     """EXTENDS and IMPLEMENTS; a base that isn't found is a placeholder of its name."""
     rows = nodes.where("kind IN ('Class', 'Interface') AND extra IS NOT NULL").select(F.col("filePath").alias("path"), "kind", F.col("entityId").alias("sourceId"), F.regexp_replace("extra", r"<[^<>]*>|\{.*$", "").alias("extra"))
     part = lambda pattern, kind: F.transform(F.filter(F.split(F.regexp_extract("extra", pattern, 1), r"\s*,\s*"), lambda x: F.trim(x) != ""), lambda x: F.struct(F.lit(kind).alias("type"), F.trim(x).alias("name")))
     bases = rows.select("path", "kind", "sourceId", F.explode(F.concat(part(r"\bextends\s+(.*?)(?:\bimplements\b|$)", "EXTENDS"), part(r"\bimplements\s+(.*)$", "IMPLEMENTS"))).alias("b")).select("path", "kind", "sourceId", "b.type", "b.name")
-    found = bases.join(scope(nodes, targets), ["path", "name"], "left")
+    found = bases.join(scope(nodes, targets, exported), ["path", "name"], "left")
     other = F.when((F.col("type") == "EXTENDS") & (F.col("kind") == "Class"), entity_id("class", F.concat_ws(":", "path", "name"))).otherwise(entity_id("interface", F.concat_ws(":", "path", "name")))
     return _rel(found.withColumns({"isPlaceholder": F.col("targetId").isNull(), "targetId": F.coalesce("targetId", other)}), F.col("type"), 9, "isPlaceholder")
 
@@ -112,17 +131,17 @@ def _receivers(within: DataFrame, nodes: DataFrame) -> DataFrame:
     return typed.unionByName(own).where("type <> ''").groupBy("path", "sourceId", "receiver").agg(F.min("type").alias("type"))
 
 
-def calls(files: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
+def calls(files: DataFrame, nodes: DataFrame, targets: DataFrame, exported: DataFrame | None = None) -> DataFrame:
     """CALLS from outer functions and methods: by name, to methods of the same class by ``this.name``, of a class
     or interface by its name or by a parameter or variable of that type, to what a module imported as a whole
-    declares; weight 6 across files, 7 within.  Calls of unknown names have no row.  nodes are read many times: hand
+    declares; weight 6 across files, 7 within; imported names are followed through ``exported``, as in ``scope``.  Calls of unknown names have no row.  nodes are read many times: hand
     in a written table or a cut plan.  isConditional: whether any call stands in a branch or loop of the body, on its line or around it."""
     within = innermost(code_lines(files).select("path", "line", "clean", "inside"), _bodies(nodes))
     start = F.first("inside").over(Window.partitionBy("path", "sourceId").orderBy("line"))
     within = cut(within.withColumn("branch", (F.col("inside") > start) | F.col("clean").rlike(r"\b(?:if|for|while|switch|case)\b|\?[^.?]")))
     found = within.select("path", "line", "sourceId", "branch", F.explode(F.regexp_extract_all("clean", F.lit(r"(?<![\w.$])((?:[A-Za-z_$][\w$]*\??\.)?[A-Za-z_$][\w$]*)\s*\("), F.lit(1))).alias("callee")).where(~F.col("callee").isin(*NOT_CALLS))
     found = found.withColumns({"receiver": F.regexp_extract("callee", r"^([\w$]+)\??\.", 1), "name": F.regexp_extract("callee", r"([\w$]+)$", 1)})
-    names = cut(scope(nodes, targets))
+    names = cut(scope(nodes, targets, exported))
     methods = nodes.where("kind = 'Method'").select(F.col("entityId").alias("targetId"), "parentId", "name", F.col("filePath").alias("targetPath"))
     plain = found.where("receiver = ''").join(names, ["path", "name"])
     mine = found.where("receiver = 'this'").join(nodes.where("kind = 'Method'").select(F.col("entityId").alias("sourceId"), "parentId"), "sourceId").join(methods, ["parentId", "name"])

@@ -358,7 +358,8 @@ def schema_summary(spark, sf):
 
 
 # Queries on source code stand beside the extractors.
-from srcloom.plans import source_queries  # noqa: E402
+from srcloom.plans import module_queries, source_queries  # noqa: E402
 
-QUERIES |= source_queries.QUERIES
-ORACLES |= source_queries.ORACLES
+for own in (source_queries, module_queries):
+    QUERIES |= own.QUERIES
+    ORACLES |= own.ORACLES

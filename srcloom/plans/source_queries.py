@@ -286,7 +286,7 @@ export const A{key} = 1, B{key} = "a, b";
 """
 
 
-def _sources_of(rows: DataFrame, template: str, path, **values) -> DataFrame:
+def sources_of(rows: DataFrame, template: str, path, **values) -> DataFrame:
     """(path, content) of a template with a row's values in it."""
     parts = [F.lit("")]
     for k, piece in enumerate(template.replace("{{", "\x01").replace("}}", "\x02").split("{")):
@@ -303,13 +303,13 @@ def _of_rows(table: str, key: str, *rows: tuple[str, str, str, str, str]) -> str
 
 def java_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    files = _sources_of(part, _JAVA_OF_PART, F.concat(F.lit("/p/P"), "p_partkey", F.lit(".java")), key=F.col("p_partkey"), size=F.col("p_size"), name=F.col("p_name"))
+    files = sources_of(part, _JAVA_OF_PART, F.concat(F.lit("/p/P"), "p_partkey", F.lit(".java")), key=F.col("p_partkey"), size=F.col("p_size"), name=F.col("p_name"))
     return _graph(sources.java(files)).where("what <> 'File'")
 
 
 def ts_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    files = _sources_of(customer, _TS_OF_CUSTOMER, F.concat(F.lit("/c/C"), "c_custkey", F.lit(".ts")), key=F.col("c_custkey"))
+    files = sources_of(customer, _TS_OF_CUSTOMER, F.concat(F.lit("/c/C"), "c_custkey", F.lit(".ts")), key=F.col("c_custkey"))
     nodes, rels = sources.typescript_with_jsx(files)
     return _graph((nodes, rels)).where("what <> 'File'")
 
@@ -317,7 +317,7 @@ def ts_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ts_columns_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What headers say beside names and places."""
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    files = _sources_of(customer, _TS_OF_CUSTOMER, F.concat(F.lit("/c/C"), "c_custkey", F.lit(".ts")), key=F.col("c_custkey"))
+    files = sources_of(customer, _TS_OF_CUSTOMER, F.concat(F.lit("/c/C"), "c_custkey", F.lit(".ts")), key=F.col("c_custkey"))
     nodes, _ = sources.typescript(files)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     says = {"Class": ("isExported", "isDefaultExport", "isAbstract"), "Method": ("visibility", "isAsync", "returnType"), "Parameter": ("type", "isOptional", "isRestParameter"), "Variable": ("isConstant", "isExported", "kind")}
@@ -343,7 +343,7 @@ export function add{key}(n: number) {{
 
 def ts_mutations_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    files = _sources_of(customer, _MUTATING_TS, F.concat(F.lit("/m/C"), "c_custkey", F.lit(".ts")), key=F.col("c_custkey"))
+    files = sources_of(customer, _MUTATING_TS, F.concat(F.lit("/m/C"), "c_custkey", F.lit(".ts")), key=F.col("c_custkey"))
     nodes, _ = sources.typescript(files)
     return resolve_ts.mutations(files, nodes, resolve_ts.import_targets(nodes))
 
@@ -399,7 +399,7 @@ export class Plain {{
 def _pairs_of_customers(spark: SparkSession, sf_dir: str, one: tuple[str, str], other: tuple[str, str], end: str) -> DataFrame:
     """Two files of each customer: (folder and letter, template) each."""
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    a, b = (_sources_of(customer, text, F.concat(F.lit(head), "c_custkey", F.lit(end)), key=F.col("c_custkey")) for head, text in (one, other))
+    a, b = (sources_of(customer, text, F.concat(F.lit(head), "c_custkey", F.lit(end)), key=F.col("c_custkey")) for head, text in (one, other))
     return a.unionByName(b)
 
 
