@@ -172,3 +172,23 @@ def statements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = sql_statements(content or "")
             cols = [pa.array([path] * len(found)), pa.array(range(len(found)), pa.int32()), pa.array([t for t, _ in found]), pa.array([a for _, a in found], pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, ["path", "n", "text", "above"])
+
+
+def blanked(content: str) -> str:
+    """The text at its length and in its lines, with comments as blanks and strings as their marks around ``_``."""
+    out, last, at = [], "", 0
+    while at < len(content):
+        m = TOKENS.match(content, at)
+        kind, s = m.lastgroup, m[0]
+        if kind == "slash" and (not last or last in BEFORE_REGEX) and (r := REGEX.match(content, at)):
+            kind, s = "string", r[0]
+        at += len(s)
+        if kind == "comment":
+            out.append(re.sub(r"[^\r\n]", " ", s))
+        elif kind == "string":
+            out.append(s[0] + re.sub(r"[^\r\n]", "_", s[1:-1]) + s[-1] if len(s) > 1 else s)
+            last = '"'
+        else:
+            out.append(s)
+            last = s.rstrip()[-1] if s.strip() else last
+    return "".join(out)

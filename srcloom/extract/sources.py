@@ -171,10 +171,12 @@ def exports(nodes: DataFrame) -> DataFrame:
 
 
 def typescript_with_jsx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What ``typescript`` finds, exports, and the elements of .tsx and .jsx files."""
+    """What ``typescript`` finds, functions without a name of their own, exports, and the elements of .tsx and .jsx files."""
+    from srcloom.extract.call_spans import lambda_nodes
     from srcloom.extract.jsx import jsx
 
     nodes, rels = typescript(files)
+    nodes = nodes.unionByName(lambda_nodes(files).join(nodes.select("entityId"), "entityId", "left_anti"), allowMissingColumns=True)
     more, links = jsx(files.where(F.lower("path").rlike(r"\.[tj]sx$")))
     return nodes.unionByName(more, allowMissingColumns=True), rels.unionByName(exports(nodes)).unionByName(links)
 

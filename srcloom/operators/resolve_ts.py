@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcloom.extract.call_spans import call_sites
 from srcloom.extract.jsx import elements
 from srcloom.extract.lines import code_lines
 from srcloom.extract.sources import file_id
@@ -156,6 +157,23 @@ def calls(files: DataFrame, nodes: DataFrame, targets: DataFrame, exported: Data
     return _rel(rows, "CALLS", F.when(F.col("isCrossFile"), 6).otherwise(7), "isCrossFile", "isConditional")
 
 
+def in_file_calls(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """CALLS within a file, a row for each call: of names that the file declares and of ``this.name`` of the same class,
+    from outer functions and methods, with place, number and types of the arguments.  An argument that is one of the
+    caller's parameters has the type that is written there."""
+    sites = innermost(call_sites(files), _bodies(nodes))
+    callee = F.regexp_replace("callee", r"\?\.", ".")
+    sites = sites.withColumns({"own": callee.rlike(r"^this\.[\w$#]+$"), "name": F.regexp_extract(callee, r"^(?:this\.)?([\w$#]+)$", 1)}).where("name <> ''")
+    methods = nodes.where("kind = 'Method'").select(F.col("entityId").alias("targetId"), "parentId", "name")
+    mine = sites.where("own").join(nodes.where("kind = 'Method'").select(F.col("entityId").alias("sourceId"), "parentId"), "sourceId").join(methods, ["parentId", "name"]).drop("parentId")
+    every = sites.where("NOT own").join(declared(nodes), ["path", "name"]).unionByName(mine)
+    typed = nodes.where("kind = 'Parameter' AND type IS NOT NULL").select(F.col("parentId").alias("sourceId"), "name", "type").distinct().groupBy("sourceId").agg(F.map_from_entries(F.collect_list(F.struct("name", "type"))).alias("typed"))
+    types = F.zip_with("argument_types", "argument_names", lambda t, n: F.coalesce(F.when(t == "any", F.element_at("typed", F.coalesce(n, F.lit("")))), t))
+    rows = every.join(typed, "sourceId", "left").withColumn("argumentTypes", F.when(F.col("typed").isNull(), F.col("argument_types")).otherwise(types))
+    rows = rows.withColumnsRenamed({"line": "startLine", "column": "startColumn", "argument_count": "argumentCount", "conditional": "isConditional"})
+    return _rel(rows, "CALLS", 7, "startLine", "startColumn", "argumentCount", "argumentTypes", "isConditional")
+
+
 def components(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """Component nodes (NODE's columns and declarationId): functions, function variables and classes with a
     capital that hold JSX, or whose header names an element's type or React.FC; of equal names in a file the first."""

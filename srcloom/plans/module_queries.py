@@ -89,6 +89,70 @@ def ts_calls_through_barrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.unionByName(resolve_ts.resolved_imports(nodes, targets, names).select("type", "sourceId", "targetId", "weight"))
 
 
+_LAMBDAS_TS = """import {{ app{key} }} from './app';
+export const handle{key} = (a: number) => {{
+  items.map(i => i + {key});
+  return a;
+}};
+setTimeout(() => {{
+  tick("a, b) => {{");
+}}, {key});
+app{key}.get("/x", async (req,
+  res) => {{
+  res.send({{ each: v => 1 }});
+}});
+class Box{key} {{
+  on = () => {key};
+  run() {{
+    rows.filter(x => x > 1)
+      .forEach(function (x) {{ log(x); }});
+  }}
+}}
+// no(() => comment)
+"""
+_ARGUMENTS_TS = """function send{key}(id: number, name: string) {{
+  if (id > 1) {{
+    store{key}(id, "a, (b", {{ x: 1, y: [2, 3] }});
+  }}
+  store{key}(
+    name, // first, of two
+    new Map<string, number>(),
+    true
+  );
+  return store{key}();
+}}
+function store{key}(...all: any[]) {{
+  other{key}(1);
+}}
+class Own{key} {{
+  first(a: Date) {{
+    this.second(a, `t`, -{key}, nested{key}(1, 2));
+    for (const x of [1]) this.second(x);
+  }}
+  second(a: any) {{
+  }}
+}}
+"""
+
+
+def _of_customers(spark: SparkSession, sf_dir: str, text: str, folder: str) -> DataFrame:
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return sources_of(customer, text, F.concat(F.lit(f"/{folder}/"), F.col("c_custkey").cast("string"), F.lit(".ts")), key=F.col("c_custkey"))
+
+
+def ts_lambdas_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions without a name of their own, by the variable or call around them."""
+    nodes, _ = sources.typescript_with_jsx(_of_customers(spark, sf_dir, _LAMBDAS_TS, "l"))
+    return nodes.where("kind = 'Function'").select("entityId", "name", "startLine", "endLine", "isAsync", F.coalesce("isExported", F.lit(False)).alias("isExported"))
+
+
+def ts_arguments_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls within a file with the numbers and types of their arguments."""
+    files = _of_customers(spark, sf_dir, _ARGUMENTS_TS, "n")
+    rows = resolve_ts.in_file_calls(files, cut(sources.typescript(files)[0]))
+    return rows.select("sourceId", "targetId", "weight", "startLine", "startColumn", "argumentCount", F.array_join("argumentTypes", "|").alias("argumentTypes"), "isConditional")
+
+
 def _ids(text: str) -> str:
     return "replace(" + text + ", '{k}', CAST(k AS VARCHAR))"
 
@@ -140,11 +204,33 @@ def _rel(rows: str, target: str, weight: int, tail: str = "", again: str = "fals
 _DECLARED = "(SELECT k, f, t FROM own WHERE t IS NOT NULL AND n <> 'shown' || k AND n <> 'all' || k) x"
 _AGAIN = "(SELECT k, f, nf FROM own WHERE nf IS NOT NULL AND f <> 'f' AND nf <> 'z' UNION SELECT k, f, x FROM stars, c UNION SELECT k, 'c', 'a' FROM c) x"
 _LOCAL = "(SELECT k, f, t FROM names WHERE status = 'resolved' AND (f = 'f' AND n IN ('made' || k, 'other' || k) OR f = 'a' AND n = 'shown' || k)) x"
-QUERIES = {f.__name__: f for f in (ts_exported_names, ts_export_relationships, ts_calls_through_barrels)}
+#: name, first and last line, async, exported; source, target, line, column, number of arguments, types, in a branch.
+_FOUND_LAMBDAS = """
+handle{k}|2|5|false|true
+callback_setTimeout_arg0|6|8|false|false
+callback_app{k}_get_arg1|9|12|true|false
+callback_res_send_arg-1|11|11|false|false
+anonymousLambda|14|14|false|false
+callback_rows_filter_arg0|16|16|false|false
+callback_rows_filter_x____x___1_________arg0|17|17|false|false
+"""
+_FOUND_CALLS = """
+function:/n/{k}.ts:send{k}:1|function:/n/{k}.ts:store{k}:12|3|4|3|number,"a~ (b",any|true
+function:/n/{k}.ts:send{k}:1|function:/n/{k}.ts:store{k}:12|5|2|3|string,Map,true|false
+function:/n/{k}.ts:send{k}:1|function:/n/{k}.ts:store{k}:12|10|9|0||false
+method:/n/{k}.ts:own{k}.first|method:/n/{k}.ts:own{k}.second|17|4|4|Date,string,-{k},any|false
+method:/n/{k}.ts:own{k}.first|method:/n/{k}.ts:own{k}.second|18|25|1|any|true
+"""
+_cells = lambda text: ", ".join("(" + ", ".join(f"'{x}'" for x in line.split("|")) + ")" for line in text.strip().splitlines())
+QUERIES = {f.__name__: f for f in (ts_exported_names, ts_export_relationships, ts_calls_through_barrels, ts_lambdas_of_customers, ts_arguments_of_customers)}
 ORACLES = {
     "ts_exported_names": f"{_WALK} SELECT '/g/' || k || '/' || f || '.ts' AS path, {_WRITTEN} AS name, status, t AS targetId, CAST(hops AS BIGINT) AS hops FROM names",
     "ts_export_relationships": _WALK + " UNION ALL ".join((_rel(_DECLARED, "t", 8), _rel(_AGAIN, "'file:/g/' || k || '/' || nf || '.ts'", 4, "reexport", "true"), _rel(_LOCAL, "t", 8), _rel("(SELECT k, f, t FROM names WHERE f = 'f' AND n = 'default' AND status = 'resolved') x", "t", 8, "default"))),
     "ts_calls_through_barrels": f"""{_WALK}, imported AS (SELECT k, f, n, t FROM names WHERE status = 'resolved' AND (f = 'c' AND n IN ('default', 'build' || k) OR f = 'd' AND n IN ('shown' || k, 'make' || k)))
 SELECT 'CALLS' AS type, 'function:/g/' || k || '/f.ts:run' || k || ':6' AS sourceId, t AS targetId, 6 AS weight FROM imported WHERE n IN ('build' || k, 'make' || k)
 UNION ALL SELECT 'RESOLVES_IMPORT', 'file:/g/' || k || '/f.ts', t, 8 FROM imported""",
+    "ts_lambdas_of_customers": f"""SELECT 'function:/l/' || k || '.ts:' || lower({_ids("n")}) || ':' || a AS entityId, {_ids("n")} AS name, CAST(a AS INTEGER) AS startLine, CAST(z AS INTEGER) AS endLine, CAST(s AS BOOLEAN) AS isAsync, CAST(x AS BOOLEAN) AS isExported
+FROM (SELECT c_custkey AS k FROM customer), (VALUES {_cells(_FOUND_LAMBDAS)}) AS v(n, a, z, s, x)""",
+    "ts_arguments_of_customers": f"""SELECT {_ids("s")} AS sourceId, {_ids("t")} AS targetId, 7 AS weight, CAST(l AS INTEGER) AS startLine, CAST(c AS INTEGER) AS startColumn, CAST(n AS INTEGER) AS argumentCount, replace(replace({_ids("y")}, ',', '|'), '~', ',') AS argumentTypes, CAST(b AS BOOLEAN) AS isConditional
+FROM (SELECT c_custkey AS k FROM customer), (VALUES {_cells(_FOUND_CALLS)}) AS v(s, t, l, c, n, y, b)""",
 }

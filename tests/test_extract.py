@@ -91,3 +91,24 @@ def test_store_is_wiped_and_dropped(spark, tmp_path):
     assert spark.read.parquet(path).count() == 0 and set(spark.read.parquet(path).columns) == columns
     graph_store.drop(spark, path, path)
     assert not (tmp_path / "nodes").exists()
+
+
+def test_lambdas_and_calls_over_several_lines():
+    from srcloom.extract.call_spans import Brackets, spans
+
+    text = "const a = [\n  x => x,\n  { f: async (y) => { g(y); } }\n];\nfoo<A, B>(1,\n  function () { return ')'; });\nclass K {\n  m(): void { this.n?.(2); }\n  n = (z) => z;\n  abstract o(p: number): string;\n}\nif (h(3)) i(4); else j(5);\nk ? l(6) : m(7);\n// q(8)\nr(9);\n"
+    calls, found = spans(text)
+    b = Brackets(text)
+    assert [(b.line(s), name, len(args), b.branches(s)) for s, _, name, args in calls] == [(3, "g", 1, False), (5, "foo", 2, False), (8, "this.n", 1, False), (12, "h", 1, True), (12, "i", 1, True), (12, "j", 1, True), (13, "l", 1, True), (13, "m", 1, True), (15, "r", 1, False)]
+    assert found == [("a", 1, 4, False, False), ("a", 1, 4, True, False), ("callback_foo_arg1", 6, 6, False, False), ("anonymousLambda", 9, 9, False, False)]
+    assert spans("") == ([], []) and spans("((([[[{{{") == ([], []) and spans(")))]]]}}} => f(")[0] == []
+
+
+def test_spans_of_a_long_file():
+    import time
+
+    from srcloom.extract.call_spans import spans
+
+    began = time.time()
+    calls, found = spans("f(x => {\n  g(1, 'a');\n});\n" * 20_000)
+    assert len(calls) == 40_000 and len(found) == 20_000 and time.time() - began < 20
