@@ -203,14 +203,13 @@ def verified(texts: DataFrame, table) -> DataFrame:
 
 
 def license_spans(docs: DataFrame, templates=TEMPLATES, own: Scratch | None = None) -> DataFrame:
-    """(key, label, template, start, words, share) of licence spans of docs (key, text), once for each different text."""
+    """(key, label, template, start, words, share) of licence spans of docs (key, text), once for each different text; worked
+    out anew by each action, so write what is read twice."""
     own, table = own or Scratch(docs.sparkSession, "licenses"), template_table(templates)
-    found = own.put(candidates(own.put(diagonals(docs, table), "diagonals")), "candidates")
+    found = own.put(candidates(diagonals(docs, table)), "candidates")
     texts = among(docs.select("key", "text"), "key", found.select("key")).groupBy("key").agg(F.first("text").alias("text"))
     places = found.groupBy("key").agg(F.collect_list(F.struct("template", "diagonal")).alias("places"))
-    spans = own.put(verified(texts.join(places, "key"), table), "spans")
-    own.drop("diagonals", "candidates")
-    return spans
+    return verified(texts.join(places, "key"), table)
 
 
 def phrase_places(docs: DataFrame, phrases=PHRASES) -> DataFrame:
@@ -244,12 +243,10 @@ def license_report(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> Dat
     own, rows = Scratch(docs.sparkSession, "licenses"), _keyed(docs)
     spans = license_spans(rows, templates, own)
     by_text = own.put(spans.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share")), "labels")
-    own.drop("spans")
+    own.drop("candidates")
     base = maybe_in(phrase_places(rows, phrases), "key", by_text.select("key"))
     joined = salted_join(base.where("_maybe"), by_text, "key", F.col("doc_id"), "left")
     every = joined.unionByName(base.where("NOT _maybe").withColumns({"more": F.lit(None).cast("array<string>"), "share": F.lit(None).cast("double")}))
     labels = F.array_join(F.array_sort(F.array_union("base_labels", F.coalesce("more", F.array().cast("array<string>")))), ",")
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0)))
-    out = own.put(every.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), labels.alias("labels"), score.alias("score")), "report")
-    own.drop("labels")
-    return out
+    return every.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), labels.alias("labels"), score.alias("score"))
