@@ -184,9 +184,9 @@ def typescript_with_jsx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 EXTRACTORS = {"go": go, "java": java, "csharp": csharp, "c_cpp": c_cpp, "typescript": typescript_with_jsx}
 
 
-def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def extract(files: DataFrame, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and relationships of files (path, content) of all languages, each id once; createdAt is the time of
-    the run."""
+    the run.  only: the parsers that the files need, where the caller knows them, for a smaller plan."""
     from srcloom.extract.python_source import python
     from srcloom.extract.sql_source import sql
     from srcloom.operators.dedup import last_wins
@@ -194,6 +194,8 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     files = files.where("content IS NOT NULL").withColumn("parser", parser_of(F.col("path")))
     nodes = rels = None
     for name, f in (EXTRACTORS | {"python": python, "sql": sql}).items():
+        if only is not None and name not in only and (nodes is not None or name != "sql"):
+            continue
         n, r = f(files.where(F.col("parser") == name).select("path", "content"))
         have = dict(n.dtypes)
         n = n.select(*(F.col(c) if c in have else F.lit(None).cast("int" if c in ("endLine", "loc") else "string").alias(c) for c in NODE), *(F.col(c) if c in have else F.lit(None).cast(kind).alias(c) for c, kind in MORE.items()))

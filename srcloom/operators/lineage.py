@@ -13,7 +13,7 @@ def cut(rows: DataFrame) -> DataFrame:
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         found = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
+        if not found and not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="srcloom-"))
     return rows.checkpoint()
