@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.  Only a session on one machine (tests, bench) may go without that
+    setting."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found and not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or tempfile.mkdtemp(prefix="srcloom-")).rstrip("/")
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """The same rows, written once to the folder of ``spark.checkpoint.dir`` and read from there.  Only a session
-    on one machine (tests, bench) may go without that setting."""
+    """The same rows, written once to the folder of ``spark.checkpoint.dir`` and read from there."""
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        found = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="srcloom-"))
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
     return rows.checkpoint()

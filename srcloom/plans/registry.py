@@ -358,8 +358,8 @@ def schema_summary(spark, sf):
 
 
 # Queries on source code stand beside the extractors.
-from srcloom.plans import module_queries, source_queries  # noqa: E402
+from srcloom.plans import module_queries, source_queries, store_queries  # noqa: E402
 
-for own in (source_queries, module_queries):
+for own in (source_queries, module_queries, store_queries):
     QUERIES |= own.QUERIES
     ORACLES |= own.ORACLES
