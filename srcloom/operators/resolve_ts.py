@@ -226,14 +226,3 @@ def complexities(files: DataFrame, nodes: DataFrame) -> DataFrame:
     lines = code_lines(files).select("path", "line", points.alias("points"))
     rows = nodes.where("kind IN ('Function', 'Method')").select("entityId", F.col("filePath").alias("path"), "startLine", "endLine")
     return rows.join(lines, "path").where("line >= startLine AND line <= endLine").groupBy("entityId").agg((F.sum("points") + 1).cast("long").alias("complexity"))
-
-
-def includes(nodes: DataFrame) -> DataFrame:
-    """INCLUDES from a C or C++ file to each file that a local include names, relative to the including file;
-    one that isn't there is a placeholder, system includes have no row."""
-    from srcloom.functions.identity import dirname, fold_dots
-
-    rows = nodes.where("kind = 'IncludeDirective' AND extra = '\"'").select(F.col("filePath").alias("importer"), fold_dots(F.concat(dirname(F.col("filePath")), F.lit("/"), "name")).alias("path")).distinct()
-    files = nodes.where("kind = 'File'").select(F.col("filePath").alias("path"), F.lit(True).alias("there"))
-    found = rows.join(files, "path", "left").select(file_id(F.col("importer")).alias("sourceId"), file_id(F.col("path")).alias("targetId"), F.col("there").isNull().alias("isPlaceholder"))
-    return _rel(found, "INCLUDES", 5, "isPlaceholder")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcloom.analyze import analyze
 from srcloom.extract import sources
-from srcloom.operators import exports, resolve_ts
+from srcloom.operators import exports, includes, resolve_ts
 from srcloom.operators.lineage import cut
 from srcloom.plans.source_queries import sources_of
 
@@ -153,6 +154,54 @@ def ts_arguments_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sourceId", "targetId", "weight", "startLine", "startColumn", "argumentCount", F.array_join("argumentTypes", "|").alias("argumentTypes"), "isConditional")
 
 
+#: Headers beside, in a folder of the project, in every project, in two folders alike, nowhere; a file of another language.
+_HEADERS = {
+    "src/main.cpp": """#include <vector>
+#include "util.h"
+#include "shared/api.h"
+#include "twice.h"
+#include "../lib/up.h"
+#include <own/angle{key}.hpp>
+#include "gone.h"
+#include "data.sql"
+int main() {{
+}}
+""",
+    "src/util.h": "int util();\n",
+    "include/shared/api.h": "#include \"util.h\"\n",
+    "a/twice.h": "int a;\n",
+    "b/twice.h": "int b;\n",
+    "lib/up.h": "int up;\n",
+    "deep/own/angle{key}.hpp": "int own;\n",
+    "src/data.sql": "CREATE TABLE t (id INT);\n",
+}
+
+
+def cpp_includes_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Includes resolved by folders and ends of paths."""
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    files = None
+    for name, text in _HEADERS.items():
+        head, _, tail = name.partition("{key}")
+        path = F.concat(F.lit("/w/"), F.col("s_suppkey").cast("string"), F.lit(f"/{head}"), *([F.col("s_suppkey").cast("string"), F.lit(tail)] if tail else []))
+        own = sources_of(supplier, text, path, key=F.col("s_suppkey"))
+        files = own if files is None else files.unionByName(own)
+    nodes = sources.c_cpp(files.where("path NOT LIKE '%.sql'"))[0]
+    return includes.includes(cut(nodes)).drop("entityId")
+
+
+def whole_graph_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by kind and relationships by type of a project of ten files for each supplier, through all passes."""
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    files = None
+    for name, text in {**{f"{k}.ts": v for k, v in FILES.items()}, "l.ts": _LAMBDAS_TS, "n.ts": _ARGUMENTS_TS, "m.cpp": _HEADERS["src/main.cpp"], "util.h": _HEADERS["src/util.h"]}.items():
+        own = sources_of(supplier, text, F.concat(F.lit("/g/"), F.col("s_suppkey").cast("string"), F.lit(f"/{name}")), key=F.col("s_suppkey"))
+        files = own if files is None else files.unionByName(own)
+    nodes, rels = (cut(x) for x in analyze(files))
+    kinds = nodes.groupBy(F.coalesce("kind", F.lit("placeholder")).alias("what")).agg(F.count("*").alias("rows"))
+    return kinds.unionByName(rels.groupBy(F.col("type").alias("what")).agg(F.count("*").alias("rows")))
+
+
 def _ids(text: str) -> str:
     return "replace(" + text + ", '{k}', CAST(k AS VARCHAR))"
 
@@ -221,8 +270,29 @@ function:/n/{k}.ts:send{k}:1|function:/n/{k}.ts:store{k}:12|10|9|0||false
 method:/n/{k}.ts:own{k}.first|method:/n/{k}.ts:own{k}.second|17|4|4|Date,string,-{k},any|false
 method:/n/{k}.ts:own{k}.first|method:/n/{k}.ts:own{k}.second|18|25|1|any|true
 """
+#: Of one project, through all passes; headers that none has are six placeholders more for all of them.
+_FOUND_IN_ALL = """
+File|10
+Class|3
+Function|12
+Method|3
+Variable|2
+Parameter|7
+Import|3
+CFunction|1
+IncludeDirective|8
+placeholder|2
+CALLS|4
+DEFINES_FUNCTION|1
+EXPORTS|19
+HAS_METHOD|3
+HAS_PARAMETER|7
+IMPORTS|6
+INCLUDES|16
+RESOLVES_IMPORT|4
+"""
 _cells = lambda text: ", ".join("(" + ", ".join(f"'{x}'" for x in line.split("|")) + ")" for line in text.strip().splitlines())
-QUERIES = {f.__name__: f for f in (ts_exported_names, ts_export_relationships, ts_calls_through_barrels, ts_lambdas_of_customers, ts_arguments_of_customers)}
+QUERIES = {f.__name__: f for f in (ts_exported_names, ts_export_relationships, ts_calls_through_barrels, ts_lambdas_of_customers, ts_arguments_of_customers, cpp_includes_of_suppliers, whole_graph_of_suppliers)}
 ORACLES = {
     "ts_exported_names": f"{_WALK} SELECT '/g/' || k || '/' || f || '.ts' AS path, {_WRITTEN} AS name, status, t AS targetId, CAST(hops AS BIGINT) AS hops FROM names",
     "ts_export_relationships": _WALK + " UNION ALL ".join((_rel(_DECLARED, "t", 8), _rel(_AGAIN, "'file:/g/' || k || '/' || nf || '.ts'", 4, "reexport", "true"), _rel(_LOCAL, "t", 8), _rel("(SELECT k, f, t FROM names WHERE f = 'f' AND n = 'default' AND status = 'resolved') x", "t", 8, "default"))),
@@ -233,4 +303,8 @@ UNION ALL SELECT 'RESOLVES_IMPORT', 'file:/g/' || k || '/f.ts', t, 8 FROM import
 FROM (SELECT c_custkey AS k FROM customer), (VALUES {_cells(_FOUND_LAMBDAS)}) AS v(n, a, z, s, x)""",
     "ts_arguments_of_customers": f"""SELECT {_ids("s")} AS sourceId, {_ids("t")} AS targetId, 7 AS weight, CAST(l AS INTEGER) AS startLine, CAST(c AS INTEGER) AS startColumn, CAST(n AS INTEGER) AS argumentCount, replace(replace({_ids("y")}, ',', '|'), '~', ',') AS argumentTypes, CAST(b AS BOOLEAN) AS isConditional
 FROM (SELECT c_custkey AS k FROM customer), (VALUES {_cells(_FOUND_CALLS)}) AS v(s, t, l, c, n, y, b)""",
+    "cpp_includes_of_suppliers": f"""SELECT 'INCLUDES' AS type, 'file:/w/' || k || '/' || s AS sourceId, CASE WHEN p THEN 'file:' ELSE 'file:/w/' || k || '/' END || {_ids("t")} AS targetId, 4 AS weight, {_ids("w")} AS includePath, y AS isSystemInclude, p AS isPlaceholder
+FROM (SELECT s_suppkey AS k FROM supplier), (VALUES ('src/main.cpp', 'vector', 'vector', true, true), ('src/main.cpp', 'src/util.h', 'util.h', false, false), ('src/main.cpp', 'include/shared/api.h', 'shared/api.h', false, false), ('src/main.cpp', 'twice.h', 'twice.h', false, true), ('src/main.cpp', 'lib/up.h', '../lib/up.h', false, false),
+  ('src/main.cpp', 'deep/own/angle{{k}}.hpp', 'own/angle{{k}}.hpp', true, false), ('src/main.cpp', 'gone.h', 'gone.h', false, true), ('src/main.cpp', 'data.sql', 'data.sql', false, true), ('include/shared/api.h', 'src/util.h', 'util.h', false, false)) AS v(s, t, w, y, p)""",
+    "whole_graph_of_suppliers": f"SELECT what, CAST(CAST(n AS BIGINT) * (SELECT count(*) FROM supplier) + CASE WHEN what = 'placeholder' THEN 6 ELSE 0 END AS BIGINT) AS rows FROM (VALUES {_cells(_FOUND_IN_ALL)}) AS v(what, n)",
 }

@@ -4,7 +4,7 @@ import json
 from collections import Counter
 
 from srcloom.extract import lexer, python_source, sources
-from srcloom.operators import resolve_ts
+from srcloom.operators import includes, resolve_ts
 from srcloom.streaming.ingest import current, ingest, landing
 
 
@@ -65,8 +65,8 @@ def test_very_long_literals_and_lines(spark):
 
 def test_includes_and_default_imports(spark):
     nodes, _ = sources.c_cpp(of(spark, ("/s/a.c", '#include "lib/b.h"\n#include "../no.h"\n#include <stdio.h>\n'), ("/s/lib/b.h", "int b;\n")))
-    got = {(r.targetId, r.isPlaceholder) for r in resolve_ts.includes(nodes).collect()}
-    assert got == {("file:/s/lib/b.h", False), ("file:/no.h", True)}
+    got = {(r.targetId, r.isPlaceholder) for r in includes.includes(nodes).collect()}
+    assert got == {("file:/s/lib/b.h", False), ("file:../no.h", True), ("file:stdio.h", True)}
     nodes, _ = sources.typescript(of(spark, ("/s/a.ts", "import Thing from './b';\n"), ("/s/b.ts", "export default class K {\n}\n")))
     rows = resolve_ts.resolved_imports(nodes, resolve_ts.import_targets(nodes)).collect()
     assert [(r.sourceId, r.targetId) for r in rows] == [("file:/s/a.ts", "class:/s/b.ts:k")]
