@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcloom.operators.lineage import cut
+
 
 def neighbors(rels: DataFrame, nodes: DataFrame, kind: str, direction: str = "out") -> DataFrame:
     """(entityId, name) of what stands at the other end, with the end asked about."""
@@ -19,12 +21,14 @@ def two_hop(rels: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def reach(rels: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(entityId, depth): least number of steps from any start, up to ``depth``; a frontier join per step."""
-    steps = rels.select(F.col("sourceId").alias("entityId"), F.col("targetId").alias("next")).distinct()
-    seen = start.select("entityId").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    """(entityId, depth): least number of steps from any start, up to ``depth``; a frontier join per step.  Steps and
+    frontiers are written once, so no step's plan holds the ones before it; it ends early where nothing new comes."""
+    steps = cut(rels.select(F.col("sourceId").alias("entityId"), F.col("targetId").alias("next")).distinct())
+    seen = frontier = cut(start.select("entityId").distinct().withColumn("depth", F.lit(0)))
     for k in range(1, depth + 1):
-        frontier = frontier.select("entityId").join(steps, "entityId").select(F.col("next").alias("entityId")).distinct().join(seen.select("entityId"), "entityId", "left_anti").withColumn("depth", F.lit(k))
+        frontier = cut(frontier.select("entityId").join(steps, "entityId").select(F.col("next").alias("entityId")).distinct().join(seen.select("entityId"), "entityId", "left_anti").withColumn("depth", F.lit(k)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

@@ -58,15 +58,6 @@ def weigh(rels: DataFrame, source_file: Column, target_file: Column, cross: int
     return rels.withColumns({"isCrossFile": far, "weight": F.when(far, cross).otherwise(within)})
 
 
-def enclosing(inner: DataFrame, outer: DataFrame, by: str) -> DataFrame:
-    """For each inner (by, id, start, end) the innermost outer interval that holds it: an equi-join on
-    ``by`` with a range condition; ``outerId`` is null where there is none."""
-    o = outer.select(F.col(by), F.col("id").alias("_id"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    hit = inner.join(o, by).where((F.col("_start") <= F.col("start")) & (F.col("_end") >= F.col("end")) & (F.col("_id") != F.col("id")))
-    best = hit.groupBy("id").agg(F.max_by("_id", F.struct("_start", F.negative("_end"), F.negative("_id"))).alias("outerId"))
-    return inner.join(best, "id", "left")
-
-
 def import_candidates(imports: DataFrame, files: DataFrame, extensions: list[str]) -> DataFrame:
     """imports (importer, specifier) with ``resolved``: the first existing of the path itself, the path with
     each extension, and its index file with each; the bare path where none exists.  A specifier that isn't

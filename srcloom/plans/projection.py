@@ -38,6 +38,12 @@ def _rels(rows: DataFrame, kind: str, source: Column, target: Column, weight: in
     return rows.select(relationship_id(kind, source, target).alias("entityId"), F.lit(kind).alias("type"), source.alias("sourceId"), target.alias("targetId"), F.lit(weight).alias("weight"))
 
 
+def _numbered(rows: DataFrame, kind: str, key: str, name: str) -> DataFrame:
+    """(row, id, number): each row's key, its entity's id, and the least key of that id."""
+    rows = rows.select(F.col(key).alias("row"), entity_id(kind, F.col(name)).alias("id"))
+    return rows.join(rows.groupBy("id").agg(F.min("row").alias("number")), "id")
+
+
 def rels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relationships of six types: regions' nations, nations' customers and suppliers, customers' orders, the
     parts of orders and of suppliers; one for each pair."""
@@ -46,9 +52,13 @@ def rels(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _rels(customer.join(nation, customer.c_nationkey == nation.n_nationkey), "HAS_CUSTOMER", entity_id("Nation", F.col("n_name")), entity_id("Customer", F.col("c_name")), 5)
     c = _rels(supplier.join(nation, supplier.s_nationkey == nation.n_nationkey), "HAS_SUPPLIER", entity_id("Nation", F.col("n_name")), entity_id("Supplier", F.col("s_name")), 5)
     d = _rels(orders.join(customer, orders.o_custkey == customer.c_custkey), "PLACED", entity_id("Customer", F.col("c_name")), entity_id("Order", F.col("o_orderkey").cast("string")), 9)
-    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    lines = line.select("l_orderkey", "l_partkey", "l_suppkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    e = _rels(lines.select("l_orderkey", "p_name").distinct(), "INCLUDES_PART", entity_id("Order", F.col("l_orderkey").cast("string")), entity_id("Part", F.col("p_name")), 7).distinct()
-    s = lines.select("l_suppkey", "p_name").distinct().join(supplier, F.col("l_suppkey") == supplier.s_suppkey)
-    f = _rels(s, "SUPPLIES", entity_id("Supplier", F.col("s_name")), entity_id("Part", F.col("p_name")), 6).distinct()
+    # rows of one id are one whole number while pairs are made different; ids come last
+    line, part = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), _numbered(table(spark, sf_dir, "part"), "Part", "p_partkey", "p_name")
+    made = _numbered(supplier, "Supplier", "s_suppkey", "s_name")
+    lines = line.join(part.select(F.col("row").alias("l_partkey"), F.col("number").alias("part")), "l_partkey")
+    part_ids, made_ids = (x.where("row = number").select(F.col("number").alias(c), F.col("id").alias(f"{c}Id")) for x, c in ((part, "part"), (made, "made")))
+    e = lines.select("l_orderkey", "part").distinct().join(part_ids, "part")
+    e = _rels(e, "INCLUDES_PART", entity_id("Order", F.col("l_orderkey").cast("string")), F.col("partId"), 7)
+    s = lines.join(made.select(F.col("row").alias("l_suppkey"), F.col("number").alias("made")), "l_suppkey").select("made", "part").distinct()
+    f = _rels(s.join(part_ids, "part").join(made_ids, "made"), "SUPPLIES", F.col("madeId"), F.col("partId"), 6)
     return a.unionByName(b).unionByName(c).unionByName(d).unionByName(e).unionByName(f)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from srcloom.functions import identity as I
 from srcloom.operators import aggregate, checks, dedup, graph, resolve, upsert
+from srcloom.operators.enclosing import enclosing
 from srcloom.plans import projection as P
 from srcloom.plans.projection import table
 from srcloom.schema import IGNORES, PARSERS
@@ -202,7 +203,7 @@ def cross_file_weight(spark, sf):
 @query('WITH i AS (SELECT event_id AS id, user_id, event_id % 97 AS s, event_id % 97 + 1 + event_id % 13 AS e FROM events), j AS (SELECT a.id, b.id AS o, row_number() OVER (PARTITION BY a.id ORDER BY b.s DESC, b.e, b.id) AS k FROM i a JOIN i b ON a.user_id = b.user_id AND b.s <= a.s AND b.e >= a.e AND a.id <> b.id) SELECT i.id, i.user_id, i.s AS "start", i.e AS "end", j.o AS "outerId" FROM i LEFT JOIN j ON i.id = j.id AND j.k = 1')
 def enclosing_interval(spark, sf):
     i = table(spark, sf, "events").select(F.col("event_id").alias("id"), "user_id", (F.col("event_id") % 97).alias("start"), (F.col("event_id") % 97 + 1 + F.col("event_id") % 13).alias("end"))
-    return resolve.enclosing(i, i, "user_id")
+    return enclosing(i, i, "user_id")
 
 
 @query("SELECT 'tailwindclass:' || regexp_replace(lower(t), '[^a-z0-9_.:/-]', '_', 'g') AS entityId, t AS name, count(*) AS uses FROM (SELECT unnest(string_split(p_name, ' ')) AS t FROM part) WHERE t <> '' GROUP BY t")
