@@ -1,6 +1,5 @@
-"""Queries on source code.  The driver's tables hold none, so some read small snippets, whose SQL lists the
-rows that the rules give, derived by hand; others read a source file made of each row of a table, and the SQL
-derives what is in it from the same row."""
+"""Queries on source code.  The driver's tables hold none, so they read source files made of each row of a table,
+and the SQL derives what is in them from the same row; what the rules give for a file is derived by hand."""
 
 from __future__ import annotations
 
@@ -17,19 +16,26 @@ from srcloom.operators.lineage import cut
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-GO = 'package main\n\nimport (\n\t"fmt"\n\tlog "net/http"\n)\n\ntype Point struct {\n\tX int\n}\n\nfunc (p *Point) Move(dx int) {\n\tp.X += dx\n}\n\nfunc main() {\n\tfmt.Println("x { y")\n}\n'
-JAVA = "package com.ex;\nimport java.util.List;\n\n/* class Not { */\npublic class A extends B {\n  private int n = 0;\n  public A(int n) {\n    int local = 3;\n  }\n  static class In {\n    void deep() { }\n  }\n  int after() { return 1; }\n}\nenum E { X, Y }\n"
-CSHARP = 'using System;\n\nnamespace Inv.Core\n{\n    public class Program\n    {\n        private int count = 0;\n        public string Name { get; set; }\n        public static void Main(string[] args)\n        {\n            var x = 1;\n        }\n    }\n    public interface IItem\n    {\n        int Get(int id);\n    }\n}\n'
-CPP = '#include <iostream>\n#define MAX 3\nclass Circle : public Shape {\npublic:\n  double area() const { return 1; }\n};\ndouble Circle::far(int x) const\n{\n  return x;\n}\nint main() {\n  foo();\n}\n'
-PYTHON = "import os\nX = 1\n\ndef greet(name):\n    print(name)\n\nclass K:\n    def get(self):\n        return greet(1)\n"
-SQL = "-- tables\nCREATE TABLE shop.items (\n  id INT PRIMARY KEY,\n  price DECIMAL(10,2),\n  PRIMARY KEY (id)\n);\nCREATE VIEW v AS SELECT * FROM shop.items WHERE name <> ';';\nINSERT INTO shop.items VALUES (1);\n"
-TS_A = 'import { b, c as d } from "./b";\nimport * as all from "./b";\nimport x from "lib";\n\nexport const LIMIT = 3;\nexport function run(n: number): number {\n  if (n > 1 && n < 5) {\n    return b(n);\n  }\n  return n;\n}\nexport class K extends d implements I {\n  async load(a: string): Promise<void> {\n    try { run(1); this.step(); } catch (e) { }\n  }\n  step() {\n    unknown();\n  }\n}\nexport interface I {\n  size(): number;\n}\n'
+GO = 'package main\n\nimport (\n\t"fmt"\n\tlog "net/http"\n)\n\ntype PointKEY struct {\n\tX int\n}\n\nfunc (p *PointKEY) Move(dx int) {\n\tp.X += dx\n}\n\nfunc main() {\n\tfmt.Println("x { y")\n}\n'
+JAVA = "package com.ex;\nimport java.util.List;\n\n/* class Not { */\npublic class AKEY extends B {\n  private int n = 0;\n  public AKEY(int n) {\n    int local = 3;\n  }\n  static class In {\n    void deep() { }\n  }\n  int after() { return 1; }\n}\nenum E { X, Y }\n"
+CSHARP = 'using System;\n\nnamespace Inv.Core\n{\n    public class ProgramKEY\n    {\n        private int count = 0;\n        public string Name { get; set; }\n        public static void Main(string[] args)\n        {\n            var x = 1;\n        }\n    }\n    public interface IItem\n    {\n        int Get(int id);\n    }\n}\n'
+CPP = '#include <iostream>\n#define MAX 3\nclass CircleKEY : public Shape {\npublic:\n  double area() const { return 1; }\n};\ndouble CircleKEY::far(int x) const\n{\n  return x;\n}\nint main() {\n  foo();\n}\n'
+PYTHON = "import os\nX = 1\n\ndef greetKEY(name):\n    print(name)\n\nclass K:\n    def get(self):\n        return greetKEY(1)\n"
+SQL = "-- tables\nCREATE TABLE shop.itemsKEY (\n  id INT PRIMARY KEY,\n  price DECIMAL(10,2),\n  PRIMARY KEY (id)\n);\nCREATE VIEW v AS SELECT * FROM shop.itemsKEY WHERE name <> ';';\nINSERT INTO shop.itemsKEY VALUES (1);\n"
+TS_A = 'import { b, c as d } from "./b";\nimport * as all from "./b";\nimport x from "lib";\n\nexport const LIMIT = 3;\nexport function runKEY(n: number): number {\n  if (n > 1 && n < 5) {\n    return b(n);\n  }\n  return n;\n}\nexport class K extends d implements I {\n  async load(a: string): Promise<void> {\n    try { runKEY(1); this.step(); } catch (e) { }\n  }\n  step() {\n    unknown();\n  }\n}\nexport interface I {\n  size(): number;\n}\n'
 TS_B = "export function b(n: number): number {\n  return n;\n}\nexport class c {\n}\n"
-JSX = 'const A = () => (\n  <div className="p-4 m-2">\n    <Item key={1} {...rest} on />\n    <span>hi</span>\n  </div>\n);\n'
+JSX = 'const A = () => (\n  <div className="p-KEY m-KEY">\n    <ItemKEY key={1} {...rest} on />\n    <span>hi</span>\n  </div>\n);\n'
 
 
-def _files(spark: SparkSession, *rows: tuple[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(rows), "path string, content string")
+def _files(spark: SparkSession, sf_dir: str, *rows: tuple[str, str]) -> DataFrame:
+    """Files (path, content) of each customer: KEY in paths and texts is the customer's key."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"))
+    filled = lambda text: F.replace(F.lit(text), F.lit("KEY"), F.col("key"))
+    out = None
+    for path, text in rows:
+        own = customer.select(filled(path).alias("path"), filled(text).alias("content"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def _graph(pair: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -40,9 +46,10 @@ def _graph(pair: tuple[DataFrame, DataFrame]) -> DataFrame:
 
 
 def _values(text: str, columns: str = "what, a, b, c, d") -> str:
-    """SQL of rows written one to a line, cells between bars."""
+    """SQL of rows written one to a line, cells between bars, for each customer."""
     rows = ", ".join("(" + ", ".join("'" + c.strip().replace("'", "''") + "'" for c in line.split("|")) + ")" for line in text.strip().splitlines())
-    return f"SELECT * FROM (VALUES {rows}) AS t({columns})"
+    cells = ", ".join(f"replace({c}, 'KEY', CAST(c_custkey AS VARCHAR)) AS {c}" for c in columns.split(", "))
+    return f"SELECT {cells} FROM customer, (VALUES {rows}) AS t({columns})"
 
 
 def source_query(expected: str, columns: str = "what, a, b, c, d"):
@@ -55,170 +62,170 @@ def source_query(expected: str, columns: str = "what, a, b, c, d"):
 
 
 @source_query("""
-File|file:/s/main.go|main.go|1|19
-PackageClause|packageclause:/s/main.go:main|main|1|1
-ImportSpec|importspec:/s/main.go:fmt:4|fmt|4|4
-ImportSpec|importspec:/s/main.go:net/http:5|net/http|5|5
-GoStruct|gostruct:main.point|Point|8|10
-GoMethod|gomethod:point.move|Move|12|14
+File|file:/s/KEY/main.go|main.go|1|19
+PackageClause|packageclause:/s/KEY/main.go:main|main|1|1
+ImportSpec|importspec:/s/KEY/main.go:fmt:4|fmt|4|4
+ImportSpec|importspec:/s/KEY/main.go:net/http:5|net/http|5|5
+GoStruct|gostruct:main.pointKEY|PointKEY|8|10
+GoMethod|gomethod:pointKEY.move|Move|12|14
 GoFunction|gofunction:main.main|main|16|18
-DECLARES_PACKAGE|file:/s/main.go|packageclause:/s/main.go:main|9|
-GO_IMPORTS|file:/s/main.go|importspec:/s/main.go:fmt:4|5|
-GO_IMPORTS|file:/s/main.go|importspec:/s/main.go:net/http:5|5|
-DEFINES_STRUCT|file:/s/main.go|gostruct:main.point|9|
-HAS_METHOD|gostruct:main.point|gomethod:point.move|8|
-DEFINES_FUNCTION|file:/s/main.go|gofunction:main.main|8|
+DECLARES_PACKAGE|file:/s/KEY/main.go|packageclause:/s/KEY/main.go:main|9|
+GO_IMPORTS|file:/s/KEY/main.go|importspec:/s/KEY/main.go:fmt:4|5|
+GO_IMPORTS|file:/s/KEY/main.go|importspec:/s/KEY/main.go:net/http:5|5|
+DEFINES_STRUCT|file:/s/KEY/main.go|gostruct:main.pointKEY|9|
+HAS_METHOD|gostruct:main.pointKEY|gomethod:pointKEY.move|8|
+DEFINES_FUNCTION|file:/s/KEY/main.go|gofunction:main.main|8|
 """)
 def go_extract(spark, sf):
-    return _graph(sources.go(_files(spark, ("/s/main.go", GO))))
+    return _graph(sources.go(_files(spark, sf, ("/s/KEY/main.go", GO))))
 
 
 @source_query("""
-File|file:/s/a.java|A.java|1|16
-PackageDeclaration|packagedeclaration:/s/a.java:com.ex|com.ex|1|1
-ImportDeclaration|importdeclaration:/s/a.java:java.util.list:2|java.util.List|2|2
-JavaClass|javaclass:com.ex.a|A|5|14
-JavaField|javafield:javaclass:com.ex.a.n|n|6|6
-JavaMethod|javamethod:javaclass:com.ex.a.a|A|7|9
+File|file:/s/KEY/a.java|A.java|1|16
+PackageDeclaration|packagedeclaration:/s/KEY/a.java:com.ex|com.ex|1|1
+ImportDeclaration|importdeclaration:/s/KEY/a.java:java.util.list:2|java.util.List|2|2
+JavaClass|javaclass:com.ex.aKEY|AKEY|5|14
+JavaField|javafield:javaclass:com.ex.aKEY.n|n|6|6
+JavaMethod|javamethod:javaclass:com.ex.aKEY.aKEY|AKEY|7|9
 JavaClass|javaclass:com.ex.in|In|10|12
 JavaMethod|javamethod:javaclass:com.ex.in.deep|deep|11|11
-JavaMethod|javamethod:javaclass:com.ex.a.after|after|13|13
+JavaMethod|javamethod:javaclass:com.ex.aKEY.after|after|13|13
 JavaEnum|javaenum:com.ex.e|E|15|15
-DECLARES_PACKAGE|file:/s/a.java|packagedeclaration:/s/a.java:com.ex|9|
-JAVA_IMPORTS|file:/s/a.java|importdeclaration:/s/a.java:java.util.list:2|5|
-DEFINES_CLASS|file:/s/a.java|javaclass:com.ex.a|9|
-DEFINES_CLASS|file:/s/a.java|javaclass:com.ex.in|9|
-DEFINES_ENUM|file:/s/a.java|javaenum:com.ex.e|9|
-HAS_FIELD|javaclass:com.ex.a|javafield:javaclass:com.ex.a.n|7|
-HAS_METHOD|javaclass:com.ex.a|javamethod:javaclass:com.ex.a.a|8|
+DECLARES_PACKAGE|file:/s/KEY/a.java|packagedeclaration:/s/KEY/a.java:com.ex|9|
+JAVA_IMPORTS|file:/s/KEY/a.java|importdeclaration:/s/KEY/a.java:java.util.list:2|5|
+DEFINES_CLASS|file:/s/KEY/a.java|javaclass:com.ex.aKEY|9|
+DEFINES_CLASS|file:/s/KEY/a.java|javaclass:com.ex.in|9|
+DEFINES_ENUM|file:/s/KEY/a.java|javaenum:com.ex.e|9|
+HAS_FIELD|javaclass:com.ex.aKEY|javafield:javaclass:com.ex.aKEY.n|7|
+HAS_METHOD|javaclass:com.ex.aKEY|javamethod:javaclass:com.ex.aKEY.aKEY|8|
 HAS_METHOD|javaclass:com.ex.in|javamethod:javaclass:com.ex.in.deep|8|
-HAS_METHOD|javaclass:com.ex.a|javamethod:javaclass:com.ex.a.after|8|
+HAS_METHOD|javaclass:com.ex.aKEY|javamethod:javaclass:com.ex.aKEY.after|8|
 """)
 def java_extract(spark, sf):
-    return _graph(sources.java(_files(spark, ("/s/A.java", JAVA))))
+    return _graph(sources.java(_files(spark, sf, ("/s/KEY/A.java", JAVA))))
 
 
 @source_query("""
-File|file:/s/p.cs|P.cs|1|19
-UsingDirective|usingdirective:/s/p.cs:system:1|System|1|1
-NamespaceDeclaration|namespacedeclaration:/s/p.cs:inv.core|Inv.Core|3|18
-CSharpClass|csharpclass:inv.core.program|Program|5|13
-Field|field:csharpclass:inv.core.program.count|count|7|7
-Property|property:csharpclass:inv.core.program.name|Name|8|8
-CSharpMethod|csharpmethod:csharpclass:inv.core.program.main|Main|9|12
+File|file:/s/KEY/p.cs|P.cs|1|19
+UsingDirective|usingdirective:/s/KEY/p.cs:system:1|System|1|1
+NamespaceDeclaration|namespacedeclaration:/s/KEY/p.cs:inv.core|Inv.Core|3|18
+CSharpClass|csharpclass:inv.core.programKEY|ProgramKEY|5|13
+Field|field:csharpclass:inv.core.programKEY.count|count|7|7
+Property|property:csharpclass:inv.core.programKEY.name|Name|8|8
+CSharpMethod|csharpmethod:csharpclass:inv.core.programKEY.main|Main|9|12
 CSharpInterface|csharpinterface:inv.core.iitem|IItem|14|17
 CSharpMethod|csharpmethod:csharpinterface:inv.core.iitem.get|Get|16|16
-CSHARP_USING|file:/s/p.cs|usingdirective:/s/p.cs:system:1|5|
-DECLARES_NAMESPACE|file:/s/p.cs|namespacedeclaration:/s/p.cs:inv.core|9|
-DEFINES_CLASS|namespacedeclaration:/s/p.cs:inv.core|csharpclass:inv.core.program|9|
-DEFINES_INTERFACE|namespacedeclaration:/s/p.cs:inv.core|csharpinterface:inv.core.iitem|9|
-HAS_FIELD|csharpclass:inv.core.program|field:csharpclass:inv.core.program.count|7|
-HAS_PROPERTY|csharpclass:inv.core.program|property:csharpclass:inv.core.program.name|7|
-HAS_METHOD|csharpclass:inv.core.program|csharpmethod:csharpclass:inv.core.program.main|8|
+CSHARP_USING|file:/s/KEY/p.cs|usingdirective:/s/KEY/p.cs:system:1|5|
+DECLARES_NAMESPACE|file:/s/KEY/p.cs|namespacedeclaration:/s/KEY/p.cs:inv.core|9|
+DEFINES_CLASS|namespacedeclaration:/s/KEY/p.cs:inv.core|csharpclass:inv.core.programKEY|9|
+DEFINES_INTERFACE|namespacedeclaration:/s/KEY/p.cs:inv.core|csharpinterface:inv.core.iitem|9|
+HAS_FIELD|csharpclass:inv.core.programKEY|field:csharpclass:inv.core.programKEY.count|7|
+HAS_PROPERTY|csharpclass:inv.core.programKEY|property:csharpclass:inv.core.programKEY.name|7|
+HAS_METHOD|csharpclass:inv.core.programKEY|csharpmethod:csharpclass:inv.core.programKEY.main|8|
 HAS_METHOD|csharpinterface:inv.core.iitem|csharpmethod:csharpinterface:inv.core.iitem.get|8|
 """)
 def csharp_extract(spark, sf):
-    return _graph(sources.csharp(_files(spark, ("/s/P.cs", CSHARP))))
+    return _graph(sources.csharp(_files(spark, sf, ("/s/KEY/P.cs", CSHARP))))
 
 
 @source_query("""
-File|file:/s/m.cpp|m.cpp|1|14
-IncludeDirective|includedirective:/s/m.cpp:iostream:1|iostream|1|1
-MacroDefinition|macrodefinition:/s/m.cpp:max:2|MAX|2|2
-CppClass|cppclass:/s/m.cpp:circle|Circle|3|6
-CppMethod|cppmethod:/s/m.cpp:area:5|area|5|5
-CFunction|cfunction:/s/m.cpp:circle::far:7|Circle::far|7|10
-CFunction|cfunction:/s/m.cpp:main:11|main|11|13
-INCLUDES|file:/s/m.cpp|includedirective:/s/m.cpp:iostream:1|5|
-DEFINES_CLASS|file:/s/m.cpp|cppclass:/s/m.cpp:circle|9|
-HAS_METHOD|cppclass:/s/m.cpp:circle|cppmethod:/s/m.cpp:area:5|8|
-DEFINES_FUNCTION|file:/s/m.cpp|cfunction:/s/m.cpp:circle::far:7|8|
-DEFINES_FUNCTION|file:/s/m.cpp|cfunction:/s/m.cpp:main:11|8|
+File|file:/s/KEY/m.cpp|m.cpp|1|14
+IncludeDirective|includedirective:/s/KEY/m.cpp:iostream:1|iostream|1|1
+MacroDefinition|macrodefinition:/s/KEY/m.cpp:max:2|MAX|2|2
+CppClass|cppclass:/s/KEY/m.cpp:circleKEY|CircleKEY|3|6
+CppMethod|cppmethod:/s/KEY/m.cpp:area:5|area|5|5
+CFunction|cfunction:/s/KEY/m.cpp:circleKEY::far:7|CircleKEY::far|7|10
+CFunction|cfunction:/s/KEY/m.cpp:main:11|main|11|13
+INCLUDES|file:/s/KEY/m.cpp|includedirective:/s/KEY/m.cpp:iostream:1|5|
+DEFINES_CLASS|file:/s/KEY/m.cpp|cppclass:/s/KEY/m.cpp:circleKEY|9|
+HAS_METHOD|cppclass:/s/KEY/m.cpp:circleKEY|cppmethod:/s/KEY/m.cpp:area:5|8|
+DEFINES_FUNCTION|file:/s/KEY/m.cpp|cfunction:/s/KEY/m.cpp:circleKEY::far:7|8|
+DEFINES_FUNCTION|file:/s/KEY/m.cpp|cfunction:/s/KEY/m.cpp:main:11|8|
 """)
 def cpp_extract(spark, sf):
-    return _graph(sources.c_cpp(_files(spark, ("/s/m.cpp", CPP))))
+    return _graph(sources.c_cpp(_files(spark, sf, ("/s/KEY/m.cpp", CPP))))
 
 
 @source_query("""
-File|file:/s/p.py|p.py|1|10
-PythonModule|pythonmodule:/s/p.py:os|os|1|1
-PythonVariable|pythonvariable:/s/p.py:x:2|X|2|2
-PythonFunction|pythonfunction:/s/p.py:greet|greet|4|5
-PythonParameter|pythonparameter:/s/p.py:greet.name:4|name|4|4
-PythonClass|pythonclass:/s/p.py:k|K|7|9
-PythonMethod|pythonmethod:/s/p.py:k.get|get|8|9
-PythonParameter|pythonparameter:/s/p.py:k.get.self:8|self|8|8
-PYTHON_IMPORTS|file:/s/p.py|pythonmodule:/s/p.py:os|1|
-PYTHON_DEFINES_FUNCTION|file:/s/p.py|pythonfunction:/s/p.py:greet|1|
-PYTHON_HAS_PARAMETER|pythonfunction:/s/p.py:greet|pythonparameter:/s/p.py:greet.name:4|1|
-PYTHON_CALLS|pythonfunction:/s/p.py:greet|pythonfunction:/s/p.py:print|1|
-PYTHON_DEFINES_CLASS|file:/s/p.py|pythonclass:/s/p.py:k|1|
-PYTHON_HAS_METHOD|pythonclass:/s/p.py:k|pythonmethod:/s/p.py:k.get|1|
-PYTHON_HAS_PARAMETER|pythonmethod:/s/p.py:k.get|pythonparameter:/s/p.py:k.get.self:8|1|
-PYTHON_CALLS|pythonmethod:/s/p.py:k.get|pythonfunction:/s/p.py:greet|1|
+File|file:/s/KEY/p.py|p.py|1|10
+PythonModule|pythonmodule:/s/KEY/p.py:os|os|1|1
+PythonVariable|pythonvariable:/s/KEY/p.py:x:2|X|2|2
+PythonFunction|pythonfunction:/s/KEY/p.py:greetKEY|greetKEY|4|5
+PythonParameter|pythonparameter:/s/KEY/p.py:greetKEY.name:4|name|4|4
+PythonClass|pythonclass:/s/KEY/p.py:k|K|7|9
+PythonMethod|pythonmethod:/s/KEY/p.py:k.get|get|8|9
+PythonParameter|pythonparameter:/s/KEY/p.py:k.get.self:8|self|8|8
+PYTHON_IMPORTS|file:/s/KEY/p.py|pythonmodule:/s/KEY/p.py:os|1|
+PYTHON_DEFINES_FUNCTION|file:/s/KEY/p.py|pythonfunction:/s/KEY/p.py:greetKEY|1|
+PYTHON_HAS_PARAMETER|pythonfunction:/s/KEY/p.py:greetKEY|pythonparameter:/s/KEY/p.py:greetKEY.name:4|1|
+PYTHON_CALLS|pythonfunction:/s/KEY/p.py:greetKEY|pythonfunction:/s/KEY/p.py:print|1|
+PYTHON_DEFINES_CLASS|file:/s/KEY/p.py|pythonclass:/s/KEY/p.py:k|1|
+PYTHON_HAS_METHOD|pythonclass:/s/KEY/p.py:k|pythonmethod:/s/KEY/p.py:k.get|1|
+PYTHON_HAS_PARAMETER|pythonmethod:/s/KEY/p.py:k.get|pythonparameter:/s/KEY/p.py:k.get.self:8|1|
+PYTHON_CALLS|pythonmethod:/s/KEY/p.py:k.get|pythonfunction:/s/KEY/p.py:greetKEY|1|
 """)
 def py_extract(spark, sf):
-    return _graph(python_source.python(_files(spark, ("/s/p.py", PYTHON))))
+    return _graph(python_source.python(_files(spark, sf, ("/s/KEY/p.py", PYTHON))))
 
 
 @source_query("""
-File|file:/s/x.sql|x.sql|1|9
-SQLTable|sqltable:shop.items|items|2|6
-SQLColumn|sqlcolumn:sqltable:shop.items.id|id|2|6
-SQLColumn|sqlcolumn:sqltable:shop.items.price|price|2|6
+File|file:/s/KEY/x.sql|x.sql|1|9
+SQLTable|sqltable:shop.itemsKEY|itemsKEY|2|6
+SQLColumn|sqlcolumn:sqltable:shop.itemsKEY.id|id|2|6
+SQLColumn|sqlcolumn:sqltable:shop.itemsKEY.price|price|2|6
 SQLView|sqlview:v|v|7|7
-SQLInsertStatement|sqlinsertstatement:/s/x.sql:8:0|insert|8|8
-DEFINES_TABLE|file:/s/x.sql|sqltable:shop.items|9|
-HAS_COLUMN|sqltable:shop.items|sqlcolumn:sqltable:shop.items.id|8|
-HAS_COLUMN|sqltable:shop.items|sqlcolumn:sqltable:shop.items.price|8|
-DEFINES_VIEW|file:/s/x.sql|sqlview:v|9|
+SQLInsertStatement|sqlinsertstatement:/s/KEY/x.sql:8:0|insert|8|8
+DEFINES_TABLE|file:/s/KEY/x.sql|sqltable:shop.itemsKEY|9|
+HAS_COLUMN|sqltable:shop.itemsKEY|sqlcolumn:sqltable:shop.itemsKEY.id|8|
+HAS_COLUMN|sqltable:shop.itemsKEY|sqlcolumn:sqltable:shop.itemsKEY.price|8|
+DEFINES_VIEW|file:/s/KEY/x.sql|sqlview:v|9|
 """)
 def sql_extract(spark, sf):
-    return _graph(sql_source.sql(_files(spark, ("/s/x.sql", SQL))))
+    return _graph(sql_source.sql(_files(spark, sf, ("/s/KEY/x.sql", SQL))))
 
 
 @source_query("""
-File|file:/s/a.ts|a.ts|1|23
-Import|import:/s/a.ts:./b:1|./b|1|1
-Import|import:/s/a.ts:./b:2|./b|2|2
-Import|import:/s/a.ts:lib:3|lib|3|3
-Variable|variable:/s/a.ts:limit:5|LIMIT|5|5
-Function|function:/s/a.ts:run:6|run|6|11
-Class|class:/s/a.ts:k|K|12|19
-Method|method:/s/a.ts:k.load|load|13|15
-Method|method:/s/a.ts:k.step|step|16|18
-Interface|interface:/s/a.ts:i|I|20|22
-Method|method:/s/a.ts:i.size|size|21|21
-IMPORTS|file:/s/a.ts|import:/s/a.ts:./b:1|1|
-IMPORTS|file:/s/a.ts|import:/s/a.ts:./b:2|1|
-IMPORTS|file:/s/a.ts|import:/s/a.ts:lib:3|1|
-HAS_METHOD|class:/s/a.ts:k|method:/s/a.ts:k.load|10|
-HAS_METHOD|class:/s/a.ts:k|method:/s/a.ts:k.step|10|
-HAS_METHOD|interface:/s/a.ts:i|method:/s/a.ts:i.size|10|
-Parameter|parameter:function:/s/a.ts:run:6:n|n|6|6
-Parameter|parameter:method:/s/a.ts:k.load:a|a|13|13
-HAS_PARAMETER|function:/s/a.ts:run:6|parameter:function:/s/a.ts:run:6:n|8|
-HAS_PARAMETER|method:/s/a.ts:k.load|parameter:method:/s/a.ts:k.load:a|8|
+File|file:/s/KEY/a.ts|a.ts|1|23
+Import|import:/s/KEY/a.ts:./b:1|./b|1|1
+Import|import:/s/KEY/a.ts:./b:2|./b|2|2
+Import|import:/s/KEY/a.ts:lib:3|lib|3|3
+Variable|variable:/s/KEY/a.ts:limit:5|LIMIT|5|5
+Function|function:/s/KEY/a.ts:runKEY:6|runKEY|6|11
+Class|class:/s/KEY/a.ts:k|K|12|19
+Method|method:/s/KEY/a.ts:k.load|load|13|15
+Method|method:/s/KEY/a.ts:k.step|step|16|18
+Interface|interface:/s/KEY/a.ts:i|I|20|22
+Method|method:/s/KEY/a.ts:i.size|size|21|21
+IMPORTS|file:/s/KEY/a.ts|import:/s/KEY/a.ts:./b:1|1|
+IMPORTS|file:/s/KEY/a.ts|import:/s/KEY/a.ts:./b:2|1|
+IMPORTS|file:/s/KEY/a.ts|import:/s/KEY/a.ts:lib:3|1|
+HAS_METHOD|class:/s/KEY/a.ts:k|method:/s/KEY/a.ts:k.load|10|
+HAS_METHOD|class:/s/KEY/a.ts:k|method:/s/KEY/a.ts:k.step|10|
+HAS_METHOD|interface:/s/KEY/a.ts:i|method:/s/KEY/a.ts:i.size|10|
+Parameter|parameter:function:/s/KEY/a.ts:runKEY:6:n|n|6|6
+Parameter|parameter:method:/s/KEY/a.ts:k.load:a|a|13|13
+HAS_PARAMETER|function:/s/KEY/a.ts:runKEY:6|parameter:function:/s/KEY/a.ts:runKEY:6:n|8|
+HAS_PARAMETER|method:/s/KEY/a.ts:k.load|parameter:method:/s/KEY/a.ts:k.load:a|8|
 """)
 def ts_extract(spark, sf):
-    return _graph(sources.typescript(_files(spark, ("/s/a.ts", TS_A))))
+    return _graph(sources.typescript(_files(spark, sf, ("/s/KEY/a.ts", TS_A))))
 
 
 @source_query("""
-IMPORTS|file:/s/a.ts|file:/s/b.ts|5|false
-IMPORTS|file:/s/a.ts|file:lib|5|true
-RESOLVES_IMPORT|file:/s/a.ts|function:/s/b.ts:b:1|8|
-RESOLVES_IMPORT|file:/s/a.ts|class:/s/b.ts:c|8|
-RESOLVES_IMPORT|file:/s/a.ts|file:/s/b.ts|8|
-EXTENDS|class:/s/a.ts:k|class:/s/b.ts:c|9|false
-IMPLEMENTS|class:/s/a.ts:k|interface:/s/a.ts:i|9|false
-CALLS|function:/s/a.ts:run:6|function:/s/b.ts:b:1|6|true
-CALLS|method:/s/a.ts:k.load|function:/s/a.ts:run:6|7|false
-CALLS|method:/s/a.ts:k.load|method:/s/a.ts:k.step|7|false
-HANDLES_ERROR|method:/s/a.ts:k.load|parameter:method:/s/a.ts:k.load:e|5|
+IMPORTS|file:/s/KEY/a.ts|file:/s/KEY/b.ts|5|false
+IMPORTS|file:/s/KEY/a.ts|file:lib|5|true
+RESOLVES_IMPORT|file:/s/KEY/a.ts|function:/s/KEY/b.ts:b:1|8|
+RESOLVES_IMPORT|file:/s/KEY/a.ts|class:/s/KEY/b.ts:c|8|
+RESOLVES_IMPORT|file:/s/KEY/a.ts|file:/s/KEY/b.ts|8|
+EXTENDS|class:/s/KEY/a.ts:k|class:/s/KEY/b.ts:c|9|false
+IMPLEMENTS|class:/s/KEY/a.ts:k|interface:/s/KEY/a.ts:i|9|false
+CALLS|function:/s/KEY/a.ts:runKEY:6|function:/s/KEY/b.ts:b:1|6|true
+CALLS|method:/s/KEY/a.ts:k.load|function:/s/KEY/a.ts:runKEY:6|7|false
+CALLS|method:/s/KEY/a.ts:k.load|method:/s/KEY/a.ts:k.step|7|false
+HANDLES_ERROR|method:/s/KEY/a.ts:k.load|parameter:method:/s/KEY/a.ts:k.load:e|5|
 """)
 def ts_resolve(spark, sf):
-    files = _files(spark, ("/s/a.ts", TS_A), ("/s/b.ts", TS_B))
+    files = _files(spark, sf, ("/s/KEY/a.ts", TS_A), ("/s/KEY/b.ts", TS_B))
     nodes = cut(sources.typescript(files)[0])
     targets = resolve_ts.import_targets(nodes)
     flag = lambda rows, c: rows.select(F.col("type").alias("what"), F.col("sourceId").alias("a"), F.col("targetId").alias("b"), F.col("weight").cast("string").alias("c"), (F.col(c).cast("string") if c else F.lit("")).alias("d"))
@@ -229,31 +236,31 @@ def ts_resolve(spark, sf):
     return out
 
 
-@source_query("function:/s/a.ts:run:6|3\nmethod:/s/a.ts:k.load|2\nmethod:/s/a.ts:k.step|1\nmethod:/s/a.ts:i.size|1", "id, complexity")
+@source_query("function:/s/KEY/a.ts:runKEY:6|3\nmethod:/s/KEY/a.ts:k.load|2\nmethod:/s/KEY/a.ts:k.step|1\nmethod:/s/KEY/a.ts:i.size|1", "id, complexity")
 def ts_complexity(spark, sf):
-    files = _files(spark, ("/s/a.ts", TS_A))
+    files = _files(spark, sf, ("/s/KEY/a.ts", TS_A))
     return resolve_ts.complexities(files, sources.typescript(files)[0]).select(F.col("entityId").alias("id"), F.col("complexity").cast("string").alias("complexity"))
 
 
 @source_query("""
-JSXElement|jsxelement:/s/a.tsx:div:2:2|div|2
-JSXElement|jsxelement:/s/a.tsx:item:3:4|Item|3
-JSXElement|jsxelement:/s/a.tsx:span:4:4|span|4
-JSXAttribute|jsxattribute:jsxelement:/s/a.tsx:div:2:2:classname|className|2
-JSXAttribute|jsxattribute:jsxelement:/s/a.tsx:item:3:4:key|key|3
-JSXAttribute|jsxattribute:jsxelement:/s/a.tsx:item:3:4:on|on|3
-TailwindClass|tailwindclass:p-4|p-4|0
-TailwindClass|tailwindclass:m-2|m-2|0
-RENDERS_ELEMENT|jsxelement:/s/a.tsx:div:2:2|jsxelement:/s/a.tsx:item:3:4|6
-RENDERS_ELEMENT|jsxelement:/s/a.tsx:div:2:2|jsxelement:/s/a.tsx:span:4:4|6
-HAS_PROP|jsxelement:/s/a.tsx:div:2:2|jsxattribute:jsxelement:/s/a.tsx:div:2:2:classname|7
-HAS_PROP|jsxelement:/s/a.tsx:item:3:4|jsxattribute:jsxelement:/s/a.tsx:item:3:4:key|7
-HAS_PROP|jsxelement:/s/a.tsx:item:3:4|jsxattribute:jsxelement:/s/a.tsx:item:3:4:on|7
-USES_TAILWIND_CLASS|jsxelement:/s/a.tsx:div:2:2|tailwindclass:p-4|2
-USES_TAILWIND_CLASS|jsxelement:/s/a.tsx:div:2:2|tailwindclass:m-2|2
+JSXElement|jsxelement:/s/KEY/a.tsx:div:2:2|div|2
+JSXElement|jsxelement:/s/KEY/a.tsx:itemKEY:3:4|ItemKEY|3
+JSXElement|jsxelement:/s/KEY/a.tsx:span:4:4|span|4
+JSXAttribute|jsxattribute:jsxelement:/s/KEY/a.tsx:div:2:2:classname|className|2
+JSXAttribute|jsxattribute:jsxelement:/s/KEY/a.tsx:itemKEY:3:4:key|key|3
+JSXAttribute|jsxattribute:jsxelement:/s/KEY/a.tsx:itemKEY:3:4:on|on|3
+TailwindClass|tailwindclass:p-KEY|p-KEY|0
+TailwindClass|tailwindclass:m-KEY|m-KEY|0
+RENDERS_ELEMENT|jsxelement:/s/KEY/a.tsx:div:2:2|jsxelement:/s/KEY/a.tsx:itemKEY:3:4|6
+RENDERS_ELEMENT|jsxelement:/s/KEY/a.tsx:div:2:2|jsxelement:/s/KEY/a.tsx:span:4:4|6
+HAS_PROP|jsxelement:/s/KEY/a.tsx:div:2:2|jsxattribute:jsxelement:/s/KEY/a.tsx:div:2:2:classname|7
+HAS_PROP|jsxelement:/s/KEY/a.tsx:itemKEY:3:4|jsxattribute:jsxelement:/s/KEY/a.tsx:itemKEY:3:4:key|7
+HAS_PROP|jsxelement:/s/KEY/a.tsx:itemKEY:3:4|jsxattribute:jsxelement:/s/KEY/a.tsx:itemKEY:3:4:on|7
+USES_TAILWIND_CLASS|jsxelement:/s/KEY/a.tsx:div:2:2|tailwindclass:p-KEY|2
+USES_TAILWIND_CLASS|jsxelement:/s/KEY/a.tsx:div:2:2|tailwindclass:m-KEY|2
 """, "what, a, b, c")
 def jsx_extract(spark, sf):
-    nodes, rels = jsx_.jsx(_files(spark, ("/s/a.tsx", JSX)))
+    nodes, rels = jsx_.jsx(_files(spark, sf, ("/s/KEY/a.tsx", JSX)))
     a = nodes.select(F.col("kind").alias("what"), F.col("entityId").alias("a"), F.col("name").alias("b"), F.col("startLine").cast("string").alias("c"))
     return a.unionByName(rels.select(F.col("type").alias("what"), F.col("sourceId").alias("a"), F.col("targetId").alias("b"), F.col("weight").cast("string").alias("c")))
 
