@@ -1,81 +1,209 @@
-"""Python source: the standard library's syntax tree, one small function for each file."""
+"""Python source: statements with their blocks from one linear pass over a file's tokens, the rest DataFrame functions.
+
+What stands inside f-strings is part of the string.  A file with an open bracket or string at its end, or with a
+block that fits no indentation, has one row of kind Error and yields its File node only.
+"""
 
 from __future__ import annotations
 
-import ast
+import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcloom.extract.sources import file_nodes
 from srcloom.functions.identity import entity_id, relationship_id
+from srcloom.operators.spans import innermost
+
+TOKENS = re.compile(
+    r'''(?P<comment>#[^\r\n]*)'''
+    r'''|(?P<string>(?:\b[rRbBuUfF]{1,2})?(?:"""(?:[^"\\]|\\[\s\S]|"(?!""))*+(?P<a>""")?|\'\'\'(?:[^'\\]|\\[\s\S]|'(?!\'\'))*+(?P<b>\'\'\')?|"(?:[^"\\\n]|\\[\s\S])*+"?|'(?:[^'\\\n]|\\[\s\S])*+'?))'''
+    r'''|(?P<joined>\\(?:\r\n|\n|\r))|(?P<newline>\r\n|\n|\r)|(?P<mark>[()\[\]{}:;])|(?P<rest>[A-Za-z_]\w*|[^#"'\\\r\n()\[\]{}:;\w]+|\w+|.)''',
+    re.S,
+)
+#: Words that begin a statement with a block.
+BLOCKS = re.compile(r"\s*(?:async\s+)?(?:(?:def|class|if|elif|else|for|while|try|except|finally|with)\b|(?:match|case)\b(?!\s*[:=.]))")
+INDENT = re.compile(r"[ \t\f]*")
+ENTRIES = "path string, kind string, n int, line int, last int, depth int, clean string, until int, owner int, params array<struct<name:string,line:int>>"
+NOT_CALLED = ("if", "elif", "while", "for", "in", "not", "and", "or", "is", "return", "yield", "lambda", "assert", "del", "with", "except", "raise", "from", "import", "await", "else")
+
+
+def statements(content: str) -> list[list]:
+    """[first line, last line, indentation, text] of each statement, comments left out and strings blanked; a block's
+    header and what follows it on its line are two, the second deeper by half.  Raises ValueError on open brackets or strings."""
+    out: list[list] = []
+    indent_at = lambda at: len(INDENT.match(content, at)[0].expandtabs(8))
+    line, first, depth, text, indent, deeper = 1, 1, [], "", indent_at(0), 0.0
+
+    def close() -> None:
+        nonlocal text
+        if text.strip():
+            out.append([first, line, indent + deeper, text.strip()])
+        text = ""
+
+    for m in TOKENS.finditer(content):
+        s, kind = m[0], "string" if m["string"] is not None else m.lastgroup
+        if kind not in ("comment", "newline", "joined") and s.strip() and not text.strip():
+            first = line
+        if kind == "string":
+            quote = s.lstrip("rRbBuUfF")
+            long = quote[:3] in ('"""', "\'\'\'")
+            if len(quote) < (6 if long else 2) or not quote.endswith(quote[:3] if long else quote[0]):
+                raise ValueError(f"open string in line {line}")
+            text += '""'
+            line += len(re.findall(r"\r\n|\n|\r", s))
+        elif kind == "joined":
+            line += 1
+            text += " "
+        elif kind == "newline":
+            if depth:
+                text += "\n"
+            else:
+                close()
+                indent, deeper = indent_at(m.end()), 0.0
+            line += 1
+        elif kind == "mark" and s in "([{":
+            depth.append(s)
+            text += s
+        elif kind == "mark" and s in ")]}":
+            if not depth or "([{".index(depth.pop()) != ")]}".index(s):
+                raise ValueError(f"bracket in line {line}")
+            text += s
+        elif s == ";" and not depth:
+            close()
+        elif s == ":" and not depth and BLOCKS.match(text) and not re.search(r"\blambda\b[^:]*$", text):
+            text += s
+            close()
+            deeper += 0.5
+        elif kind != "comment":
+            text += s
+    if depth:
+        raise ValueError("open bracket at the end")
+    close()
+    return out
+
+
+def parameters(header: str, line: int) -> list[tuple[str, int]]:
+    """Names and lines of the parameters that may be given by place or by name."""
+    at = header.find("(")
+    out, depth, start = [], 0, at + 1
+    cuts = []
+    for k in range(max(at, 0), len(header)):
+        if header[k] in "([{":
+            depth += 1
+        elif header[k] in ")]}":
+            depth -= 1
+            if not depth:
+                cuts.append((start, k))
+                break
+        elif header[k] == "," and depth == 1:
+            cuts.append((start, k))
+            start = k + 1
+    for a, z in cuts:
+        part = header[a:z]
+        name = re.match(r"\s*(\*{0,2}|/)\s*([^\W\d]\w*)?", part)
+        if part.strip() == "/":
+            out = []  # those before it go by place only
+        elif name[1].startswith("*"):
+            break
+        elif name[2]:
+            out.append((name[2], line + header.count("\n", 0, a + name.start(2))))
+    return out
+
+
+def entries(path: str, content: str) -> list[tuple]:
+    """Rows of ENTRIES of one file: statements with their depth, the last statement of the block that each opens, and the
+    statement that a decorator belongs to."""
+    try:
+        found = statements(content)
+    except ValueError as e:
+        return [(path, "Error", 0, 0, 0, 0, str(e), None, None, None)]
+    levels, openers, until = [0.0], [], {}
+    depths = []
+    for n, (line, _, indent, text) in enumerate(found):
+        while indent < levels[-1]:
+            levels.pop()
+        if indent > levels[-1]:
+            if n == 0 or not found[n - 1][3].endswith(":"):
+                return [(path, "Error", 0, line, line, 0, f"indentation in line {line}", None, None, None)]
+            levels.append(indent)
+        depth = len(levels) - 1
+        while openers and openers[-1][0] >= depth:
+            until[openers.pop()[1]] = n - 1
+        if text.endswith(":"):
+            openers.append((depth, n))
+        depths.append(depth)
+    for _, n in openers:
+        until[n] = len(found) - 1
+    owner, out = {}, []
+    for n in range(len(found) - 1, -1, -1):
+        owner[n] = owner.get(n + 1, n + 1) if found[n][3].startswith("@") else n
+    for n, (line, last, _, text) in enumerate(found):
+        is_def = bool(re.match(r"(?:async\s+)?def\b", text))
+        out.append((path, "Line", n, line, last, depths[n], re.sub(r"\s+", " ", text), until.get(n), owner[n], parameters(text, line) if is_def else None))
+    return out
 
-ROW = "path string, kind string, name string, qualified string, line int, endLine int, parentKind string, parentName string, relType string, extra string"
 
+def syntax(files: DataFrame) -> DataFrame:
+    """Rows of ENTRIES of all files."""
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.struct([("name", pa.string()), ("line", pa.int32())])))
+    names = ("path", "kind", "n", "line", "last", "depth", "clean", "until", "owner", "params")
 
-def syntax_rows(path: str, content: str) -> Iterator[tuple]:
-    """Rows (path, kind, name, qualified name, lines, parent, relationship, extra) of one file; a file that
-    doesn't parse has one row of kind Error."""
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError) as e:
-        yield path, "Error", str(e), None, getattr(e, "lineno", None) or 0, 0, None, None, None, None
-        return
-
-    def visit(node: ast.AST, cls: str | None, fn: tuple[str, str] | None) -> Iterator[tuple]:
-        for child in ast.iter_child_nodes(node):
-            own_cls, own_fn = cls, fn
-            above = fn or (("PythonClass", cls) if cls else ("File", ""))
-            if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
-                kind, full = ("PythonMethod", f"{cls}.{child.name}") if cls else ("PythonFunction", child.name)
-                yield path, kind, child.name, full, child.lineno, child.end_lineno, "PythonClass" if cls else "File", cls or "", "PYTHON_HAS_METHOD" if cls else "PYTHON_DEFINES_FUNCTION", None
-                for a in child.args.args:
-                    yield path, "PythonParameter", a.arg, f"{full}.{a.arg}:{a.lineno}", a.lineno, a.end_lineno, kind, full, "PYTHON_HAS_PARAMETER", None
-                own_fn = (kind, full)
-            elif isinstance(child, ast.ClassDef):
-                yield path, "PythonClass", child.name, child.name, child.lineno, child.end_lineno, "File", "", "PYTHON_DEFINES_CLASS", None
-                own_cls, own_fn = child.name, None
-            elif isinstance(child, ast.Import):
-                for a in child.names:
-                    yield path, "PythonModule", a.name, a.name, child.lineno, child.end_lineno, "File", "", "PYTHON_IMPORTS", a.asname
-            elif isinstance(child, ast.ImportFrom):
-                module = "." * child.level + (child.module or "")
-                yield path, "PythonModule", module, module, child.lineno, child.end_lineno, "File", "", "PYTHON_IMPORTS", ",".join(a.name for a in child.names)
-            elif isinstance(child, ast.Assign):
-                for t in child.targets:
-                    if isinstance(t, ast.Name):
-                        yield path, "PythonVariable", t.id, f"{t.id}:{t.lineno}", t.lineno, t.end_lineno, *above, None, None
-            elif isinstance(child, ast.Call):
-                name = child.func.id if isinstance(child.func, ast.Name) else child.func.attr if isinstance(child.func, ast.Attribute) else None
-                if name:
-                    yield path, "Call", name, name, child.lineno, child.end_lineno, *(fn or ("File", "")), "PYTHON_CALLS", None
-            yield from visit(child, own_cls, own_fn)
-
-    yield from visit(tree, None, None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = entries(path, content)
+                for a in range(0, len(rows), 65536):
+                    own = [(*r[:9], None if r[9] is None else [{"name": x, "line": y} for x, y in r[9]]) for r in rows[a : a + 65536]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own, strict=True), kinds, strict=True)], list(names))
 
+    return files.select("path", "content").where("content IS NOT NULL").mapInArrow(run, ENTRIES)
 
-def syntax(files: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in ROW.split(", ")]
-        for pdf in batches:
-            yield pd.DataFrame([r for p, c in zip(pdf["path"], pdf["content"], strict=True) for r in syntax_rows(p, c)], columns=names)
 
-    return files.select("path", "content").where("content IS NOT NULL").mapInPandas(run, ROW)
+def _of(kind: Column, name: Column) -> Column:
+    return F.when(kind == "File", entity_id("file", F.col("path"))).otherwise(entity_id(kind, F.concat_ws(":", "path", name)))
 
 
 def python(files: DataFrame):
     """Functions, methods, parameters, classes, imported modules, variables, and calls to functions of the
     same name (placeholders where the file has none)."""
-    rows = syntax(files).where("kind <> 'Error'")
-
-    def of(kind, name):
-        return F.when(kind == "File", entity_id("file", F.col("path"))).otherwise(entity_id(kind, F.concat_ws(":", "path", name)))
-
+    rows = syntax(files).where("kind = 'Line'")
+    name = F.regexp_extract("clean", r"^(?:async )?(?:def|class) ([^\W\d]\w*)", 1)
+    heads = rows.withColumns({"name": name, "isClass": F.col("clean").startswith("class ")}).where("name <> '' AND until IS NOT NULL OR name <> '' AND clean RLIKE ':$'").withColumn("until", F.coalesce("until", "n"))
+    # the class on the stack of each head, however far out
+    inside = heads.where("isClass").select("path", (F.col("n") + 1).alias("a"), F.col("until").alias("z"), F.col("name").alias("class")).where("z >= a")
+    heads = heads.join(innermost(heads.select("path", F.col("n").alias("line")), inside).select("path", F.col("line").alias("n"), "class"), ["path", "n"], "left")
+    kind = F.when(F.col("isClass"), "PythonClass").when(F.col("class").isNotNull(), "PythonMethod").otherwise("PythonFunction")
+    heads = heads.withColumns({"what": kind, "full": F.when(F.col("isClass") | F.col("class").isNull(), F.col("name")).otherwise(F.concat_ws(".", "class", "name"))})
+    ends = rows.select("path", F.col("n").alias("until"), F.col("last").alias("end"))
+    heads = heads.join(ends, ["path", "until"])
+    member = F.col("what") == "PythonMethod"
+    defined = heads.select("path", F.col("what").alias("kind"), "name", F.col("full").alias("qualified"), "line", F.col("end").alias("endLine"), F.when(member, "PythonClass").otherwise("File").alias("parentKind"), F.when(member, F.col("class")).otherwise(F.lit("")).alias("parentName"), F.when(F.col("isClass"), "PYTHON_DEFINES_CLASS").when(member, "PYTHON_HAS_METHOD").otherwise("PYTHON_DEFINES_FUNCTION").alias("relType"), F.lit(None).cast("string").alias("extra"))
+    args = heads.where("NOT isClass").select("path", "what", "full", F.explode("params").alias("p"))
+    args = args.select("path", F.lit("PythonParameter").alias("kind"), F.col("p.name").alias("name"), F.concat(F.concat_ws(".", "full", "p.name"), F.lit(":"), F.col("p.line")).alias("qualified"), F.col("p.line").alias("line"), F.col("p.line").alias("endLine"), F.col("what").alias("parentKind"), F.col("full").alias("parentName"), F.lit("PYTHON_HAS_PARAMETER").alias("relType"), F.lit(None).cast("string").alias("extra"))
+    none = F.lit(None).cast("string")
+    # imports belong to the file wherever they stand
+    plain = rows.where(F.col("clean").rlike(r"^import ")).select("path", "line", "last", F.explode(F.split(F.regexp_replace("clean", "^import ", ""), r"\s*,\s*")).alias("x")).select("path", "line", "last", F.regexp_extract("x", r"^([\w.]+)", 1).alias("name"), F.nullif(F.regexp_extract("x", r" as (\w+)", 1), F.lit("")).alias("extra"))
+    names = F.transform(F.split(F.regexp_replace(F.regexp_extract("clean", r"^from [. \w]+ import (.*)$", 1), r"[()]", ""), ","), lambda x: F.regexp_extract(F.trim(x), r"^([\w*]+)", 1))
+    of = rows.where(F.col("clean").rlike(r"^from [. \w]+ import ")).select("path", "line", "last", F.regexp_replace(F.regexp_extract("clean", r"^from ([. \w]+?) import ", 1), " ", "").alias("name"), F.array_join(F.filter(names, lambda x: x != ""), ",").alias("extra"))
+    brought = plain.unionByName(of).where("name <> ''").select("path", F.lit("PythonModule").alias("kind"), "name", F.col("name").alias("qualified"), "line", F.col("last").alias("endLine"), F.lit("File").alias("parentKind"), F.lit("").alias("parentName"), F.lit("PYTHON_IMPORTS").alias("relType"), "extra")
+    # what a statement belongs to: the innermost function or class; a header's defaults and decorators are the function's
+    spans = heads.select("path", F.col("n").alias("a"), F.col("until").alias("z"), "what", "full")
+    around = innermost(rows.select("path", F.col("owner").alias("line"), "clean", F.col("line").alias("at")), spans).select("path", F.col("line").alias("owner"), "clean", "at", "what", "full").unionByName(
+        rows.select("path", "owner", "clean", F.col("line").alias("at")).join(innermost(rows.select("path", F.col("owner").alias("line")).distinct(), spans).select("path", F.col("line").alias("owner")), ["path", "owner"], "left_anti").withColumns({"what": none, "full": none})
+    )
+    targets = F.regexp_extract("clean", r"^((?:[\w.]++(?:\[[^\[\]]*+\])? ?=(?!=) ?)++)", 1)
+    assigned = around.where(targets != "").select("path", "at", "what", "full", F.explode(F.filter(F.split(targets, r"\s*=\s*"), lambda x: x.rlike(r"^[^\W\d]\w*$"))).alias("name"))
+    held = assigned.select("path", F.lit("PythonVariable").alias("kind"), "name", F.concat(F.col("name"), F.lit(":"), F.col("at")).alias("qualified"), F.col("at").alias("line"), F.col("at").alias("endLine"), F.coalesce("what", F.lit("File")).alias("parentKind"), F.coalesce("full", F.lit("")).alias("parentName"), none.alias("relType"), none.alias("extra"))
+    called = around.select("path", "what", "full", F.explode(F.regexp_extract_all(F.regexp_replace("clean", r"^(?:async )?(?:def|class) \w+ ?|^(?:match|case) ?(?=\()", ""), F.lit(r"([^\W\d]\w*) ?\("), F.lit(1))).alias("name")).where(~F.col("name").isin(*NOT_CALLED))
+    by = F.coalesce(F.col("what") != "PythonClass", F.lit(False))
+    calls = called.select("path", F.lit("Call").alias("kind"), "name", F.col("name").alias("qualified"), F.lit(0).alias("line"), F.lit(0).alias("endLine"), F.when(by, F.col("what")).otherwise("File").alias("parentKind"), F.when(by, F.col("full")).otherwise("").alias("parentName"), F.lit("PYTHON_CALLS").alias("relType"), none.alias("extra"))
+    every = defined.unionByName(args).unionByName(brought).unionByName(held).unionByName(calls)
     kind = F.when(F.col("kind") == "Call", "PythonFunction").otherwise(F.col("kind"))
-    rows = rows.withColumns({"id": of(kind, F.col("qualified")), "parentId": of(F.col("parentKind"), F.col("parentName"))})
+    every = every.withColumns({"id": _of(kind, F.col("qualified")), "parentId": _of(F.col("parentKind"), F.col("parentName"))})
     loc = F.col("endLine") - F.col("line") + 1
-    nodes = rows.where("kind <> 'Call'").select(F.col("id").alias("entityId"), "kind", "name", F.col("path").alias("filePath"), F.col("line").alias("startLine"), "endLine", loc.alias("loc"), F.lit("Python").alias("language"), "parentId", "extra")
-    rels = rows.where("relType IS NOT NULL").select(relationship_id(F.col("relType"), F.col("parentId"), F.col("id")).alias("entityId"), F.col("relType").alias("type"), F.col("parentId").alias("sourceId"), F.col("id").alias("targetId"), F.lit(1).alias("weight"))
+    nodes = every.where("kind <> 'Call'").select(F.col("id").alias("entityId"), "kind", "name", F.col("path").alias("filePath"), F.col("line").alias("startLine"), "endLine", loc.alias("loc"), F.lit("Python").alias("language"), "parentId", "extra")
+    rels = every.where("relType IS NOT NULL").select(relationship_id(F.col("relType"), F.col("parentId"), F.col("id")).alias("entityId"), F.col("relType").alias("type"), F.col("parentId").alias("sourceId"), F.col("id").alias("targetId"), F.lit(1).alias("weight"))
     return file_nodes(files).unionByName(nodes), rels

@@ -112,3 +112,34 @@ def test_spans_of_a_long_file():
     began = time.time()
     calls, found = spans("f(x => {\n  g(1, 'a');\n});\n" * 20_000)
     assert len(calls) == 40_000 and len(found) == 20_000 and time.time() - began < 20
+
+
+def test_python_statements_match_the_syntax_tree(spark):
+    import ast
+    import pathlib
+
+    here = pathlib.Path(__file__).parent.parent
+    texts = [(str(p), p.read_text()) for p in sorted(here.glob("srcloom/**/*.py"))]
+    odd = "if a: b = 1; c = d = g()\nelse: pass\nx = {\n  'k': (1,\n    2)}\n@deco(1)\nclass K(B()):\n  def m(self, a, /, b: int = f(1), *c, d=2):\n    '''\n  text: (\n'''\n    return lambda q: h(q)\n  y = \\\n    i()\nasync def n(): await j()\nmatch = k(1)\nfrom . import (a as b,\n  c)\nimport os.path as p, sys\n"
+    want = set()
+    for path, text in [*texts, ("/odd.py", odd)]:
+        for node in ast.walk(ast.parse(text)):
+            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+                want.add((path, node.name, node.lineno, node.end_lineno))
+    nodes, rels = python_source.python(of(spark, *texts, ("/odd.py", odd)))
+    nodes = nodes.collect()
+    assert {(r.filePath, r.name, r.startLine, r.endLine) for r in nodes if r.kind in ("PythonFunction", "PythonMethod", "PythonClass")} == want and len(want) > 300
+    mine = {(r.kind, r.name, r.startLine, r.parentId) for r in nodes if r.filePath == "/odd.py" and r.kind not in ("File", "PythonFunction", "PythonMethod", "PythonClass")}
+    assert mine == {
+        ("PythonVariable", "b", 1, "file:/odd.py"), ("PythonVariable", "c", 1, "file:/odd.py"), ("PythonVariable", "d", 1, "file:/odd.py"), ("PythonVariable", "x", 3, "file:/odd.py"), ("PythonVariable", "y", 13, "pythonclass:/odd.py:k"), ("PythonVariable", "match", 16, "file:/odd.py"),
+        ("PythonParameter", "b", 8, "pythonmethod:/odd.py:k.m"), ("PythonModule", ".", 17, "file:/odd.py"), ("PythonModule", "os.path", 19, "file:/odd.py"), ("PythonModule", "sys", 19, "file:/odd.py"),
+    }
+    calls = {(r.sourceId, r.targetId.rpartition(":")[2]) for r in rels.collect() if r.type == "PYTHON_CALLS" and ":/odd.py" in r.sourceId}
+    assert calls == {("file:/odd.py", x) for x in ("g", "deco", "b", "i", "k")} | {("pythonmethod:/odd.py:k.m", "f"), ("pythonmethod:/odd.py:k.m", "h"), ("pythonfunction:/odd.py:n", "j")}
+
+
+def test_broken_python(spark):
+    for text in ("def (", "x = '''open", "a = 'b\n", "  x = 1\n y = (]\n", "if a:\n    b\n  c\n"):
+        assert [r.kind for r in python_source.syntax(of(spark, ("/c.py", text))).collect()] == ["Error"], text
+    long = "x = [\n" + "  f(1),\n" * 30_000 + "]\n" + "a = 'b' + \\\n" * 2 + "''\n"
+    assert python_source.syntax(of(spark, ("/l.py", long))).count() == 2
