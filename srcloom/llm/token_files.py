@@ -173,10 +173,10 @@ def shards_of(docs: DataFrame) -> int:
 
 def doc_bounds(docs: DataFrame, shards: int) -> list[int]:
     """Ascending bounds of ``shards`` about equal ranges of doc_id.  A doc_id that has more rows than a shard
-    holds is several bounds."""
+    holds is several bounds; rows without one count as the least."""
     if shards < 2:
         return []
-    return docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / shards for k in range(1, shards)], 10 * shards)).first()[0] or []
+    return docs.select(F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), [k / shards for k in range(1, shards)], 10 * shards)).first()[0] or []
 
 
 def deal(doc: np.ndarray, text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
