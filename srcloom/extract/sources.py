@@ -15,6 +15,7 @@ NODE = ("entityId", "kind", "name", "filePath", "startLine", "endLine", "loc", "
 MORE = {
     "type": "string", "returnType": "string", "visibility": "string", "isExported": "boolean", "isDefaultExport": "boolean", "isAbstract": "boolean", "isAsync": "boolean", "isStatic": "boolean",
     "isOptional": "boolean", "isRestParameter": "boolean", "isConstant": "boolean", "isEnum": "boolean", "modifierFlags": "array<string>", "createdAt": "string",
+    "isTypeOnly": "boolean", "namedImports": "array<string>", "defaultImport": "string", "namespaceImport": "string", "implementsInterfaces": "array<string>", "documentation": "string", "tags": "array<string>",
 }
 REL = ("entityId", "type", "sourceId", "targetId", "weight")
 
@@ -144,8 +145,13 @@ def typescript(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     word = lambda x: F.col("header").rlike(rf"^[^=(\{{]*\b{x}\b")
     code, member = F.col("kind").isin("Function", "Method"), F.col("kind") == "Method"
     words = F.regexp_extract_all(F.regexp_extract("header", r"^\s*((?:(?:export|default|declare|abstract|public|private|protected|static|async|readonly|override|const|let|var)\s+)*)", 1), F.lit(r"\w+"), F.lit(0))
+    brought, listed = F.col("kind") == "Import", F.regexp_extract("extra", r"\{([^}]*)\}", 1)
+    items = F.filter(F.transform(F.split(listed, ","), lambda x: F.regexp_extract(F.trim(x), r"^(?:type\s+)?([\w$]+)", 1)), lambda x: x != "")
+    some = lambda pattern: F.when(brought, F.nullif(F.regexp_extract("extra", pattern, 1), F.lit("")))
+    bases = F.filter(F.transform(F.split(F.regexp_extract(F.regexp_replace("extra", r"<[^<>]*>|\{.*$", ""), r"\bimplements\s+(.*)$", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
     flags = head.select(
-        "entityId", F.when(code, F.nullif(F.trim(F.regexp_extract("header", r"\)\s*:\s*([^{;=]+?)\s*(?:\{|;|=>|$)", 1)), F.lit(""))).alias("returnType"),
+        "entityId", F.when(brought, F.col("header").rlike(r"^\s*import\s+type\s+(?!from\b|,)")).alias("isTypeOnly"), F.when(brought & (F.size(items) > 0), items).alias("namedImports"), some(r"^\s*([\w$]+)\s*(?:,|$)").alias("defaultImport"), some(r"\*\s+as\s+([\w$]+)").alias("namespaceImport"),
+        F.when((F.col("kind") == "Class") & (F.size(bases) > 0), bases).alias("implementsInterfaces"), F.when(code, F.nullif(F.trim(F.regexp_extract("header", r"\)\s*:\s*([^{;=]+?)\s*(?:\{|;|=>|$)", 1)), F.lit(""))).alias("returnType"),
         F.when(member, F.coalesce(F.nullif(F.regexp_extract("header", r"^\s*(?:\w+\s+)*?(public|private|protected)\b", 1), F.lit("")), F.lit("public"))).alias("visibility"),
         F.when(F.col("kind").isin("Function", "Class", "Interface", "TypeAlias", "Variable"), F.col("header").rlike(r"^\s*export\b")).alias("isExported"), F.when(F.col("kind").isin("Function", "Class", "Interface"), F.col("header").rlike(r"^\s*export\s+default\b")).alias("isDefaultExport"),
         F.when(F.col("kind") == "Class", word("abstract")).alias("isAbstract"), F.when(code, F.col("header").rlike(r"(?:^[^=({]*|=\s*)\basync\b")).alias("isAsync"), F.when(member, word("static")).alias("isStatic"),
@@ -173,9 +179,11 @@ def exports(nodes: DataFrame) -> DataFrame:
 def typescript_with_jsx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What ``typescript`` finds, functions without a name of their own, exports, and the elements of .tsx and .jsx files."""
     from srcloom.extract.call_spans import lambda_nodes
+    from srcloom.extract.docs import documented
     from srcloom.extract.jsx import jsx
 
     nodes, rels = typescript(files)
+    nodes = documented(nodes, files)
     nodes = nodes.unionByName(lambda_nodes(files).join(nodes.select("entityId"), "entityId", "left_anti"), allowMissingColumns=True)
     more, links = jsx(files.where(F.lower("path").rlike(r"\.[tj]sx$")))
     return nodes.unionByName(more, allowMissingColumns=True), rels.unionByName(exports(nodes)).unionByName(links)

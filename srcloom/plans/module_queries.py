@@ -10,6 +10,7 @@ from srcloom.extract import sources
 from srcloom.operators import exports, includes, resolve_ts
 from srcloom.operators.lineage import cut
 from srcloom.plans.source_queries import sources_of
+from srcloom.sources.files import parser_of
 
 #: A module of six files for each customer: a barrel of a barrel of a barrel, and two files that name each other.
 FILES = {
@@ -154,6 +155,58 @@ def ts_arguments_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sourceId", "targetId", "weight", "startLine", "startColumn", "argumentCount", F.array_join("argumentTypes", "|").alias("argumentTypes"), "isConditional")
 
 
+_DETAILS_TS = """import Main{key}, {{ a as b{key}, type T{key} }} from './x{key}';
+import type {{
+  Only{key}
+}} from './types';
+import * as all{key} from "lib";
+import './effects';
+
+/** Says {{ nothing.
+ * Twice over.
+ * @internal
+ * @since {key}
+ */
+export abstract class K{key} extends Base<string> implements I{key}, J<number> {{
+  /** Runs. @not a tag
+   * @returns {key} */
+  go(): number {{
+    const s = "/** @no */";
+    return 1;
+  }}
+}}
+/** An alias. */
+export type Alias{key} = string | number;
+
+export const enum Level{key} {{
+  Low, High
+}}
+type Inner = {{ a: 1 }};
+"""
+
+
+def ts_details_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What imports bring, what classes implement, aliases and enums, documentation and its tags."""
+    nodes, _ = sources.typescript_with_jsx(_of_customers(spark, sf_dir, _DETAILS_TS, "d"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    many = lambda c: F.coalesce(F.array_join(c, "+"), F.lit("-"))
+    rows = nodes.where("kind IN ('Import', 'Class', 'Method', 'TypeAlias')")
+    return rows.select("kind", "startLine", "endLine", many("namedImports").alias("named"), text("defaultImport").alias("byDefault"), text("namespaceImport").alias("whole"), text("isTypeOnly").alias("typeOnly"), many("implementsInterfaces").alias("implements"), text("isEnum").alias("isEnum"), F.coalesce(F.regexp_replace("documentation", "\n", "/"), F.lit("-")).alias("says"), many("tags").alias("tags"), "entityId")
+
+
+_ENDS = ("ts", "tsx", "js", "mjs", "py", "c", "h", "cpp", "hh", "java", "go", "cs", "sql", "JSX", "txt")
+
+
+def file_rows_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File rows of all languages: dispatch, language and lines; the gate of what is resolved, without and with JSX files."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    end = F.element_at(F.array(*(F.lit(e) for e in _ENDS)), (F.col("c_custkey") % len(_ENDS) + 1).cast("int"))
+    files = customer.select(F.concat(F.lit("/F/.x/_f"), F.col("c_custkey").cast("string"), F.lit("."), end).alias("path"), F.concat(F.lit("// a\n"), F.repeat(F.lit("\r\n"), (F.col("c_custkey") % 7).cast("int")), F.lit("last")).alias("content"))
+    gated = lambda tsx: resolve_ts.gate(files, tsx).select(F.col("path").alias("filePath"), F.lit(True).alias(f"g{int(tsx)}"))
+    rows = sources.file_nodes(files).join(gated(False), "filePath", "left").join(gated(True), "filePath", "left")
+    return rows.select("entityId", "name", "endLine", "loc", F.coalesce("language", F.lit("-")).alias("language"), F.coalesce(parser_of(F.col("filePath")), F.lit("-")).alias("parser"), F.coalesce("g0", F.lit(False)).alias("resolved"), F.coalesce("g1", F.lit(False)).alias("resolvedWithJsx"))
+
+
 #: Headers beside, in a folder of the project, in every project, in two folders alike, nowhere; a file of another language.
 _HEADERS = {
     "src/main.cpp": """#include <vector>
@@ -270,6 +323,20 @@ function:/n/{k}.ts:send{k}:1|function:/n/{k}.ts:store{k}:12|10|9|0||false
 method:/n/{k}.ts:own{k}.first|method:/n/{k}.ts:own{k}.second|17|4|4|Date,string,-{k},any|false
 method:/n/{k}.ts:own{k}.first|method:/n/{k}.ts:own{k}.second|18|25|1|any|true
 """
+#: kind, lines, named, default, namespace, type only, implements, enum, documentation, tags, id.
+_FOUND_DETAILS = """
+Import|1|1|a+T{k}|Main{k}|-|false|-|-|-|-|import:/d/{k}.ts:./x{k}:1
+Import|2|2|Only{k}|-|-|true|-|-|-|-|import:/d/{k}.ts:./types:2
+Import|5|5|-|-|all{k}|false|-|-|-|-|import:/d/{k}.ts:lib:5
+Import|6|6|-|-|-|false|-|-|-|-|import:/d/{k}.ts:./effects:6
+Class|13|20|-|-|-|-|I{k}+J|-|Says { nothing./Twice over.|internal+since|class:/d/{k}.ts:k{k}
+Method|16|19|-|-|-|-|-|-|Runs. @not a tag|returns|method:/d/{k}.ts:k{k}.go
+TypeAlias|22|22|-|-|-|-|-|false|An alias.||typealias:/d/{k}.ts:alias{k}
+TypeAlias|24|26|-|-|-|-|-|true|-|-|typealias:/d/{k}.ts:level{k}
+TypeAlias|27|27|-|-|-|-|-|false|-|-|typealias:/d/{k}.ts:inner
+"""
+#: language, parser, resolved, resolved with JSX, for each of the endings.
+_FOUND_FILES = "('ts', 'TypeScript', 'typescript', true, true), ('tsx', 'TSX', 'typescript', false, true), ('js', 'TSX', 'typescript', true, true), ('mjs', 'TSX', 'typescript', true, true), ('py', 'Python', 'python', false, false), ('c', 'C', 'c_cpp', false, false), ('h', 'C', 'c_cpp', false, false), ('cpp', 'C++', 'c_cpp', false, false), ('hh', 'C++', 'c_cpp', false, false), ('java', 'Java', 'java', false, false), ('go', 'Go', 'go', false, false), ('cs', 'C#', 'csharp', false, false), ('sql', 'SQL', 'sql', false, false), ('JSX', 'TSX', 'typescript', false, true), ('txt', '-', '-', false, false)"
 #: Of one project, through all passes; headers that none has are six placeholders more for all of them.
 _FOUND_IN_ALL = """
 File|10
@@ -292,7 +359,7 @@ INCLUDES|16
 RESOLVES_IMPORT|4
 """
 _cells = lambda text: ", ".join("(" + ", ".join(f"'{x}'" for x in line.split("|")) + ")" for line in text.strip().splitlines())
-QUERIES = {f.__name__: f for f in (ts_exported_names, ts_export_relationships, ts_calls_through_barrels, ts_lambdas_of_customers, ts_arguments_of_customers, cpp_includes_of_suppliers, whole_graph_of_suppliers)}
+QUERIES = {f.__name__: f for f in (ts_exported_names, ts_export_relationships, ts_calls_through_barrels, ts_lambdas_of_customers, ts_arguments_of_customers, cpp_includes_of_suppliers, whole_graph_of_suppliers, ts_details_of_customers, file_rows_of_customers)}
 ORACLES = {
     "ts_exported_names": f"{_WALK} SELECT '/g/' || k || '/' || f || '.ts' AS path, {_WRITTEN} AS name, status, t AS targetId, CAST(hops AS BIGINT) AS hops FROM names",
     "ts_export_relationships": _WALK + " UNION ALL ".join((_rel(_DECLARED, "t", 8), _rel(_AGAIN, "'file:/g/' || k || '/' || nf || '.ts'", 4, "reexport", "true"), _rel(_LOCAL, "t", 8), _rel("(SELECT k, f, t FROM names WHERE f = 'f' AND n = 'default' AND status = 'resolved') x", "t", 8, "default"))),
@@ -307,4 +374,8 @@ FROM (SELECT c_custkey AS k FROM customer), (VALUES {_cells(_FOUND_CALLS)}) AS v
 FROM (SELECT s_suppkey AS k FROM supplier), (VALUES ('src/main.cpp', 'vector', 'vector', true, true), ('src/main.cpp', 'src/util.h', 'util.h', false, false), ('src/main.cpp', 'include/shared/api.h', 'shared/api.h', false, false), ('src/main.cpp', 'twice.h', 'twice.h', false, true), ('src/main.cpp', 'lib/up.h', '../lib/up.h', false, false),
   ('src/main.cpp', 'deep/own/angle{{k}}.hpp', 'own/angle{{k}}.hpp', true, false), ('src/main.cpp', 'gone.h', 'gone.h', false, true), ('src/main.cpp', 'data.sql', 'data.sql', false, true), ('include/shared/api.h', 'src/util.h', 'util.h', false, false)) AS v(s, t, w, y, p)""",
     "whole_graph_of_suppliers": f"SELECT what, CAST(CAST(n AS BIGINT) * (SELECT count(*) FROM supplier) + CASE WHEN what = 'placeholder' THEN 6 ELSE 0 END AS BIGINT) AS rows FROM (VALUES {_cells(_FOUND_IN_ALL)}) AS v(what, n)",
+    "ts_details_of_customers": f"""SELECT a AS kind, CAST(b AS INTEGER) AS startLine, CAST(c AS INTEGER) AS endLine, {_ids("d")} AS named, {_ids("e")} AS byDefault, {_ids("f")} AS whole, g AS typeOnly, {_ids("h")} AS implements, i AS isEnum, j AS says, l AS tags, {_ids("m")} AS entityId
+FROM (SELECT c_custkey AS k FROM customer), (VALUES {_cells(_FOUND_DETAILS)}) AS v(a, b, c, d, e, f, g, h, i, j, l, m)""",
+    "file_rows_of_customers": f"""SELECT 'file:/f/.x/_f' || k || '.' || lower(e) AS entityId, '_f' || k || '.' || e AS name, CAST(2 + k % 7 AS INTEGER) AS endLine, CAST(2 + k % 7 AS INTEGER) AS loc, l AS language, p AS parser, r AS resolved, x AS resolvedWithJsx
+FROM (SELECT c_custkey AS k, [{", ".join(f"'{e}'" for e in _ENDS)}][CAST(c_custkey % {len(_ENDS)} + 1 AS BIGINT)] AS ending FROM customer) JOIN (VALUES {_FOUND_FILES}) AS v(e, l, p, r, x) ON e = ending""",
 }
