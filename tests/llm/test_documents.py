@@ -114,6 +114,21 @@ def test_star_in_large_buckets_is_connected(spark):
     assert len(roots) == 301 and len({r.root for r in roots}) == 1
 
 
+def test_measured_recall_at_the_threshold(spark):
+    """The query itself, with production parameters, on pairs of similarity 0.8 exactly: 16 of 20 shingles, and 160 of 200."""
+    random.seed(80)
+    rows, pairs = [], 0
+    for words, cut, n in ((22, 20, 500), (184, 164, 100)):
+        for _ in range(n):
+            text = [f"w{random.getrandbits(40):x}" for _ in range(words)]
+            other = text[:cut] + [f"w{random.getrandbits(40):x}" for _ in range(words - cut)]
+            rows += [(2 * pairs, " ".join(text)), (2 * pairs + 1, " ".join(other))]
+            pairs += 1
+    got = {r.doc_id: r.class_id for r in jj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(pairs)) >= 0.995 * pairs
+    assert len(set(got.values())) >= pairs  # nothing else is linked
+
+
 def test_runs_reach_the_recall():
     assert 10 <= jj.runs_needed() <= 20 < jj.runs_needed(recall=1 - 1e-9)
 
