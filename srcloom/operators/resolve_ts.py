@@ -223,6 +223,10 @@ def complexities(files: DataFrame, nodes: DataFrame) -> DataFrame:
     for look in _LOOKS.values():
         n = F.size(F.regexp_extract_all("clean", F.lit(look), F.lit(0)))
         points = n if points is None else points + n
-    lines = code_lines(files).select("path", "line", points.alias("points"))
+    # how many stand in a file up to each line; a function's are those up to its end without those before it
+    upto = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    seen = code_lines(files).select("path", "line", points.alias("points")).withColumn("seen", F.sum("points").over(upto))
     rows = nodes.where("kind IN ('Function', 'Method')").select("entityId", F.col("filePath").alias("path"), "startLine", "endLine")
-    return rows.join(lines, "path").where("line >= startLine AND line <= endLine").groupBy("entityId").agg((F.sum("points") + 1).cast("long").alias("complexity"))
+    first = seen.select("path", F.col("line").alias("startLine"), (F.col("seen") - F.col("points")).alias("before"))
+    last = seen.select("path", F.col("line").alias("endLine"), "seen")
+    return rows.join(first, ["path", "startLine"]).join(last, ["path", "endLine"]).select("entityId", (F.col("seen") - F.col("before") + 1).cast("long").alias("complexity"))

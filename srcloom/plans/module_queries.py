@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from srcloom.analyze import analyze
 from srcloom.extract import sources
+from srcloom.functions.identity import extension, inside_delimiters
 from srcloom.operators import exports, includes, resolve_ts
 from srcloom.operators.lineage import cut
 from srcloom.plans.source_queries import sources_of
+from srcloom.schema import PARSERS
 from srcloom.sources.files import parser_of
 
 #: A module of six files for each customer: a barrel of a barrel of a barrel, and two files that name each other.
@@ -207,6 +209,30 @@ def file_rows_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("entityId", "name", "endLine", "loc", F.coalesce("language", F.lit("-")).alias("language"), F.coalesce(parser_of(F.col("filePath")), F.lit("-")).alias("parser"), F.coalesce("g0", F.lit(False)).alias("resolved"), F.coalesce("g1", F.lit(False)).alias("resolvedWithJsx"))
 
 
+_DEFAULTS = {"a": "import Any{key}, {{ other{key} }} from './b';\nimport Sum{key} from './c';\nimport Lost{key} from './d';\n", "b": "export default class Thing{key} {{\n}}\nexport const other{key} = 1;\n", "c": "export default function sum{key}(a: number) {{\n}}\n", "d": "export const none{key} = 1;\n"}
+
+
+def ts_default_imports_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default imports, of a class, a function, and of a file that has no default."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    files = None
+    for name, text in _DEFAULTS.items():
+        own = sources_of(customer, text, F.concat(F.lit("/v/"), F.col("c_custkey").cast("string"), F.lit(f"/{name}.ts")), key=F.col("c_custkey"))
+        files = own if files is None else files.unionByName(own)
+    nodes = cut(sources.typescript(files)[0])
+    return resolve_ts.resolved_imports(nodes, resolve_ts.import_targets(nodes))
+
+
+def words_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands between a text's first and last character, how it starts and ends, and whether its ending is scanned,
+    numbered in order of brand and key."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    path = F.concat("p_name", F.lit("."), F.substring("p_brand", -2, 1))
+    path = F.when(F.col("p_partkey") % 4 == 0, F.concat("p_name", F.lit(".TS"))).when(F.col("p_partkey") % 4 == 1, F.concat("p_name", F.lit(".d.cpp"))).otherwise(path)
+    order = Window.partitionBy("p_brand").orderBy("p_partkey")
+    return part.select("p_partkey", inside_delimiters(F.concat(F.lit("<"), "p_name", F.lit(">"))).alias("inner"), F.col("p_name").startswith("a").alias("starts"), F.col("p_name").endswith("e").alias("ends"), extension(path).alias("extension"), extension(path).isin(*PARSERS).alias("scanned"), F.row_number().over(order).alias("ord"))
+
+
 #: Headers beside, in a folder of the project, in every project, in two folders alike, nowhere; a file of another language.
 _HEADERS = {
     "src/main.cpp": """#include <vector>
@@ -359,7 +385,7 @@ INCLUDES|16
 RESOLVES_IMPORT|4
 """
 _cells = lambda text: ", ".join("(" + ", ".join(f"'{x}'" for x in line.split("|")) + ")" for line in text.strip().splitlines())
-QUERIES = {f.__name__: f for f in (ts_exported_names, ts_export_relationships, ts_calls_through_barrels, ts_lambdas_of_customers, ts_arguments_of_customers, cpp_includes_of_suppliers, whole_graph_of_suppliers, ts_details_of_customers, file_rows_of_customers)}
+QUERIES = {f.__name__: f for f in (ts_exported_names, ts_export_relationships, ts_calls_through_barrels, ts_lambdas_of_customers, ts_arguments_of_customers, cpp_includes_of_suppliers, whole_graph_of_suppliers, ts_details_of_customers, file_rows_of_customers, ts_default_imports_of_customers, words_of_parts)}
 ORACLES = {
     "ts_exported_names": f"{_WALK} SELECT '/g/' || k || '/' || f || '.ts' AS path, {_WRITTEN} AS name, status, t AS targetId, CAST(hops AS BIGINT) AS hops FROM names",
     "ts_export_relationships": _WALK + " UNION ALL ".join((_rel(_DECLARED, "t", 8), _rel(_AGAIN, "'file:/g/' || k || '/' || nf || '.ts'", 4, "reexport", "true"), _rel(_LOCAL, "t", 8), _rel("(SELECT k, f, t FROM names WHERE f = 'f' AND n = 'default' AND status = 'resolved') x", "t", 8, "default"))),
@@ -378,4 +404,8 @@ FROM (SELECT s_suppkey AS k FROM supplier), (VALUES ('src/main.cpp', 'vector', '
 FROM (SELECT c_custkey AS k FROM customer), (VALUES {_cells(_FOUND_DETAILS)}) AS v(a, b, c, d, e, f, g, h, i, j, l, m)""",
     "file_rows_of_customers": f"""SELECT 'file:/f/.x/_f' || k || '.' || lower(e) AS entityId, '_f' || k || '.' || e AS name, CAST(2 + k % 7 AS INTEGER) AS endLine, CAST(2 + k % 7 AS INTEGER) AS loc, l AS language, p AS parser, r AS resolved, x AS resolvedWithJsx
 FROM (SELECT c_custkey AS k, [{", ".join(f"'{e}'" for e in _ENDS)}][CAST(c_custkey % {len(_ENDS)} + 1 AS BIGINT)] AS ending FROM customer) JOIN (VALUES {_FOUND_FILES}) AS v(e, l, p, r, x) ON e = ending""",
+    "ts_default_imports_of_customers": """SELECT 'resolves_import:file:/v/' || k || '/a.ts:' || t AS entityId, 'RESOLVES_IMPORT' AS type, 'file:/v/' || k || '/a.ts' AS sourceId, t AS targetId, 8 AS weight
+FROM (SELECT c_custkey AS k, unnest(['class:/v/' || c_custkey || '/b.ts:thing' || c_custkey, 'variable:/v/' || c_custkey || '/b.ts:other' || c_custkey || ':3', 'function:/v/' || c_custkey || '/c.ts:sum' || c_custkey || ':1']) AS t FROM customer)""",
+    "words_of_parts": f"""SELECT p_partkey, p_name AS "inner", starts_with(p_name, 'a') AS starts, ends_with(p_name, 'e') AS ends, CASE p_partkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.cpp' ELSE '.' || substr(p_brand, length(p_brand) - 1, 1) END AS extension,
+p_partkey % 4 < 2 AS scanned, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS ord FROM part""",
 }

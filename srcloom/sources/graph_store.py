@@ -17,10 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from srcloom.operators import checks
 from srcloom.operators.lineage import cut
 from srcloom.operators.upsert import merge_rels, replace_nodes
 
 BUCKETS = 64
+#: The columns that a store begins with; changes may bring more.
+NODES = "entityId string, kind string, name string, filePath string, startLine int, endLine int, loc int, language string, parentId string, extra string"
+RELS = "entityId string, type string, sourceId string, targetId string, weight int"
+FILES = "filePath string, version long, nodeIds array<string>, relIds array<string>"
 
 
 def write_nodes(nodes: DataFrame, path: str) -> None:
@@ -172,6 +177,36 @@ class GraphStore:
         self.rels = BucketTable(spark, f"{self.path}/rels", "entityId", ("type", "sourceId", "targetId"), ("entityId", "sourceId", "targetId"), buckets)
         self.files = BucketTable(spark, f"{self.path}/files", "filePath", ("filePath",), ("filePath",), buckets)
 
+    def apply_schema(self, force: bool = False) -> DataFrame:
+        """Makes the tables with their columns, empty, where they aren't there; with ``force`` drops all first.  Returns
+        (table, name, column, kind, state) of what the store holds to: unique keys, sorted and bloom-filtered columns;
+        state is ``made`` or ``kept``.  Raises what a table's making raises, and then no table has changed but dropped ones."""
+        if force:
+            drop(self.spark, self.path)
+        rows = []
+        for name, t, schema in (("nodes", self.nodes, NODES), ("rels", self.rels, RELS), ("files", self.files, FILES)):
+            state = "kept" if t.manifest()["schema"] else "made"
+            if state == "made":
+                t._commit(1, {}, self.spark.createDataFrame([], schema).schema)
+            rows += [(name, f"{name}_{c}_{kind}".lower(), c, kind, state) for kind, columns in (("unique", (t.key,)), ("sorted", t.sort), ("bloom", t.bloom)) for c in columns]
+        return self.spark.createDataFrame(rows, "table string, name string, column string, kind string, state string")
+
+    def violations(self) -> DataFrame:
+        """(table, key, rows) of keys that a table holds more than once, and of nodes of unknown kinds and relationships of
+        unknown types by their first id; a sound store has none."""
+        out = None
+        for name, t in (("nodes", self.nodes), ("rels", self.rels), ("files", self.files)):
+            rows = t.read()
+            if rows is None:
+                continue
+            own = rows.groupBy(F.col(t.key).alias("key")).agg(F.count("*").alias("rows")).where("rows > 1")
+            for check, column in ((checks.unknown_labels, "kind"), (checks.unknown_types, "type")):
+                if column in rows.columns:
+                    own = own.unionByName(check(rows).where(f"{column} IS NOT NULL").select(F.col(column).alias("key"), "rows"))
+            own = own.select(F.lit(name).alias("table"), "key", "rows")
+            out = own if out is None else out.unionByName(own)
+        return out if out is not None else self.spark.createDataFrame([], "table string, key string, rows long")
+
     def upsert(self, nodes: DataFrame, rels: DataFrame) -> tuple[dict, dict]:
         """Nodes replace those of their ids, relationships fill theirs up."""
         return self.nodes.change(cut(nodes)), self.rels.change(cut(rels), merge=True)

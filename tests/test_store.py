@@ -92,6 +92,17 @@ def test_files_are_replaced_whole(spark, tmp_path):
     assert {r.entityId for r in s.nodes.read().collect()} == {"f", "t"} and s.rels.read().count() == 0
 
 
+def test_schema_is_applied_once(spark, tmp_path):
+    s = GraphStore(spark, str(tmp_path / "s"), buckets=2)
+    assert s.violations().count() == 0
+    made = s.apply_schema().collect()
+    assert {r.state for r in made} == {"made"} and {(r.table, r.column) for r in made if r.kind == "unique"} == {("nodes", "entityId"), ("rels", "entityId"), ("files", "filePath")}
+    assert s.nodes.read().count() == 0 and {r.state for r in s.apply_schema().collect()} == {"kept"}
+    s.upsert(rows(spark, ("a", "1", "f")).withColumn("kind", F.lit("Odd")), spark.createDataFrame([("r", "CALLS", "a", "b", 1)], graph_store.RELS))
+    assert s.nodes.read().first().name == "1" and [tuple(r) for r in s.violations().collect()] == [("nodes", "Odd", 1)]
+    assert {r.state for r in s.apply_schema(force=True).collect()} == {"made"} and s.nodes.read().count() == 0
+
+
 def test_stream_takes_out_what_a_new_version_lacks(spark, tmp_path):
     land, store = tmp_path / "land", str(tmp_path / "store")
     land.mkdir()
