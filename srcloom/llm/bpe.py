@@ -12,7 +12,8 @@ seen can be emitted: no continuation changes them.
 Each text is a stream through its ``Transducer``, chunk by chunk: pieces (what merges never cross) are
 emitted once nothing that follows can change where they end, and a piece longer than the lookahead and the
 longest token is streamed itself, by ``LongPiece``.  A transducer holds one chunk and one such window,
-whatever the length of its text.  Texts of one chunk are fed and closed side by side.  Behind the machine,
+whatever the length of its text.  The machines of neighbouring texts go in step (``feed_in_step``,
+``close_in_step``): one pass finds the pieces of all their windows, and each settles and keeps its own.  Behind them,
 ``merge_flat`` merges many pieces in step, and a cache of bounded size remembers the ids of short pieces.
 
 Decoding is a state machine from ids to text that holds at most the bytes of one unfinished character.
@@ -324,6 +325,80 @@ class Transducer:
         return out
 
 
+def _placed(n: np.ndarray, own: np.ndarray, singly: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of machines in order: ``own`` has those of all machines but the ones in ``singly``, n how many each has."""
+    for k, ids in singly.items():
+        n[k] = len(ids)
+    if not singly:
+        return n, own
+    at, out = np.cumsum(n) - n, np.zeros(int(n.sum()), np.int64)
+    rest = np.ones(len(n), bool)
+    rest[list(singly)] = False
+    out[ragged(at[rest], n[rest])] = own
+    for k, ids in singly.items():
+        out[at[k] : at[k] + n[k]] = ids
+    return n, out
+
+
+def _in_step(machines: list[Transducer], texts: list[bytes], closing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What machines outside long pieces settle of their windows, and what they keep is in their ``text``.  By the rules
+    of ``Transducer._in_text``, which also takes the windows that end in the start of a special string or in a piece too long."""
+    first = machines[0]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    n = np.zeros(len(machines), np.int64)
+    if not off[-1]:
+        return n, np.zeros(0, np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    cuts = pieces(data, off, first.specials)
+    low, high = np.searchsorted(cuts, off[:-1]), np.searchsorted(cuts, off[1:])
+    singly: dict[int, np.ndarray] = {}
+    if closing:
+        upto = high
+        for m in machines:
+            m.text = b""
+    else:
+        some = high > low
+        size = np.where(some, cuts[high] - cuts[np.maximum(high - 1, 0)], 0)
+        upto = np.where(some, np.maximum(high - 1 - (size < 8), low), low)  # a contraction may begin one piece earlier
+        odd = some & ((size > first.vocab.window + first.spare) | np.fromiter(map(first._begun, texts), np.int64, len(texts)).astype(bool))
+        kept = (cuts[upto] - off[:-1]).tolist()
+        for k, (m, t) in enumerate(zip(machines, texts, strict=True)):
+            if odd[k]:
+                m.text, upto[k] = b"", low[k]
+                singly[k] = m.feed(t)
+            else:
+                m.text = t[kept[k] :]
+    words, codes = distinct_pieces(data, cuts)
+    chosen = ragged(low, upto - low)
+    slots = first.cache.lookup(words)[codes[chosen]]
+    each = first.cache.lens[slots]
+    own = first.cache.ids[ragged(first.cache.starts[slots], each)].astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(each)])
+    at = np.concatenate([[0], np.cumsum(upto - low)])
+    n[:] = ends[at[1:]] - ends[at[:-1]]
+    return _placed(n, own, singly)
+
+
+def feed_in_step(machines: list[Transducer], chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``feed`` of machines of one vocabulary and cache, a chunk each: how many ids each settles, and the ids in order."""
+    ready = [k for k, (m, c) in enumerate(zip(machines, chunks, strict=True)) if m.piece is None and len(c) <= m.chunk]
+    singly = {k: machines[k].feed(chunks[k]) for k in set(range(len(machines))) - set(ready)}
+    n = np.zeros(len(machines), np.int64)
+    some, own = _in_step([machines[k] for k in ready], [machines[k].text + chunks[k] for k in ready], False) if ready else (0, np.zeros(0, np.int64))
+    n[ready] = some
+    return _placed(n, own, singly)
+
+
+def close_in_step(machines: list[Transducer]) -> tuple[np.ndarray, np.ndarray]:
+    """``close`` of machines of one vocabulary and cache."""
+    ready = [k for k, m in enumerate(machines) if m.piece is None]
+    singly = {k: machines[k].close() for k in set(range(len(machines))) - set(ready)}
+    n = np.zeros(len(machines), np.int64)
+    some, own = _in_step([machines[k] for k in ready], [machines[k].text for k in ready], True) if ready else (0, np.zeros(0, np.int64))
+    n[ready] = some
+    return _placed(n, own, singly)
+
+
 def _last_char(data: np.ndarray) -> int:
     """Where the last character begins."""
     at = len(data) - 1
@@ -354,8 +429,8 @@ def vocabulary(path: str) -> Vocabulary:
 def encode_rows(col, vocab: Vocabulary, cache: PieceCache, size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Token ids of a text column in order of rows: rows, their numbers of ids here, the ids.
 
-    A text of more than CHUNK bytes is fed to its transducer chunk by chunk, and comes in parts.  Shorter
-    ones are fed and closed in one step, side by side with their neighbours: a text's end settles it.
+    Each text is fed to a transducer of its own.  One of more than CHUNK bytes comes in parts, chunk by chunk; the
+    machines of shorter ones are fed and closed in step with their neighbours'.
     """
     data, off = utf8_column(col)
     lens = np.diff(off)
@@ -378,15 +453,14 @@ def encode_rows(col, vocab: Vocabulary, cache: PieceCache, size: int = SLICE) ->
         j = k
         while j < len(lens) and lens[j] <= CHUNK and (j == k or off[j + 1] - off[k] <= size):
             j += 1
-        part, at = data[off[k] : off[j]], off[k : j + 1] - off[k]
-        cuts = pieces(part, at, tuple(vocab.specials))
-        words, codes = distinct_pieces(part, cuts)
-        n, ids = np.zeros(j - k, np.int64), np.zeros(0, np.int64)
-        if len(codes):
-            slots = cache.lookup(words)[codes]
-            each = cache.lens[slots]
-            ids = cache.ids[ragged(cache.starts[slots], each)].astype(np.int64)
-            n = np.diff(np.concatenate([[0], np.cumsum(each)])[np.searchsorted(cuts[:-1], at)])
+        raw, at = data[off[k] : off[j]].tobytes(), (off[k : j + 1] - off[k]).tolist()
+        machines = [Transducer(vocab, cache) for _ in range(k, j)]
+        settled, ids = feed_in_step(machines, [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+        rest, tail = close_in_step(machines)
+        n = settled + rest
+        begin, both = np.cumsum(n) - n, np.zeros(int(n.sum()), np.int64)
+        both[ragged(begin, settled)], both[ragged(begin + settled, rest)] = ids, tail
+        ids = both
         yield np.arange(k, j), n, ids
         k = j
 

@@ -86,6 +86,45 @@ def test_streams_match_the_library(library, chunk):
         assert most <= vocab.window + 2 * chunk + 64
 
 
+@pytest.mark.parametrize("chunk", [3, 40, 600])
+def test_machines_in_step_do_what_each_does(library, chunk):
+    """Several texts of different lengths, fed a chunk each in every round."""
+    vocab = bpe.vocabulary(PATH)
+    random.seed(chunk)
+    cache = PieceCache(vocab.encode_pieces, 500)
+    texts = ["".join(random.choice(ODD) * random.choice([1, 1, 2, 300]) for _ in range(random.randrange(60))) for _ in range(40)] + ["", "<|endoftext|>", "a" * 2000, "'s" * 9]
+    machines, own = [bpe.Transducer(vocab, cache, chunk) for _ in texts], [[] for _ in texts]
+    raws, at = [t.encode() for t in texts], [0] * len(texts)
+
+    def take(n, ids):
+        assert len(ids) == n.sum()
+        for k, part in enumerate(np.split(ids, np.cumsum(n)[:-1])):
+            own[k] += part.tolist()
+
+    while any(a < len(r) for a, r in zip(at, raws, strict=True)):
+        parts = []
+        for k, raw in enumerate(raws):
+            b = min(len(raw), at[k] + chunk)
+            while b < len(raw) and raw[b] & 0xC0 == 0x80:
+                b += 1
+            parts.append(raw[at[k] : b])
+            at[k] = b
+        take(*bpe.feed_in_step(machines, parts))
+        assert all(len(m.window) <= vocab.window + 2 * chunk + 64 for m in machines)
+    take(*bpe.close_in_step(machines))
+    assert own == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(m.window == b"" for m in machines)
+
+
+def test_every_text_goes_through_a_machine(monkeypatch):
+    vocab = bpe.vocabulary(PATH)
+    fed, step = [], bpe.feed_in_step
+    monkeypatch.setattr(bpe, "feed_in_step", lambda machines, chunks: fed.extend(chunks) or step(machines, chunks))
+    texts = ["one text", "", "another, a little longer", None]
+    assert sum(len(ids) for _, _, ids in bpe.encode_rows(pa.array(texts), vocab, PieceCache(vocab.encode_pieces))) > 0
+    assert fed == [(t or "").encode() for t in texts]
+
+
 def test_memory_of_a_stream_is_constant():
     vocab = bpe.vocabulary(PATH)
     cache = PieceCache(vocab.encode_pieces)
