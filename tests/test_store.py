@@ -136,3 +136,26 @@ def test_scan_lists_in_rounds_and_keeps_errors(spark, tmp_path):
     assert nowhere.count() == 0 and [r.path for r in errors.collect()] == [str(tmp_path / "nothing")]
     loaded, wrong = files.load(spark, f"file://{tmp_path}")
     assert {r.path for r in loaded.collect()} == {f"file://{tmp_path}/a/deep/_x/.b.ts", f"file://{tmp_path}/a/bad.ts"} and wrong.count() == 0
+
+
+def test_a_directory_becomes_a_graph_in_the_store(spark, tmp_path):
+    from srcloom.analyze import analyze_directory
+
+    src = tmp_path / "src"
+    (src / "lib").mkdir(parents=True)
+    (src / "a.ts").write_text("export * from './lib/b';\nexport function own() {\n}\n")
+    (src / "lib" / "b.ts").write_text("export function deep(n: number) {\n}\n")
+    (src / "c.ts").write_text("import { deep } from './a';\nexport function go() {\n  deep(1);\n}\n")
+    (src / "lib" / "x.h").write_text("int x;\n")
+    (src / "y.cpp").write_text('#include "x.h"\n')
+    store = str(tmp_path / "store")
+    assert analyze_directory(spark, str(src), store).count() == 0
+    s = GraphStore(spark, store)
+    at = f"{src}".lower()
+    rels = {(r.type, r.sourceId.replace(at, ""), r.targetId.replace(at, "")) for r in s.rels.read().collect()}
+    assert {("CALLS", "function:/c.ts:go:2", "function:/lib/b.ts:deep:1"), ("EXPORTS", "file:/a.ts", "file:/lib/b.ts"), ("EXPORTS", "file:/a.ts", "function:/a.ts:own:2"), ("INCLUDES", "file:/y.cpp", "file:/lib/x.h"), ("RESOLVES_IMPORT", "file:/c.ts", "function:/lib/b.ts:deep:1")} <= rels
+    nodes = s.nodes.read()
+    assert nodes.where("kind IS NULL").count() == 0 and s.violations().count() == 0 and nodes.count() == nodes.select("entityId").distinct().count()
+    before = {tuple(r) for r in s.rels.read().collect()}
+    analyze_directory(spark, str(src), store)
+    assert {tuple(r) for r in s.rels.read().collect()} == before
