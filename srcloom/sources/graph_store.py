@@ -195,14 +195,13 @@ class GraphStore:
         """(table, key, rows) of keys that a table holds more than once, and of nodes of unknown kinds and relationships of
         unknown types by their first id; a sound store has none."""
         out = None
-        for name, t in (("nodes", self.nodes), ("rels", self.rels), ("files", self.files)):
+        for name, t, check, column in (("nodes", self.nodes, checks.unknown_labels, "kind"), ("rels", self.rels, checks.unknown_types, "type"), ("files", self.files, None, None)):
             rows = t.read()
             if rows is None:
                 continue
             own = rows.groupBy(F.col(t.key).alias("key")).agg(F.count("*").alias("rows")).where("rows > 1")
-            for check, column in ((checks.unknown_labels, "kind"), (checks.unknown_types, "type")):
-                if column in rows.columns:
-                    own = own.unionByName(check(rows).where(f"{column} IS NOT NULL").select(F.col(column).alias("key"), "rows"))
+            if check:
+                own = own.unionByName(check(rows).where(f"{column} IS NOT NULL").select(F.col(column).alias("key"), "rows"))
             own = own.select(F.lit(name).alias("table"), "key", "rows")
             out = own if out is None else out.unionByName(own)
         return out if out is not None else self.spark.createDataFrame([], "table string, key string, rows long")
