@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.extract.lexer import BEFORE_REGEX, REGEX, TOKENS
+from srcloom.extract.lexer import BEFORE_REGEX, REGEX, TOKENS, files_of, in_batches
+from srcloom.operators.lineage import joined
 
 COMMENTS = "path string, line int, description string, tags array<string>"
 
@@ -43,10 +44,8 @@ def documentation(files: DataFrame) -> DataFrame:
     """Rows of COMMENTS of files (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(path, *own) for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for own in doc_comments(content or "")]
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds, strict=True)], ["path", "line", "description", "tags"])
+        columns = [("path", pa.string()), ("line", pa.int32()), ("description", pa.string()), ("tags", pa.list_(pa.string()))]
+        return in_batches(((path, *own) for path, content in files_of(batches) for own in doc_comments(content or "")), columns)
 
     return files.select("path", "content").mapInArrow(run, COMMENTS)
 
@@ -54,6 +53,6 @@ def documentation(files: DataFrame) -> DataFrame:
 def documented(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """nodes with ``documentation`` and ``tags`` of the comment before the line that they begin on; parameters have none."""
     rows = documentation(files).select(F.col("path").alias("filePath"), F.col("line").alias("startLine"), F.nullif("description", F.lit("")).alias("documentation"), "tags")
-    joined = nodes.join(rows, ["filePath", "startLine"], "left")
+    found = joined(nodes, rows, ["filePath", "startLine"], "left")
     own = ~F.col("kind").isin("File", "Parameter", "JSXElement", "JSXAttribute", "TailwindClass")
-    return joined.withColumns({"documentation": F.when(own, F.col("documentation")), "tags": F.when(own, F.col("tags"))})
+    return found.withColumns({"documentation": F.when(own, F.col("documentation")), "tags": F.when(own, F.col("tags"))})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.functions.identity import entity_id, relationship_id, tokens
+from srcloom.operators.lineage import cut, tasks_for
 
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\})"""
 TAG = rf"(?<![\w.)])</?[A-Za-z][\w.]*(?:\s+(?:[\w:-]+(?:\s*=\s*{_VALUE})?|\{{\.\.\.[^}}]*\}}))*\s*/?>"
@@ -14,7 +15,7 @@ ATTRIBUTE = rf"(?:^|\s)([\w:-]+)(?:\s*=\s*({_VALUE}))?(?=\s|/|>|$)"
 
 def elements(files: DataFrame) -> DataFrame:
     """(path, n, tag, closing, selfClosing, attrs, line, column, entityId, parentId) of all tags."""
-    parts = files.select("path", F.posexplode(F.arrays_zip(F.regexp_extract_all("content", F.lit(TAG), F.lit(0)).alias("tag"), F.split("content", TAG).alias("gap"))).alias("n", "p")).select("path", "n", F.col("p.tag").alias("text"), F.col("p.gap").alias("gap")).where("text IS NOT NULL")
+    parts = files.select("path", F.posexplode(F.arrays_zip(F.regexp_extract_all("content", F.lit(TAG), F.lit(0)).alias("tag"), F.split("content", TAG).alias("gap"))).alias("n", "p")).select("path", "n", F.col("p.tag").alias("text"), F.col("p.gap").alias("gap")).where("text IS NOT NULL").repartition(tasks_for(files), "path")
     w = Window.partitionBy("path").orderBy("n")
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     both = F.concat("gap", "text")
@@ -37,7 +38,7 @@ def elements(files: DataFrame) -> DataFrame:
 
 def jsx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JSXElement, JSXAttribute and TailwindClass nodes; RENDERS_ELEMENT, HAS_PROP, USES_TAILWIND_CLASS."""
-    found = elements(files)
+    found = cut(elements(files))
     attrs = found.select("path", "line", "entityId", F.explode(F.regexp_extract_all(F.regexp_replace("attrs", r"\{\.\.\.[^}]*\}", " "), F.lit(ATTRIBUTE), F.lit(0))).alias("a"))
     attrs = attrs.select("path", "line", F.col("entityId").alias("elementId"), F.regexp_extract("a", ATTRIBUTE, 1).alias("name"), F.regexp_extract("a", ATTRIBUTE, 2).alias("raw"))
     value = F.when(F.col("raw") == "", "true").when(F.col("raw").rlike(r"""^["']"""), F.regexp_replace("raw", r"""^["']|["']$""", "")).otherwise(F.col("raw"))

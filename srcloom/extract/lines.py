@@ -29,27 +29,18 @@ class Rule:
     where: str = "true"
 
 
-def code_lines(files: DataFrame, group: str = r"^\s*(import|type|const|var)\s*\(") -> DataFrame:
+def code_lines(files: DataFrame) -> DataFrame:
     """(path, line, text, clean, params, inside, last, before, after, low, group) of files (path, content).
 
     text and clean: the logical line, with and without strings and comments; params: what stands in its first
     parenthesis; inside: open blocks of branches and loops where it begins; last: the last line of it; before and after: open braces at either end of the line; low: the least depth in it; group:
     the word of the parenthesis that the line stands in.
     """
-    by_file = Window.partitionBy("path").orderBy("line")
-    upto, earlier = by_file.rowsBetween(Window.unboundedPreceding, 0), by_file.rowsBetween(Window.unboundedPreceding, -1)
-    rows = files.select("path", "content").mapInArrow(lines, LINES)
-    count = lambda c, x: F.length(c) - F.length(F.translate(c, x, ""))
-    net = count(F.col("clean"), "{") - count(F.col("clean"), "}")
-    leading = count(F.regexp_extract("clean", r"^[^{]*", 0), "}")
-    rows = rows.withColumn("after", F.sum(net).over(upto)).withColumn("before", F.col("after") - net).withColumn("low", F.least("after", F.col("before") - leading))
-    word = F.when(F.regexp_extract("clean", group, 1) != "", F.regexp_extract("clean", group, 1)).when(F.col("clean").rlike(r"^\s*\)"), "-")
-    rows = rows.withColumn("group", F.last(word, True).over(earlier))
-    return rows.select("path", "line", "text", "clean", "params", "inside", "last", F.col("before").cast("int").alias("before"), F.col("after").cast("int").alias("after"), F.col("low").cast("int").alias("low"), F.when(F.col("group") != "-", F.col("group")).alias("group"))
+    return files.select("path", "content").mapInArrow(lines, LINES)
 
 
-def declarations(rows_of_lines: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(path, line, endLine, kind, name, extra, header, params, depth, ownerKind, ownerName, ownerLine).
+def declarations(rows_of_lines: DataFrame, rules: list[Rule], tasks: int) -> DataFrame:
+    """(path, line, endLine, kind, name, extra, header, params, depth, ownerKind, ownerName, ownerLine), dealt by path over ``tasks``.
 
     Of several rules the first decides.  The owner is the innermost block that a declaration opened and
     the line stands in; null at the top and in blocks that nothing declared.
@@ -61,18 +52,25 @@ def declarations(rows_of_lines: DataFrame, rules: list[Rule]) -> DataFrame:
         fits = F.col(on).rlike(r.pattern) & F.expr(r.where) & (F.col("clean") != "")
         decl = F.when(fits, found) if decl is None else decl.when(fits, found)
     rows = rows_of_lines.withColumn("decl", decl)
+    # each line becomes what it declares, opens and closes, at the depths where it does: one pass over the lines
+    holds = F.coalesce(F.col("decl.opens") | F.col("decl.body"), F.lit(False))
     # a line of one brace opens what the line before declared
-    opening = F.col("decl.opens") | F.col("decl.body") | (F.col("clean").contains("{") & ~F.col("clean").rlike(r"^\s*\{\s*$"))
-    scope = F.struct(F.col("decl.kind").alias("kind"), F.col("decl.name").alias("name"), F.col("line").alias("line"))
-    opens = rows.where(opening).select("path", (F.col("before") + 1).alias("depth"), "line", F.lit(1).alias("role"), F.when(F.col("decl.opens") | F.col("decl.body"), scope).otherwise(F.struct(F.lit("block").alias("kind"), F.lit(None).cast("string").alias("name"), F.col("line").alias("line"))).alias("scope"), F.lit(None).cast("int").alias("closed"), F.lit(None).cast(rows.schema["decl"].dataType).alias("decl"), F.lit(None).cast("string").alias("text"))
-    blank = F.lit(None).cast(opens.schema["scope"].dataType)
-    own = rows.where("decl IS NOT NULL").select("path", F.col("before").alias("depth"), "line", F.lit(0).alias("role"), blank.alias("scope"), F.lit(None).cast("int").alias("closed"), "decl", F.when(F.col("clean").contains("{") | ~F.col("clean").rlike(r"[;,)]\s*$") | (F.col("decl.body") & ~F.col("clean").rlike(r";\s*$")), F.col("text")).alias("text"))
-    closes = rows.where("low < before").select("path", F.explode(F.sequence(F.col("low"), F.col("before") - 1)).alias("depth"), "line", F.lit(2).alias("role"), blank.alias("scope"), F.col("line").alias("closed"), F.lit(None).cast(rows.schema["decl"].dataType).alias("decl"), F.lit(None).cast("string").alias("text"))
-    same = rows.where((F.col("after") <= F.col("before")) & (F.col("low") >= F.col("before")) & F.col("clean").contains("{")).select("path", F.col("before").alias("depth"), "line", F.lit(2).alias("role"), blank.alias("scope"), F.col("line").alias("closed"), F.lit(None).cast(rows.schema["decl"].dataType).alias("decl"), F.lit(None).cast("string").alias("text"))
-    w = Window.partitionBy("path", "depth").orderBy("line", "role")
-    every = own.unionByName(opens).unionByName(closes).unionByName(same)
-    every = every.withColumn("owner", F.last("scope", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("end", F.first("closed", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    end = F.when(F.col("text").isNotNull() & (F.col("decl.opens") | F.col("decl.body")), F.greatest(F.coalesce("end", "line"), "decl.last")).otherwise(F.when(F.col("decl.body"), F.col("decl.last")).otherwise(F.col("line")))
+    opening = holds | (F.col("clean").contains("{") & ~F.col("clean").rlike(r"^\s*\{\s*$"))
+    scope = F.struct(F.when(holds, F.col("decl.kind")).otherwise(F.lit("block")).alias("kind"), F.when(holds, F.col("decl.name")).alias("name"), F.col("line").alias("line"))
+    no_scope, no_decl, no_text = F.lit(None).cast("struct<kind:string,name:string,line:int>"), F.lit(None).cast(rows.schema["decl"].dataType), F.lit(None).cast("boolean")
+    event = lambda depth, role, scope=no_scope, closed=F.lit(None).cast("int"), decl=no_decl, block=no_text: F.struct(depth.alias("depth"), F.lit(role).alias("role"), scope.alias("scope"), closed.alias("closed"), decl.alias("decl"), block.alias("block"))
+    block = F.col("clean").contains("{") | ~F.col("clean").rlike(r"[;,)]\s*$") | (F.col("decl.body") & ~F.col("clean").rlike(r";\s*$"))
+    own = F.when(F.col("decl").isNotNull(), F.array(event(F.col("before"), 0, decl=F.col("decl"), block=block)))
+    opens = F.when(opening, F.array(event(F.col("before") + 1, 1, scope=scope)))
+    closes = F.when(F.col("low") < F.col("before"), F.transform(F.sequence(F.col("low"), F.col("before") - 1), lambda d: event(d, 2, closed=F.col("line"))))
+    same = F.when((F.col("after") <= F.col("before")) & (F.col("low") >= F.col("before")) & F.col("clean").contains("{"), F.array(event(F.col("before"), 2, closed=F.col("line"))))
+    every = rows.select("path", "line", F.explode(F.flatten(F.filter(F.array(own, opens, closes, same), lambda x: x.isNotNull()))).alias("e")).select("path", "line", "e.*").repartition(tasks, "path")
+    w = Window.partitionBy("path", "depth")
+    earlier = w.orderBy("line", "role").rowsBetween(Window.unboundedPreceding, -1)
+    # what closes a block comes next: looked for from the end, as a window to the end would go through all that follows for each row
+    later = w.orderBy(F.desc("line"), F.desc("role")).rowsBetween(Window.unboundedPreceding, -1)
+    every = every.withColumn("owner", F.last("scope", True).over(earlier)).withColumn("end", F.last("closed", True).over(later))
+    end = F.when(F.col("block") & (F.col("decl.opens") | F.col("decl.body")), F.greatest(F.coalesce("end", "line"), "decl.last")).otherwise(F.when(F.col("decl.body"), F.col("decl.last")).otherwise(F.col("line")))
     return every.where("role = 0").select("path", "line", end.cast("int").alias("endLine"), "decl.kind", "decl.name", "decl.extra", "decl.header", "decl.params", "depth", F.when(F.col("depth") > 0, F.col("owner.kind")).alias("ownerKind"), F.when(F.col("depth") > 0, F.col("owner.name")).alias("ownerName"), F.when(F.col("depth") > 0, F.col("owner.line")).alias("ownerLine"))
 
 

@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcloom.extract.lexer import files_of, in_batches
 from srcloom.extract.sources import file_nodes
 from srcloom.functions.identity import entity_id, relationship_id
+from srcloom.operators.lineage import cut, joined
 from srcloom.operators.spans import innermost
 
 TOKENS = re.compile(
@@ -152,12 +154,8 @@ def syntax(files: DataFrame) -> DataFrame:
     names = ("path", "kind", "n", "line", "last", "depth", "clean", "until", "owner", "params")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = entries(path, content)
-                for a in range(0, len(rows), 65536):
-                    own = [(*r[:9], None if r[9] is None else [{"name": x, "line": y} for x, y in r[9]]) for r in rows[a : a + 65536]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own, strict=True), kinds, strict=True)], list(names))
+        rows = (r for path, content in files_of(batches) for r in entries(path, content))
+        return in_batches(((*r[:9], None if r[9] is None else [{"name": x, "line": y} for x, y in r[9]]) for r in rows), list(zip(names, kinds, strict=True)))
 
     return files.select("path", "content").where("content IS NOT NULL").mapInArrow(run, ENTRIES)
 
@@ -169,16 +167,16 @@ def _of(kind: Column, name: Column) -> Column:
 def python(files: DataFrame):
     """Functions, methods, parameters, classes, imported modules, variables, and calls to functions of the
     same name (placeholders where the file has none)."""
-    rows = syntax(files).where("kind = 'Line'")
+    rows = cut(syntax(files).where("kind = 'Line'"))
     name = F.regexp_extract("clean", r"^(?:async )?(?:def|class) ([^\W\d]\w*)", 1)
     heads = rows.withColumns({"name": name, "isClass": F.col("clean").startswith("class ")}).where("name <> '' AND until IS NOT NULL OR name <> '' AND clean RLIKE ':$'").withColumn("until", F.coalesce("until", "n"))
     # the class on the stack of each head, however far out
     inside = heads.where("isClass").select("path", (F.col("n") + 1).alias("a"), F.col("until").alias("z"), F.col("name").alias("class")).where("z >= a")
-    heads = heads.join(innermost(heads.select("path", F.col("n").alias("line")), inside).select("path", F.col("line").alias("n"), "class"), ["path", "n"], "left")
+    heads = joined(heads, innermost(heads.select("path", F.col("n").alias("line")), inside).select("path", F.col("line").alias("n"), "class"), ["path", "n"], "left")
     kind = F.when(F.col("isClass"), "PythonClass").when(F.col("class").isNotNull(), "PythonMethod").otherwise("PythonFunction")
     heads = heads.withColumns({"what": kind, "full": F.when(F.col("isClass") | F.col("class").isNull(), F.col("name")).otherwise(F.concat_ws(".", "class", "name"))})
     ends = rows.select("path", F.col("n").alias("until"), F.col("last").alias("end"))
-    heads = heads.join(ends, ["path", "until"])
+    heads = cut(joined(heads, ends, ["path", "until"]))
     member = F.col("what") == "PythonMethod"
     defined = heads.select("path", F.col("what").alias("kind"), "name", F.col("full").alias("qualified"), "line", F.col("end").alias("endLine"), F.when(member, "PythonClass").otherwise("File").alias("parentKind"), F.when(member, F.col("class")).otherwise(F.lit("")).alias("parentName"), F.when(F.col("isClass"), "PYTHON_DEFINES_CLASS").when(member, "PYTHON_HAS_METHOD").otherwise("PYTHON_DEFINES_FUNCTION").alias("relType"), F.lit(None).cast("string").alias("extra"))
     args = heads.where("NOT isClass").select("path", "what", "full", F.explode("params").alias("p"))
@@ -191,9 +189,9 @@ def python(files: DataFrame):
     brought = plain.unionByName(of).where("name <> ''").select("path", F.lit("PythonModule").alias("kind"), "name", F.col("name").alias("qualified"), "line", F.col("last").alias("endLine"), F.lit("File").alias("parentKind"), F.lit("").alias("parentName"), F.lit("PYTHON_IMPORTS").alias("relType"), "extra")
     # what a statement belongs to: the innermost function or class; a header's defaults and decorators are the function's
     spans = heads.select("path", F.col("n").alias("a"), F.col("until").alias("z"), "what", "full")
-    around = innermost(rows.select("path", F.col("owner").alias("line"), "clean", F.col("line").alias("at")), spans).select("path", F.col("line").alias("owner"), "clean", "at", "what", "full").unionByName(
-        rows.select("path", "owner", "clean", F.col("line").alias("at")).join(innermost(rows.select("path", F.col("owner").alias("line")).distinct(), spans).select("path", F.col("line").alias("owner")), ["path", "owner"], "left_anti").withColumns({"what": none, "full": none})
-    )
+    inner = cut(innermost(rows.select("path", F.col("owner").alias("line"), "clean", F.col("line").alias("at")), spans).select("path", F.col("line").alias("owner"), "clean", "at", "what", "full"))
+    outer = joined(rows.select("path", "owner", "clean", F.col("line").alias("at")), inner.select("path", "owner").distinct(), ["path", "owner"], "left_anti").withColumns({"what": none, "full": none})
+    around = inner.unionByName(outer)
     targets = F.regexp_extract("clean", r"^((?:[\w.]++(?:\[[^\[\]]*+\])? ?=(?!=) ?)++)", 1)
     assigned = around.where(targets != "").select("path", "at", "what", "full", F.explode(F.filter(F.split(targets, r"\s*=\s*"), lambda x: x.rlike(r"^[^\W\d]\w*$"))).alias("name"))
     held = assigned.select("path", F.lit("PythonVariable").alias("kind"), "name", F.concat(F.col("name"), F.lit(":"), F.col("at")).alias("qualified"), F.col("at").alias("line"), F.col("at").alias("endLine"), F.coalesce("what", F.lit("File")).alias("parentKind"), F.coalesce("full", F.lit("")).alias("parentName"), none.alias("relType"), none.alias("extra"))

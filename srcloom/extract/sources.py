@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from srcloom.extract import rules
 from srcloom.extract.lines import code_lines, declarations, declarators
 from srcloom.functions.identity import basename, entity_id, relationship_id
+from srcloom.operators.lineage import cut, joined, tasks_for
 from srcloom.sources.files import language_of, parser_of
 
 NODE = ("entityId", "kind", "name", "filePath", "startLine", "endLine", "loc", "language", "parentId", "extra")
@@ -29,9 +30,14 @@ def file_nodes(files: DataFrame) -> DataFrame:
     return files.select(file_id(path).alias("entityId"), F.lit("File").alias("kind"), basename(path).alias("name"), path.alias("filePath"), F.lit(1).alias("startLine"), last.alias("endLine"), last.alias("loc"), language_of(path).alias("language"), F.lit(None).cast("string").alias("parentId"), F.lit(None).cast("string").alias("extra"))
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
+def _declared(files: DataFrame, found: list) -> DataFrame:
+    """Declarations by rules, dealt by path."""
+    return declarations(code_lines(files), found, tasks_for(files))
+
+
+def _nodes(rows: DataFrame, *more: str) -> DataFrame:
     loc = F.col("endLine") - F.col("line") + 1
-    return rows.select("entityId", "kind", "name", F.col("path").alias("filePath"), F.col("line").alias("startLine"), "endLine", loc.cast("int").alias("loc"), language_of(F.col("path")).alias("language"), "parentId", F.nullif(F.col("extra"), F.lit("")).alias("extra"))
+    return rows.select("entityId", "kind", "name", F.col("path").alias("filePath"), F.col("line").alias("startLine"), "endLine", loc.cast("int").alias("loc"), language_of(F.col("path")).alias("language"), "parentId", F.nullif(F.col("extra"), F.lit("")).alias("extra"), *more)
 
 
 def _rels(rows: DataFrame) -> DataFrame:
@@ -47,9 +53,13 @@ def _choose(kind: Column, cases: dict[str, Column | str | int]) -> Column:
     return out
 
 
-def _finish(rows: DataFrame, files: DataFrame, ids: dict, types: dict, weights: dict, sources: dict, parents: Column) -> tuple[DataFrame, DataFrame]:
+def _placed(rows: DataFrame, ids: dict, types: dict, weights: dict, sources: dict, parents: Column) -> DataFrame:
     kind = F.col("kind")
-    rows = rows.withColumn("entityId", _choose(kind, ids)).withColumns({"relType": _choose(kind, types), "relSource": _choose(kind, sources), "weight": _choose(kind, weights), "parentId": parents})
+    return rows.withColumn("entityId", _choose(kind, ids)).withColumns({"relType": _choose(kind, types), "relSource": _choose(kind, sources), "weight": _choose(kind, weights), "parentId": parents})
+
+
+def _finish(rows: DataFrame, files: DataFrame, ids: dict, types: dict, weights: dict, sources: dict, parents: Column) -> tuple[DataFrame, DataFrame]:
+    rows = _placed(cut(rows), ids, types, weights, sources, parents)
     return file_nodes(files).unionByName(_nodes(rows)), _rels(rows)
 
 
@@ -68,7 +78,7 @@ def _at_line(kind: str) -> Column:
 
 def go(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Packages, imports, functions, methods, structs, interfaces, other types."""
-    rows = _first_in_file(declarations(code_lines(files), rules.GO), "PackageClause", "package")
+    rows = _first_in_file(_declared(files, rules.GO), "PackageClause", "package")
     full = F.concat_ws(".", "package", "name")
     ids = {"PackageClause": _in_file("packageclause"), "ImportSpec": _at_line("importspec"), "GoFunction": entity_id("gofunction", full), "GoMethod": entity_id("gomethod", F.concat_ws(".", "extra", "name")), "GoStruct": entity_id("gostruct", full), "GoInterface": entity_id("gointerface", full), "TypeAlias": entity_id("typealias", full)}
     struct = entity_id("gostruct", F.concat_ws(".", "package", "extra"))
@@ -82,7 +92,7 @@ def go(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def java(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Packages, imports, types, methods, constructors, fields; members belong to the type they stand in."""
-    rows = _first_in_file(declarations(code_lines(files), rules.JAVA), "PackageDeclaration", "package")
+    rows = _first_in_file(_declared(files, rules.JAVA), "PackageDeclaration", "package")
     rows = declarators(rows, ["JavaField"]).where("kind <> 'JavaConstructor' OR name = ownerName").where("kind NOT IN ('JavaMethod', 'JavaField', 'JavaConstructor') OR ownerKind IN ('JavaClass', 'JavaInterface', 'JavaEnum')")
     rows = rows.withColumns({"kind": F.regexp_replace("kind", "JavaConstructor", "JavaMethod")})
     owner = entity_id(F.col("ownerKind"), F.concat_ws(".", "package", "ownerName"))
@@ -100,7 +110,7 @@ def java(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def csharp(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Namespaces, usings, classes, interfaces, structs, methods, properties, fields."""
-    rows = _first_in_file(declarations(code_lines(files), rules.CSHARP), "NamespaceDeclaration", "namespace")
+    rows = _first_in_file(_declared(files, rules.CSHARP), "NamespaceDeclaration", "namespace")
     types = ("CSharpClass", "CSharpInterface", "CSharpStruct")
     rows = rows.where(F.col("kind").isin("NamespaceDeclaration", "UsingDirective") | F.coalesce(F.col("ownerKind").isin("NamespaceDeclaration", *types), F.lit(True))).where(~F.col("kind").isin("CSharpMethod", "Property", "Field") | F.col("ownerKind").isin(*types))
     space = entity_id("namespacedeclaration", F.concat_ws(":", "path", "namespace"))
@@ -119,7 +129,7 @@ def csharp(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def c_cpp(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Includes, macros, functions, classes and their methods; members defined elsewhere are functions."""
-    rows = declarations(code_lines(files), rules.C_CPP).where("kind <> 'block'")
+    rows = _declared(files, rules.C_CPP).where("kind <> 'block'")
     rows = rows.where("kind <> 'CFunction' OR ownerKind IS NULL OR ownerKind IN ('CppClass', 'block')")
     rows = rows.withColumn("kind", F.when((F.col("kind") == "CFunction") & F.coalesce(F.col("ownerKind") == "CppClass", F.lit(False)), "CppMethod").otherwise(F.col("kind")))
     owner = entity_id("cppclass", F.concat_ws(":", "path", "ownerName"))
@@ -135,13 +145,13 @@ def typescript(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Kinds have the columns of MORE beside those of NODE, as far as the header says them.
     """
-    rows = declarations(code_lines(files), rules.TYPESCRIPT)
+    rows = _declared(files, rules.TYPESCRIPT)
     rows = rows.where("kind <> 'Method' OR ownerKind = 'Class'").where("kind <> 'Signature' OR ownerKind = 'Interface'").withColumn("kind", F.regexp_replace("kind", "Signature", "Method"))
-    rows = declarators(rows, ["Variable"], typed=True)
+    rows = cut(declarators(rows, ["Variable"], typed=True))
     owner = entity_id(F.col("ownerKind"), F.concat_ws(":", "path", "ownerName"))
     ids = {"Import": _at_line("import"), "Function": _at_line("function"), "Variable": _at_line("variable"), "Class": _in_file("class"), "Interface": _in_file("interface"), "TypeAlias": _in_file("typealias"), "Method": entity_id("method", F.concat(F.col("path"), F.lit(":"), F.col("ownerName"), F.lit("."), F.col("name")))}
-    nodes, rels = _finish(rows, files, ids, {"Import": "IMPORTS", "Method": "HAS_METHOD"}, {"Import": 1, "Method": 10}, {"Import": file_id(F.col("path")), "Method": owner}, F.when(F.col("kind") == "Method", owner))
-    head = rows.withColumn("entityId", _choose(F.col("kind"), ids))
+    head = _placed(rows, ids, {"Import": "IMPORTS", "Method": "HAS_METHOD"}, {"Import": 1, "Method": 10}, {"Import": file_id(F.col("path")), "Method": owner}, F.when(F.col("kind") == "Method", owner))
+    rels = _rels(head)
     word = lambda x: F.col("header").rlike(rf"^[^=(\{{]*\b{x}\b")
     code, member = F.col("kind").isin("Function", "Method"), F.col("kind") == "Method"
     words = F.regexp_extract_all(F.regexp_extract("header", r"^\s*((?:(?:export|default|declare|abstract|public|private|protected|static|async|readonly|override|const|let|var)\s+)*)", 1), F.lit(r"\w+"), F.lit(0))
@@ -149,15 +159,16 @@ def typescript(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = F.filter(F.transform(F.split(listed, ","), lambda x: F.regexp_extract(F.trim(x), r"^(?:type\s+)?([\w$]+)", 1)), lambda x: x != "")
     some = lambda pattern: F.when(brought, F.nullif(F.regexp_extract("extra", pattern, 1), F.lit("")))
     bases = F.filter(F.transform(F.split(F.regexp_extract(F.regexp_replace("extra", r"<[^<>]*>|\{.*$", ""), r"\bimplements\s+(.*)$", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
-    flags = head.select(
-        "entityId", F.when(brought, F.col("header").rlike(r"^\s*import\s+type\s+(?!from\b|,)")).alias("isTypeOnly"), F.when(brought & (F.size(items) > 0), items).alias("namedImports"), some(r"^\s*([\w$]+)\s*(?:,|$)").alias("defaultImport"), some(r"\*\s+as\s+([\w$]+)").alias("namespaceImport"),
+    flags = [
+        F.when(brought, F.col("header").rlike(r"^\s*import\s+type\s+(?!from\b|,)")).alias("isTypeOnly"), F.when(brought & (F.size(items) > 0), items).alias("namedImports"), some(r"^\s*([\w$]+)\s*(?:,|$)").alias("defaultImport"), some(r"\*\s+as\s+([\w$]+)").alias("namespaceImport"),
         F.when((F.col("kind") == "Class") & (F.size(bases) > 0), bases).alias("implementsInterfaces"), F.when(code, F.nullif(F.trim(F.regexp_extract("header", r"\)\s*:\s*([^{;=]+?)\s*(?:\{|;|=>|$)", 1)), F.lit(""))).alias("returnType"),
         F.when(member, F.coalesce(F.nullif(F.regexp_extract("header", r"^\s*(?:\w+\s+)*?(public|private|protected)\b", 1), F.lit("")), F.lit("public"))).alias("visibility"),
         F.when(F.col("kind").isin("Function", "Class", "Interface", "TypeAlias", "Variable"), F.col("header").rlike(r"^\s*export\b")).alias("isExported"), F.when(F.col("kind").isin("Function", "Class", "Interface"), F.col("header").rlike(r"^\s*export\s+default\b")).alias("isDefaultExport"),
         F.when(F.col("kind") == "Class", word("abstract")).alias("isAbstract"), F.when(code, F.col("header").rlike(r"(?:^[^=({]*|=\s*)\basync\b")).alias("isAsync"), F.when(member, word("static")).alias("isStatic"),
         F.when(F.col("kind") == "Variable", F.col("extra") == "const").alias("isConstant"), F.when(F.col("kind") == "TypeAlias", F.col("extra") == "enum").alias("isEnum"), F.when(F.col("kind") != "Import", words).alias("modifierFlags"),
-    )
-    nodes = nodes.join(flags.dropDuplicates(["entityId"]), "entityId", "left")
+    ]
+    said = head.select("*", *flags)
+    nodes = file_nodes(files).unionByName(_nodes(said, *said.columns[len(head.columns) :]), allowMissingColumns=True)
     own = head.where(code).select("path", "line", "name", F.col("entityId").alias("parent"), F.posexplode("params").alias("place", "p")).withColumn("p", F.regexp_replace("p", r"^(?:(?:public|private|protected|readonly|override)\s+|@\w+(?:\([^)]*\))?\s*)+", ""))
     named = F.regexp_extract("p", r"^(?:\.\.\.)?\s*(\{[^}]*\}|\[[^\]]*\]|[\w$]+)", 1)
     params = own.select(
@@ -184,7 +195,7 @@ def typescript_with_jsx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     nodes, rels = typescript(files)
     nodes = documented(nodes, files)
-    nodes = nodes.unionByName(lambda_nodes(files).join(nodes.select("entityId"), "entityId", "left_anti"), allowMissingColumns=True)
+    nodes = nodes.unionByName(joined(lambda_nodes(files), nodes.select("entityId"), "entityId", "left_anti"), allowMissingColumns=True)
     more, links = jsx(files.where(F.lower("path").rlike(r"\.[tj]sx$")))
     return nodes.unionByName(more, allowMissingColumns=True), rels.unionByName(exports(nodes)).unionByName(links)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from srcloom.extract.lexer import STATEMENTS, statements
 from srcloom.extract.sources import file_id, file_nodes
 from srcloom.functions.identity import entity_id, relationship_id, schema_and_name
+from srcloom.operators.lineage import cut
 
 _NAME = r'((?:"?\w+"?\.)*"?\w+"?)'
 TABLE = rf"(?is)^\s*create\s+(?:global\s+|local\s+)?(?:temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?{_NAME}\s*\((.*)\)[^)]*$"
@@ -29,7 +30,7 @@ def sql(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     for word, kind in VERBS.items():
         statement = F.when(verb == word, kind) if statement is None else statement.when(verb == word, kind)
     kind = F.when(F.col("text").rlike(TABLE), "SQLTable").when(F.col("text").rlike(VIEW), "SQLView").otherwise(statement)
-    rows = rows.withColumn("kind", kind).where("kind IS NOT NULL")
+    rows = cut(rows.withColumn("kind", kind).where("kind IS NOT NULL"))
     full = F.translate(F.when(F.col("kind") == "SQLTable", F.regexp_extract("text", TABLE, 1)).when(F.col("kind") == "SQLView", F.regexp_extract("text", VIEW, 1)), '"', "")
     schema, name = schema_and_name(full)
     place = F.concat_ws(":", "path", F.col("line").cast("string"), F.length(F.regexp_extract(lead, r"([^\n]*)$", 1)).cast("string"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.operators.lineage import cut
+from srcloom.operators.lineage import cut, cut_as_dealt
 
 FOUND = "key string, bin int, id string, far long, outer string"
 #: Rows of a bin, and look-ups that go to one group.
@@ -84,7 +84,7 @@ def enclosing(inner: DataFrame, outer: DataFrame, by: str) -> DataFrame:
     part = lambda rows, role: rows.where(f"{by} IS NOT NULL AND start IS NOT NULL AND `end` IS NOT NULL AND id IS NOT NULL").select(F.col(by).cast("string").alias("key"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("far"), F.lit(role).alias("role"), F.col("id").cast("long").alias("place"), F.col("id").cast("string").alias("id"))
     rows = part(outer, 0).unionByName(part(inner, 1))
     bins = max(1, -(-rows.count() // ROWS))
-    dealt = cut(rows.repartitionByRange(bins, "key", "start").withColumn("bin", F.spark_partition_id()))
+    dealt = cut_as_dealt(rows.repartitionByRange(bins, "key", "start").withColumn("bin", F.spark_partition_id()))
     here = cut(_swept(dealt))
     done = here.where("outer IS NOT NULL").select("id", "outer")
     # what has found nothing asks the bins before it that its key lies in

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from srcloom.extract.lines import code_lines
 from srcloom.extract.sources import file_id
 from srcloom.functions.identity import entity_id, relationship_id
-from srcloom.operators.lineage import cut
+from srcloom.operators.lineage import cut, joined
 from srcloom.operators.resolve import import_candidates
 
 _LIST = r"^\s*export\s+(?:type\s+)?\{([^}]*)\}"
@@ -44,7 +44,7 @@ def located(clauses: DataFrame, nodes: DataFrame, extensions) -> DataFrame:
     files = nodes.where("kind = 'File'").select(F.col("filePath").alias("path"))
     asked = clauses.where("specifier IS NOT NULL").select(F.col("path").alias("importer"), "specifier").distinct()
     found = import_candidates(asked, files, list(extensions)).where("NOT isPlaceholder").select(F.col("importer").alias("path"), "specifier", "resolved")
-    return clauses.join(found, ["path", "specifier"], "left")
+    return joined(clauses, found, ["path", "specifier"], "left")
 
 
 def own_edges(declared: DataFrame, exported: DataFrame, clauses: DataFrame, imports: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def own_edges(declared: DataFrame, exported: DataFrame, clauses: DataFrame, impo
     onward = go(across.where("local <> '*'"), F.coalesce("resolved", "specifier"), F.col("local"))
     # within the file: its own declaration, else what it imports under that name
     names = declared.select("path", F.col("name").alias("local"), "targetId")
-    inside = named.where("specifier IS NULL").drop("resolved").join(names, ["path", "local"], "left").join(imports.select("path", F.col("alias").alias("local"), "original", "resolved"), ["path", "local"], "left")
+    inside = joined(joined(named.where("specifier IS NULL").drop("resolved"), names, ["path", "local"], "left"), imports.select("path", F.col("alias").alias("local"), "original", "resolved"), ["path", "local"], "left")
     here = end(inside.where("targetId IS NOT NULL").select("path", F.col("exported").alias("name"), "targetId", F.lit(None).cast("string").alias("targetPath"), "line"), F.col("line"))
     space = end(inside.where("targetId IS NULL AND original = '*'").select("path", F.col("exported").alias("name"), file_id(there).alias("targetId"), there.alias("targetPath"), "line"), F.col("line"))
     brought = go(inside.where("targetId IS NULL AND coalesce(original, '') <> '*'"), there, F.col("original"))
@@ -84,8 +84,8 @@ def star_edges(own: DataFrame, clauses: DataFrame) -> DataFrame:
     keys = own.select("path", "name")
     found, frontier = None, keys.where("name <> 'default'").withColumn("origin", F.col("path"))
     while True:
-        step = stars.join(frontier.withColumnRenamed("path", "through"), "through").select("path", "name", "origin").distinct().join(keys, ["path", "name"], "left_anti")
-        frontier = cut(step if found is None else step.join(found, ["path", "name", "origin"], "left_anti"))
+        step = joined(joined(stars, frontier.withColumnRenamed("path", "through"), "through").select("path", "name", "origin").distinct(), keys, ["path", "name"], "left_anti")
+        frontier = cut(step if found is None else joined(step, found, ["path", "name", "origin"], "left_anti"))
         if found is not None and frontier.isEmpty():
             break
         found = frontier if found is None else cut(found.unionByName(frontier))
@@ -104,13 +104,14 @@ def follow(edges: DataFrame) -> DataFrame:
     # keys that nothing exports end there, at an empty target
     keys = edges.select(F.col("path").alias("nextPath"), F.col("name").alias("nextName")).distinct()
     none = F.lit(None).cast("string")
-    gone = edges.where("targetId IS NULL").select("nextPath", "nextName").distinct().join(keys, ["nextPath", "nextName"], "left_anti")
+    gone = edges.where("targetId IS NULL").select("nextPath", "nextName").distinct()
+    gone = joined(gone, keys, ["nextPath", "nextName"], "left_anti")
     gone = gone.select(F.col("nextPath").alias("path"), F.col("nextName").alias("name"), none.alias("nextPath"), none.alias("nextName"), F.lit("").alias("targetId"), none.alias("targetPath"), F.lit(0).cast("long").alias("hops"))
     rows = cut(edges.select(*EDGES).unionByName(gone))
     done = rows.where("targetId IS NOT NULL").count()
     while True:
         ahead = rows.select(F.col("path").alias("nextPath"), F.col("name").alias("nextName"), F.col("nextPath").alias("p"), F.col("nextName").alias("n"), F.col("targetId").alias("t"), F.col("targetPath").alias("tp"), F.col("hops").alias("h"))
-        on = rows.where("targetId IS NULL").join(ahead, ["nextPath", "nextName"]).select("path", "name", F.col("p").alias("nextPath"), F.col("n").alias("nextName"), F.col("t").alias("targetId"), F.col("tp").alias("targetPath"), (F.col("hops") + F.col("h")).alias("hops"))
+        on = joined(rows.where("targetId IS NULL"), ahead, ["nextPath", "nextName"]).select("path", "name", F.col("p").alias("nextPath"), F.col("n").alias("nextName"), F.col("t").alias("targetId"), F.col("tp").alias("targetPath"), (F.col("hops") + F.col("h")).alias("hops"))
         every = rows.where("targetId IS NOT NULL").unionByName(on)
         rows = cut(every.groupBy("path", "name", "nextPath", "nextName", "targetId").agg(F.min("targetPath").alias("targetPath"), F.min("hops").alias("hops")))
         now = rows.where("targetId IS NOT NULL").count()
@@ -121,7 +122,7 @@ def follow(edges: DataFrame) -> DataFrame:
     ends = rows.groupBy("path", "name").agg(F.count_distinct(F.when(real, F.col("targetId"))).alias("n"), F.min(F.when(real, F.struct("targetId", "targetPath", "hops"))).alias("end"), F.bool_or(F.col("targetId").isNull()).alias("open"))
     status = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").when(F.col("open"), "cycle").otherwise("missing")
     one = status == "resolved"
-    return ends.join(edges.select("path", "name").distinct(), ["path", "name"], "left_semi").select("path", "name", status.alias("status"), *(F.when(one, F.col(f"end.{c}")).alias(c) for c in ("targetId", "targetPath", "hops")))
+    return joined(ends, edges.select("path", "name").distinct(), ["path", "name"], "left_semi").select("path", "name", status.alias("status"), *(F.when(one, F.col(f"end.{c}")).alias(c) for c in ("targetId", "targetPath", "hops")))
 
 
 def exported_names(own: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -136,7 +137,8 @@ def export_relationships(clauses: DataFrame, names: DataFrame) -> DataFrame:
     source = file_id(F.col("path"))
     again = clauses.where("specifier IS NOT NULL AND resolved IS NOT NULL").select(source.alias("sourceId"), file_id(F.col("resolved")).alias("targetId")).distinct()
     known = names.where("status = 'resolved'").select("path", F.col("name").alias("exported"), "targetId")
-    local = clauses.where("specifier IS NULL").select("path", "exported").distinct().join(known, ["path", "exported"]).select(source.alias("sourceId"), "targetId", (F.col("exported") == "default").alias("default")).distinct()
+    local = clauses.where("specifier IS NULL").select("path", "exported").distinct()
+    local = joined(local, known, ["path", "exported"]).select(source.alias("sourceId"), "targetId", (F.col("exported") == "default").alias("default")).distinct()
     rel = lambda rows, rid, weight, again: rows.select(rid.alias("entityId"), F.lit("EXPORTS").alias("type"), "sourceId", "targetId", F.lit(weight).alias("weight"), F.lit(again).alias("isReExport"))
     plain = relationship_id("EXPORTS", F.col("sourceId"), F.col("targetId"))
     tail = lambda word: entity_id("exports", F.concat_ws(":", "sourceId", "targetId", F.lit(word)))

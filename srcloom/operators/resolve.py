@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcloom.operators.lineage import joined
+
 
 def resolve_left(refs: DataFrame, nodes: DataFrame, ref: str, node: str = "entityId") -> DataFrame:
     """refs with ``isPlaceholder``: whether no node has the id.  nodes hold each id once."""
@@ -45,7 +47,7 @@ def anti(rows: DataFrame, seen: DataFrame, on: list[str]) -> DataFrame:
 def placeholders(rels: DataFrame, nodes: DataFrame) -> DataFrame:
     """(entityId) of relationship ends that have no node: a bare node each."""
     ends = rels.select(F.explode(F.array("sourceId", "targetId")).alias("entityId"))
-    return ends.distinct().join(nodes.select("entityId"), "entityId", "left_anti")
+    return joined(ends.distinct(), nodes.select("entityId"), "entityId", "left_anti")
 
 
 def with_placeholders(nodes: DataFrame, rels: DataFrame) -> DataFrame:
@@ -68,5 +70,5 @@ def import_candidates(imports: DataFrame, files: DataFrame, extensions: list[str
     rows = imports.withColumns({"relative": F.col("specifier").startswith("."), "base": base})
     tries = [F.concat("base", F.lit(e)) for e in extensions] + [F.concat("base", F.lit("/index" + e)) for e in extensions]
     each = rows.where("relative").select("importer", "specifier", "base", F.posexplode(F.array(*tries)).alias("priority", "path"))
-    hit = each.join(files.select("path"), "path").groupBy("importer", "specifier").agg(F.min_by("path", "priority").alias("found"))
-    return rows.join(hit, ["importer", "specifier"], "left").select("importer", "specifier", F.when(F.col("relative"), F.coalesce("found", "base")).otherwise(F.col("specifier")).alias("resolved"), F.when(F.col("relative"), F.col("found").isNull()).otherwise(F.lit(True)).alias("isPlaceholder"))
+    hit = joined(each, files.select("path"), "path").groupBy("importer", "specifier").agg(F.min_by("path", "priority").alias("found"))
+    return joined(rows, hit, ["importer", "specifier"], "left").select("importer", "specifier", F.when(F.col("relative"), F.coalesce("found", "base")).otherwise(F.col("specifier")).alias("resolved"), F.when(F.col("relative"), F.col("found").isNull()).otherwise(F.lit(True)).alias("isPlaceholder"))

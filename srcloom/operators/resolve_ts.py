@@ -16,7 +16,7 @@ from srcloom.extract.sources import file_id
 from srcloom.functions.identity import entity_id, relationship_id
 from srcloom.operators import exports
 from srcloom.operators.aggregate import DECISIONS
-from srcloom.operators.lineage import cut
+from srcloom.operators.lineage import cut, joined
 from srcloom.operators.resolve import import_candidates
 from srcloom.operators.spans import holding, innermost, outermost
 
@@ -35,7 +35,7 @@ def import_targets(nodes: DataFrame, extensions=EXTENSIONS) -> DataFrame:
     """(importer, specifier, names, resolved, isPlaceholder) of all imports."""
     imports = nodes.where("kind = 'Import'").select(F.col("filePath").alias("importer"), F.col("name").alias("specifier"), F.col("extra").alias("names"))
     files = nodes.where("kind = 'File'").select(F.col("filePath").alias("path"))
-    return imports.join(import_candidates(imports.select("importer", "specifier").distinct(), files, list(extensions)), ["importer", "specifier"])
+    return joined(imports, import_candidates(imports.select("importer", "specifier").distinct(), files, list(extensions)), ["importer", "specifier"])
 
 
 def file_imports(targets: DataFrame) -> DataFrame:
@@ -83,14 +83,14 @@ def _there(nodes: DataFrame, names: DataFrame | None) -> DataFrame:
     if names is None:
         return own
     via = names.where("status = 'resolved'").select(F.col("path").alias("resolved"), F.col("name").alias("original"), "targetId", "targetPath")
-    return via.unionByName(own.join(names.select(F.col("path").alias("resolved"), F.col("name").alias("original")), ["resolved", "original"], "left_anti"))
+    return via.unionByName(joined(own, names.select(F.col("path").alias("resolved"), F.col("name").alias("original")), ["resolved", "original"], "left_anti"))
 
 
 def resolved_imports(nodes: DataFrame, targets: DataFrame, exported: DataFrame | None = None) -> DataFrame:
     """RESOLVES_IMPORT from a file to what it imports by name, or to the file for a namespace; with ``exported`` (of
     ``export_names``) through the files that hand names on."""
     names = imported_names(targets)
-    known = names.join(_there(nodes, exported), ["resolved", "original"])
+    known = joined(names, _there(nodes, exported), ["resolved", "original"])
     spaces = names.where("original = '*'").select("path", file_id(F.col("resolved")).alias("targetId"))
     rows = known.select("path", "targetId").unionByName(spaces).select(file_id(F.col("path")).alias("sourceId"), "targetId").distinct()
     return _rel(rows, "RESOLVES_IMPORT", 8)
@@ -100,7 +100,7 @@ def scope(nodes: DataFrame, targets: DataFrame, exported: DataFrame | None = Non
     """(path, name, targetId, targetPath): names as a file sees them; its own come before imported ones, which are
     followed through ``exported`` where that is given."""
     own = declared(nodes).withColumns({"targetPath": F.col("path"), "rank": F.lit(0)})
-    via = imported_names(targets).join(_there(nodes, exported), ["resolved", "original"]).select("path", F.col("alias").alias("name"), "targetId", "targetPath", F.lit(1).alias("rank"))
+    via = joined(imported_names(targets), _there(nodes, exported), ["resolved", "original"]).select("path", F.col("alias").alias("name"), "targetId", "targetPath", F.lit(1).alias("rank"))
     return own.unionByName(via).groupBy("path", "name").agg(F.min_by(F.struct("targetId", "targetPath"), "rank").alias("t")).select("path", "name", "t.*")
 
 
@@ -109,7 +109,7 @@ def inheritance(nodes: DataFrame, targets: DataFrame, exported: DataFrame | None
     rows = nodes.where("kind IN ('Class', 'Interface') AND extra IS NOT NULL").select(F.col("filePath").alias("path"), "kind", F.col("entityId").alias("sourceId"), F.regexp_replace("extra", r"<[^<>]*>|\{.*$", "").alias("extra"))
     part = lambda pattern, kind: F.transform(F.filter(F.split(F.regexp_extract("extra", pattern, 1), r"\s*,\s*"), lambda x: F.trim(x) != ""), lambda x: F.struct(F.lit(kind).alias("type"), F.trim(x).alias("name")))
     bases = rows.select("path", "kind", "sourceId", F.explode(F.concat(part(r"\bextends\s+(.*?)(?:\bimplements\b|$)", "EXTENDS"), part(r"\bimplements\s+(.*)$", "IMPLEMENTS"))).alias("b")).select("path", "kind", "sourceId", "b.type", "b.name")
-    found = bases.join(scope(nodes, targets, exported), ["path", "name"], "left")
+    found = joined(bases, scope(nodes, targets, exported), ["path", "name"], "left")
     other = F.when((F.col("type") == "EXTENDS") & (F.col("kind") == "Class"), entity_id("class", F.concat_ws(":", "path", "name"))).otherwise(entity_id("interface", F.concat_ws(":", "path", "name")))
     return _rel(found.withColumns({"isPlaceholder": F.col("targetId").isNull(), "targetId": F.coalesce("targetId", other)}), F.col("type"), 9, "isPlaceholder")
 
@@ -144,13 +144,13 @@ def calls(files: DataFrame, nodes: DataFrame, targets: DataFrame, exported: Data
     found = found.withColumns({"receiver": F.regexp_extract("callee", r"^([\w$]+)\??\.", 1), "name": F.regexp_extract("callee", r"([\w$]+)$", 1)})
     names = cut(scope(nodes, targets, exported))
     methods = nodes.where("kind = 'Method'").select(F.col("entityId").alias("targetId"), "parentId", "name", F.col("filePath").alias("targetPath"))
-    plain = found.where("receiver = ''").join(names, ["path", "name"])
-    mine = found.where("receiver = 'this'").join(nodes.where("kind = 'Method'").select(F.col("entityId").alias("sourceId"), "parentId"), "sourceId").join(methods, ["parentId", "name"])
-    known = found.where("receiver NOT IN ('', 'this')").join(_receivers(within, nodes), ["path", "sourceId", "receiver"], "left").withColumn("type", F.coalesce("type", "receiver"))
+    plain = joined(found.where("receiver = ''"), names, ["path", "name"])
+    mine = joined(joined(found.where("receiver = 'this'"), nodes.where("kind = 'Method'").select(F.col("entityId").alias("sourceId"), "parentId"), "sourceId"), methods, ["parentId", "name"])
+    known = joined(found.where("receiver NOT IN ('', 'this')"), _receivers(within, nodes), ["path", "sourceId", "receiver"], "left").withColumn("type", F.coalesce("type", "receiver"))
     owners = names.select("path", F.col("name").alias("type"), F.col("targetId").alias("parentId"))
-    member = known.join(owners, ["path", "type"]).join(methods, ["parentId", "name"])
+    member = joined(joined(known, owners, ["path", "type"]), methods, ["parentId", "name"])
     spaces = imported_names(targets).where("original = '*'").select("path", F.col("alias").alias("receiver"), F.col("resolved").alias("targetPath"))
-    through = found.join(spaces, ["path", "receiver"]).join(declared(nodes).withColumnRenamed("path", "targetPath"), ["targetPath", "name"])
+    through = joined(joined(found, spaces, ["path", "receiver"]), declared(nodes).withColumnRenamed("path", "targetPath"), ["targetPath", "name"])
     cols = ("path", "sourceId", "targetId", "targetPath", "branch")
     every = plain.select(*cols).unionByName(mine.select(*cols)).unionByName(member.select(*cols)).unionByName(through.select(*cols))
     rows = every.where("sourceId <> targetId").groupBy("sourceId", "targetId").agg(F.bool_or(F.col("path") != F.col("targetPath")).alias("isCrossFile"), F.bool_or("branch").alias("isConditional"))
@@ -161,15 +161,15 @@ def in_file_calls(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """CALLS within a file, a row for each call: of names that the file declares and of ``this.name`` of the same class,
     from outer functions and methods, with place, number and types of the arguments.  An argument that is one of the
     caller's parameters has the type that is written there."""
-    sites = innermost(call_sites(files), _bodies(nodes))
+    sites = cut(innermost(call_sites(files), _bodies(nodes)))
     callee = F.regexp_replace("callee", r"\?\.", ".")
     sites = sites.withColumns({"own": callee.rlike(r"^this\.[\w$#]+$"), "name": F.regexp_extract(callee, r"^(?:this\.)?([\w$#]+)$", 1)}).where("name <> ''")
     methods = nodes.where("kind = 'Method'").select(F.col("entityId").alias("targetId"), "parentId", "name")
-    mine = sites.where("own").join(nodes.where("kind = 'Method'").select(F.col("entityId").alias("sourceId"), "parentId"), "sourceId").join(methods, ["parentId", "name"]).drop("parentId")
-    every = sites.where("NOT own").join(declared(nodes), ["path", "name"]).unionByName(mine)
+    mine = joined(joined(sites.where("own"), nodes.where("kind = 'Method'").select(F.col("entityId").alias("sourceId"), "parentId"), "sourceId"), methods, ["parentId", "name"]).drop("parentId")
+    every = joined(sites.where("NOT own"), declared(nodes), ["path", "name"]).unionByName(mine)
     typed = nodes.where("kind = 'Parameter' AND type IS NOT NULL").select(F.col("parentId").alias("sourceId"), "name", "type").distinct().groupBy("sourceId").agg(F.map_from_entries(F.collect_list(F.struct("name", "type"))).alias("typed"))
     types = F.zip_with("argument_types", "argument_names", lambda t, n: F.coalesce(F.when(t == "any", F.element_at("typed", F.coalesce(n, F.lit("")))), t))
-    rows = every.join(typed, "sourceId", "left").withColumn("argumentTypes", F.when(F.col("typed").isNull(), F.col("argument_types")).otherwise(types))
+    rows = joined(every, typed, "sourceId", "left").withColumn("argumentTypes", F.when(F.col("typed").isNull(), F.col("argument_types")).otherwise(types))
     rows = rows.withColumnsRenamed({"line": "startLine", "column": "startColumn", "argument_count": "argumentCount", "conditional": "isConditional"})
     return _rel(rows, "CALLS", 7, "startLine", "startColumn", "argumentCount", "argumentTypes", "isConditional")
 
@@ -179,9 +179,9 @@ def components(files: DataFrame, nodes: DataFrame) -> DataFrame:
     capital that hold JSX, or whose header names an element's type or React.FC; of equal names in a file the first."""
     rows = nodes.where("kind IN ('Function', 'Class') AND name RLIKE '^[A-Z]'").withColumns({"path": F.col("filePath"), "a": F.col("startLine"), "z": F.col("endLine")})
     says = code_lines(files).where(F.col("clean").rlike(r"\)\s*:[^{=]*(?:JSX\.Element|ReactElement)|\b(?:const|let|var)\s+\w+\s*:[^=]*(?:JSX\.Element|React\.FC|ReactElement)")).select("path", "line")
-    headers = rows.where("kind = 'Function'").join(says.withColumnRenamed("line", "startLine"), ["path", "startLine"], "left_semi").select(rows.columns)
+    headers = joined(rows.where("kind = 'Function'"), says.withColumnRenamed("line", "startLine"), ["path", "startLine"], "left_semi").select(rows.columns)
     render = nodes.where("kind = 'Method' AND name = 'render' AND returnType RLIKE 'JSX\\\\.Element|ReactElement'").select(F.col("parentId").alias("entityId"))
-    every = holding(rows, elements(files).select("path", "line")).unionByName(headers).unionByName(rows.join(render, "entityId", "left_semi").select(rows.columns))
+    every = holding(rows, elements(files).select("path", "line")).unionByName(headers).unionByName(joined(rows, render, "entityId", "left_semi").select(rows.columns))
     own = every.withColumn("declarationId", F.col("entityId")).withColumns({"entityId": entity_id("component", F.concat_ws(":", "path", "name")), "kind": F.lit("Component"), "parentId": F.lit(None).cast("string"), "extra": F.lit(None).cast("string")})
     first = own.groupBy("entityId").agg(F.min_by(F.struct(*(c for c in own.columns if c not in ("entityId", "path", "a", "z"))), F.struct("startLine", "declarationId")).alias("x"))
     return first.select("entityId", "x.*")
@@ -193,7 +193,7 @@ def component_uses(files: DataFrame, nodes: DataFrame, targets: DataFrame, found
     tags = elements(files).where(F.col("tag").rlike("^[A-Z]")).select("path", "line", F.col("tag").alias("name"))
     spans = found.select(F.col("filePath").alias("path"), F.col("entityId").alias("sourceId"), F.col("startLine").alias("a"), F.col("endLine").alias("z"))
     there = found.select(F.col("declarationId").alias("declared"), F.col("entityId").alias("targetId"))
-    uses = innermost(tags, spans).select("path", "sourceId", "name").distinct().join(scope(nodes, targets).withColumnRenamed("targetId", "declared"), ["path", "name"]).join(there, "declared")
+    uses = joined(joined(innermost(tags, spans).select("path", "sourceId", "name").distinct(), scope(nodes, targets).withColumnRenamed("targetId", "declared"), ["path", "name"]), there, "declared")
     rows = uses.groupBy("sourceId", "targetId").agg(F.bool_or(F.col("path") != F.col("targetPath")).alias("isCrossFile"))
     return _rel(rows, "USES_COMPONENT", 7, "isCrossFile")
 
@@ -210,11 +210,11 @@ def mutations(files: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFra
     """MUTATES_STATE from outer functions and methods to variables of the file, or imported ones, that they assign
     by ``=``; names that the function declares itself, other assignment operators and properties have no row."""
     within = innermost(code_lines(files).select("path", "line", "clean"), _bodies(nodes))
-    within = within.select("path", "sourceId", F.when(F.col("line") == F.col("a"), F.regexp_extract("clean", r"^[^{]*\{(.*)$", 1)).otherwise(F.col("clean")).alias("clean"))
+    within = cut(within.select("path", "sourceId", F.when(F.col("line") == F.col("a"), F.regexp_extract("clean", r"^[^{]*\{(.*)$", 1)).otherwise(F.col("clean")).alias("clean")))
     names = lambda pattern: within.select("path", "sourceId", F.explode(F.regexp_extract_all("clean", F.lit(pattern), F.lit(1))).alias("name")).distinct()
     local = names(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)").unionByName(nodes.where("kind = 'Parameter'").select(F.col("filePath").alias("path"), F.col("parentId").alias("sourceId"), "name"))
-    assigned = names(r"(?<![\w.$])([A-Za-z_$][\w$]*)\s*=(?![=>])").join(local, ["path", "sourceId", "name"], "left_anti")
-    return _rel(assigned.join(scope(nodes, targets), ["path", "name"]).where(F.col("targetId").startswith("variable:")).select("sourceId", "targetId").distinct(), "MUTATES_STATE", 8)
+    assigned = joined(names(r"(?<![\w.$])([A-Za-z_$][\w$]*)\s*=(?![=>])"), local, ["path", "sourceId", "name"], "left_anti")
+    return _rel(joined(assigned, scope(nodes, targets), ["path", "name"]).where(F.col("targetId").startswith("variable:")).select("sourceId", "targetId").distinct(), "MUTATES_STATE", 8)
 
 
 def complexities(files: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -225,8 +225,8 @@ def complexities(files: DataFrame, nodes: DataFrame) -> DataFrame:
         points = n if points is None else points + n
     # how many stand in a file up to each line; a function's are those up to its end without those before it
     upto = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    seen = code_lines(files).select("path", "line", points.alias("points")).withColumn("seen", F.sum("points").over(upto))
+    seen = cut(code_lines(files).select("path", "line", points.alias("points")).withColumn("seen", F.sum("points").over(upto)))
     rows = nodes.where("kind IN ('Function', 'Method')").select("entityId", F.col("filePath").alias("path"), "startLine", "endLine")
     first = seen.select("path", F.col("line").alias("startLine"), (F.col("seen") - F.col("points")).alias("before"))
     last = seen.select("path", F.col("line").alias("endLine"), "seen")
-    return rows.join(first, ["path", "startLine"]).join(last, ["path", "endLine"]).select("entityId", (F.col("seen") - F.col("before") + 1).cast("long").alias("complexity"))
+    return joined(joined(rows, first, ["path", "startLine"]), last, ["path", "endLine"]).select("entityId", (F.col("seen") - F.col("before") + 1).cast("long").alias("complexity"))

@@ -17,7 +17,9 @@ def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     span, point = F.struct(*keep), F.struct(*(c for c in points.columns if c not in ("path", "line")), "line")
     row = lambda rows, line, role, step, s, p: rows.select("path", line.alias("_at"), F.lit(role).alias("_role"), F.lit(step).alias("_step"), s.alias("_span"), p.alias("_point"))
     no_span, no_point = F.lit(None).cast(spans.select(span.alias("s")).schema["s"].dataType), F.lit(None).cast(points.select(point.alias("p")).schema["p"].dataType)
-    every = row(spans, F.col("a"), 0, 1, span, no_point).unionByName(row(points, F.col("line"), 1, 0, no_span, point)).unionByName(row(spans, F.col("z"), 2, -1, no_span, no_point))
+    both = spans.select("path", span.alias("_span")).select("path", "_span", F.explode(F.array(F.struct(F.col("_span.a").alias("at"), F.lit(0).alias("role"), F.lit(1).alias("step")), F.struct(F.col("_span.z").alias("at"), F.lit(2).alias("role"), F.lit(-1).alias("step")))).alias("e"))
+    ends = both.select("path", F.col("e.at").alias("_at"), F.col("e.role").alias("_role"), F.col("e.step").alias("_step"), F.when(F.col("e.role") == 0, F.col("_span")).alias("_span"), no_point.alias("_point"))
+    every = ends.unionByName(row(points, F.col("line"), 1, 0, no_span, point))
     upto = lambda w: w.orderBy("_at", "_role", F.desc("_span.z")).rowsBetween(Window.unboundedPreceding, 0)
     every = every.withColumn("_depth", F.sum("_step").over(upto(Window.partitionBy("path"))))
     every = every.withColumn("_span", F.last("_span", True).over(upto(Window.partitionBy("path", "_depth"))))

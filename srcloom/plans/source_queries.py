@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from srcloom.extract import jsx as jsx_
 from srcloom.extract import python_source, sources, sql_source
 from srcloom.operators import resolve_ts
-from srcloom.operators.lineage import cut
+from srcloom.operators.lineage import cut, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +29,7 @@ JSX = 'const A = () => (\n  <div className="p-KEY m-KEY">\n    <ItemKEY key={1}
 
 def _files(spark: SparkSession, sf_dir: str, *rows: tuple[str, str]) -> DataFrame:
     """Files (path, content) of each customer: KEY in paths and texts is the customer's key."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"))
+    customer = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key")))
     filled = lambda text: F.replace(F.lit(text), F.lit("KEY"), F.col("key"))
     out = None
     for path, text in rows:
@@ -300,7 +300,7 @@ def sources_of(rows: DataFrame, template: str, path, **values) -> DataFrame:
         name, rest = piece.split("}") if k else ("", piece)
         parts += [values[name].cast("string")] if k else []
         parts += [F.lit(rest.replace("\x01", "{").replace("\x02", "}"))]
-    return rows.select(path.alias("path"), F.concat(*parts).alias("content"))
+    return spread(rows).select(path.alias("path"), F.concat(*parts).alias("content"))
 
 
 def _of_rows(table: str, key: str, *rows: tuple[str, str, str, str, str]) -> str:
@@ -309,13 +309,13 @@ def _of_rows(table: str, key: str, *rows: tuple[str, str, str, str, str]) -> str
 
 
 def java_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_name")
     files = sources_of(part, _JAVA_OF_PART, F.concat(F.lit("/p/P"), "p_partkey", F.lit(".java")), key=F.col("p_partkey"), size=F.col("p_size"), name=F.col("p_name"))
     return _graph(sources.java(files)).where("what <> 'File'")
 
 
 def ts_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
     files = sources_of(customer, _TS_OF_CUSTOMER, F.concat(F.lit("/c/C"), "c_custkey", F.lit(".ts")), key=F.col("c_custkey"))
     nodes, rels = sources.typescript_with_jsx(files)
     return _graph((nodes, rels)).where("what <> 'File'")
@@ -323,7 +323,7 @@ def ts_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ts_columns_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What headers say beside names and places."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
     files = sources_of(customer, _TS_OF_CUSTOMER, F.concat(F.lit("/c/C"), "c_custkey", F.lit(".ts")), key=F.col("c_custkey"))
     nodes, _ = sources.typescript(files)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
@@ -349,7 +349,7 @@ export function add{key}(n: number) {{
 
 
 def ts_mutations_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
     files = sources_of(customer, _MUTATING_TS, F.concat(F.lit("/m/C"), "c_custkey", F.lit(".ts")), key=F.col("c_custkey"))
     nodes, _ = sources.typescript(files)
     return resolve_ts.mutations(files, nodes, resolve_ts.import_targets(nodes))
@@ -405,7 +405,7 @@ export class Plain {{
 
 def _pairs_of_customers(spark: SparkSession, sf_dir: str, one: tuple[str, str], other: tuple[str, str], end: str) -> DataFrame:
     """Two files of each customer: (folder and letter, template) each."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
     a, b = (sources_of(customer, text, F.concat(F.lit(head), "c_custkey", F.lit(end)), key=F.col("c_custkey")) for head, text in (one, other))
     return a.unionByName(b)
 
