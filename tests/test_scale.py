@@ -1,8 +1,10 @@
 """What keeps time and memory in proportion: tasks of a table in one file, plans without broadcasts, files read once."""
 
+import time
+
 from pyspark.sql import functions as F
 
-from srcloom.extract import lexer, sources
+from srcloom.extract import call_spans, lexer, sources
 from srcloom.operators import resolve_ts
 from srcloom.plans import source_queries
 
@@ -35,3 +37,9 @@ def test_files_are_read_once_for_nodes_and_relationships(spark):
 
 def test_depths_and_groups_of_lines():
     assert list(lexer.braces(["{ }", "} {", "var (", "x", ")", "}"])) == [(0, 0, 0, None), (0, 0, -1, None), (0, 0, 0, None), (0, 0, 0, "var"), (0, 0, 0, "var"), (0, -1, -1, None)]
+
+
+def test_long_literals_and_words_cost_no_square():
+    began = time.time()
+    calls, _ = call_spans.spans('f("' + "x" * 300_000 + '");\n' + "1x" * 100_000 + "(2);\n")
+    assert [c[2][:3] for c in calls] == ["f", "x1x"] and time.time() - began < 10
