@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcloom.extract.lexer import BEFORE_REGEX, REGEX, TOKENS, files_of, in_batches
-from srcloom.operators.lineage import joined
+from srcloom.operators.lineage import cut, joined
 
 COMMENTS = "path string, line int, description string, tags array<string>"
 
@@ -52,7 +52,7 @@ def documentation(files: DataFrame) -> DataFrame:
 
 def documented(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """nodes with ``documentation`` and ``tags`` of the comment before the line that they begin on; parameters have none."""
-    rows = documentation(files).select(F.col("path").alias("filePath"), F.col("line").alias("startLine"), F.nullif("description", F.lit("")).alias("documentation"), "tags")
+    rows = cut(documentation(files)).select(F.col("path").alias("filePath"), F.col("line").alias("startLine"), F.nullif("description", F.lit("")).alias("documentation"), "tags")
     found = joined(nodes, rows, ["filePath", "startLine"], "left")
     own = ~F.col("kind").isin("File", "Parameter", "JSXElement", "JSXAttribute", "TailwindClass")
     return found.withColumns({"documentation": F.when(own, F.col("documentation")), "tags": F.when(own, F.col("tags"))})

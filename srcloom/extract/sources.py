@@ -188,14 +188,15 @@ def exports(nodes: DataFrame) -> DataFrame:
 
 
 def typescript_with_jsx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What ``typescript`` finds, functions without a name of their own, exports, and the elements of .tsx and .jsx files."""
+    """What ``typescript`` finds, functions without a name of their own, exports, and the elements of .tsx and .jsx files.
+    What Python tasks read from the files is written, as nodes are read again for the exports."""
     from srcloom.extract.call_spans import lambda_nodes
     from srcloom.extract.docs import documented
     from srcloom.extract.jsx import jsx
 
     nodes, rels = typescript(files)
     nodes = documented(nodes, files)
-    nodes = nodes.unionByName(joined(lambda_nodes(files), nodes.select("entityId"), "entityId", "left_anti"), allowMissingColumns=True)
+    nodes = nodes.unionByName(joined(cut(lambda_nodes(files)), nodes.select("entityId"), "entityId", "left_anti"), allowMissingColumns=True)
     more, links = jsx(files.where(F.lower("path").rlike(r"\.[tj]sx$")))
     return nodes.unionByName(more, allowMissingColumns=True), rels.unionByName(exports(nodes)).unionByName(links)
 

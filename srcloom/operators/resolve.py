@@ -63,12 +63,15 @@ def weigh(rels: DataFrame, source_file: Column, target_file: Column, cross: int
 def import_candidates(imports: DataFrame, files: DataFrame, extensions: list[str]) -> DataFrame:
     """imports (importer, specifier) with ``resolved``: the first existing of the path itself, the path with
     each extension, and its index file with each; the bare path where none exists.  A specifier that isn't
-    relative stays as it is."""
+    relative stays as it is.  Each file says which bases come to it, so that imports are looked up once and not once
+    for each ending."""
     from srcloom.functions.identity import dirname, fold_dots, strip_script_extension
 
     base = fold_dots(F.concat(dirname(F.col("importer")), F.lit("/"), strip_script_extension(F.col("specifier"))))
     rows = imports.withColumns({"relative": F.col("specifier").startswith("."), "base": base})
-    tries = [F.concat("base", F.lit(e)) for e in extensions] + [F.concat("base", F.lit("/index" + e)) for e in extensions]
-    each = rows.where("relative").select("importer", "specifier", "base", F.posexplode(F.array(*tries)).alias("priority", "path"))
-    hit = joined(each, files.select("path"), "path").groupBy("importer", "specifier").agg(F.min_by("path", "priority").alias("found"))
-    return joined(rows, hit, ["importer", "specifier"], "left").select("importer", "specifier", F.when(F.col("relative"), F.coalesce("found", "base")).otherwise(F.col("specifier")).alias("resolved"), F.when(F.col("relative"), F.col("found").isNull()).otherwise(F.lit(True)).alias("isPlaceholder"))
+    stems = [F.when(F.endswith("path", F.lit(e)), F.struct(F.expr(f"left(path, length(path) - {len(e)})").alias("key"), F.lit(k).alias("priority"))) for k, e in enumerate([*extensions, *("/index" + e for e in extensions)])]
+    each = files.select("path", F.explode(F.filter(F.array(*stems), lambda x: x.isNotNull())).alias("s")).select("path", "s.*")
+    hit = each.groupBy("key").agg(F.min_by("path", "priority").alias("found"))
+    # what isn't relative has a key that is no file's, and not the same for all
+    key = F.when(F.col("relative"), F.col("base")).otherwise(F.concat(F.lit("\x00"), F.col("importer")))
+    return joined(rows.withColumn("key", key), hit, "key", "left").select("importer", "specifier", F.when(F.col("relative"), F.coalesce("found", "base")).otherwise(F.col("specifier")).alias("resolved"), F.when(F.col("relative"), F.col("found").isNull()).otherwise(F.lit(True)).alias("isPlaceholder"))

@@ -72,7 +72,7 @@ def declared(nodes: DataFrame) -> DataFrame:
 def export_names(files: DataFrame, nodes: DataFrame, targets: DataFrame, extensions=EXTENSIONS) -> tuple[DataFrame, DataFrame]:
     """The located export clauses of files, and what all names that they export come to, over any number of files
     (``exports.follow``).  nodes are read many times: hand in a written table or a cut plan."""
-    clauses = cut(exports.located(exports.export_clauses(files), nodes, extensions))
+    clauses = cut(exports.located(cut(exports.export_clauses(files)), nodes, extensions))
     return clauses, exports.exported_names(exports.own_edges(declared(nodes), declared(nodes.where("isExported")), clauses, imported_names(targets)), clauses)
 
 

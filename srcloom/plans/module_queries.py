@@ -69,7 +69,7 @@ def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _module(spark: SparkSession, sf_dir: str):
     files = module_files(spark, sf_dir)
-    nodes = cut(sources.typescript(files)[0])
+    nodes = cut(sources.typescript(files)[0].select(*sources.NODE, "type", "isExported", "isDefaultExport"))
     targets = cut(resolve_ts.import_targets(nodes))
     return files, nodes, targets, *resolve_ts.export_names(files, nodes, targets)
 

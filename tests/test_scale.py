@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from srcloom.extract import call_spans, lexer, sources
-from srcloom.operators import resolve_ts
+from srcloom.operators import resolve, resolve_ts
 from srcloom.plans import source_queries
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +43,19 @@ def test_long_literals_and_words_cost_no_square():
     began = time.time()
     calls, _ = call_spans.spans('f("' + "x" * 300_000 + '");\n' + "1x" * 100_000 + "(2);\n")
     assert [c[2][:3] for c in calls] == ["f", "x1x"] and time.time() - began < 10
+
+
+def test_imports_are_looked_up_once_and_by_priority(spark):
+    files = spark.createDataFrame([(p,) for p in ("/s/b.js", "/s/b.ts", "/s/c/index.tsx", "/s/c/index.ts", "/s/d.d.ts", "/lib.ts")], "path string")
+    asked = spark.createDataFrame([("/s/a.ts", x) for x in ("./b", "./c", "./d.d", "./none", "lib", "../lib")], "importer string, specifier string")
+    rows = resolve.import_candidates(asked, files, [".ts", ".tsx", ".js", ".jsx"])
+    assert plan(rows).count("SortMergeJoin") <= 1
+    assert {(r.specifier, r.resolved, r.isPlaceholder) for r in rows.collect()} == {("./b", "/s/b.ts", False), ("./c", "/s/c/index.ts", False), ("./d.d", "/s/d.d.ts", False), ("./none", "/s/none", True), ("lib", "lib", True), ("../lib", "/lib.ts", False)}
+
+
+def test_export_clauses_and_comments_are_read_once(spark):
+    files = spark.createDataFrame([("/s/a.ts", "export { x } from './b';\n/** d */\nconst f = () => g(x => x);\n"), ("/s/b.ts", "export const x = 1;\n")], "path string, content string")
+    nodes, rels = sources.typescript_with_jsx(files)
+    assert "MapInArrow" not in plan(nodes) and "MapInArrow" not in plan(rels)
+    clauses, _ = resolve_ts.export_names(files, nodes, resolve_ts.import_targets(nodes))
+    assert "MapInArrow" not in plan(clauses) and [(r.exported, r.resolved) for r in clauses.collect()] == [("x", "/s/b.ts")]
