@@ -22,8 +22,9 @@ def two_hop(rels: DataFrame, first: str, second: str) -> DataFrame:
 
 def reach(rels: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(entityId, depth): least number of steps from any start, up to ``depth``; a frontier join per step.  Steps and
-    frontiers are written once, so no step's plan holds the ones before it; it ends early where nothing new comes."""
-    steps = cut(rels.select(F.col("sourceId").alias("entityId"), F.col("targetId").alias("next")).distinct())
+    frontiers are written once, so no step's plan holds the ones before it; it ends early where nothing new comes.
+    Equal relationships aren't made one, which would hold all pairs of ids in hash tables: frontiers hold each id once."""
+    steps = cut(rels.select(F.col("sourceId").alias("entityId"), F.col("targetId").alias("next")))
     seen = frontier = cut(start.select("entityId").distinct().withColumn("depth", F.lit(0)))
     for k in range(1, depth + 1):
         frontier = cut(frontier.select("entityId").join(steps, "entityId").select(F.col("next").alias("entityId")).distinct().join(seen.select("entityId"), "entityId", "left_anti").withColumn("depth", F.lit(k)))

@@ -40,6 +40,12 @@ def spread(rows: DataFrame, per_task: int = 20_000) -> DataFrame:
     return rows.repartition(max(1, min(n, max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // per_task)))))
 
 
+def dealt(rows: DataFrame, key: str, per_task: int = 500_000) -> DataFrame:
+    """The same rows by ``key`` over as many tasks as run at once, and over more where a task would hold more than
+    ``per_task``: what a task gathers of them in hash tables doesn't grow with the table."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // per_task)), key)
+
+
 def tasks_for(files: DataFrame, characters: int = 16_000_000) -> int:
     """How many tasks files (path, content) are dealt over, by the length of their texts."""
     n = files.agg(F.sum(F.length("content"))).first()[0] or 0

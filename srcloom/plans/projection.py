@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcloom.functions.identity import entity_id, relationship_id
+from srcloom.operators.lineage import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +54,7 @@ def rels(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _rels(supplier.join(nation, supplier.s_nationkey == nation.n_nationkey), "HAS_SUPPLIER", entity_id("Nation", F.col("n_name")), entity_id("Supplier", F.col("s_name")), 5)
     d = _rels(orders.join(customer, orders.o_custkey == customer.c_custkey), "PLACED", entity_id("Customer", F.col("c_name")), entity_id("Order", F.col("o_orderkey").cast("string")), 9)
     # rows of one id are one whole number while pairs are made different; ids come last
-    line, part = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), _numbered(table(spark, sf_dir, "part"), "Part", "p_partkey", "p_name")
+    line, part = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), "l_orderkey"), _numbered(table(spark, sf_dir, "part"), "Part", "p_partkey", "p_name")
     made = _numbered(supplier, "Supplier", "s_suppkey", "s_name")
     lines = line.join(part.select(F.col("row").alias("l_partkey"), F.col("number").alias("part")), "l_partkey")
     part_ids, made_ids = (x.where("row = number").select(F.col("number").alias(c), F.col("id").alias(f"{c}Id")) for x, c in ((part, "part"), (made, "made")))

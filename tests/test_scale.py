@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from srcloom.extract import call_spans, lexer, sources
 from srcloom.operators import resolve, resolve_ts
-from srcloom.plans import source_queries
+from srcloom.operators.lineage import dealt
+from srcloom.plans import projection, source_queries
 
 SF = "/root/testdata/sf0.001"
 TEXT = "export function f(n: number) {\n  if (n) {\n    f(1);\n  }\n}\nclass K {\n  m() {\n  }\n}\n"
@@ -59,3 +60,10 @@ def test_export_clauses_and_comments_are_read_once(spark):
     assert "MapInArrow" not in plan(nodes) and "MapInArrow" not in plan(rels)
     clauses, _ = resolve_ts.export_names(files, nodes, resolve_ts.import_targets(nodes))
     assert "MapInArrow" not in plan(clauses) and [(r.exported, r.resolved) for r in clauses.collect()] == [("x", "/s/b.ts")]
+
+
+def test_rows_of_a_large_table_are_dealt_by_key_over_tasks(spark):
+    rows = dealt(spark.range(60_000).select((F.col("id") % 20_000).alias("k")), "k", 5_000).withColumn("task", F.spark_partition_id())
+    found = rows.groupBy("task").agg(F.count("*").alias("n"), F.count_distinct("k").alias("keys")).collect()
+    assert len(found) == 12 and sum(r.keys for r in found) == 20_000 and max(r.n for r in found) < 7_500
+    assert "hashpartitioning(l_orderkey" in plan(projection.rels(spark, SF))
