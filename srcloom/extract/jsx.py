@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcloom.functions.identity import entity_id, relationship_id, tokens
+from srcloom.functions.identity import entity_id, link_id, tokens
 from srcloom.operators.lineage import cut, tasks_for
 
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\})"""
@@ -46,6 +46,6 @@ def jsx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = attrs.where((F.col("name") == "className") & F.col("raw").rlike(r"""^["']""")).select("elementId", F.explode(tokens(F.col("value"))).alias("name")).withColumn("entityId", entity_id("tailwindclass", F.col("name")))
     node = lambda rows, kind, extra, path, line: rows.select("entityId", F.lit(kind).alias("kind"), "name", path.alias("filePath"), line.alias("startLine"), extra.alias("extra"))
     nodes = node(found.withColumn("name", F.col("tag")), "JSXElement", F.col("selfClosing").cast("string"), F.col("path"), F.col("line")).unionByName(node(attrs, "JSXAttribute", F.col("value"), F.col("path"), F.col("line"))).unionByName(node(classes.select("entityId", "name").distinct(), "TailwindClass", F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0)))
-    rel = lambda rows, kind, a, b, w: rows.select(relationship_id(kind, F.col(a), F.col(b)).alias("entityId"), F.lit(kind).alias("type"), F.col(a).alias("sourceId"), F.col(b).alias("targetId"), F.lit(w).alias("weight"))
+    rel = lambda rows, kind, a, b, w: rows.select(link_id(kind, F.col(a), F.col(b)).alias("entityId"), F.lit(kind).alias("type"), F.col(a).alias("sourceId"), F.col(b).alias("targetId"), F.lit(w).alias("weight"))
     rels = rel(found.where("parentId IS NOT NULL"), "RENDERS_ELEMENT", "parentId", "entityId", 6).unionByName(rel(attrs, "HAS_PROP", "elementId", "entityId", 7)).unionByName(rel(classes, "USES_TAILWIND_CLASS", "elementId", "entityId", 2).distinct())
     return nodes, rels

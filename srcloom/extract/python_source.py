@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from srcloom.extract.lexer import files_of, in_batches
 from srcloom.extract.sources import file_nodes
-from srcloom.functions.identity import entity_id, relationship_id
+from srcloom.functions.identity import entity_id, link_id
 from srcloom.operators.lineage import cut, joined
 from srcloom.operators.spans import innermost
 
@@ -203,5 +203,5 @@ def python(files: DataFrame):
     every = every.withColumns({"id": _of(kind, F.col("qualified")), "parentId": _of(F.col("parentKind"), F.col("parentName"))})
     loc = F.col("endLine") - F.col("line") + 1
     nodes = every.where("kind <> 'Call'").select(F.col("id").alias("entityId"), "kind", "name", F.col("path").alias("filePath"), F.col("line").alias("startLine"), "endLine", loc.alias("loc"), F.lit("Python").alias("language"), "parentId", "extra")
-    rels = every.where("relType IS NOT NULL").select(relationship_id(F.col("relType"), F.col("parentId"), F.col("id")).alias("entityId"), F.col("relType").alias("type"), F.col("parentId").alias("sourceId"), F.col("id").alias("targetId"), F.lit(1).alias("weight"))
+    rels = every.where("relType IS NOT NULL").select(link_id(F.col("relType"), F.col("parentId"), F.col("id")).alias("entityId"), F.col("relType").alias("type"), F.col("parentId").alias("sourceId"), F.col("id").alias("targetId"), F.lit(1).alias("weight"))
     return file_nodes(files).unionByName(nodes), rels

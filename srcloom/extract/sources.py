@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.extract import rules
-from srcloom.extract.lines import code_lines, declarations, declarators
-from srcloom.functions.identity import basename, entity_id, relationship_id
+from srcloom.extract.lines import declarations, declarators
+from srcloom.functions.identity import basename, entity_id, link_id
 from srcloom.operators.lineage import cut, joined, tasks_for
 from srcloom.sources.files import language_of, parser_of
 
@@ -32,7 +32,7 @@ def file_nodes(files: DataFrame) -> DataFrame:
 
 def _declared(files: DataFrame, found: list) -> DataFrame:
     """Declarations by rules, dealt by path."""
-    return declarations(code_lines(files), found, tasks_for(files))
+    return declarations(files, found, tasks_for(files))
 
 
 def _nodes(rows: DataFrame, *more: str) -> DataFrame:
@@ -42,7 +42,7 @@ def _nodes(rows: DataFrame, *more: str) -> DataFrame:
 
 def _rels(rows: DataFrame) -> DataFrame:
     """Relationships of rows with relType, relSource and weight."""
-    return rows.where("relType IS NOT NULL").select(relationship_id(F.col("relType"), F.col("relSource"), F.col("entityId")).alias("entityId"), F.col("relType").alias("type"), F.col("relSource").alias("sourceId"), F.col("entityId").alias("targetId"), F.col("weight").cast("int").alias("weight"))
+    return rows.where("relType IS NOT NULL").select(link_id(F.col("relType"), F.col("relSource"), F.col("entityId")).alias("entityId"), F.col("relType").alias("type"), F.col("relSource").alias("sourceId"), F.col("entityId").alias("targetId"), F.col("weight").cast("int").alias("weight"))
 
 
 def _choose(kind: Column, cases: dict[str, Column | str | int]) -> Column:
@@ -53,13 +53,17 @@ def _choose(kind: Column, cases: dict[str, Column | str | int]) -> Column:
     return out
 
 
-def _placed(rows: DataFrame, ids: dict, types: dict, weights: dict, sources: dict, parents: Column) -> DataFrame:
+def _placed(rows: DataFrame, ids: dict, types: dict, weights: dict, sources: dict, inside: tuple[str, ...]) -> DataFrame:
+    """ids and sources: by kind the prefix and name of an id; they are put together behind the choice, so that the
+    functions of an id stand once and not in each case.  inside: kinds whose source is their parent."""
     kind = F.col("kind")
-    return rows.withColumn("entityId", _choose(kind, ids)).withColumns({"relType": _choose(kind, types), "relSource": _choose(kind, sources), "weight": _choose(kind, weights), "parentId": parents})
+    rows = rows.withColumns({f"_{c}{k}": _choose(kind, {x: F.col("path") if v is _FILE and k else v[k] for x, v in of.items()}) for c, of in (("own", ids), ("above", sources)) for k in (0, 1)})
+    rows = rows.withColumns({"entityId": entity_id(F.col("_own0"), F.col("_own1")), "relType": _choose(kind, types), "relSource": F.when(kind.isin(*sources), entity_id(F.col("_above0"), F.col("_above1"))), "weight": _choose(kind, weights)})
+    return rows.withColumn("parentId", F.when(kind.isin(*inside), F.col("relSource"))).drop("_own0", "_own1", "_above0", "_above1")
 
 
-def _finish(rows: DataFrame, files: DataFrame, ids: dict, types: dict, weights: dict, sources: dict, parents: Column) -> tuple[DataFrame, DataFrame]:
-    rows = _placed(cut(rows), ids, types, weights, sources, parents)
+def _finish(rows: DataFrame, files: DataFrame, ids: dict, types: dict, weights: dict, sources: dict, inside: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    rows = cut(_placed(rows.select("path", "line", "endLine", "kind", "name", "extra", *(c for c in ("ownerKind", "ownerName", "package", "namespace") if c in rows.columns)), ids, types, weights, sources, inside))
     return file_nodes(files).unionByName(_nodes(rows)), _rels(rows)
 
 
@@ -68,25 +72,33 @@ def _first_in_file(rows: DataFrame, kind: str, name: str) -> DataFrame:
     return rows.withColumn(name, F.min(F.when(F.col("kind") == kind, F.struct("line", "name"))).over(w)["name"])
 
 
-def _in_file(kind: str) -> Column:
-    return entity_id(kind, F.concat_ws(":", "path", "name"))
+def _in_file(kind: str) -> tuple:
+    return kind, F.concat_ws(":", "path", "name")
 
 
-def _at_line(kind: str) -> Column:
-    return entity_id(kind, F.concat_ws(":", "path", "name", F.col("line").cast("string")))
+def _at_line(kind: str) -> tuple:
+    return kind, F.concat_ws(":", "path", "name", F.col("line").cast("string"))
+
+
+def _member(kind: Column, owner: Column) -> Column:
+    """The name in an id of a member: what its owner's id is made of, and its own."""
+    return F.concat(F.lower(kind), F.lit(":"), owner, F.lit("."), F.col("name"))
+
+
+_FILE = "file", "path"
 
 
 def go(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Packages, imports, functions, methods, structs, interfaces, other types."""
     rows = _first_in_file(_declared(files, rules.GO), "PackageClause", "package")
     full = F.concat_ws(".", "package", "name")
-    ids = {"PackageClause": _in_file("packageclause"), "ImportSpec": _at_line("importspec"), "GoFunction": entity_id("gofunction", full), "GoMethod": entity_id("gomethod", F.concat_ws(".", "extra", "name")), "GoStruct": entity_id("gostruct", full), "GoInterface": entity_id("gointerface", full), "TypeAlias": entity_id("typealias", full)}
-    struct = entity_id("gostruct", F.concat_ws(".", "package", "extra"))
+    ids = {"PackageClause": _in_file("packageclause"), "ImportSpec": _at_line("importspec"), "GoFunction": ("gofunction", full), "GoMethod": ("gomethod", F.concat_ws(".", "extra", "name")), "GoStruct": ("gostruct", full), "GoInterface": ("gointerface", full), "TypeAlias": ("typealias", full)}
+    struct = "gostruct", F.concat_ws(".", "package", "extra")
     return _finish(
         rows, files, ids,
         {"PackageClause": "DECLARES_PACKAGE", "ImportSpec": "GO_IMPORTS", "GoFunction": "DEFINES_FUNCTION", "GoMethod": "HAS_METHOD", "GoStruct": "DEFINES_STRUCT", "GoInterface": "DEFINES_INTERFACE"},
         {"PackageClause": 9, "ImportSpec": 5, "GoFunction": 8, "GoMethod": 8, "GoStruct": 9, "GoInterface": 9},
-        {k: file_id(F.col("path")) for k in ids} | {"GoMethod": struct}, F.when(F.col("kind") == "GoMethod", struct),
+        {k: _FILE for k in ids} | {"GoMethod": struct}, ("GoMethod",),
     )
 
 
@@ -95,16 +107,15 @@ def java(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _first_in_file(_declared(files, rules.JAVA), "PackageDeclaration", "package")
     rows = declarators(rows, ["JavaField"]).where("kind <> 'JavaConstructor' OR name = ownerName").where("kind NOT IN ('JavaMethod', 'JavaField', 'JavaConstructor') OR ownerKind IN ('JavaClass', 'JavaInterface', 'JavaEnum')")
     rows = rows.withColumns({"kind": F.regexp_replace("kind", "JavaConstructor", "JavaMethod")})
-    owner = entity_id(F.col("ownerKind"), F.concat_ws(".", "package", "ownerName"))
-    full, member = F.concat_ws(".", "package", "name"), F.concat_ws(".", owner, F.col("name"))
+    owner = F.col("ownerKind"), F.concat_ws(".", "package", "ownerName")
+    full, member = F.concat_ws(".", "package", "name"), _member(*owner)
     types = ("JavaClass", "JavaInterface", "JavaEnum")
-    ids = {"PackageDeclaration": _in_file("packagedeclaration"), "ImportDeclaration": _at_line("importdeclaration"), "JavaMethod": entity_id("javamethod", member), "JavaField": entity_id("javafield", member)} | {k: entity_id(k, full) for k in types}
-    inside = F.col("kind").isin("JavaMethod", "JavaField")
+    ids = {"PackageDeclaration": _in_file("packagedeclaration"), "ImportDeclaration": _at_line("importdeclaration"), "JavaMethod": ("javamethod", member), "JavaField": ("javafield", member)} | {k: (k, full) for k in types}
     return _finish(
         rows, files, ids,
         {"PackageDeclaration": "DECLARES_PACKAGE", "ImportDeclaration": "JAVA_IMPORTS", "JavaClass": "DEFINES_CLASS", "JavaInterface": "DEFINES_INTERFACE", "JavaEnum": "DEFINES_ENUM", "JavaMethod": "HAS_METHOD", "JavaField": "HAS_FIELD"},
         {"PackageDeclaration": 9, "ImportDeclaration": 5, "JavaClass": 9, "JavaInterface": 9, "JavaEnum": 9, "JavaMethod": 8, "JavaField": 7},
-        {k: file_id(F.col("path")) for k in ids} | {"JavaMethod": owner, "JavaField": owner}, F.when(inside, owner),
+        {k: _FILE for k in ids} | {"JavaMethod": owner, "JavaField": owner}, ("JavaMethod", "JavaField"),
     )
 
 
@@ -113,17 +124,16 @@ def csharp(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _first_in_file(_declared(files, rules.CSHARP), "NamespaceDeclaration", "namespace")
     types = ("CSharpClass", "CSharpInterface", "CSharpStruct")
     rows = rows.where(F.col("kind").isin("NamespaceDeclaration", "UsingDirective") | F.coalesce(F.col("ownerKind").isin("NamespaceDeclaration", *types), F.lit(True))).where(~F.col("kind").isin("CSharpMethod", "Property", "Field") | F.col("ownerKind").isin(*types))
-    space = entity_id("namespacedeclaration", F.concat_ws(":", "path", "namespace"))
-    owner = entity_id(F.col("ownerKind"), F.concat_ws(".", "namespace", "ownerName"))
-    full, member = F.concat_ws(".", "namespace", "name"), F.concat_ws(".", owner, F.col("name"))
-    ids = {"NamespaceDeclaration": _in_file("namespacedeclaration"), "UsingDirective": _at_line("usingdirective"), "CSharpMethod": entity_id("csharpmethod", member), "Property": entity_id("property", member), "Field": entity_id("field", member)} | {k: entity_id(k, full) for k in types}
-    above = F.when(F.col("namespace").isNotNull(), space).otherwise(file_id(F.col("path")))
+    owner = F.col("ownerKind"), F.concat_ws(".", "namespace", "ownerName")
+    full, member = F.concat_ws(".", "namespace", "name"), _member(*owner)
+    ids = {"NamespaceDeclaration": _in_file("namespacedeclaration"), "UsingDirective": _at_line("usingdirective"), "CSharpMethod": ("csharpmethod", member), "Property": ("property", member), "Field": ("field", member)} | {k: (k, full) for k in types}
+    above = F.when(F.col("namespace").isNotNull(), "namespacedeclaration").otherwise("file"), F.concat_ws(":", "path", "namespace")
     rows = declarators(rows, ["Field"])
     return _finish(
         rows, files, ids,
         {"NamespaceDeclaration": "DECLARES_NAMESPACE", "UsingDirective": "CSHARP_USING", "CSharpClass": "DEFINES_CLASS", "CSharpInterface": "DEFINES_INTERFACE", "CSharpStruct": "DEFINES_STRUCT", "CSharpMethod": "HAS_METHOD", "Property": "HAS_PROPERTY", "Field": "HAS_FIELD"},
         {"NamespaceDeclaration": 9, "UsingDirective": 5, "CSharpClass": 9, "CSharpInterface": 9, "CSharpStruct": 9, "CSharpMethod": 8, "Property": 7, "Field": 7},
-        {k: file_id(F.col("path")) for k in ids} | {k: above for k in types} | {k: owner for k in ("CSharpMethod", "Property", "Field")}, F.when(F.col("kind").isin("CSharpMethod", "Property", "Field"), owner).when(F.col("kind").isin(*types), above),
+        {k: _FILE for k in ids} | {k: above for k in types} | {k: owner for k in ("CSharpMethod", "Property", "Field")}, ("CSharpMethod", "Property", "Field", *types),
     )
 
 
@@ -132,11 +142,11 @@ def c_cpp(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _declared(files, rules.C_CPP).where("kind <> 'block'")
     rows = rows.where("kind <> 'CFunction' OR ownerKind IS NULL OR ownerKind IN ('CppClass', 'block')")
     rows = rows.withColumn("kind", F.when((F.col("kind") == "CFunction") & F.coalesce(F.col("ownerKind") == "CppClass", F.lit(False)), "CppMethod").otherwise(F.col("kind")))
-    owner = entity_id("cppclass", F.concat_ws(":", "path", "ownerName"))
+    owner = "cppclass", F.concat_ws(":", "path", "ownerName")
     ids = {k: _at_line(k) for k in ("IncludeDirective", "MacroDefinition", "CFunction", "CppMethod")} | {"CppClass": _in_file("cppclass")}
     return _finish(
         rows, files, ids, {"IncludeDirective": "INCLUDES", "CFunction": "DEFINES_FUNCTION", "CppMethod": "HAS_METHOD", "CppClass": "DEFINES_CLASS"},
-        {"IncludeDirective": 5, "CFunction": 8, "CppMethod": 8, "CppClass": 9}, {k: file_id(F.col("path")) for k in ids} | {"CppMethod": owner}, F.when(F.col("kind") == "CppMethod", owner),
+        {"IncludeDirective": 5, "CFunction": 8, "CppMethod": 8, "CppClass": 9}, {k: _FILE for k in ids} | {"CppMethod": owner}, ("CppMethod",),
     )
 
 
@@ -147,10 +157,10 @@ def typescript(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = _declared(files, rules.TYPESCRIPT)
     rows = rows.where("kind <> 'Method' OR ownerKind = 'Class'").where("kind <> 'Signature' OR ownerKind = 'Interface'").withColumn("kind", F.regexp_replace("kind", "Signature", "Method"))
-    rows = cut(declarators(rows, ["Variable"], typed=True))
-    owner = entity_id(F.col("ownerKind"), F.concat_ws(":", "path", "ownerName"))
-    ids = {"Import": _at_line("import"), "Function": _at_line("function"), "Variable": _at_line("variable"), "Class": _in_file("class"), "Interface": _in_file("interface"), "TypeAlias": _in_file("typealias"), "Method": entity_id("method", F.concat(F.col("path"), F.lit(":"), F.col("ownerName"), F.lit("."), F.col("name")))}
-    head = _placed(rows, ids, {"Import": "IMPORTS", "Method": "HAS_METHOD"}, {"Import": 1, "Method": 10}, {"Import": file_id(F.col("path")), "Method": owner}, F.when(F.col("kind") == "Method", owner))
+    rows = declarators(rows, ["Variable"], typed=True)
+    owner = F.col("ownerKind"), F.concat_ws(":", "path", "ownerName")
+    ids = {"Import": _at_line("import"), "Function": _at_line("function"), "Variable": _at_line("variable"), "Class": _in_file("class"), "Interface": _in_file("interface"), "TypeAlias": _in_file("typealias"), "Method": ("method", F.concat(F.col("path"), F.lit(":"), F.col("ownerName"), F.lit("."), F.col("name")))}
+    head = cut(_placed(rows, ids, {"Import": "IMPORTS", "Method": "HAS_METHOD"}, {"Import": 1, "Method": 10}, {"Import": _FILE, "Method": owner}, ("Method",)))
     rels = _rels(head)
     word = lambda x: F.col("header").rlike(rf"^[^=(\{{]*\b{x}\b")
     code, member = F.col("kind").isin("Function", "Method"), F.col("kind") == "Method"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from srcloom.extract.lexer import STATEMENTS, statements
 from srcloom.extract.sources import file_id, file_nodes
-from srcloom.functions.identity import entity_id, relationship_id, schema_and_name
+from srcloom.functions.identity import entity_id, link_id, schema_and_name
 from srcloom.operators.lineage import cut
 
 _NAME = r'((?:"?\w+"?\.)*"?\w+"?)'
@@ -41,7 +41,7 @@ def sql(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     columns = rows.where("kind = 'SQLTable'").select("path", "line", "endLine", F.col("entityId").alias("table"), F.explode(F.split(F.regexp_extract("text", TABLE, 2), r",(?![^(]*\))")).alias("c"))
     columns = columns.where(~F.col("c").rlike(CONSTRAINTS)).select("path", "line", "endLine", "table", F.regexp_extract("c", r'^\s*"?(\w+)', 1).alias("name"), F.regexp_extract("c", r'^\s*"?\w+"?\s+(\w+(?:\s*\([^)]*\))?)', 1).alias("extra")).where("name <> ''")
     columns = columns.withColumns({"kind": F.lit("SQLColumn"), "entityId": entity_id("sqlcolumn", F.concat_ws(".", "table", "name"))})
-    rel = lambda kind, a, b, w: (relationship_id(kind, a, b).alias("entityId"), kind.alias("type"), a.alias("sourceId"), b.alias("targetId"), F.lit(w).alias("weight"))
+    rel = lambda kind, a, b, w: (link_id(kind, a, b).alias("entityId"), kind.alias("type"), a.alias("sourceId"), b.alias("targetId"), F.lit(w).alias("weight"))
     rels = rows.where(named).select(*rel(F.when(F.col("kind") == "SQLTable", "DEFINES_TABLE").otherwise("DEFINES_VIEW"), file_id(path), F.col("entityId"), 9))
     rels = rels.unionByName(columns.select(*rel(F.lit("HAS_COLUMN"), F.col("table"), F.col("entityId"), 8)))
     return file_nodes(files).unionByName(out).unionByName(columns.select(*whole(F.col("table")))), rels

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def normalize_path(path: Column) -> Column:
-    return F.translate(path, "\\", "/")
+    return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
 def sanitize(name: Column) -> Column:
     """Lower case, and ``_`` for what isn't a letter, digit or one of ``_ . : / -``; a character outside
     the basic plane counts as two."""
-    low = F.regexp_replace(F.lower(normalize_path(name)), r"[\x{10000}-\x{10FFFF}]", "__")
-    return F.regexp_replace(low, "[^a-z0-9_.:/-]", "_")
+    low = F.lower(normalize_path(name))
+    two = F.when(F.octet_length(name) == F.length(name), low).otherwise(F.regexp_replace(low, r"[\x{10000}-\x{10FFFF}]", "__"))
+    return F.regexp_replace(two, r"[^\w.:/-]", "_")  # no capital is left
 
 
 def entity_id(prefix: str | Column, name: Column) -> Column:
@@ -29,6 +30,12 @@ def relationship_id(kind: str | Column, source: Column, target: Column) -> Colum
     return entity_id(kind, F.concat_ws(":", source, target))
 
 
+def link_id(kind: str | Column, source: Column, target: Column) -> Column:
+    """``relationship_id`` of two ids, which have been sanitized already."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.concat(F.lower(kind), F.lit(":"), F.concat_ws(":", source, target))
+
+
 def instance_id(prefix: str | Column, name: Column, line: Column, column: Column, counter: Column) -> Column:
     """An id of one occurrence: case is kept; line and column are left out where null."""
     prefix = F.lit(prefix) if isinstance(prefix, str) else prefix

@@ -26,7 +26,7 @@ EDGES = ("path", "name", "nextPath", "nextName", "targetId", "targetPath", "hops
 def export_clauses(files: DataFrame) -> DataFrame:
     """(path, line, exported, local, specifier) of export lists, re-exports, ``export *`` (exported and local are
     ``*``; local alone with ``as``), and of names that are exported as the default; specifier is null within the file."""
-    lines = code_lines(files).where(F.col("clean").rlike(r"^\s*export\b")).select("path", "line", "text", "clean")
+    lines = code_lines(files, "path", "line", "text", "clean", bare=False).where(F.col("clean").rlike(r"^\s*export\b"))
     items = F.filter(F.transform(F.split(F.regexp_extract("clean", _LIST, 1), ","), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), "^type (?!as )", "")), lambda x: x != "")
     pair = lambda a, b: F.struct(a.alias("exported"), b.alias("local"))
     word = F.regexp_extract("clean", _STAR, 1)

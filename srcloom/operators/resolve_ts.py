@@ -6,19 +6,23 @@ lookups are equi-joins on (path, name).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.extract.call_spans import call_sites
 from srcloom.extract.jsx import elements
 from srcloom.extract.lines import code_lines
 from srcloom.extract.sources import file_id
-from srcloom.functions.identity import entity_id, relationship_id
+from srcloom.functions.identity import entity_id, link_id
 from srcloom.operators import exports
 from srcloom.operators.aggregate import DECISIONS
 from srcloom.operators.lineage import cut, joined
 from srcloom.operators.resolve import import_candidates
 from srcloom.operators.spans import holding, innermost, outermost
+from srcloom.operators.spans import within as in_outer
 
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx")
 NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "super", "constructor", "async", "await", "new", "import")
@@ -28,7 +32,7 @@ _LOOKS = dict(zip(DECISIONS, (r"\bif\s*\(", r"\bfor\s*\((?![^)]*\b(?:of|in)\b)",
 
 def _rel(rows: DataFrame, kind, weight, *more: str) -> DataFrame:
     kind, weight = (F.lit(x) if isinstance(x, str | int) else x for x in (kind, weight))
-    return rows.select(relationship_id(kind, F.col("sourceId"), F.col("targetId")).alias("entityId"), kind.alias("type"), "sourceId", "targetId", weight.cast("int").alias("weight"), *more)
+    return rows.select(link_id(kind, F.col("sourceId"), F.col("targetId")).alias("entityId"), kind.alias("type"), "sourceId", "targetId", weight.cast("int").alias("weight"), *more)
 
 
 def import_targets(nodes: DataFrame, extensions=EXTENSIONS) -> DataFrame:
@@ -119,6 +123,11 @@ def gate(files: DataFrame, tsx: bool = True) -> DataFrame:
     return files.where(F.lower("path").rlike(r"\.[cm]?[tj]s$" + (r"|\.[tj]sx$" if tsx else "")))
 
 
+def _has(*words: str) -> Column:
+    """Whether a line has one of some words."""
+    return reduce(or_, (F.contains(F.col("clean"), F.lit(x)) for x in words))
+
+
 def _bodies(nodes: DataFrame) -> DataFrame:
     """Outer functions and methods (path, sourceId, a, z): those that stand in no other."""
     return outermost(nodes.where("kind IN ('Function', 'Method')").select(F.col("filePath").alias("path"), F.col("entityId").alias("sourceId"), F.col("startLine").alias("a"), F.col("endLine").alias("z")))
@@ -137,7 +146,9 @@ def calls(files: DataFrame, nodes: DataFrame, targets: DataFrame, exported: Data
     or interface by its name or by a parameter or variable of that type, to what a module imported as a whole
     declares; weight 6 across files, 7 within; imported names are followed through ``exported``, as in ``scope``.  Calls of unknown names have no row.  nodes are read many times: hand
     in a written table or a cut plan.  isConditional: whether any call stands in a branch or loop of the body, on its line or around it."""
-    within = innermost(code_lines(files).select("path", "line", "clean", "inside"), _bodies(nodes))
+    # lines that call, declare or begin a function; a function's first line is one of them
+    lines = code_lines(files, "path", "line", "clean", "inside", bare=False).where(_has("(", "const", "let", "var", "function"))
+    within = in_outer(lines, _bodies(nodes))
     start = F.first("inside").over(Window.partitionBy("path", "sourceId").orderBy("line"))
     within = cut(within.withColumn("branch", (F.col("inside") > start) | F.col("clean").rlike(r"\b(?:if|for|while|switch|case)\b|\?[^.?]")))
     found = within.select("path", "line", "sourceId", "branch", F.explode(F.regexp_extract_all("clean", F.lit(r"(?<![\w.$])((?:[A-Za-z_$][\w$]*\??\.)?[A-Za-z_$][\w$]*)\s*\("), F.lit(1))).alias("callee")).where(~F.col("callee").isin(*NOT_CALLS))
@@ -161,7 +172,7 @@ def in_file_calls(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """CALLS within a file, a row for each call: of names that the file declares and of ``this.name`` of the same class,
     from outer functions and methods, with place, number and types of the arguments.  An argument that is one of the
     caller's parameters has the type that is written there."""
-    sites = cut(innermost(call_sites(files), _bodies(nodes)))
+    sites = cut(in_outer(call_sites(files), _bodies(nodes)))
     callee = F.regexp_replace("callee", r"\?\.", ".")
     sites = sites.withColumns({"own": callee.rlike(r"^this\.[\w$#]+$"), "name": F.regexp_extract(callee, r"^(?:this\.)?([\w$#]+)$", 1)}).where("name <> ''")
     methods = nodes.where("kind = 'Method'").select(F.col("entityId").alias("targetId"), "parentId", "name")
@@ -178,7 +189,7 @@ def components(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """Component nodes (NODE's columns and declarationId): functions, function variables and classes with a
     capital that hold JSX, or whose header names an element's type or React.FC; of equal names in a file the first."""
     rows = nodes.where("kind IN ('Function', 'Class') AND name RLIKE '^[A-Z]'").withColumns({"path": F.col("filePath"), "a": F.col("startLine"), "z": F.col("endLine")})
-    says = code_lines(files).where(F.col("clean").rlike(r"\)\s*:[^{=]*(?:JSX\.Element|ReactElement)|\b(?:const|let|var)\s+\w+\s*:[^=]*(?:JSX\.Element|React\.FC|ReactElement)")).select("path", "line")
+    says = code_lines(files, "path", "line", "clean", bare=False).where(_has("JSX.Element", "ReactElement", "React.FC") & F.col("clean").rlike(r"\)\s*:[^{=]*(?:JSX\.Element|ReactElement)|\b(?:const|let|var)\s+\w+\s*:[^=]*(?:JSX\.Element|React\.FC|ReactElement)")).select("path", "line")
     headers = joined(rows.where("kind = 'Function'"), says.withColumnRenamed("line", "startLine"), ["path", "startLine"], "left_semi").select(rows.columns)
     render = nodes.where("kind = 'Method' AND name = 'render' AND returnType RLIKE 'JSX\\\\.Element|ReactElement'").select(F.col("parentId").alias("entityId"))
     every = holding(rows, elements(files).select("path", "line")).unionByName(headers).unionByName(joined(rows, render, "entityId", "left_semi").select(rows.columns))
@@ -200,8 +211,8 @@ def component_uses(files: DataFrame, nodes: DataFrame, targets: DataFrame, found
 
 def error_handlers(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """HANDLES_ERROR from outer functions and methods to a name for each catch."""
-    lines = code_lines(files).where(F.col("clean").rlike(r"\bcatch\b")).select("path", "line", F.regexp_extract("clean", r"\bcatch\s*\(\s*(\w+)", 1).alias("name"))
-    rows = innermost(lines, _bodies(nodes))
+    lines = code_lines(files, "path", "line", "clean", bare=False).where(F.col("clean").rlike(r"\bcatch\b")).select("path", "line", F.regexp_extract("clean", r"\bcatch\s*\(\s*(\w+)", 1).alias("name"))
+    rows = in_outer(lines, _bodies(nodes))
     target = F.when(F.col("name") != "", entity_id("parameter", F.concat_ws(":", "sourceId", "name"))).otherwise(entity_id("error_handler", F.concat_ws(":", "sourceId", F.col("line").cast("string"))))
     return _rel(rows.withColumn("targetId", target).select("sourceId", "targetId").distinct(), "HANDLES_ERROR", 5)
 
@@ -209,7 +220,7 @@ def error_handlers(files: DataFrame, nodes: DataFrame) -> DataFrame:
 def mutations(files: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """MUTATES_STATE from outer functions and methods to variables of the file, or imported ones, that they assign
     by ``=``; names that the function declares itself, other assignment operators and properties have no row."""
-    within = innermost(code_lines(files).select("path", "line", "clean"), _bodies(nodes))
+    within = in_outer(code_lines(files, "path", "line", "clean", bare=False).where(_has("=", "const", "let", "var")), _bodies(nodes))
     within = cut(within.select("path", "sourceId", F.when(F.col("line") == F.col("a"), F.regexp_extract("clean", r"^[^{]*\{(.*)$", 1)).otherwise(F.col("clean")).alias("clean")))
     names = lambda pattern: within.select("path", "sourceId", F.explode(F.regexp_extract_all("clean", F.lit(pattern), F.lit(1))).alias("name")).distinct()
     local = names(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)").unionByName(nodes.where("kind = 'Parameter'").select(F.col("filePath").alias("path"), F.col("parentId").alias("sourceId"), "name"))
@@ -225,7 +236,7 @@ def complexities(files: DataFrame, nodes: DataFrame) -> DataFrame:
         points = n if points is None else points + n
     # how many stand in a file up to each line; a function's are those up to its end without those before it
     upto = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    seen = cut(code_lines(files).select("path", "line", points.alias("points")).withColumn("seen", F.sum("points").over(upto)))
+    seen = cut(code_lines(files, "path", "line", "clean").select("path", "line", points.alias("points")).withColumn("seen", F.sum("points").over(upto)))
     rows = nodes.where("kind IN ('Function', 'Method')").select("entityId", F.col("filePath").alias("path"), "startLine", "endLine")
     first = seen.select("path", F.col("line").alias("startLine"), (F.col("seen") - F.col("points")).alias("before"))
     last = seen.select("path", F.col("line").alias("endLine"), "seen")

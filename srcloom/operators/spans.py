@@ -27,6 +27,17 @@ def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     return found.select("path", "_point.*", *(F.col(f"_span.{c}").alias(c) for c in keep))
 
 
+def within(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """What ``innermost`` gives for spans of which none stands in another (``outermost``): the last that has begun, by one sort."""
+    keep = [c for c in spans.columns if c != "path"]
+    span, point = F.struct(*keep), F.struct(*(c for c in points.columns if c not in ("path", "line")), "line")
+    no_span, no_point = F.lit(None).cast(spans.select(span.alias("s")).schema["s"].dataType), F.lit(None).cast(points.select(point.alias("p")).schema["p"].dataType)
+    every = spans.select("path", F.col("a").alias("_at"), F.lit(0).alias("_role"), span.alias("_span"), no_point.alias("_point")).unionByName(points.select("path", F.col("line").alias("_at"), F.lit(1).alias("_role"), no_span.alias("_span"), point.alias("_point")))
+    upto = Window.partitionBy("path").orderBy("_at", "_role", F.desc("_span.z")).rowsBetween(Window.unboundedPreceding, 0)
+    found = every.withColumn("_span", F.last("_span", True).over(upto)).where("_role = 1 AND _span.z >= _at")
+    return found.select("path", "_point.*", *(F.col(f"_span.{c}").alias(c) for c in keep))
+
+
 def holding(spans: DataFrame, points: DataFrame) -> DataFrame:
     """The spans (path, a, z, ...) in which at least one of points (path, line) lies, at any depth."""
     row = lambda rows, line, role, span: rows.select("path", line.alias("_at"), F.lit(role).alias("_role"), span.alias("_span"))
