@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from srcloom.extract.lexer import files_of, in_batches
 from srcloom.extract.sources import file_nodes
 from srcloom.functions.identity import entity_id, link_id
-from srcloom.operators.lineage import cut, joined
-from srcloom.operators.spans import innermost
+from srcloom.operators.lineage import cut
 
 TOKENS = re.compile(
     r'''(?P<comment>#[^\r\n]*)'''
@@ -28,7 +27,8 @@ TOKENS = re.compile(
 #: Words that begin a statement with a block.
 BLOCKS = re.compile(r"\s*(?:async\s+)?(?:(?:def|class|if|elif|else|for|while|try|except|finally|with)\b|(?:match|case)\b(?!\s*[:=.]))")
 INDENT = re.compile(r"[ \t\f]*")
-ENTRIES = "path string, kind string, n int, line int, last int, depth int, clean string, until int, owner int, params array<struct<name:string,line:int>>"
+ENTRIES = "path string, kind string, n int, line int, last int, depth int, clean string, until int, owner int, params array<struct<name:string,line:int>>, ending int, around string, class string"
+HEAD = re.compile(r"(?:async )?(?:def|class) [A-Za-z_]", re.A)
 NOT_CALLED = ("if", "elif", "while", "for", "in", "not", "and", "or", "is", "return", "yield", "lambda", "assert", "del", "with", "except", "raise", "from", "import", "await", "else")
 
 
@@ -117,11 +117,12 @@ def parameters(header: str, line: int) -> list[tuple[str, int]]:
 
 def entries(path: str, content: str) -> list[tuple]:
     """Rows of ENTRIES of one file: statements with their depth, the last statement of the block that each opens, and the
-    statement that a decorator belongs to."""
+    statement that a decorator belongs to; the last line of that block, the header of the innermost function or class that
+    holds it (a header's decorators are in it), and that of the class around that one, however far out."""
     try:
         found = statements(content)
     except ValueError as e:
-        return [(path, "Error", 0, 0, 0, 0, str(e), None, None, None)]
+        return [(path, "Error", 0, 0, 0, 0, str(e), *[None] * 6)]
     levels, openers, until = [0.0], [], {}
     depths = []
     for n, (line, _, indent, text) in enumerate(found):
@@ -129,7 +130,7 @@ def entries(path: str, content: str) -> list[tuple]:
             levels.pop()
         if indent > levels[-1]:
             if n == 0 or not found[n - 1][3].endswith(":"):
-                return [(path, "Error", 0, line, line, 0, f"indentation in line {line}", None, None, None)]
+                return [(path, "Error", 0, line, line, 0, f"indentation in line {line}", *[None] * 6)]
             levels.append(indent)
         depth = len(levels) - 1
         while openers and openers[-1][0] >= depth:
@@ -142,20 +143,31 @@ def entries(path: str, content: str) -> list[tuple]:
     owner, out = {}, []
     for n in range(len(found) - 1, -1, -1):
         owner[n] = owner.get(n + 1, n + 1) if found[n][3].startswith("@") else n
+    clean = [re.sub(r"\s+", " ", text) for *_, text in found]
+    heads, classes, held = [], [], []
+    for n, text in enumerate(clean):
+        for own in (heads, classes):
+            while own and own[-1][0] < n:
+                own.pop()
+        if HEAD.match(text) and text.endswith(":"):
+            heads.append((until.get(n, n), text, classes[-1][1] if classes else None))
+            if text.startswith("class "):
+                classes.append(heads[-1])
+        held.append(heads[-1][1:] if heads else (None, None))
     for n, (line, last, _, text) in enumerate(found):
         is_def = bool(re.match(r"(?:async\s+)?def\b", text))
-        out.append((path, "Line", n, line, last, depths[n], re.sub(r"\s+", " ", text), until.get(n), owner[n], parameters(text, line) if is_def else None))
+        out.append((path, "Line", n, line, last, depths[n], clean[n], until.get(n), owner[n], parameters(text, line) if is_def else None, found[until.get(n, n)][1], *held[owner[n]]))
     return out
 
 
 def syntax(files: DataFrame) -> DataFrame:
     """Rows of ENTRIES of all files."""
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.struct([("name", pa.string()), ("line", pa.int32())])))
-    names = ("path", "kind", "n", "line", "last", "depth", "clean", "until", "owner", "params")
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.struct([("name", pa.string()), ("line", pa.int32())])), pa.int32(), pa.string(), pa.string())
+    names = ("path", "kind", "n", "line", "last", "depth", "clean", "until", "owner", "params", "ending", "around", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for path, content in files_of(batches) for r in entries(path, content))
-        return in_batches(((*r[:9], None if r[9] is None else [{"name": x, "line": y} for x, y in r[9]]) for r in rows), list(zip(names, kinds, strict=True)))
+        return in_batches(((*r[:9], None if r[9] is None else [{"name": x, "line": y} for x, y in r[9]], *r[10:]) for r in rows), list(zip(names, kinds, strict=True)))
 
     return files.select("path", "content").where("content IS NOT NULL").mapInArrow(run, ENTRIES)
 
@@ -167,31 +179,25 @@ def _of(kind: Column, name: Column) -> Column:
 def python(files: DataFrame):
     """Functions, methods, parameters, classes, imported modules, variables, and calls to functions of the
     same name (placeholders where the file has none)."""
-    rows = cut(syntax(files).where("kind = 'Line'"))
-    name = F.regexp_extract("clean", r"^(?:async )?(?:def|class) ([^\W\d]\w*)", 1)
-    heads = rows.withColumns({"name": name, "isClass": F.col("clean").startswith("class ")}).where("name <> '' AND until IS NOT NULL OR name <> '' AND clean RLIKE ':$'").withColumn("until", F.coalesce("until", "n"))
-    # the class on the stack of each head, however far out
-    inside = heads.where("isClass").select("path", (F.col("n") + 1).alias("a"), F.col("until").alias("z"), F.col("name").alias("class")).where("z >= a")
-    heads = joined(heads, innermost(heads.select("path", F.col("n").alias("line")), inside).select("path", F.col("line").alias("n"), "class"), ["path", "n"], "left")
-    kind = F.when(F.col("isClass"), "PythonClass").when(F.col("class").isNotNull(), "PythonMethod").otherwise("PythonFunction")
-    heads = heads.withColumns({"what": kind, "full": F.when(F.col("isClass") | F.col("class").isNull(), F.col("name")).otherwise(F.concat_ws(".", "class", "name"))})
-    ends = rows.select("path", F.col("n").alias("until"), F.col("last").alias("end"))
-    heads = cut(joined(heads, ends, ["path", "until"]))
+    name = lambda c: F.regexp_extract(c, r"^(?:async )?(?:def|class) ([^\W\d]\w*)", 1)
+    none = F.lit(None).cast("string")
+    own = F.nullif(name("around"), F.lit(""))
+    rows = syntax(files).where("kind = 'Line'").withColumns({"class": F.nullif(name("class"), F.lit("")), "name": own, "isClass": F.col("around").startswith("class ")})
+    what = F.when(F.col("isClass"), "PythonClass").when(F.col("class").isNotNull(), "PythonMethod").when(F.col("name").isNotNull(), "PythonFunction")
+    full = F.when(F.col("isClass") | F.col("class").isNull(), F.col("name")).otherwise(F.concat_ws(".", "class", "name"))
+    # what a statement belongs to: the innermost function or class; a header's defaults and decorators are the function's
+    rows = cut(rows.withColumns({"what": what, "full": full}).drop("kind", "depth", "until"))
+    heads = rows.where("clean = around AND clean RLIKE '^(async )?(def|class) '")
     member = F.col("what") == "PythonMethod"
-    defined = heads.select("path", F.col("what").alias("kind"), "name", F.col("full").alias("qualified"), "line", F.col("end").alias("endLine"), F.when(member, "PythonClass").otherwise("File").alias("parentKind"), F.when(member, F.col("class")).otherwise(F.lit("")).alias("parentName"), F.when(F.col("isClass"), "PYTHON_DEFINES_CLASS").when(member, "PYTHON_HAS_METHOD").otherwise("PYTHON_DEFINES_FUNCTION").alias("relType"), F.lit(None).cast("string").alias("extra"))
+    defined = heads.select("path", F.col("what").alias("kind"), "name", F.col("full").alias("qualified"), "line", F.col("ending").alias("endLine"), F.when(member, "PythonClass").otherwise("File").alias("parentKind"), F.when(member, F.col("class")).otherwise(F.lit("")).alias("parentName"), F.when(F.col("isClass"), "PYTHON_DEFINES_CLASS").when(member, "PYTHON_HAS_METHOD").otherwise("PYTHON_DEFINES_FUNCTION").alias("relType"), F.lit(None).cast("string").alias("extra"))
     args = heads.where("NOT isClass").select("path", "what", "full", F.explode("params").alias("p"))
     args = args.select("path", F.lit("PythonParameter").alias("kind"), F.col("p.name").alias("name"), F.concat(F.concat_ws(".", "full", "p.name"), F.lit(":"), F.col("p.line")).alias("qualified"), F.col("p.line").alias("line"), F.col("p.line").alias("endLine"), F.col("what").alias("parentKind"), F.col("full").alias("parentName"), F.lit("PYTHON_HAS_PARAMETER").alias("relType"), F.lit(None).cast("string").alias("extra"))
-    none = F.lit(None).cast("string")
     # imports belong to the file wherever they stand
     plain = rows.where(F.col("clean").rlike(r"^import ")).select("path", "line", "last", F.explode(F.split(F.regexp_replace("clean", "^import ", ""), r"\s*,\s*")).alias("x")).select("path", "line", "last", F.regexp_extract("x", r"^([\w.]+)", 1).alias("name"), F.nullif(F.regexp_extract("x", r" as (\w+)", 1), F.lit("")).alias("extra"))
     names = F.transform(F.split(F.regexp_replace(F.regexp_extract("clean", r"^from [. \w]+ import (.*)$", 1), r"[()]", ""), ","), lambda x: F.regexp_extract(F.trim(x), r"^([\w*]+)", 1))
     of = rows.where(F.col("clean").rlike(r"^from [. \w]+ import ")).select("path", "line", "last", F.regexp_replace(F.regexp_extract("clean", r"^from ([. \w]+?) import ", 1), " ", "").alias("name"), F.array_join(F.filter(names, lambda x: x != ""), ",").alias("extra"))
     brought = plain.unionByName(of).where("name <> ''").select("path", F.lit("PythonModule").alias("kind"), "name", F.col("name").alias("qualified"), "line", F.col("last").alias("endLine"), F.lit("File").alias("parentKind"), F.lit("").alias("parentName"), F.lit("PYTHON_IMPORTS").alias("relType"), "extra")
-    # what a statement belongs to: the innermost function or class; a header's defaults and decorators are the function's
-    spans = heads.select("path", F.col("n").alias("a"), F.col("until").alias("z"), "what", "full")
-    inner = cut(innermost(rows.select("path", F.col("owner").alias("line"), "clean", F.col("line").alias("at")), spans).select("path", F.col("line").alias("owner"), "clean", "at", "what", "full"))
-    outer = joined(rows.select("path", "owner", "clean", F.col("line").alias("at")), inner.select("path", "owner").distinct(), ["path", "owner"], "left_anti").withColumns({"what": none, "full": none})
-    around = inner.unionByName(outer)
+    around = rows.select("path", F.col("line").alias("at"), "clean", "what", "full")
     targets = F.regexp_extract("clean", r"^((?:[\w.]++(?:\[[^\[\]]*+\])? ?=(?!=) ?)++)", 1)
     assigned = around.where(targets != "").select("path", "at", "what", "full", F.explode(F.filter(F.split(targets, r"\s*=\s*"), lambda x: x.rlike(r"^[^\W\d]\w*$"))).alias("name"))
     held = assigned.select("path", F.lit("PythonVariable").alias("kind"), "name", F.concat(F.col("name"), F.lit(":"), F.col("at")).alias("qualified"), F.col("at").alias("line"), F.col("at").alias("endLine"), F.coalesce("what", F.lit("File")).alias("parentKind"), F.coalesce("full", F.lit("")).alias("parentName"), none.alias("relType"), none.alias("extra"))
