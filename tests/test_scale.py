@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from srcloom.extract import call_spans, lexer, sources
+from srcloom.extract import call_spans, jsx, lexer, sources
 from srcloom.operators import resolve, resolve_ts
 from srcloom.operators.lineage import dealt
 from srcloom.plans import projection, source_queries
@@ -67,3 +67,22 @@ def test_rows_of_a_large_table_are_dealt_by_key_over_tasks(spark):
     found = rows.groupBy("task").agg(F.count("*").alias("n"), F.count_distinct("k").alias("keys")).collect()
     assert len(found) == 12 and sum(r.keys for r in found) == 20_000 and max(r.n for r in found) < 7_500
     assert "hashpartitioning(l_orderkey" in plan(projection.rels(spark, SF))
+
+
+def test_elements_are_found_in_one_pass_without_sorts(spark):
+    text = "x\n<a>\r\n<b c='1'\n/> <d></d></a></a>\n  <e><f/>"
+    files = spark.createDataFrame([("/s/a.tsx", text), ("/s/b.tsx", None)], "path string, content string")
+    rows = jsx.elements(files)
+    assert not [x for x in ("Window", "Sort", "Exchange") if x in plan(rows)]
+    own = lambda x: x and x.rpartition("/s/a.tsx:")[2]
+    # a tag at the start of a line is in column 0, whatever stands above
+    assert [(own(r.entityId), own(r.parentId), r.attrs) for r in rows.collect()] == [("a:2:0", None, ""), ("b:3:0", "a:2:0", " c='1'\n"), ("d:4:3", "a:2:0", ""), ("e:5:2", None, ""), ("f:5:5", "e:5:2", "")]
+
+
+def test_classes_are_made_distinct_in_bounded_tasks(spark):
+    files = spark.createDataFrame([("/s/A.tsx", '<a className="p q p"/>'), ("/s/a.tsx", '<a className="p"/>')], "path string, content string")
+    nodes, rels = jsx.jsx(files)
+    assert "hashpartitioning(entityId" in plan(nodes) and "hashpartitioning(elementId" in plan(rels) and "REPARTITION_BY_NUM" in plan(nodes) and "REPARTITION_BY_NUM" in plan(rels)
+    assert sorted(r["name"] for r in nodes.where("kind = 'TailwindClass'").collect()) == ["p", "q"]
+    # ids don't tell capitals in paths apart, so both files use p once
+    assert sorted(r.targetId for r in rels.where("type = 'USES_TAILWIND_CLASS'").collect()) == ["tailwindclass:p", "tailwindclass:q"]
