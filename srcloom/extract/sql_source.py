@@ -17,30 +17,39 @@ CONSTRAINTS = r"(?i)^\s*(?:primary|foreign|unique|check|constraint|index|key)\b"
 VERBS = {"select": "SQLSelectStatement", "with": "SQLSelectStatement", "insert": "SQLInsertStatement", "update": "SQLUpdateStatement", "delete": "SQLDeleteStatement"}
 
 
+def declared(files: DataFrame) -> DataFrame:
+    """(path, line, endLine, kind, name, entityId, body, columns) of statements that declare or do something; columns: (name, extra) of
+    a table's.
+
+    Statements end with a semicolon; one in a string or a comment doesn't count, comments are dropped.  What patterns find is
+    worked out in steps, each once: a step's columns are used by the next.  One step with all of it would make a method that is too large
+    for the JVM to compile, and a filter would be put before the steps and try the patterns twice."""
+    rows = files.select("path", "content").mapInArrow(statements, STATEMENTS).withColumn("verb", F.lower(F.regexp_extract("text", r"^(\w+)", 1)))
+    # a statement that creates nothing isn't tried as a table or a view
+    creates = F.col("verb") == "create"
+    rows = rows.withColumns({"table": F.when(creates, F.regexp_extract("text", TABLE, 1)), "view": F.when(creates, F.regexp_extract("text", VIEW, 1)), "inside": F.when(creates, F.regexp_extract("text", TABLE, 2))})
+    rows = rows.withColumns({"full": F.translate(F.coalesce(F.nullif("table", F.lit("")), F.nullif("view", F.lit(""))), '"', ""), "isTable": F.col("table") != ""})
+    rows = rows.withColumn("kind", F.when(F.col("isTable"), "SQLTable").when(F.col("full").isNotNull(), "SQLView").otherwise(F.try_element_at(F.create_map(*(F.lit(x) for pair in VERBS.items() for x in pair)), "verb")))
+    schema, name = schema_and_name(F.col("full"))
+    place = F.concat_ws(":", "path", F.col("line").cast("string"), F.col("column").cast("string"))
+    rows = rows.withColumns({"name": F.when(F.col("full").isNotNull(), name).otherwise(F.col("verb")), "known": F.when(F.col("full").isNotNull(), F.concat_ws(".", schema, name)).otherwise(place)})
+    column = lambda c: F.struct(F.regexp_extract(c, r'^\s*"?(\w+)', 1).alias("name"), F.regexp_extract(c, r'^\s*"?\w+"?\s+(\w+(?:\s*\([^)]*\))?)', 1).alias("extra"))
+    pieces = F.filter(F.split("inside", r",(?![^(]*\))"), lambda c: ~c.rlike(CONSTRAINTS))
+    rows = rows.withColumns({"entityId": entity_id(F.col("kind"), F.col("known")), "columns": F.when(F.col("isTable"), F.filter(F.transform(pieces, column), lambda c: c["name"] != ""))})
+    body = F.when(~F.coalesce("isTable", F.lit(False)), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    own = F.struct("path", "line", "endLine", "kind", "name", "entityId", body.alias("body"), "columns")
+    return rows.select(F.explode(F.when(F.col("kind").isNotNull(), F.array(own))).alias("own")).select("own.*")
+
+
 def sql(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Statements end with a semicolon; one in a string or a comment doesn't count, comments are dropped."""
-    path = F.col("path")
-    parts = files.select("path", "content").mapInArrow(statements, STATEMENTS)
-    lead = F.regexp_extract("text", r"^\s*", 0)
-    lines = lambda c: F.length(c) - F.length(F.translate(c, "\n", ""))
-    rows = parts.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").withColumns({"line": (F.col("above") + lines(lead) + 1).cast("int"), "body": F.trim(F.regexp_replace("text", r"\s+", " "))})
-    rows = rows.withColumn("endLine", (F.col("line") + lines(F.regexp_replace("text", r"^\s+|\s+$", ""))).cast("int"))
-    verb = F.lower(F.regexp_extract("body", r"^(\w+)", 1))
-    statement = None
-    for word, kind in VERBS.items():
-        statement = F.when(verb == word, kind) if statement is None else statement.when(verb == word, kind)
-    kind = F.when(F.col("text").rlike(TABLE), "SQLTable").when(F.col("text").rlike(VIEW), "SQLView").otherwise(statement)
-    rows = cut(rows.withColumn("kind", kind).where("kind IS NOT NULL"))
-    full = F.translate(F.when(F.col("kind") == "SQLTable", F.regexp_extract("text", TABLE, 1)).when(F.col("kind") == "SQLView", F.regexp_extract("text", VIEW, 1)), '"', "")
-    schema, name = schema_and_name(full)
-    place = F.concat_ws(":", "path", F.col("line").cast("string"), F.length(F.regexp_extract(lead, r"([^\n]*)$", 1)).cast("string"))
+    """Tables with columns, views and statements; DEFINES_TABLE, DEFINES_VIEW and HAS_COLUMN."""
+    path, rows = F.col("path"), cut(declared(files))
     named = F.col("kind").isin("SQLTable", "SQLView")
-    rows = rows.withColumns({"name": F.when(named, name).otherwise(verb), "entityId": entity_id(F.col("kind"), F.when(named, F.concat_ws(".", schema, name)).otherwise(place))})
     whole = lambda parent: ("entityId", "kind", "name", path.alias("filePath"), F.col("line").alias("startLine"), "endLine", (F.col("endLine") - F.col("line") + 1).alias("loc"), F.lit("SQL").alias("language"), parent.alias("parentId"), "extra")
-    out = rows.withColumn("extra", F.when(F.col("kind") != "SQLTable", F.col("body"))).select(*whole(F.when(named, file_id(path))))
-    columns = rows.where("kind = 'SQLTable'").select("path", "line", "endLine", F.col("entityId").alias("table"), F.explode(F.split(F.regexp_extract("text", TABLE, 2), r",(?![^(]*\))")).alias("c"))
-    columns = columns.where(~F.col("c").rlike(CONSTRAINTS)).select("path", "line", "endLine", "table", F.regexp_extract("c", r'^\s*"?(\w+)', 1).alias("name"), F.regexp_extract("c", r'^\s*"?\w+"?\s+(\w+(?:\s*\([^)]*\))?)', 1).alias("extra")).where("name <> ''")
-    columns = columns.withColumns({"kind": F.lit("SQLColumn"), "entityId": entity_id("sqlcolumn", F.concat_ws(".", "table", "name"))})
+    out = rows.withColumn("extra", F.col("body")).select(*whole(F.when(named, file_id(path))))
+    columns = rows.where("kind = 'SQLTable'").select("path", "line", "endLine", F.col("entityId").alias("table"), F.inline("columns"))
+    # a table's id is sanitized, and a column's name has nothing that isn't allowed
+    columns = columns.withColumns({"kind": F.lit("SQLColumn"), "entityId": F.concat(F.lit("sqlcolumn:"), "table", F.lit("."), F.lower("name"))})
     rel = lambda kind, a, b, w: (link_id(kind, a, b).alias("entityId"), kind.alias("type"), a.alias("sourceId"), b.alias("targetId"), F.lit(w).alias("weight"))
     rels = rows.where(named).select(*rel(F.when(F.col("kind") == "SQLTable", "DEFINES_TABLE").otherwise("DEFINES_VIEW"), file_id(path), F.col("entityId"), 9))
     rels = rels.unionByName(columns.select(*rel(F.lit("HAS_COLUMN"), F.col("table"), F.col("entityId"), 8)))

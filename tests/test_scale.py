@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from srcloom.extract import call_spans, jsx, lexer, sources
+from srcloom.extract import call_spans, jsx, lexer, sources, sql_source
 from srcloom.operators import resolve, resolve_ts
 from srcloom.operators.lineage import dealt
 from srcloom.plans import projection, source_queries
@@ -86,3 +86,19 @@ def test_classes_are_made_distinct_in_bounded_tasks(spark):
     assert sorted(r["name"] for r in nodes.where("kind = 'TailwindClass'").collect()) == ["p", "q"]
     # ids don't tell capitals in paths apart, so both files use p once
     assert sorted(r.targetId for r in rels.where("type = 'USES_TAILWIND_CLASS'").collect()) == ["tailwindclass:p", "tailwindclass:q"]
+
+
+def test_statements_are_worked_out_once_in_methods_that_are_compiled(spark):
+    text = "-- a\n  CREATE TABLE s.T (\n id INT, \"q\" DECIMAL(10, 2),\n PRIMARY KEY (id)\n) ;\n \n  \n  select 1;\n\ncreate view v as select ';'\n; ; -- b"
+    files = spark.createDataFrame([("/s/a.sql", text), ("/s/b.sql", None)], "path string, content string")
+    nodes, rels = sql_source.sql(files)
+    optimized = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sql_source.TABLE not in optimized(nodes) + optimized(rels)
+    assert optimized(sql_source.declared(files)).count(sql_source.TABLE) == 2  # name, and what stands inside
+    made = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+    for rows in (nodes, rels, sql_source.declared(files), source_queries._graph((nodes, rels))):
+        parts = made.codegenStringSeq(rows._jdf.queryExecution().executedPlan())
+        assert all(parts.apply(k)._3().maxMethodCodeSize() < 8000 for k in range(parts.size()))  # larger ones are interpreted
+    own = sorted((r.kind, r["name"], r.startLine, r.endLine, r.extra) for r in nodes.where("kind <> 'File'").collect())
+    assert own == [("SQLColumn", "id", 2, 5, "INT"), ("SQLColumn", "q", 2, 5, "DECIMAL(10, 2)"), ("SQLSelectStatement", "select", 8, 8, "select 1"), ("SQLTable", "T", 2, 5, None), ("SQLView", "v", 10, 10, "create view v as select ';'")]
+    assert [r.entityId for r in nodes.where("kind = 'SQLSelectStatement'").collect()] == ["sqlselectstatement:/s/a.sql:8:2"]
