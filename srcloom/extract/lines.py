@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.extract.lexer import LINES, lines
+from srcloom.operators.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -41,10 +42,20 @@ def code_lines(files: DataFrame, *columns: str, bare: bool = True) -> DataFrame:
     braces where it begins; opener: the line before it that opened, by a brace behind other text, the last block of
     that depth (0: none); closer: the first line from it on that closes a block of that depth; group: the word of the
     parenthesis that the line stands in.  bare: with lines that hold nothing or brackets only.
+    files may be what ``lexed`` wrote of them, which has no bare lines.
     """
+    if "clean" in files.columns:
+        if bare:
+            raise ValueError("bare lines aren't written")
+        return files.select(*columns)
     return files.select("path", "content").mapInArrow(lambda batches: lines(batches, columns, bare), ", ".join(f"{c} {LINES[c]}" for c in columns))
 
 
+def lexed(files: DataFrame, *columns: str) -> DataFrame:
+    """Lines of files that aren't bare, written once for several that read them."""
+    return cut(code_lines(files, *columns, bare=False))
+
+
 def declarations(files: DataFrame, rules: list[Rule], tasks: int) -> DataFrame:
     """(path, line, endLine, kind, name, extra, header, params, depth, ownerKind, ownerName, ownerLine), dealt by path over ``tasks``.
 

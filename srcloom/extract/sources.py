@@ -30,9 +30,9 @@ def file_nodes(files: DataFrame) -> DataFrame:
     return files.select(file_id(path).alias("entityId"), F.lit("File").alias("kind"), basename(path).alias("name"), path.alias("filePath"), F.lit(1).alias("startLine"), last.alias("endLine"), last.alias("loc"), language_of(path).alias("language"), F.lit(None).cast("string").alias("parentId"), F.lit(None).cast("string").alias("extra"))
 
 
-def _declared(files: DataFrame, found: list) -> DataFrame:
+def _declared(files: DataFrame, found: list, lines: DataFrame | None = None) -> DataFrame:
     """Declarations by rules, dealt by path."""
-    return declarations(files, found, tasks_for(files))
+    return declarations(files if lines is None else lines, found, tasks_for(files))
 
 
 def _nodes(rows: DataFrame, *more: str) -> DataFrame:
@@ -150,12 +150,12 @@ def c_cpp(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def typescript(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def typescript(files: DataFrame, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Imports, functions, classes, methods, interfaces, types, variables, parameters.
 
-    Kinds have the columns of MORE beside those of NODE, as far as the header says them.
+    Kinds have the columns of MORE beside those of NODE, as far as the header says them.  lines: what ``lexed`` wrote of files.
     """
-    rows = _declared(files, rules.TYPESCRIPT)
+    rows = _declared(files, rules.TYPESCRIPT, lines)
     rows = rows.where("kind <> 'Method' OR ownerKind = 'Class'").where("kind <> 'Signature' OR ownerKind = 'Interface'").withColumn("kind", F.regexp_replace("kind", "Signature", "Method"))
     rows = declarators(rows, ["Variable"], typed=True)
     owner = F.col("ownerKind"), F.concat_ws(":", "path", "ownerName")

@@ -48,7 +48,8 @@ def basename(path: Column) -> Column:
 
 
 def dirname(path: Column) -> Column:
-    return F.regexp_extract(normalize_path(path), r"^(.*)/[^/]*$", 1)
+    path = normalize_path(path)
+    return F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
 
 
 def extension(path: Column) -> Column:
@@ -62,9 +63,11 @@ def strip_script_extension(path: Column) -> Column:
 
 def fold_dots(path: Column) -> Column:
     """Resolves ``.`` and ``..`` segments: each ``..`` takes the segment before it."""
-    parts = F.filter(F.split(path, "/"), lambda p: (p != ".") & (p != ""))
+    near = F.replace(path, F.lit("/./"), F.lit("/"))
+    parts = F.filter(F.split(near, "/"), lambda p: (p != ".") & (p != ""))
     done = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
-    return F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(done, "/"))
+    # most paths have no more of them, and are as they stand
+    return F.when(~near.rlike(r"(?s)//|/\.{1,2}(?:/|$)|./$|^\.{1,2}(?:/|$)"), near).otherwise(F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(done, "/")))
 
 
 def tokens(value: Column) -> Column:

@@ -61,7 +61,7 @@ def weigh(rels: DataFrame, source_file: Column, target_file: Column, cross: int
 
 
 def import_candidates(imports: DataFrame, files: DataFrame, extensions: list[str]) -> DataFrame:
-    """imports (importer, specifier) with ``resolved``: the first existing of the path itself, the path with
+    """imports (importer, specifier, ...) with ``resolved``: the first existing of the path itself, the path with
     each extension, and its index file with each; the bare path where none exists.  A specifier that isn't
     relative stays as it is.  Each file says which bases come to it, so that imports are looked up once and not once
     for each ending."""
@@ -74,4 +74,4 @@ def import_candidates(imports: DataFrame, files: DataFrame, extensions: list[str
     hit = each.groupBy("key").agg(F.min_by("path", "priority").alias("found"))
     # what isn't relative has a key that is no file's, and not the same for all
     key = F.when(F.col("relative"), F.col("base")).otherwise(F.concat(F.lit("\x00"), F.col("importer")))
-    return joined(rows.withColumn("key", key), hit, "key", "left").select("importer", "specifier", F.when(F.col("relative"), F.coalesce("found", "base")).otherwise(F.col("specifier")).alias("resolved"), F.when(F.col("relative"), F.col("found").isNull()).otherwise(F.lit(True)).alias("isPlaceholder"))
+    return joined(rows.withColumn("key", key), hit, "key", "left").select(*imports.columns, F.when(F.col("relative"), F.coalesce("found", "base")).otherwise(F.col("specifier")).alias("resolved"), F.when(F.col("relative"), F.col("found").isNull()).otherwise(F.lit(True)).alias("isPlaceholder"))

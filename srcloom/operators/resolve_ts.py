@@ -39,7 +39,7 @@ def import_targets(nodes: DataFrame, extensions=EXTENSIONS) -> DataFrame:
     """(importer, specifier, names, resolved, isPlaceholder) of all imports."""
     imports = nodes.where("kind = 'Import'").select(F.col("filePath").alias("importer"), F.col("name").alias("specifier"), F.col("extra").alias("names"))
     files = nodes.where("kind = 'File'").select(F.col("filePath").alias("path"))
-    return joined(imports, import_candidates(imports.select("importer", "specifier").distinct(), files, list(extensions)), ["importer", "specifier"])
+    return import_candidates(imports, files, list(extensions))
 
 
 def file_imports(targets: DataFrame) -> DataFrame:
@@ -63,21 +63,28 @@ def imported_names(targets: DataFrame) -> DataFrame:
     return targets.where("names IS NOT NULL AND NOT isPlaceholder").select(F.col("importer").alias("path"), "resolved", F.explode(every).alias("x")).select("path", "resolved", "x.alias", "x.original")
 
 
-def declared(nodes: DataFrame) -> DataFrame:
-    """(path, name, targetId) of what a file declares, functions before classes, interfaces, variables, types;
-    its default export is declared as ``default`` too."""
-    order = F.array_position(F.array(*(F.lit(k) for k in ("Function", "Class", "Interface", "Variable", "TypeAlias"))), F.col("kind"))
+def declarations(nodes: DataFrame) -> DataFrame:
+    """(path, name, rank, startLine, targetId, isExported) of what a file declares: functions before classes, interfaces, variables,
+    types; its default export is declared as ``default`` too."""
+    rank = F.array_position(F.array(*(F.lit(k) for k in ("Function", "Class", "Interface", "Variable", "TypeAlias"))), F.col("kind"))
     rows = nodes.where(F.col("kind").isin("Function", "Class", "Interface", "Variable", "TypeAlias"))
+    names, exported = F.array("name"), F.col("isExported") if "isExported" in nodes.columns else F.lit(None).cast("boolean")
     if "isDefaultExport" in nodes.columns:
-        rows = rows.unionByName(rows.where("isDefaultExport").withColumn("name", F.lit("default")))
-    return rows.groupBy(F.col("filePath").alias("path"), "name").agg(F.min_by("entityId", F.struct(order, "startLine")).alias("targetId"))
+        names = F.when(F.col("isDefaultExport"), F.array("name", F.lit("default"))).otherwise(names)
+    return rows.select(F.col("filePath").alias("path"), F.explode(names).alias("name"), rank.alias("rank"), "startLine", F.col("entityId").alias("targetId"), exported.alias("isExported"))
+
+
+def declared(nodes: DataFrame) -> DataFrame:
+    """(path, name, targetId) of ``declarations``, the first of each name."""
+    return declarations(nodes).groupBy("path", "name").agg(F.min_by("targetId", F.struct("rank", "startLine")).alias("targetId"))
 
 
 def export_names(files: DataFrame, nodes: DataFrame, targets: DataFrame, extensions=EXTENSIONS) -> tuple[DataFrame, DataFrame]:
     """The located export clauses of files, and what all names that they export come to, over any number of files
-    (``exports.follow``).  nodes are read many times: hand in a written table or a cut plan."""
-    clauses = cut(exports.located(cut(exports.export_clauses(files)), nodes, extensions))
-    return clauses, exports.exported_names(exports.own_edges(declared(nodes), declared(nodes.where("isExported")), clauses, imported_names(targets)), clauses)
+    (``exports.exported_names``).  files may be their lines (``lexed``, with text); nodes are read several times: hand in a written table or a cut plan."""
+    clauses = exports.export_clauses(files)
+    clauses = cut(exports.located(clauses if "clean" in files.columns else cut(clauses), nodes, extensions))
+    return clauses, exports.exported_names(declarations(nodes), clauses, imported_names(targets))
 
 
 def _there(nodes: DataFrame, names: DataFrame | None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from srcloom.analyze import analyze
 from srcloom.extract import sources
+from srcloom.extract.lines import lexed
 from srcloom.functions.identity import extension, inside_delimiters
 from srcloom.operators import exports, includes, resolve_ts
 from srcloom.operators.lineage import cut
@@ -68,10 +69,12 @@ def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _module(spark: SparkSession, sf_dir: str):
+    """The lines of the modules' files, their nodes, imports, export clauses and exported names."""
     files = module_files(spark, sf_dir)
-    nodes = cut(sources.typescript(files)[0].select(*sources.NODE, "type", "isExported", "isDefaultExport"))
+    code = lexed(files, "path", "line", "text", "clean", "inside", "params", "last", "before", "opener", "closer")
+    nodes = sources.typescript(files, code)[0]
     targets = cut(resolve_ts.import_targets(nodes))
-    return files, nodes, targets, *resolve_ts.export_names(files, nodes, targets)
+    return code, nodes, targets, *resolve_ts.export_names(code, nodes, targets)
 
 
 def ts_exported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +91,9 @@ def ts_export_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ts_calls_through_barrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls and resolved imports of names that other files hand on."""
-    files, nodes, targets, _, names = _module(spark, sf_dir)
-    calls = resolve_ts.calls(files, nodes, targets, names).select("type", "sourceId", "targetId", "weight")
+    code, nodes, targets, _, names = _module(spark, sf_dir)
+    names = cut(names)
+    calls = resolve_ts.calls(code, nodes, targets, names).select("type", "sourceId", "targetId", "weight")
     return calls.unionByName(resolve_ts.resolved_imports(nodes, targets, names).select("type", "sourceId", "targetId", "weight"))
 
 

@@ -1,13 +1,15 @@
 """What keeps time and memory in proportion: tasks of a table in one file, plans without broadcasts, files read once."""
 
+import os
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from srcloom.extract import call_spans, jsx, lexer, sources, sql_source
-from srcloom.operators import resolve, resolve_ts
-from srcloom.operators.lineage import dealt
-from srcloom.plans import projection, source_queries
+from srcloom.operators import exports, resolve, resolve_ts
+from srcloom.operators.lineage import cut, dealt
+from srcloom.plans import module_queries, projection, source_queries
 
 SF = "/root/testdata/sf0.001"
 TEXT = "export function f(n: number) {\n  if (n) {\n    f(1);\n  }\n}\nclass K {\n  m() {\n  }\n}\n"
@@ -102,3 +104,60 @@ def test_statements_are_worked_out_once_in_methods_that_are_compiled(spark):
     own = sorted((r.kind, r["name"], r.startLine, r.endLine, r.extra) for r in nodes.where("kind <> 'File'").collect())
     assert own == [("SQLColumn", "id", 2, 5, "INT"), ("SQLColumn", "q", 2, 5, "DECIMAL(10, 2)"), ("SQLSelectStatement", "select", 8, 8, "select 1"), ("SQLTable", "T", 2, 5, None), ("SQLView", "v", 10, 10, "create view v as select ';'")]
     assert [r.entityId for r in nodes.where("kind = 'SQLSelectStatement'").collect()] == ["sqlselectstatement:/s/a.sql:8:2"]
+
+
+def modules(spark, seed, folders=6, files=5):
+    """Files of some folders that export, import and hand on few names from each other, within their folder or beyond it."""
+    draw, out = random.Random(seed), []
+    for d in range(folders):
+        for f in range(files):
+            at = lambda: f"./{draw.randrange(files + 1)}" if d % 3 or draw.random() < 0.6 else f"../{draw.choice((d, (d + 3) % folders))}/{draw.randrange(files)}"  # noqa: B023, E731
+            name = lambda: draw.choice("abcde")
+            kinds = (lambda: f"export const {name()} = 1;", lambda: f"const {name()} = 1;", lambda: f"export * from '{at()}';", lambda: f"export * as {name()} from '{at()}';", lambda: f"export {{ {name()}, {name()} as {name()} }} from '{at()}';",
+                     lambda: f"export {{ {name()} as {name()} }};", lambda: f"import {{ {name()}, {name()} as {name()} }} from '{at()}';", lambda: f"import * as {name()} from '{at()}';", lambda: f"export default {name()};", lambda: f"import {name()} from \"{at()}\";")
+            out.append((f"/m/{d}/{f}.ts", "\n".join(draw.choice(kinds)() for _ in range(draw.randrange(1, 7)))))
+    return spark.createDataFrame(out, "path string, content string")
+
+
+def test_names_of_small_groups_come_from_one_pass_and_are_those_of_joins(spark, monkeypatch):
+    def names(files, group):
+        monkeypatch.setattr(exports, "GROUP", group)
+        nodes = cut(sources.typescript(files)[0])
+        return resolve_ts.export_names(files, nodes, cut(resolve_ts.import_targets(nodes)))[1]
+
+    statuses = set()
+    for seed, group in ((1, 0), (2, 30)):
+        files = cut(modules(spark, seed))
+        quick, slow = names(files, 10**6), names(files, group)
+        # the only join is that of folders with their group
+        assert plan(quick).count("SortMergeJoin") <= 1 < plan(slow).count("SortMergeJoin")
+        found = sorted(map(tuple, quick.collect()), key=repr)
+        assert found == sorted(map(tuple, slow.collect()), key=repr)
+        statuses |= {x[2] for x in found}
+    assert statuses == {"resolved", "ambiguous", "cycle", "missing"}
+
+
+def test_groups_are_folders_that_name_each_others_files(spark):
+    links = spark.createDataFrame([("/a/1.ts", "/b/1.ts"), ("/c/1.ts", "/b/2.ts"), ("/c/1.ts", "/d/1.ts"), ("/e/1.ts", "/e/2.ts"), ("/e/1.ts", None), ("/g/1.ts", "/f/1.ts")], "path string, resolved string")
+    assert {(r.folder, r.group) for r in exports.groups(links).collect()} == {("/a", "/a"), ("/b", "/a"), ("/c", "/a"), ("/d", "/a"), ("/f", "/f"), ("/g", "/f")}
+    assert exports.groups(links.where("path LIKE '/e%'")) is None
+
+
+def test_long_chains_within_a_group():
+    rows = [(f"/{k}", "x", f"/{k + 1}", "x", None, None, None) for k in range(1500)] + [("/1500", "x", None, None, "t", "/1500", None), ("/s", "*", None, None, None, None, "/0"), ("/s", "*", None, None, None, None, "/700"), ("/u", "y", "", "y", None, None, None)]
+    found = {(p, n): (s, t, at, hops) for p, n, s, t, at, hops in exports.walk(rows)}
+    assert found["/0", "x"] == ("resolved", "t", "/1500", 1501) and found["/s", "x"] == ("resolved", "t", "/1500", 802) and found["/u", "y"] == ("missing", None, None, None) and len(found) == 1503
+
+
+def test_modules_are_lexed_once_and_few_tables_are_written(spark):
+    at = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    rows = module_queries.ts_export_relationships(spark, SF)
+    written = set(os.listdir(at)) - before
+    assert len(written) <= 7 and plan(rows).count("MapInArrow") == 1
+
+
+def test_lines_with_strings_are_read_as_by_tokens():
+    text = "import a, { b } from './x/y'; f(\"(\", '}');\nexport { c } from \"./{z}\";\nexport { d as e\" }\" from './d';\nf }\n"
+    assert [(t, c) for t, c, _ in lexer.logical_lines(text)][:2] == [("import a, { b } from './x/y'; f(\"(\", '}');", "import a, { b } from ''; f(\"\", '');"), ('export { c } from "./{z}";', 'export { c } from "";')]
+    assert lexer.logical_lines(text)[2][0].endswith("f }")
