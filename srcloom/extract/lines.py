@@ -47,13 +47,14 @@ def code_lines(files: DataFrame, *columns: str, bare: bool = True) -> DataFrame:
     if "clean" in files.columns:
         if bare:
             raise ValueError("bare lines aren't written")
-        return files.select(*columns)
+        return files.select(*(F.coalesce("text", "clean").alias("text") if c == "text" else c for c in columns))
     return files.select("path", "content").mapInArrow(lambda batches: lines(batches, columns, bare), ", ".join(f"{c} {LINES[c]}" for c in columns))
 
 
 def lexed(files: DataFrame, *columns: str) -> DataFrame:
-    """Lines of files that aren't bare, written once for several that read them."""
-    return cut(code_lines(files, *columns, bare=False))
+    """Lines of files that aren't bare, written once for several that read them; text is null where it is as clean."""
+    rows = code_lines(files, *columns, bare=False)
+    return cut(rows.withColumn("text", F.nullif("text", "clean")) if "text" in columns else rows)
 
 
 def declarations(files: DataFrame, rules: list[Rule], tasks: int) -> DataFrame:

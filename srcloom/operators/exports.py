@@ -46,7 +46,8 @@ def export_clauses(files: DataFrame) -> DataFrame:
     ``*``; local alone with ``as``), and of names that are exported as the default; specifier is null within the file."""
     clean = F.col("clean")
     lines = code_lines(files, "path", "line", "text", "clean", bare=False).where(clean.rlike(r"^\s*export\b"))
-    star, own = clean.rlike(_STAR), F.regexp_extract("clean", _NAME, 1)
+    lines = lines.where(F.contains(clean, F.lit("{")) | F.contains(clean, F.lit("*")) | clean.rlike(_NAME))
+    star, own = F.contains(clean, F.lit("*")) & clean.rlike(_STAR), F.regexp_extract("clean", _NAME, 1)
     default = ~own.isin("", "function", "class", "async", "abstract", "interface", "null", "true", "false", "undefined", "new")
     items = F.when(star, F.array(F.lit("*"))).when(default, F.array(own)).otherwise(F.split(F.regexp_extract("clean", _LIST, 1), ","))
     specifier = F.when(star | clean.rlike(_LIST), F.nullif(F.regexp_extract("text", _FROM, 1), F.lit("")))

@@ -35,11 +35,22 @@ def _rel(rows: DataFrame, kind, weight, *more: str) -> DataFrame:
     return rows.select(link_id(kind, F.col("sourceId"), F.col("targetId")).alias("entityId"), kind.alias("type"), "sourceId", "targetId", weight.cast("int").alias("weight"), *more)
 
 
+def _imports(nodes: DataFrame) -> DataFrame:
+    return nodes.where("kind = 'Import'").select(F.col("filePath").alias("importer"), F.col("name").alias("specifier"), F.col("extra").alias("names"))
+
+
 def import_targets(nodes: DataFrame, extensions=EXTENSIONS) -> DataFrame:
     """(importer, specifier, names, resolved, isPlaceholder) of all imports."""
-    imports = nodes.where("kind = 'Import'").select(F.col("filePath").alias("importer"), F.col("name").alias("specifier"), F.col("extra").alias("names"))
-    files = nodes.where("kind = 'File'").select(F.col("filePath").alias("path"))
-    return import_candidates(imports, files, list(extensions))
+    return import_candidates(_imports(nodes), nodes.where("kind = 'File'").select(F.col("filePath").alias("path")), list(extensions))
+
+
+def linked(files: DataFrame, nodes: DataFrame, extensions=EXTENSIONS) -> tuple[DataFrame, DataFrame]:
+    """What ``import_targets`` and ``exports.located`` give for imports and export clauses, looked up and written together."""
+    clauses, own = exports.export_clauses(files).withColumnRenamed("path", "importer"), _imports(nodes)
+    there = nodes.where("kind = 'File'").select(F.col("filePath").alias("path"))
+    rows = cut(import_candidates(own.unionByName(clauses, allowMissingColumns=True), there, list(extensions)))
+    found = F.when(~F.col("isPlaceholder"), F.col("resolved")).alias("resolved")
+    return rows.where("line IS NULL").select(*own.columns, "resolved", "isPlaceholder"), rows.where("line IS NOT NULL").select(F.col("importer").alias("path"), "line", "exported", "local", "specifier", found)
 
 
 def file_imports(targets: DataFrame) -> DataFrame:

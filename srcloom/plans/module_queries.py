@@ -68,13 +68,13 @@ def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _module(spark: SparkSession, sf_dir: str):
-    """The lines of the modules' files, their nodes, imports, export clauses and exported names."""
+def _module(spark: SparkSession, sf_dir: str, *more: str):
+    """The lines of the modules' files, with more columns than declarations take, their nodes, imports, export clauses and exported names."""
     files = module_files(spark, sf_dir)
-    code = lexed(files, "path", "line", "text", "clean", "inside", "params", "last", "before", "opener", "closer")
+    code = lexed(files, "path", "line", "text", "clean", "params", "last", "before", "opener", "closer", *more)
     nodes = sources.typescript(files, code)[0]
-    targets = cut(resolve_ts.import_targets(nodes))
-    return code, nodes, targets, *resolve_ts.export_names(code, nodes, targets)
+    targets, clauses = resolve_ts.linked(code, nodes)
+    return code, nodes, targets, clauses, exports.exported_names(resolve_ts.declarations(nodes), clauses, resolve_ts.imported_names(targets))
 
 
 def ts_exported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def ts_export_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ts_calls_through_barrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls and resolved imports of names that other files hand on."""
-    code, nodes, targets, _, names = _module(spark, sf_dir)
+    code, nodes, targets, _, names = _module(spark, sf_dir, "inside")
     names = cut(names)
     calls = resolve_ts.calls(code, nodes, targets, names).select("type", "sourceId", "targetId", "weight")
     return calls.unionByName(resolve_ts.resolved_imports(nodes, targets, names).select("type", "sourceId", "targetId", "weight"))
